@@ -1,5 +1,7 @@
 """DuckDB SQL for the registered text queries that SQL can express on whole tables."""
 
+from . import mixing
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_mix_sources": mixing.ORACLE}
