@@ -1,7 +1,7 @@
 """DuckDB SQL for the registered text queries that SQL can express on whole tables."""
 
-from . import mixing
+from . import decontaminate, mixing
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE}
+    return {"op4_mix_sources": mixing.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
