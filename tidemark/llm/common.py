@@ -57,21 +57,21 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     neighbours is never gathered in one place: the minimum of each node is aggregated first and then joined to the
     edges. Each round is written to the shared folder. Ends when a round changes nothing.
     """
+    mark = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
     e = durable(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    for _ in range(max_rounds):
+    known = tuple(e.agg(*mark).first())
+    for _ in range(max_rounds if known[0] else 0):
         both = e.select("u", "v").union(e.select(F.col("v"), F.col("u")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.union(least.where("m < u").select("u", F.col("m").alias("v"))).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = durable(small.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
-        mark = [F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))]
-        same = tuple(nxt.agg(*mark).first()) == tuple(e.agg(*mark).first())
-        e = nxt
-        if same:
+        e = durable(small.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
+        before, known = known, tuple(e.agg(*mark).first())
+        if before == known:
             break
     else:
-        raise RuntimeError("components did not settle")
+        if known[0]:
+            raise RuntimeError("components did not settle")
     star = e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")
     return star.union(star.select(F.col("component").alias("node"), "component").distinct())

@@ -6,15 +6,16 @@ Fragments with equal content bring documents together; the verdict counts the ov
 wide fragments separately and sums it per pair.
 
 Documents with equal sets are one class. Inside a fragment's bucket nobody is paired with everybody: each document is
-held against one leader, found as a grouped minimum, and only buckets that still hold several components go on, with
-another leader each round; what is left after that is paired across components only.
+held against one leader, found as a grouped minimum. Only documents of buckets that then still hold several components
+go on: their shingles are ordered by rarity among them, and documents meet on the shingles of their prefixes, which in
+a group of near copies are the edits and not the common text; offsets and lengths drop most of these pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, durable
@@ -26,8 +27,6 @@ CLASS_RATIO = 1.5
 SPARE = 2
 #: Wide fragments in which the overlap of a pair is counted.
 WIDE = 8
-LEADER_ROUNDS = 4
-
 _U = np.uint64
 SETS = "doc_id long, n_shingles long, sig1 long, sig2 long, keys array<long>"
 
@@ -122,13 +121,15 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     ids = F.col("doc_id").cast("long").alias("doc_id")
     signed = durable(docs.select(ids, F.col("text")).mapInArrow(lambda b: _signed(b, n, num, den), SETS), "sets")
     alike = ["sig1", "sig2", "n_shingles"]
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*alike).agg(F.min("doc_id").alias("rep"))
-    reps = classes.select(F.col("rep").alias("doc_id"), *alike)
-    keyed = signed.join(reps, ["doc_id", *alike], "left_semi").select("doc_id", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("key")
-    bucket = durable(keyed.join(shared, "key").distinct(), "buckets")
-    involved = durable(bucket.select("doc_id").distinct(), "involved")
-    wide = durable(docs.select(ids, "text").join(involved, "doc_id", "left_semi").mapInArrow(lambda b: _wide(b, n), "doc_id long, n long, part int, items array<long>").dropDuplicates(["doc_id", "part"]), "wide")
+    reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
+    reps = durable(reps, "classes")
+    classes = reps.drop("keys")
+    keyed = reps.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("hi")).where("lead < hi").drop("hi")
+    bucket = durable(keyed.join(shared, "key"), "buckets")
+    involved = bucket.select("doc_id").distinct()
+    texts = docs.select(ids, "text").join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    wide = durable(texts.mapInArrow(lambda b: _wide(b, n), "doc_id long, n long, part int, items array<long>"), "wide")
 
     def linked(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b) those that link: partial overlaps by fragment, summed."""
@@ -138,43 +139,22 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
         total = partial.groupBy("a", "b").agg(F.sum("same").alias("same"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         return total.where(F.lit(den) * F.col("same") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
 
-    def fits(a: str, b: str):
-        return F.lit(den) * F.least(a, b) >= F.lit(num) * F.greatest(a, b)
-
-    size = signed.join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.max("n_shingles").alias("n"))
-    open_rows = durable(bucket.join(size, "doc_id").withColumn("comp", F.col("doc_id")), "open")
-    edges, tried, comp, step, star = None, None, None, 0, True
-    while True:
-        if star:
-            turn = F.xxhash64("doc_id", F.lit(step)) if step else F.col("doc_id")
-            lead = open_rows.groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "doc_id", "comp", "n")).alias("l"))
-            other = lead.select("key", F.col("l.doc_id").alias("b"), F.col("l.comp").alias("cb"), F.col("l.n").alias("nb"))
-            meets = F.col("comp") != F.col("cb")
-        else:
-            other = open_rows.select("key", F.col("doc_id").alias("b"), F.col("comp").alias("cb"), F.col("n").alias("nb"))
-            meets = F.col("comp") < F.col("cb")
-        pairs = open_rows.join(other, "key").where(meets & fits("n", "nb")).select(F.greatest("doc_id", "b").alias("a"), F.least("doc_id", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = durable(pairs, "pairs")
-        found = durable(linked(pairs), "links")
-        tried = pairs if tried is None else tried.union(pairs)
-        progress = not found.isEmpty()
-        if progress:
-            edges = found if edges is None else edges.union(found)
-            comp = durable(components(edges), "components")
-        if not star:
-            break
-        if progress:
-            now = open_rows.drop("comp").join(comp, F.col("doc_id") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "doc_id")).drop("node", "component")
-            several = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            open_rows = durable(now.join(several, "key", "left_semi"), "open")
-            if open_rows.isEmpty():
-                break
-        step += 1
-        star = progress and step < LEADER_ROUNDS
-    if comp is None:
-        comp = docs.sparkSession.createDataFrame([], "node long, component long")
+    near = durable(linked(bucket.where("doc_id != lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()), "links")
+    first = near.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "doc_id")
+    grouped = bucket.join(first, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
+    several = grouped.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    left_over = grouped.join(several, "key", "left_semi").select("doc_id", "comp").distinct()
+    rest = durable(wide.join(left_over, "doc_id").select("doc_id", "comp", "n", F.explode("items").alias("sh")), "residual")
+    often = rest.groupBy("sh").agg(F.count("*").alias("df")).where("df > 1")
+    # shingles of one document only come first in the order and can meet nobody; they only take up places in it
+    known = rest.join(often, "sh").withColumn("single", F.col("n") - F.count("*").over(Window.partitionBy("doc_id")))
+    placed = known.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "sh")) + F.col("single"))
+    prefix = durable(placed.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("sh", "doc_id", "comp", "n", "rank"), "prefixes")
+    other = prefix.select("sh", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "comp", "n", "rank")])
+    need = F.ceil((F.col("n") + F.col("n2")) * num / (num + den))
+    fits = (F.lit(den) * F.least("n", "n2") >= F.lit(num) * F.greatest("n", "n2")) & (1 + F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) >= need)
+    met = prefix.join(other, "sh").where((F.col("comp") < F.col("comp2")) & fits).select(F.greatest("doc_id", "doc_id2").alias("a"), F.least("doc_id", "doc_id2").alias("b")).distinct()
+    comp = durable(components(near.union(linked(met))), "components")
     named = classes.join(comp, F.col("rep") == F.col("node"), "left").select(*alike, F.coalesce("component", "rep").alias("component"))
     out = signed.drop("keys").join(named, alike, "left")
     empty = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
