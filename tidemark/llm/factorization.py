@@ -22,7 +22,7 @@ FACTORS = 8
 #: Feature layout: word buckets, one bucket per power of two of the words in the text, standardised statistics.
 LENGTHS = 24
 WIDTH = BUCKETS + LENGTHS + N_STATISTICS
-EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.05, 1e-4
+STEPS, BATCH, RATE, DECAY = 1500, 128, 0.08, 1e-4
 THRESHOLD = 0.3
 
 
@@ -68,7 +68,7 @@ def fit(y: np.ndarray, x: Sparse, seed: int = 7) -> Machine:
         return m
     begin, feature, value = m.design(x)
     seen_w, seen_v, seen_b = np.full(WIDTH, 1e-2), np.full((WIDTH, FACTORS), 1e-2), 1e-2
-    for _ in range(EPOCHS):
+    for _ in range(max(1, STEPS * BATCH // len(y))):
         order = rng.permutation(len(y))
         for lo in range(0, len(order), BATCH):
             rows = order[lo : lo + BATCH]
