@@ -32,13 +32,20 @@ def _per_row(mask: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return (total[offsets[1:]] - total[offsets[:-1]]).astype(float)
 
 
-def sparse_rows(column: pa.Array, buckets: int) -> Iterator[tuple[int, Sparse]]:
-    """(first row, features of consecutive rows): counts of hashed words and the structure statistics."""
+def sparse_rows(column: pa.Array, buckets: int, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[int, Sparse]]:
+    """(first row, features of consecutive rows): counts of hashed words, and of the first so many bytes of longer words
+    if prefixes names any lengths; and the structure statistics."""
     for at, data, offsets in text_slices(column):
         n = len(offsets) - 1
         low = lowered(data)
         start, end, row = words(low, offsets, ALPHANUMERIC)
-        h = span_hash(prefix_hash(low), start, end)
+        sums = prefix_hash(low)
+        h, row = [span_hash(sums, start, end)], [row]
+        for size in prefixes:
+            longer = end - start > size
+            h.append(span_hash(sums, start[longer], start[longer] + size) + _U(size))
+            row.append(row[0][longer])
+        h, row = np.concatenate(h), np.concatenate(row)
         cell = row.astype(np.int64) * buckets + (h >> _U(20)).astype(np.int64) % buckets
         cell, count = np.unique(cell, return_counts=True)
         begin = np.searchsorted(cell // buckets, np.arange(n + 1))
@@ -63,9 +70,9 @@ def sparse_rows(column: pa.Array, buckets: int) -> Iterator[tuple[int, Sparse]]:
 ROW = "doc_id long, label double, index array<int>, value array<float>, stats array<double>"
 
 
-def _rows(batches, buckets: int):
+def _rows(batches, buckets: int, prefixes: tuple[int, ...]):
     for batch in batches:
-        for at, x in sparse_rows(batch.column(1), buckets):
+        for at, x in sparse_rows(batch.column(1), buckets, prefixes):
             n = len(x.begin) - 1
             ends = pa.array(x.begin, pa.int32())
             stats = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * N_STATISTICS, pa.int32()), pa.array(x.stats.ravel()))
@@ -77,14 +84,14 @@ def held_out(doc_id, folds: int = 5):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int, buckets: int):
+def training_rows(docs: DataFrame, labels: DataFrame, most: int, buckets: int, prefixes: tuple[int, ...] = ()):
     """Features of at most `most` labelled documents outside the held-out fold, the first by a hash of the id.
 
     labels has doc_id and label. Only this bounded sample comes to the driver. Returns (doc_ids, labels, Sparse).
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "text", "label").mapInArrow(lambda b: _rows(b, buckets), ROW).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "text", "label").mapInArrow(lambda b: _rows(b, buckets, prefixes), ROW).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     begin = np.cumsum([0, *map(len, got["index"])])
     flat = lambda c, kind: np.concatenate([np.asarray(x, kind) for x in got[c]]) if len(got) else np.zeros(0, kind)
     stats = flat("stats", float).reshape(-1, N_STATISTICS)
