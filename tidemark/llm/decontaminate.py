@@ -38,21 +38,17 @@ def windows(items: DataFrame, length: int) -> DataFrame:
     return w.select("item_id", "win", "m", F.xxhash64("m", "win").alias("wid"), F.least("m", F.lit(SHINGLE)).alias("k"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
-    """docs (doc_id, text, ...), items (item_id, text, ...) -> doc_id, n_words, n_hit, n_items, items_sha256,
-    contaminated; one row per row of docs.
+def _key() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t")]
 
-    A window is `length` consecutive words of an item, or the whole item if it has fewer (but some). n_hit counts the
-    words of the document inside any occurrence of any window; n_items the items with one; items_sha256 is the digest of
-    their ids, sorted as strings and joined by commas (of the empty string if there are none). Null and empty texts
-    have no words; an empty benchmark hits nothing; repeated items and rows count as often as they stand there.
-    """
+
+def hit_documents(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
+    """d, t (id and hash of the text), n_hit and ids (of the items, as strings) of the rows of docs with a window."""
     spark = docs.sparkSession
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t")]
     win = durable(windows(items, length), "windows")
     one = durable(win.dropDuplicates(["wid", "win"]).drop("item_id"), "window-kinds")
     kinds = sorted(r.k for r in one.select("k").distinct().collect())  # three at most
-    words = docs.select(*key, tokens(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+    words = docs.select(*_key(), tokens(F.col("text")).alias("w")).withColumn("n", F.size("w"))
 
     def places(k: int) -> DataFrame:
         return words.select("d", "t", "n", F.posexplode(_shingles("w", "n", k)).alias("pos", "h")).withColumn("k", F.lit(k))
@@ -75,12 +71,32 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFr
     checked = durable(checked.where(F.size("c") > 0).select("d", "t", hit.alias("n_hit"), F.transform("c", lambda c: F.struct(c["wid"].alias("wid"), c["win"].alias("win"))).alias("c")), "hits")
     ids = checked.select("d", "t", F.explode(F.array_distinct("c")).alias("x")).select("d", "t", "x.wid", "x.win").join(win, ["wid", "win"])
     ids = ids.groupBy("d", "t").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    hits = checked.select("d", "t", "n_hit").join(ids, ["d", "t"])
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, F.size(tokens(F.col("text"))).cast("long").alias("n_words")).join(hits, ["d", "t"], "left")
+    return checked.select("d", "t", "n_hit").join(ids, ["d", "t"])
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
+    """docs (doc_id, text, ...), items (item_id, text, ...) -> doc_id, n_words, n_hit, n_items, items_sha256,
+    contaminated; one row per row of docs.
+
+    A window is `length` consecutive words of an item, or the whole item if it has fewer (but some). n_hit counts the
+    words of the document inside any occurrence of any window; n_items the items with one; items_sha256 is the digest of
+    their ids, sorted as strings and joined by commas (of the empty string if there are none). Null and empty texts
+    have no words; an empty benchmark hits nothing; repeated items and rows count as often as they stand there.
+    """
+    hits = hit_documents(docs, items, length)
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_key(), F.size(tokens(F.col("text"))).cast("long").alias("n_words")).join(hits, ["d", "t"], "left")
     listed = F.array_sort(F.coalesce("ids", F.array().cast("array<string>")))
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
+    """The rows of docs in which no window of an item occurs, with all their columns."""
+    hits = durable(hit_documents(docs, items, length).select(F.col("d").alias("__d"), F.col("t").alias("__t")), "contaminated")
+    own = [c.alias(n) for c, n in zip(_key(), ("__d", "__t"), strict=True)]
+    return docs.select("*", *own).join(broadcast_if_small(hits), ["__d", "__t"], "left_anti").select(*docs.columns)
+
+
 ORACLE = """
 with d as (
   select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -159,3 +159,13 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     out = signed.drop("keys").join(named, alike, "left")
     empty = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+
+
+def keep_one_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of their component, repeated rows once; all columns.
+
+    Texts without words link with nothing and stay, and so do rows without doc_id.
+    """
+    kept = jaccard_classes(docs, n, num, den).where("doc_id = component_id").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.select(*docs.columns).union(docs.where("doc_id is null"))
