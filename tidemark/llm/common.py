@@ -32,12 +32,21 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again.
 
     This cuts the lineage, so later stages neither repeat the work above nor lose it with an executor. Files stay
-    until the cluster clears its checkpoint folder.
+    until release(), or until the cluster clears its checkpoint folder.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._durable_path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by durable() that nothing reads any more: what came of them has been written itself."""
+    for df in tables:
+        place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._durable_path)
+        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -45,6 +54,19 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def join_few(rows: DataFrame, few: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """rows left join few, a table already written that has each key once.
+
+    If few has at most max_rows rows, its keys are broadcast and only the rows that match are shuffled, not all texts;
+    otherwise the planner's own join does the same.
+    """
+    ids = few.select(*keys)
+    if ids.limit(max_rows + 1).count() > max_rows:
+        return rows.join(few, keys, "left")
+    hit = rows.join(F.broadcast(ids), keys, "left_semi").join(few, keys)
+    return hit.unionByName(rows.join(F.broadcast(ids), keys, "left_anti"), allowMissingColumns=True)
+
+
 def words_of(text):
     """Array of the runs without ASCII white space in a text column; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
@@ -66,7 +88,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = durable(small.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
+        last, e = e, durable(small.union(low.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
+        release(last)
         before, known = known, tuple(e.agg(*mark).first())
         if before == known:
             break

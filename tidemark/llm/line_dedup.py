@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
-from .common import durable
+from .common import broadcast_if_small, durable, join_few, release
 from .tokens import lowered, mix, powers, prefix_hash, span_hash, text_slices, words
 
 #: Lines of fewer words always stay.
@@ -141,11 +141,12 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     again = lines.select(*PLACE, "full").join(first.select("full", "p"), "full").where(F.struct(*PLACE) > F.col("p")).select(*PLACE)
     runs = first.select("p", F.explode(F.array(*"abce")).alias("run")).where("run is not null")
     shared = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
-    near = runs.join(shared, "run").select("p.*").groupBy("d", "t").agg(F.collect_set("line").alias("lines"))
-    texts = rows.join(near, ["d", "t"]).dropDuplicates(["d", "t"])
+    near = durable(runs.join(shared, "run").select("p.*").groupBy("d", "t").agg(F.collect_set("line").alias("lines")), "near-lines")
+    texts = rows.join(broadcast_if_small(near.select("d", "t")), ["d", "t"], "left_semi").join(near, ["d", "t"]).dropDuplicates(["d", "t"])
     some = durable(texts.select("d", "t", "text", "lines").mapInArrow(_variants, "d long, t long, line int, words string, variants array<long>"), "variants")
     # place 0 is the line itself, place p + 1 its form without word p
-    keyed = some.select(F.struct(*PLACE).alias("p"), F.posexplode("variants").alias("gap", "key"))
+    twice = some.select(F.explode("variants").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keyed = durable(some.select(F.struct(*PLACE).alias("p"), F.posexplode("variants").alias("gap", "key")).join(twice, "key"), "shared-variants")
     least = keyed.groupBy("key", "gap").agg(F.min("p").alias("first"), F.count("*").alias("n"))
     swapped = keyed.where("gap > 0").join(least.where("gap > 0 and n > 1").drop("n"), ["key", "gap"]).where("p > first").select("p", "first")
     either = least.groupBy("key").agg(F.min(F.when(F.col("gap") == 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("gap") > 0, F.col("first"))).alias("cut")).where("whole is not null and cut is not null")
@@ -154,7 +155,9 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     said = some.select(F.struct(*PLACE).alias("p"), "words")
     pairs = pairs.join(said, "p").join(said.select(F.col("p").alias("first"), F.col("words").alias("other")), "first")
     close = pairs.where(_verified("words", "other")).select("p.*")
-    return again.union(close).distinct().groupBy("d", "t").agg(F.collect_set("line").alias("gone"))
+    gone = durable(again.union(close).distinct().groupBy("d", "t").agg(F.collect_set("line").alias("gone")), "removed-lines")
+    release(lines, first, near, some, keyed)
+    return gone
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -166,8 +169,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     first in order; rows alike in doc_id and text are one place and keep their lines together. One row per row of docs.
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__d"), F.xxhash64("text").alias("__t")]
-    gone = durable(removed_lines(docs), "removed-lines").withColumnsRenamed({"d": "__d", "t": "__t", "gone": "__gone"})
-    got = docs.select("*", *key).join(gone, ["__d", "__t"], "left").withColumn("__new", _without("text", "__gone"))
+    gone = removed_lines(docs).withColumnsRenamed({"d": "__d", "t": "__t", "gone": "__gone"})
+    got = join_few(docs.select("*", *key), gone, ["__d", "__t"]).withColumn("__new", _without("text", "__gone"))
     own = {"text": F.col("__new")} | ({"n_chars": F.length("__new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     return got.select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns], lines.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))
