@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, durable
+from .common import components, durable, release
 from .tokens import distinct, lowered, mix, prefix_hash, shingles, span_hash, text_slices, words
 
 #: Lower ends of the size classes grow by this factor.
@@ -123,10 +123,12 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     alike = ["sig1", "sig2", "n_shingles"]
     reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
     reps = durable(reps, "classes")
-    classes = reps.drop("keys")
+    sizes, classes = durable(signed.drop("keys"), "sizes"), durable(reps.drop("keys"), "class-sizes")
+    release(signed)
     keyed = reps.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("hi")).where("lead < hi").drop("hi")
     bucket = durable(keyed.join(shared, "key"), "buckets")
+    release(reps)
     involved = bucket.select("doc_id").distinct()
     texts = docs.select(ids, "text").join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     wide = durable(texts.mapInArrow(lambda b: _wide(b, n), "doc_id long, n long, part int, items array<long>"), "wide")
@@ -155,8 +157,9 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     fits = (F.lit(den) * F.least("n", "n2") >= F.lit(num) * F.greatest("n", "n2")) & (1 + F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) >= need)
     met = prefix.join(other, "sh").where((F.col("comp") < F.col("comp2")) & fits).select(F.greatest("doc_id", "doc_id2").alias("a"), F.least("doc_id", "doc_id2").alias("b")).distinct()
     comp = durable(components(near.union(linked(met))), "components")
+    release(bucket, wide, near, rest, prefix)
     named = classes.join(comp, F.col("rep") == F.col("node"), "left").select(*alike, F.coalesce("component", "rep").alias("component"))
-    out = signed.drop("keys").join(named, alike, "left")
+    out = sizes.join(named, alike, "left")
     empty = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
 
