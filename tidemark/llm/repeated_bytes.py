@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 from .tokens import mix, prefix_hash, span_hash, text_slices
 
 LENGTH = 200
@@ -169,6 +169,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         one = durable(contexts(lambda w: w["kinds"] > hot).mapInArrow(lambda b: _window_rows(b, length), "d long, t int, lo int, lone boolean, key long"), "windows")
         twice = one.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         partial = partial.union(one.where("lone").join(twice, "key").select("d", "t", F.col("lo").alias("start"), (F.col("lo") + length).alias("end")))
-    gone = whole.union(partial).groupBy("d", "t").agg(F.collect_list(F.struct("start", "end")).alias("gone"))
+    gone = durable(whole.union(partial).groupBy("d", "t").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "removed-bytes")
+    release(places, spans)
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *key, F.coalesce("text", F.lit("")).cast("binary").alias("text")).join(gone, ["d", "t"], "left")
     return got.select("doc_id", "text", "gone").mapInArrow(_cut, "doc_id long, n_bytes long, kept binary, spans array<struct<start:int,end:int>>")
