@@ -1,7 +1,87 @@
 """DuckDB SQL for the registered text queries that SQL can express on whole tables."""
 
-from . import decontaminate, mixing
+from . import chat_format, decontaminate, mixing, quality_rules
+
+_CHAT = """
+with rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select * from (values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+sized as (
+  select *, len(regexp_extract_all(role || chr(0) || text, '{escaped}')) as more from rows),
+told as (
+  select conv_id, count(*)::bigint as n_turns, string_agg(role || chr(10) || text || chr(10), '' order by turn nulls first, role, text) as said,
+    coalesce(string_agg(text, '' order by turn nulls first, role, text) filter (where role = 'assistant'), '') as loss,
+    sum({marks} + length(role) + length(text) + more)::bigint as formatted_chars from sized group by conv_id)
+select conv_id, n_turns, sha256(said) as turns_sha256, length(loss)::bigint as loss_chars, sha256(loss) as loss_sha256, formatted_chars from told
+"""
+
+_JACCARD = """
+with recursive d as (
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+s as (
+  select distinct doc_id, case when len(w) < 3 then md5(array_to_string(w, ' ')) else md5(w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) end as sh
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) as i from d where len(w) > 0)),
+n as (select doc_id, count(*) as n from s group by doc_id),
+same as (select a.doc_id as x, b.doc_id as y, count(*) as k from s a join s b on a.sh = b.sh and a.doc_id < b.doc_id group by all),
+link as (select x, y from same join n a on a.doc_id = x join n b on b.doc_id = y where 100 * k >= 90 * (a.n + b.n - k)),
+pair as (select x, y from link union all select y, x from link),
+reach(x, y) as (select doc_id, doc_id from n union select reach.x, pair.y from reach join pair on reach.y = pair.x)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, coalesce(r.y, d.doc_id) as component_id
+from d left join n using (doc_id) left join (select x, min(y) as y from reach group by x) r on r.x = d.doc_id
+"""
+
+
+def _array(values) -> str:
+    return "[" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
+def _quality() -> str:
+    """The counts, and the verdict by the distances, written out from the operator's fixed values."""
+    q = quality_rules
+    lists = " ".join(f"when '{k}' then {_array(ws)}" for k, ws in q.COMMON.items())
+    known = _array(sorted({w for ws in q.COMMON.values() for w in ws}))
+    classes = ["[a-z]", r"[\x20\x09-\x0D]", r"[^\x00-\x7F]", "[A-Z]", "[0-9]", r"[.,;:\x27\"?!()\-]"]
+    counts = ", ".join(f"length(t) - length(regexp_replace(t, '{c}', '', 'g'))" for c in classes)
+    share = "list_transform({0}, lambda v: v / list_sum({0}))"
+    distance = (
+        "case when list_sum({p}) > 0 and list_sum({q}) > 0 then sqrt(greatest(0.0, list_sum(list_transform(list_zip(" + share.format("{p}") + ", " + share.format("{q}") + "), lambda z: "
+        "(case when z[1] > 0 then z[1] * log2(2 * z[1] / (z[1] + z[2])) else 0.0 end) + (case when z[2] > 0 then z[2] * log2(2 * z[2] / (z[1] + z[2])) else 0.0 end))) / 2)) end"
+    )
+    return f"""
+with d as (
+  select doc_id, case when lang in ({', '.join(f"'{k}'" for k in q.COMMON)}) then lang end as language, coalesce(text, '') as t,
+    list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as w from documents),
+f as (
+  select doc_id, language, t, len(w)::bigint as n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls, [{counts}] as c6,
+    list_filter(list_transform(w, lambda x: lower(rtrim(x, '.,;:!?'))), lambda x: list_contains({known}, x)) as common, case language {lists} else [] end as ref from d),
+g as (
+  select *, list_transform(list_append(c6, length(t) - list_sum(c6)), lambda v: v::double) as classes,
+    list_transform(ref, lambda r: len(list_filter(common, lambda x: x = r))::double) as counts from f),
+tri as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, greatest(len(w) - 1, 1))) as i from d)),
+rep as (select doc_id, count(distinct p)::bigint as n from (select doc_id, unnest([i, i + 1, i + 2]) as p from (select *, count(*) over (partition by doc_id, g) as k from tri) where k > 1) group by doc_id),
+ref as (
+  select language as r, [{', '.join(f'sum(classes[{k + 1}])' for k in range(7))}] as rc, [{', '.join(f'sum(counts[{k + 1}])' for k in range(q.N_COMMON))}] as rn, sum(n_words)::double as rw from g where language is not null group by language
+  union all select '*', [{', '.join(f'sum(classes[{k + 1}])' for k in range(7))}], [], sum(n_words)::double from g),
+h as (
+  select g.*, coalesce(rep.n, 0) as n_repeat_words, rc, list_append(counts, greatest(0.0, n_words - coalesce(list_sum(counts), 0))) as own, list_append(rn, greatest(0.0, rw - coalesce(list_sum(rn), 0))) as other
+  from g left join rep using (doc_id) join ref on coalesce(language, '*') = r),
+v as (select *, n_words < {q.MIN_WORDS} or 100 * n_repeat_words > {q.MAX_REPEATED} * n_words as base_failed, {distance.format(p='classes', q='rc')} as cd, case when language is not null then {distance.format(p='own', q='other')} end as wd from h)
+select doc_id, n_words, word_chars, n_symbols, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, n_repeat_words, base_failed,
+  not base_failed and not coalesce(length(t) >= {q.MIN_CHARS} and cd > {q.MAX_CLASS_DISTANCE}, false)
+    and not coalesce(n_words >= {q.MIN_COMMON} and wd > {q.WORD_DISTANCE_BASE} + {q.WORD_DISTANCE_SLACK} / sqrt(n_words), false) as kept
+from v
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mix_sources": mixing.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
+    special = "".join(c if c.isalnum() or c in "<>/_" else "\\" + c for c in "\x00".join(("\\", *chat_format.CONTROL))).replace("\\\x00", "|")
+    marks = sum(map(len, (chat_format.TURN, chat_format.TEXT, chat_format.END)))
+    return {
+        "op1_quality_rules": _quality(),
+        "op4_mix_sources": mixing.ORACLE,
+        "op5_chat_format": _CHAT.format(escaped=special, marks=marks),
+        "op8_ngram_jaccard": _JACCARD,
+        "op9_decontaminate": decontaminate.ORACLE,
+    }
