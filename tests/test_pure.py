@@ -22,7 +22,7 @@ def col(name, kind, nullable=True, length=0, scale=0):
     return ColumnSpec(name, kind, nullable, length, scale)
 
 
-@given(st.lists(st.text(string.ascii_letters + "|\\ 中", max_size=6), min_size=2, max_size=4))
+@given(st.lists(st.text(string.ascii_letters + "|\\[ 中", max_size=6), min_size=2, max_size=4))
 def test_cursor_parts_come_back(parts):
     assert decode(encode(parts)) == parts
 

@@ -41,10 +41,20 @@ def decode(cursor: str | None) -> list[str]:
     if cursor.strip().startswith("["):
         try:
             found = json.loads(cursor)
-            return ["" if x is None else str(x) for x in found] if isinstance(found, list) else [cursor]
+            if isinstance(found, list):
+                return ["" if x is None else str(x) for x in found]
         except ValueError:
-            return [cursor]
-    return [re.sub(r"\\(.)", r"\1", p) for p in re.findall(r"(?:^|(?<=\|))((?:\\.|[^\\|]|\\$)*)(?:\||$)", cursor)] or [cursor]
+            pass  # a text that begins like an array
+    parts, escaped = [""], False
+    for c in cursor:
+        if escaped or c not in "\\|":
+            parts[-1], escaped = parts[-1] + c, False
+        elif c == "\\":
+            escaped = True
+        else:
+            parts.append("")
+    parts[-1] += "\\" if escaped else ""
+    return parts
 
 
 def typed(part: str, column: ColumnSpec) -> object:
