@@ -13,7 +13,7 @@ from tidemark.llm import chat_format as chat
 from tidemark.llm import decontaminate as decon
 from tidemark.llm import factorization, html_text, line_dedup, mixing, quality_rules, repeated_bytes, toxicity
 from tidemark.llm.common import components
-from tidemark.llm.jaccard_join import fragments_of, class_ends, jaccard_classes, keep_one_each
+from tidemark.llm.jaccard_join import class_ends, fragments_of, jaccard_classes, keep_one_each
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 VOCABULARY = [a + b for a in "ba ce di fo gu ha ki lo mu ne".split() for b in "ran tel vis som dar pel".split()]
@@ -243,7 +243,7 @@ def test_jaccard_groups(spark):
         got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_classes(spark.createDataFrame(rows, DOCS), 3, num, 100).collect()}
         assert got == brute.components([(r[0], r[1]) for r in rows], 3, num, 100)
     ends = class_ends(1000)
-    assert all(f > (e - 1) * 10 // 90 for e, f in zip(ends[1:], fragments_of(ends, 90, 100), strict=True))
+    assert all(f - s > (e - 1) * 10 // 90 for e, f, s in zip(ends[1:], *fragments_of(ends, 90, 100), strict=True))
 
 
 def test_components(spark):

@@ -18,15 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, durable, release
+from .common import broadcast_if_small, components, durable, release
 from .tokens import distinct, lowered, mix, prefix_hash, shingles, span_hash, text_slices, words
 
 #: Lower ends of the size classes grow by this factor.
-CLASS_RATIO = 1.5
-#: So many empty fragments a document may have before they are written out too.
-SPARE = 2
+CLASS_RATIO = 1.4
 #: Wide fragments in which the overlap of a pair is counted.
 WIDE = 8
+#: Shingles that stand in many documents come last in the order: at most so many, each seen in so many documents of an
+#: Arrow batch. Any choice of them gives the same links; it only spares meetings on common passages.
+MOST_FREQUENT, SEEN_OFTEN = 100_000, 4
+
 _U = np.uint64
 SETS = "doc_id long, n_shingles long, sig1 long, sig2 long, keys array<long>"
 
@@ -38,41 +40,68 @@ def class_ends(limit: int = 1 << 40) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def fragments_of(ends: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Fragments of each size class: one more than sets may differ in, and SPARE."""
+def fragments_of(ends: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fragments of each size class, and how many of them may be empty.
+
+    One more than sets may differ in, and as many as chance leaves empty in the smallest sets of the class.
+    """
     differ = (ends[1:] - 1) * (den - num) // num
-    return np.where(differ == 0, 1, differ + 1 + SPARE)
+    spare = np.ones(len(differ))
+    for _ in range(30):
+        empty = (differ + 1 + spare) * np.exp(-ends[:-1] / (differ + 1 + spare))
+        spare = np.minimum(np.ceil(empty + 3 * np.sqrt(empty) + 1), differ + 1)
+    spare = np.where(differ == 0, 0, spare).astype(np.int64)
+    return np.where(differ == 0, 1, differ + 1 + spare), spare
 
 
-def fragment_keys(sh: np.ndarray, row: np.ndarray, sizes: np.ndarray, num: int, den: int) -> list[np.ndarray]:
-    """For each row the keys of its fragments; sh and row are sorted and distinct."""
+def fragment_keys(sh: np.ndarray, row: np.ndarray, sizes: np.ndarray, num: int, den: int, frequent: np.ndarray) -> list[np.ndarray]:
+    """For each row the keys of its fragments; sh and row are sorted and distinct, frequent is sorted.
+
+    Frequent shingles are left out first. Of two sets that link, at least one fragment more than may be empty is equal;
+    so they meet on one with shingles in it, unless both have more empty ones. Those sets are cut once more, with
+    their frequent shingles, and then told with their empty fragments if there are too many even so.
+    """
     ends = class_ends()
-    count = fragments_of(ends, num, den)
+    count, spare = fragments_of(ends, num, den)
     own = np.searchsorted(ends, sizes, "right") - 1
     keys: list[list[np.ndarray]] = [[] for _ in sizes]
+    at = np.searchsorted(frequent, sh)
+    common = np.zeros(len(sh), bool) if not len(frequent) else frequent[np.minimum(at, len(frequent) - 1)] == sh
     # a set also stands in the class below if a partner there can be large enough
     for cls, who in ((own, sizes > 0), (own - 1, (sizes > 0) & (own > 0) & (sizes * num < ends[own] * den))):
-        use = who[row]
-        if not use.any():
-            continue
-        s, r = sh[use], row[use]
-        f_of = count[np.maximum(cls, 0)].astype(np.uint64)
-        frag = ((s >> _U(32)) * f_of[r]) >> _U(32)
-        begin = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (frag[1:] != frag[:-1])])
-        total = np.add.reduceat(mix(s ^ _U(0x5851F42D4C957F2D)), begin)
-        many = np.diff(np.r_[begin, len(s)]).astype(np.uint64)
-        at, part = r[begin], frag[begin]
-        key = mix(mix(total + many) + part * _U(0x9E3779B97F4A7C15) + cls[at].astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F))
-        cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-        for lo, hi in zip(cut, np.r_[cut[1:], len(at)], strict=True):
-            d = at[lo]
-            keys[d].append(key[lo:hi])
-            if int(f_of[d]) - (hi - lo) > SPARE:
-                gone = np.setdiff1d(np.arange(int(f_of[d]), dtype=np.uint64), part[lo:hi])
-                keys[d].append(mix(gone * _U(0x9E3779B97F4A7C15) + _U((int(cls[d]) + 1) * 0xA0761D6478BD642F % (1 << 64))))
+        cls = np.maximum(cls, 0)
+        parts = count[cls].astype(np.uint64)
+        for whole in (False, True):
+            use = who[row] if whole else who[row] & ~common
+            s, r = sh[use], row[use]
+            full = np.zeros(len(sizes), np.int64)
+            if len(s):
+                frag = ((s >> _U(32)) * parts[r]) >> _U(32)
+                begin = np.flatnonzero(np.r_[True, (r[1:] != r[:-1]) | (frag[1:] != frag[:-1])])
+                total = np.add.reduceat(mix(s ^ _U(0x5851F42D4C957F2D)), begin)
+                many = np.diff(np.r_[begin, len(s)]).astype(np.uint64)
+                doc, part = r[begin], frag[begin]
+                key = mix(mix(total + many) + part * _U(0x9E3779B97F4A7C15) + (2 * cls[doc] + whole).astype(np.uint64) * _U(0xC2B2AE3D27D4EB4F))
+                cut = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+                for lo, hi in zip(cut, np.r_[cut[1:], len(doc)], strict=True):
+                    keys[doc[lo]].append(key[lo:hi])
+                    full[doc[lo]] = hi - lo
+                    if whole and count[cls[doc[lo]]] - (hi - lo) > spare[cls[doc[lo]]]:
+                        gone = np.setdiff1d(np.arange(count[cls[doc[lo]]], dtype=np.uint64), part[lo:hi])
+                        keys[doc[lo]].append(mix(gone * _U(0x9E3779B97F4A7C15) + _U((int(cls[doc[lo]]) + 1) * 0xA0761D6478BD642F % (1 << 64))))
+            who = who & (count[cls] - full > spare[cls])
     return [np.concatenate(k) if k else np.zeros(0, np.uint64) for k in keys]
 
 
+def _frequent(batches, n: int):
+    """Shingles of many documents of the batch, and of how many."""
+    for batch in batches:
+        found = [sh for _, _, sh, _ in text_sets(batch.column(0), n)]
+        sh, seen = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, int))
+        often = seen >= SEEN_OFTEN
+        yield pa.RecordBatch.from_arrays([pa.array(sh[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], names=["sh", "seen"])
+
+
 def text_sets(column: pa.Array, n: int):
     """(first row, sizes, shingle hashes, their rows) of slices of a text column."""
     for at, data, offsets in text_slices(column):
@@ -88,7 +117,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
 
 
-def _signed(batches, n: int, num: int, den: int):
+def _signed(batches, n: int, num: int, den: int, frequent: np.ndarray):
     for batch in batches:
         ids = batch.column(0)
         for at, sizes, sh, row in text_sets(batch.column(1), n):
@@ -97,7 +126,7 @@ def _signed(batches, n: int, num: int, den: int):
                 acc = np.zeros(len(sizes), np.uint64)
                 np.add.at(acc, row, mix(sh + _U(seed)))
                 sums.append(pa.array(mix(acc + sizes.astype(np.uint64)).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array(sizes), *sums, _lists(fragment_keys(sh, row, sizes, num, den))], names=["doc_id", "n_shingles", "sig1", "sig2", "keys"])
+            yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array(sizes), *sums, _lists(fragment_keys(sh, row, sizes, num, den, frequent))], names=["doc_id", "n_shingles", "sig1", "sig2", "keys"])
 
 
 def _wide(batches, n: int):
@@ -119,17 +148,20 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
     without doc_id do; repeated rows come out as often as they came in; rows that share a doc_id count as one node.
     """
     ids = F.col("doc_id").cast("long").alias("doc_id")
-    signed = durable(docs.select(ids, F.col("text")).mapInArrow(lambda b: _signed(b, n, num, den), SETS), "sets")
+    seen = docs.select("text").mapInArrow(lambda b: _frequent(b, n), "sh long, seen long").groupBy("sh").agg(F.sum("seen").alias("seen"))
+    frequent = np.sort(np.array([r[0] for r in seen.orderBy(F.desc("seen"), "sh").limit(MOST_FREQUENT).select("sh").collect()], np.int64).view(np.uint64))
+    signed = durable(docs.select(ids, F.col("text")).mapInArrow(lambda b: _signed(b, n, num, den, frequent), SETS), "sets")
     alike = ["sig1", "sig2", "n_shingles"]
-    reps = signed.where("n_shingles > 0 and doc_id is not null").groupBy(*alike).agg(F.min("doc_id").alias("rep"), F.min_by("keys", "doc_id").alias("keys"))
-    reps = durable(reps, "classes")
-    sizes, classes = durable(signed.drop("keys"), "sizes"), durable(reps.drop("keys"), "class-sizes")
-    release(signed)
-    keyed = reps.select(F.col("rep").alias("doc_id"), F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("hi")).where("lead < hi").drop("hi")
+    sizes = durable(signed.drop("keys"), "sizes")
+    classes = durable(sizes.where("n_shingles > 0 and doc_id is not null").groupBy(*alike).agg(F.min("doc_id").alias("rep")), "classes")
+    # of each class one document goes on; the copies are the fewer, and only their ids are needed to leave them out
+    copies = durable(sizes.join(classes, alike).where("doc_id != rep").select("doc_id", *alike).distinct(), "copies")
+    single = signed.where("n_shingles > 0 and doc_id is not null").join(broadcast_if_small(copies), ["doc_id", *alike], "left_anti")
+    keyed = single.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).repartition("key")  # one exchange for both uses
+    shared = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.max("doc_id").alias("hi")).where("lead.doc_id < hi").select("key", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("lead_n"))
     bucket = durable(keyed.join(shared, "key"), "buckets")
-    release(reps)
-    involved = bucket.select("doc_id").distinct()
+    release(signed)
+    involved = broadcast_if_small(durable(bucket.select("doc_id").distinct(), "involved"))
     texts = docs.select(ids, "text").join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
     wide = durable(texts.mapInArrow(lambda b: _wide(b, n), "doc_id long, n long, part int, items array<long>"), "wide")
 
@@ -141,7 +173,8 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100)
         total = partial.groupBy("a", "b").agg(F.sum("same").alias("same"), F.max("na").alias("na"), F.max("nb").alias("nb"))
         return total.where(F.lit(den) * F.col("same") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
 
-    near = durable(linked(bucket.where("doc_id != lead").select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()), "links")
+    alike_size = F.lit(den) * F.least("n", "lead_n") >= F.lit(num) * F.greatest("n", "lead_n")
+    near = durable(linked(bucket.where("doc_id != lead").where(alike_size).select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()), "links")
     first = near.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "doc_id")
     grouped = bucket.join(first, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
     several = grouped.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
