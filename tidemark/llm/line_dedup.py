@@ -23,7 +23,7 @@ from pyspark.sql.types import BooleanType, StringType
 from .common import broadcast_if_small, durable, join_few, release
 from .tokens import lowered, mix, powers, prefix_hash, span_hash, text_slices, words
 
-#: Lines of fewer words always stay.
+#: Lines of fewer words have no variants: they go only as exact repeats, where dedup_lines is asked for those.
 MIN_WORDS = 5
 _U = np.uint64
 PLACE = ["d", "t", "line"]
@@ -34,7 +34,7 @@ def _run(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (s[end] - s[start]) * powers(len(s))[1][start]
 
 
-def _lines(column: pa.Array):
+def _lines(column: pa.Array, least: int = MIN_WORDS):
     """(first row, row, number in the row, first word, last word, prefix sums over word hashes) of lines of enough words."""
     for at, data, offsets in text_slices(column):
         low = lowered(data)
@@ -50,28 +50,32 @@ def _lines(column: pa.Array):
             continue
         begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (number[1:] != number[:-1])])
         stop = np.r_[begin[1:], len(h)]
-        keep = stop - begin >= MIN_WORDS
+        keep = stop - begin >= least
         begin, stop = begin[keep], stop[keep]
         if len(begin):
             yield at, row[begin], (number - first)[begin].astype(np.int32), begin, stop, s, (data, start, end)
 
 
-def _keys(batches):
-    """Each line's hash and those of its runs: the first and last h words, h half of the power of two its length has."""
+def _keys(batches, least: int):
+    """Each line's hash and those of its runs: the first and last h words, h half of the power of two its length has.
+
+    Lines of under MIN_WORDS words have no runs.
+    """
     for batch in batches:
-        for at, row, number, begin, stop, s, _ in _lines(batch.column(2)):
+        for at, row, number, begin, stop, s, _ in _lines(batch.column(2), least):
             n = stop - begin
+            short = n < MIN_WORDS
             runs = []
             for size in (n, n - 1):  # a partner may be one word shorter
-                half = 2 ** (np.floor(np.log2(size)).astype(int) - 1)
+                half = np.where(short, 0, 2 ** (np.floor(np.log2(np.maximum(size, 2))).astype(int) - 1))
                 salt = mix(half.astype(np.uint64))
                 runs.append((mix(_run(s, begin, begin + half) + salt), mix(_run(s, stop - half, stop) + ~salt), half))
             same = runs[0][2] == runs[1][2]
-            null = lambda x: pa.array(x.view(np.int64), mask=same)
+            null = lambda x, gone: pa.array(x.view(np.int64), mask=gone)
             take = pa.array(at + row)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(take), batch.column(1).take(take), pa.array(number), pa.array(mix(_run(s, begin, stop) + n.astype(np.uint64)).view(np.int64)),
-                pa.array(runs[0][0].view(np.int64)), pa.array(runs[0][1].view(np.int64)), null(runs[1][0]), null(runs[1][1]),
+                null(runs[0][0], short), null(runs[0][1], short), null(runs[1][0], short | same), null(runs[1][1], short | same),
             ], names=[*PLACE, "full", "a", "b", "c", "e"])
 
 
@@ -132,11 +136,11 @@ def _place(df: DataFrame):
     return F.struct(*[df[c] for c in PLACE])
 
 
-def removed_lines(docs: DataFrame) -> DataFrame:
+def removed_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """d, t, gone: for each row of docs with lines to remove, (id, hash of the text) and their numbers from 0."""
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t")]
     rows = docs.select(*key, F.coalesce("text", F.lit("")).alias("text"))
-    lines = durable(rows.mapInArrow(_keys, "d long, t long, line int, full long, a long, b long, c long, e long"), "lines")
+    lines = durable(rows.mapInArrow(lambda b: _keys(b, least), "d long, t long, line int, full long, a long, b long, c long, e long"), "lines")
     first = durable(lines.groupBy("full").agg(F.min(F.struct(*PLACE)).alias("p"), *[F.min(k).alias(k) for k in "abce"]), "first-lines")
     again = lines.select(*PLACE, "full").join(first.select("full", "p"), "full").where(F.struct(*PLACE) > F.col("p")).select(*PLACE)
     runs = first.select("p", F.explode(F.array(*"abce")).alias("run")).where("run is not null")
@@ -160,16 +164,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     return gone
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     """docs (doc_id, text, ...) -> the same columns, text without repeated lines, and n_lines, n_removed.
 
-    Lines end at \\n. A line of at least five words goes if an earlier line, by (doc_id, hash of the text, number), is
-    equal or one edit away, whether or not that one stays; A-Z equals a-z and the width of white space does not count.
+    Lines end at \\n. A line of at least `least` words goes if an earlier line, by (doc_id, hash of the text, number), is
+    equal, and one of at least five words also if it is one edit away, whether or not that one stays; A-Z equals a-z and
+    the width of white space does not count. Lines without words stay.
     n_chars, where there is one, follows the text. Null texts stay null and empty ones empty; rows without doc_id come
     first in order; rows alike in doc_id and text are one place and keep their lines together. One row per row of docs.
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__d"), F.xxhash64("text").alias("__t")]
-    gone = removed_lines(docs).withColumnsRenamed({"d": "__d", "t": "__t", "gone": "__gone"})
+    gone = removed_lines(docs, least).withColumnsRenamed({"d": "__d", "t": "__t", "gone": "__gone"})
     got = join_few(docs.select("*", *key), gone, ["__d", "__t"]).withColumn("__new", _without("text", "__gone"))
     own = {"text": F.col("__new")} | ({"n_chars": F.length("__new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
