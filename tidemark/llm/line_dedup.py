@@ -9,14 +9,23 @@ partner's words are compared before a line goes.
 Most lines have no partner and emit nothing: lines within one edit agree on a run of words at their start or end, and
 only lines that share such a run with a different line emit their variants. Repeats of a line are one group from the
 start and stand for themselves by their earliest place.
+
+With a bound that grows with the length, k edits for each k * words_per_edit words, lines of twice words_per_edit words
+or more are found by parts. k edits leave an unchanged run of at least 2/3 (words_per_edit - 1) words; of each window of
+that length the least-hashed gram is a part, so lines within the bound share parts, c of them at least by count. Parts
+that no other line has are dropped, and of each line the c - 1 most frequent ones; any two lines within the bound still
+share a part. A line is compared with the earliest line of each part first, and only one that stays after that with all
+earlier lines of its parts, always by the words.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StringType
 
@@ -56,18 +65,18 @@ def _lines(column: pa.Array, least: int = MIN_WORDS):
             yield at, row[begin], (number - first)[begin].astype(np.int32), begin, stop, s, (data, start, end)
 
 
-def _keys(batches, least: int):
+def _keys(batches, least: int, most: int | None):
     """Each line's hash and those of its runs: the first and last h words, h half of the power of two its length has.
 
-    Lines of under MIN_WORDS words have no runs.
+    Lines of under MIN_WORDS words or over most have no runs.
     """
     for batch in batches:
         for at, row, number, begin, stop, s, _ in _lines(batch.column(2), least):
             n = stop - begin
-            short = n < MIN_WORDS
+            none = (n < MIN_WORDS) | (n > most if most else False)
             runs = []
             for size in (n, n - 1):  # a partner may be one word shorter
-                half = np.where(short, 0, 2 ** (np.floor(np.log2(np.maximum(size, 2))).astype(int) - 1))
+                half = np.where(n < MIN_WORDS, 0, 2 ** (np.floor(np.log2(np.maximum(size, 2))).astype(int) - 1))
                 salt = mix(half.astype(np.uint64))
                 runs.append((mix(_run(s, begin, begin + half) + salt), mix(_run(s, stop - half, stop) + ~salt), half))
             same = runs[0][2] == runs[1][2]
@@ -75,7 +84,7 @@ def _keys(batches, least: int):
             take = pa.array(at + row)
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).take(take), batch.column(1).take(take), pa.array(number), pa.array(mix(_run(s, begin, stop) + n.astype(np.uint64)).view(np.int64)),
-                null(runs[0][0], short), null(runs[0][1], short), null(runs[1][0], short | same), null(runs[1][1], short | same),
+                null(runs[0][0], none), null(runs[0][1], none), null(runs[1][0], none | same), null(runs[1][1], none | same),
             ], names=[*PLACE, "full", "a", "b", "c", "e"])
 
 
@@ -105,6 +114,73 @@ def _variants(batches):
             ], names=[*PLACE, "words", "variants"])
 
 
+def _windows(words_per_edit: int) -> tuple[int, int]:
+    """Words of a window and of a gram: what the bound leaves unchanged somewhere in any line found by parts."""
+    length = -(-2 * (words_per_edit - 1) // 3)
+    return length, max(1, length - 2)
+
+
+def _parts(batches, words_per_edit: int):
+    """The parts of lines of at least twice words_per_edit words: hash, the line's hash, place in the line, words of the line."""
+    length, gram = _windows(words_per_edit)
+    for batch in batches:
+        for _, _, _, begin, stop, s, _ in _lines(batch.column(2), 2 * words_per_edit):
+            n = stop - begin
+            full = mix(_run(s, begin, stop) + n.astype(np.uint64))
+            i = np.arange(len(s) - gram)
+            hashes = mix(_run(s, i, i + gram))
+            count = n - length + 1
+            of = np.repeat(np.arange(len(n)), count)
+            at = begin[of] + np.arange(len(of)) - (np.cumsum(count) - count)[of]
+            least = at + np.argmin(np.stack([hashes[at + j] for j in range(length - gram + 1)]), axis=0)
+            least, where = np.unique(least, return_index=True)
+            of = of[where]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(hashes[least].view(np.int64)), pa.array(full[of].view(np.int64)), pa.array((least - begin[of]).astype(np.int32)), pa.array(n[of].astype(np.int32)),
+            ], names=["key", "full", "at", "n"])
+
+
+def _said(batches):
+    """The words of the listed lines: columns d, t, text, lines."""
+    for batch in batches:
+        wanted = batch.column(3)
+        for at, row, number, begin, stop, _, (data, start, end) in _lines(batch.column(2)):
+            lists = {r: set(wanted[int(at + r)].as_py()) for r in np.unique(row)}
+            use = [i for i in range(len(row)) if int(number[i]) in lists[row[i]]]
+            texts = [" ".join(data[start[w] : end[w]].tobytes().decode() for w in range(int(begin[i]), int(stop[i]))) for i in use]
+            take = pa.array(at + row[use], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number[use], pa.int32()), pa.array(texts, pa.string())], names=[*PLACE, "words"])
+
+
+def within_edits(a: str, b: str, words_per_edit: int) -> bool:
+    """Whether word sequences differ by at most one edit for each words_per_edit words of the shorter; A-Z equals a-z."""
+    x, y = (s.encode().lower().split(b" ") for s in (a, b))
+    bound = max(1, min(len(x), len(y)) // words_per_edit)
+    if abs(len(x) - len(y)) > bound:
+        return False
+    p, q = Counter(x), Counter(y)
+    if max((p - q).total(), (q - p).total()) > bound:
+        return False
+    n, m = len(x), len(y)
+
+    def along(i: int, d: int) -> int:
+        while i < n and i + d < m and x[i] == y[i + d]:
+            i += 1
+        return i
+
+    # how far into x each diagonal reaches with the edits so far
+    far = {0: along(0, 0)}
+    for e in range(1, bound + 1):
+        if far.get(m - n) == n:
+            return True
+        now = {}
+        for d in range(-e, e + 1):
+            i = max(far.get(d, -n - m) + 1, far.get(d - 1, -n - m), far.get(d + 1, -n - m) + 1)
+            now[d] = along(min(i, n, m - d), d) if i + d >= 0 else -n - m
+        far = now
+    return far.get(m - n) == n
+
+
 def within_one_edit(a: str, b: str) -> bool:
     """Whether word sequences differ by at most one word put in, taken out or replaced; A-Z equals a-z."""
     x, y = (s.encode().lower().split(b" ") for s in (a, b))
@@ -136,11 +212,42 @@ def _place(df: DataFrame):
     return F.struct(*[df[c] for c in PLACE])
 
 
-def removed_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def _near_long(rows: DataFrame, first: DataFrame, words_per_edit: int) -> tuple[DataFrame, list[DataFrame]]:
+    """d, t, line of long lines with an earlier one within the bound, and the tables to release once they are written."""
+    w = words_per_edit
+    length, gram = _windows(w)
+    verified = F.udf(lambda a, b: within_edits(a, b, w), BooleanType(), useArrow=True)
+    kinds = rows.mapInArrow(lambda b: _parts(b, w), "key long, full long, at int, n int").repartition("key").dropDuplicates(["key", "full", "at"])
+    by = Window.partitionBy("key")
+    shared = kinds.select("*", F.min("full").over(by).alias("lo"), F.max("full").over(by).alias("hi"), F.count("*").over(by).alias("often")).where("lo < hi").drop("lo", "hi")
+    # each edit changes at most length windows, and a part stands for at most length - gram + 1 of them
+    sure = F.ceil((F.col("n") - (length - 1) - F.floor(F.col("n") / w) * length) / (length - gram + 1))
+    rank = F.row_number().over(Window.partitionBy("full").orderBy(F.desc("often"), F.desc("key"), F.desc("at")))
+    parts = shared.withColumn("rank", rank).where(F.col("rank") >= sure).select("key", "full", "at", "n").join(first.select("full", "p"), "full")
+    parts = durable(parts.select("key", "at", "n", "p"), "line-parts")
+    listed = parts.select("p.*").distinct().groupBy("d", "t").agg(F.collect_list("line").alias("lines"))
+    texts = rows.join(listed, ["d", "t"]).dropDuplicates(["d", "t"])
+    said = durable(texts.select("d", "t", "text", "lines").mapInArrow(_said, "d long, t long, line int, words string").select(F.struct(*PLACE).alias("p"), "words"), "line-words")
+
+    def close(pairs):
+        bound = F.floor(F.least("n", "m") / w)
+        moved = F.abs(F.col("at") - F.col("at2")) + F.abs((F.col("n") - F.col("at")) - (F.col("m") - F.col("at2")))
+        pairs = pairs.where((F.col("first") < F.col("p")) & (moved <= bound)).select("p", "first").distinct()
+        pairs = pairs.join(said, "p").join(said.select(F.col("p").alias("first"), F.col("words").alias("other")), "first")
+        return pairs.where(verified("words", "other")).select("p").distinct()
+
+    other = parts.select("key", F.col("at").alias("at2"), F.col("n").alias("m"), F.col("p").alias("first"))
+    heads = other.groupBy("key").agg(F.min(F.struct("first", "at2", "m")).alias("h")).select("key", "h.*")
+    soon = durable(close(parts.join(heads, "key")), "near-first")
+    late = durable(close(parts.join(soon, "p", "left_anti").join(other, "key")), "near-other")
+    return soon.union(late).select("p.*"), [parts, said, soon, late]
+
+
+def removed_lines(docs: DataFrame, least: int = MIN_WORDS, words_per_edit: int | None = None) -> DataFrame:
     """d, t, gone: for each row of docs with lines to remove, (id, hash of the text) and their numbers from 0."""
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t")]
     rows = docs.select(*key, F.coalesce("text", F.lit("")).alias("text"))
-    lines = durable(rows.mapInArrow(lambda b: _keys(b, least), "d long, t long, line int, full long, a long, b long, c long, e long"), "lines")
+    lines = durable(rows.mapInArrow(lambda b: _keys(b, least, words_per_edit and 2 * words_per_edit), "d long, t long, line int, full long, a long, b long, c long, e long"), "lines")
     first = durable(lines.groupBy("full").agg(F.min(F.struct(*PLACE)).alias("p"), *[F.min(k).alias(k) for k in "abce"]), "first-lines")
     again = lines.select(*PLACE, "full").join(first.select("full", "p"), "full").where(F.struct(*PLACE) > F.col("p")).select(*PLACE)
     runs = first.select("p", F.explode(F.array(*"abce")).alias("run")).where("run is not null")
@@ -159,22 +266,27 @@ def removed_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
     said = some.select(F.struct(*PLACE).alias("p"), "words")
     pairs = pairs.join(said, "p").join(said.select(F.col("p").alias("first"), F.col("words").alias("other")), "first")
     close = pairs.where(_verified("words", "other")).select("p.*")
+    more = []
+    if words_per_edit:
+        long, more = _near_long(rows, first, words_per_edit)
+        close = close.union(long)
     gone = durable(again.union(close).distinct().groupBy("d", "t").agg(F.collect_set("line").alias("gone")), "removed-lines")
-    release(lines, first, near, some, keyed)
+    release(lines, first, near, some, keyed, *more)
     return gone
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, words_per_edit: int | None = None) -> DataFrame:
     """docs (doc_id, text, ...) -> the same columns, text without repeated lines, and n_lines, n_removed.
 
     Lines end at \\n. A line of at least `least` words goes if an earlier line, by (doc_id, hash of the text, number), is
     equal, and one of at least five words also if it is one edit away, whether or not that one stays; A-Z equals a-z and
-    the width of white space does not count. Lines without words stay.
+    the width of white space does not count. Lines without words stay. With words_per_edit (5 at least) the bound is one
+    edit for each so many words of the shorter line, and one at least.
     n_chars, where there is one, follows the text. Null texts stay null and empty ones empty; rows without doc_id come
     first in order; rows alike in doc_id and text are one place and keep their lines together. One row per row of docs.
     """
     key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__d"), F.xxhash64("text").alias("__t")]
-    gone = removed_lines(docs, least).withColumnsRenamed({"d": "__d", "t": "__t", "gone": "__gone"})
+    gone = removed_lines(docs, least, words_per_edit).withColumnsRenamed({"d": "__d", "t": "__t", "gone": "__gone"})
     got = join_few(docs.select("*", *key), gone, ["__d", "__t"]).withColumn("__new", _without("text", "__gone"))
     own = {"text": F.col("__new")} | ({"n_chars": F.length("__new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))

@@ -28,7 +28,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = dedup_lines(_table(spark, sf_dir, "documents"), least=1)
+    got = dedup_lines(_table(spark, sf_dir, "documents"), least=1, words_per_edit=10)
     text = F.coalesce("text", F.lit(""))
     return got.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_removed").cast("long").alias("n_removed"), F.length(text).cast("long").alias("n_chars"), F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
 
