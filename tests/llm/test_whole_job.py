@@ -5,7 +5,7 @@ import random
 import brute
 import pytest
 
-from tidemark.llm import line_dedup, queries
+from tidemark.llm import html_text, line_dedup, queries
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -82,3 +82,20 @@ def test_within_edits():
             y[at : at + rng.randrange(2)] = rng.choice([[], ["a"], ["b"]])
         y = y or ["a"]
         assert line_dedup.within_edits(" ".join(x), " ".join(y), 5) == (distance(x, y) <= max(1, min(len(x), len(y)) // 5))
+
+
+STORY = "<p>" + "some words of the story " * 12 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["content has-sidebar", "no-sidebar", "with-comments", "page-menu", "main social"])
+def test_layout_wrappers_keep_the_article(name):
+    assert html_text.main_text(f"<body><div class='{name}'><article><p>the text</p><div class='ad'>buy</div></article></div><div>short</div></body>") == "the text"
+    by_density = html_text.main_text(f"<body><div class='{name}'><div>{STORY * 3}</div></div><div class='comments'><p>{STORY}</p></div></body>")
+    assert len(by_density.split("\n\n")) == 3
+    assert len(html_text.main_text(f"<body><div class='{name}'>{STORY * 3}</div><div>short</div></body>").split("\n\n")) == 3
+
+
+def test_only_attributes_hide():
+    assert html_text.main_text("<article><p title='a hidden gem' data-x='display:none'>x</p><p hidden>y</p><p style='display: none'>z</p></article>") == "x"
+    assert html_text.main_text("<article><p>the text of it</p></article><div class='related'><article><p>the teaser</p></article></div>") == "the text of it"
+    assert html_text.main_text(f"<div>{STORY}</div><div class='comments'><div>{STORY * 3}</div></div>").count("story") == 12

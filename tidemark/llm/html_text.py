@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)>", re.S)
-HINT = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+#: A name that says what a wrapper has or lacks tells nothing about its own text.
+WRAPPER = re.compile(r"(?:has|no|with)[_-]", re.I)
 # Elements without page text, names that mark other matter, and how HTML nests.
 SKIPPED = set("head script style noscript template nav header footer aside form button select option textarea iframe svg canvas object video audio dialog menu".split())
 RAW = set("script style textarea title noscript iframe template svg".split())
@@ -33,9 +35,18 @@ FENCE = {"ul", "ol", "table", "dl", "select", "body", "html", "article", "main",
 FAIR_PART = 0.1
 
 
+def _marks(attrs: str) -> tuple[bool, bool]:
+    """Whether the attributes hide the element, and whether their names mark other matter."""
+    known = {}
+    for name, a, b, c in ATTRIBUTE.findall(attrs):
+        known.setdefault(name.lower(), a or b or c)
+    hints = " ".join(known.get(k, "") for k in ("class", "id", "role", "aria-label")).split()
+    return "hidden" in known or bool(NO_DISPLAY.search(known.get("style", ""))), any(OTHER.search(h) and not WRAPPER.match(h) for h in hints)
+
+
 def _parse(html: str):
-    """Parents, tags and skipped flags of the nodes, and the runs (node, text or None for a block's edge) in order."""
-    parent, tag, skipped, runs, stack, at = [-1], ["#root"], [False], [], [0], 0
+    """Parents, tags, own skipped and named flags of the nodes, and the runs (node, text or None for a block's edge) in order."""
+    parent, tag, skipped, named, runs, stack, at = [-1], ["#root"], [False], [False], [], [0], 0
     n = len(html)
 
     def text(piece: str) -> None:
@@ -80,10 +91,11 @@ def _parse(html: str):
             if tag[stack[depth]] in FENCE:
                 break
         node = len(parent)
-        hints = " ".join(a or b or c for a, b, c in HINT.findall(attrs)) if attrs else ""
+        hidden, other = _marks(attrs) if attrs and name not in ("html", "body", "article", "main") else (False, False)
         parent.append(stack[-1])
         tag.append(name)
-        skipped.append(skipped[stack[-1]] or name in SKIPPED or (name not in ("html", "body", "article", "main") and bool(attrs) and bool(OTHER.search(hints) or HIDDEN.search(attrs))))
+        skipped.append(name in SKIPPED or hidden)
+        named.append(other)
         if name in VOID:
             runs.append((node, " " if name == "br" else None) if name in ("br", "hr") else (node, ""))
             continue
@@ -95,7 +107,7 @@ def _parse(html: str):
             continue
         if not attrs.rstrip().endswith("/") or name in BLOCK:
             stack.append(node)
-    return parent, tag, skipped, runs
+    return parent, tag, skipped, named, runs
 
 
 def _density(c: float, t: float, lc: float, lt: float, body: float) -> float:
@@ -105,11 +117,8 @@ def _density(c: float, t: float, lc: float, lt: float, body: float) -> float:
     return c / t * max(0.0, math.log(max(1.0, c / max(1.0, lc) * t / max(1.0, lt)))) / max(1e-9, math.log(base) if base > 1.0001 else 1e-4) if base > 1 else c / t
 
 
-def main_text(html: str | None) -> str:
-    """The text of the page's main subtree: its blocks, white space made single, joined by an empty line."""
-    if not html:
-        return ""
-    parent, tag, skipped, runs = _parse(html)
+def _measures(parent: list, tag: list, skipped: list, runs: list):
+    """Characters, density and sum of the children's densities of each node, and the core."""
     n = len(parent)
     chars, links, tags, link_tags = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
     linked = [False] * n
@@ -138,6 +147,51 @@ def main_text(html: str | None) -> str:
     core = max(range(n), key=lambda i: (total[i] if not skipped[i] else -1, i))
     if not total[core]:  # text without elements around it
         core = 0
+    return chars, density, total, core
+
+
+def _inherited(parent: list, own: list) -> list:
+    out = list(own)
+    for i in range(1, len(parent)):
+        out[i] = out[i] or out[parent[i]]
+    return out
+
+
+def _unnamed(parent: list, tag: list, skipped: list, named: list, runs: list) -> list:
+    """The named flags without those of wrappers around the main text.
+
+    These are the elements around the largest article or main, or around the core of a page without one (or the core
+    itself), if what lies outside named elements is not a fair part of it.
+    """
+    out = _inherited(parent, [a or b for a, b in zip(skipped, named, strict=True)])
+    free = _inherited(parent, skipped)
+    chars, _, total, core = _measures(parent, tag, free, runs)
+    most = max((i for i in range(len(parent)) if tag[i] in ("article", "main") and not free[i]), key=lambda i: (chars[i], i), default=None)
+    shown, _, sums, _ = _measures(parent, tag, out, runs)
+    if most is not None and chars[most]:
+        if max((shown[i] for i in range(len(parent)) if tag[i] in ("article", "main") and not out[i]), default=0) >= FAIR_PART * chars[most]:
+            return named
+        core = most
+    elif max(x for x, gone in zip(sums, out, strict=True) if not gone) >= FAIR_PART * total[core]:
+        return named
+    above, named = core, list(named)
+    while above > 0:
+        named[above] = False
+        above = parent[above]
+    return named
+
+
+def main_text(html: str | None) -> str:
+    """The text of the page's main subtree: its blocks, white space made single, joined by an empty line."""
+    if not html:
+        return ""
+    parent, tag, skipped, named, runs = _parse(html)
+    n = len(parent)
+    if any(named):
+        named = _unnamed(parent, tag, skipped, named, runs)
+        skipped = [a or b for a, b in zip(skipped, named, strict=True)]
+    skipped = _inherited(parent, skipped)
+    _, density, total, core = _measures(parent, tag, skipped, runs)
     least, i, whole = density[core], core, None
     while i:
         least = min(least, density[i])
