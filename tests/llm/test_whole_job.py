@@ -4,8 +4,9 @@ import random
 
 import brute
 import pytest
+from pyspark.sql import functions as F
 
-from tidemark.llm import html_text, line_dedup, queries
+from tidemark.llm import html_text, line_dedup, queries, repeated_bytes
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -99,3 +100,14 @@ def test_only_attributes_hide():
     assert html_text.main_text("<article><p title='a hidden gem' data-x='display:none'>x</p><p hidden>y</p><p style='display: none'>z</p></article>") == "x"
     assert html_text.main_text("<article><p>the text of it</p></article><div class='related'><article><p>the teaser</p></article></div>") == "the text of it"
     assert html_text.main_text(f"<div>{STORY}</div><div class='comments'><div>{STORY * 3}</div></div>").count("story") == 12
+
+
+def test_texts_without_id_whose_short_hashes_collide(spark):
+    """Among 300,000 texts several pairs share a hash of 32 bits; each text keeps its own spans."""
+    text = F.concat(F.sha2(F.col("id").cast("string"), 256), F.lit("-"), F.sha2(F.concat(F.lit("x"), "id"), 256))
+    pairs = spark.range(300_000).select(text.alias("text")).groupBy(F.hash("text")).agg(F.sort_array(F.collect_list("text")).alias("texts")).where(F.size("texts") > 1).limit(1)
+    one, two = pairs.first()["texts"][:2]
+    rows = [(None, one), (None, two), (1, one[:60]), (2, two[70:])]
+    got = repeated_bytes.remove_repeats(spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS), 40, 8).collect()
+    expected = brute.repeated_bytes([(i, t.encode()) for i, (_, t) in enumerate(rows)], 40)
+    assert sorted((bytes(r["kept"]), len(r["spans"])) for r in got) == sorted(expected.values())

@@ -22,7 +22,7 @@ GRAM = 32
 #: An anchor with more distinct spans is not held in one task; its windows are dealt out one by one.
 HOT = 20_000
 _U = np.uint64
-ANCHORS = "d long, t int, anchor long, span long, lo int, shape int"
+ANCHORS = "d long, t long, anchor long, span long, lo int, shape int"
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
@@ -59,7 +59,7 @@ def _found(batches, length: int, gram: int, only_anchor: bool):
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), marks, pa.array(span.view(np.int64)), pa.array((lo - offsets[r]).astype(np.int32)), pa.array((count * 1024 + off).astype(np.int32))], names=["d", "t", "anchor", "span", "lo", "shape"])
 
 
-CONTEXT = "d long, t int, anchor long, span long, lo int, shape int, lone boolean, context binary"
+CONTEXT = "d long, t long, anchor long, span long, lo int, shape int, lone boolean, context binary"
 
 
 def _contexts(batches, length: int):
@@ -148,7 +148,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     nothing; a text with a lone copy of itself, as repeated rows are, loses all of its windows, unless both rows have
     the same doc_id: then they are one place told twice, and both lose them as well.
     """
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.hash(F.coalesce("text", F.lit(""))).alias("t")]
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")]
     rows = docs.select(*key, F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     often = rows.mapInArrow(lambda b: _found(b, length, gram, True), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
     places = durable(rows.mapInArrow(lambda b: _found(b, length, gram, False), ANCHORS).join(often, "anchor"), "places")
@@ -163,10 +163,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         mine = texts.select("d", "t", "text", F.filter("want", of).alias("want")).where(F.size("want") > 0)
         return mine.mapInArrow(lambda b: _contexts(b, length), CONTEXT)
 
-    close = contexts(lambda w: w["kinds"] <= hot).repartition("anchor").mapInArrow(lambda b: _repeats(b, length), "d long, t int, start int, end int")
+    close = contexts(lambda w: w["kinds"] <= hot).repartition("anchor").mapInArrow(lambda b: _repeats(b, length), "d long, t long, start int, end int")
     partial = durable(close, "partial")
     if not several.where(F.col("kinds") > hot).isEmpty():
-        one = durable(contexts(lambda w: w["kinds"] > hot).mapInArrow(lambda b: _window_rows(b, length), "d long, t int, lo int, lone boolean, key long"), "windows")
+        one = durable(contexts(lambda w: w["kinds"] > hot).mapInArrow(lambda b: _window_rows(b, length), "d long, t long, lo int, lone boolean, key long"), "windows")
         twice = one.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         partial = partial.union(one.where("lone").join(twice, "key").select("d", "t", F.col("lo").alias("start"), (F.col("lo") + length).alias("end")))
     gone = durable(whole.union(partial).groupBy("d", "t").agg(F.collect_list(F.struct("start", "end")).alias("gone")), "removed-bytes")
