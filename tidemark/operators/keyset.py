@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -73,3 +73,26 @@ def iter_pages(df: DataFrame, keys: Sequence[str], size: int) -> Iterator[list]:
         if len(rows) < size:
             return
         after = last
+
+
+def numbered_pages(df: DataFrame, keys: Sequence[str], size: int, folder: str) -> DataFrame:
+    """All rows of df with their page number from 0 in `page`; no row passes through the driver.
+
+    Rows are dealt by key range and sorted where they are, written once to `folder`, which must not exist, and counted
+    there: the counts of the parts before a row's part make its place. Raises if a key is null, as iter_pages does.
+    """
+    if not keys:
+        raise ValueError("a page needs order keys")
+    if size <= 0:
+        raise ValueError("a page has at least one row")
+    # the id has the number of the part in its upper bits and the place in the part in the lower 33
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_place", F.monotonically_increasing_id())
+    ranged.write.parquet(folder)
+    rows = df.sparkSession.read.schema(ranged.schema).parquet(folder).withColumn("_part", F.shiftright("_place", 33))
+    if not rows.where(reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])).isEmpty():
+        raise ValueError("a key of the page is null")
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("_part", before.alias("_before"))
+    place = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(F.broadcast(starts), "_part").select(*df.columns, F.floor(place / size).cast("long").alias("page"))
