@@ -29,29 +29,44 @@ def base_counts(text):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered)
 
 
-def line_dedup(rows, least=5):
-    """rows: (doc_id, text) in order -> texts without lines equal or one word edit away from an earlier line."""
-    whole, swapped, cut, out = set(), set(), set(), {}
+def distance(x, y):
+    """Words put in, taken out or replaced between two lists of words."""
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        last, row[0] = row[0], i
+        for j, b in enumerate(y, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
+    return row[-1]
+
+
+def near_lines(rows, least=1, words_per_edit=10):
+    """rows: (doc_id, text) -> numbers of the lines of each text that go, by comparing all lines with all earlier ones."""
+    seen, equal, out = [], set(), {}
     for doc, text in sorted(rows, key=lambda r: r[0]):
-        if text is None:
-            out[doc] = None
-            continue
-        keep = []
-        for line in text.split("\n"):
+        for k, line in enumerate((text or "").split("\n")):
             w = tuple(words(lower(line)))
             if len(w) < least:
-                keep.append(line)
                 continue
-            less = [(p, w[:p] + w[p + 1 :]) for p in range(len(w))]
-            if not (w in whole or w in cut or any(v in whole or (p, v) in swapped for p, v in less)):
-                keep.append(line)
-            whole.add(w)
-            swapped.update(less)
-            cut.update(v for _, v in less)
-        out[doc] = "\n".join(keep)
+            bag, gone = Counter(w), w in equal
+            for v, other in () if gone or len(w) < 5 else seen:
+                bound = max(1, min(len(v), len(w)) // words_per_edit)
+                if abs(len(v) - len(w)) <= bound and max((bag - other).total(), (other - bag).total()) <= bound and distance(v, w) <= bound:
+                    gone = True
+                    break
+            if gone:
+                out.setdefault(doc, set()).add(k)
+            if w not in equal and len(w) >= 5:
+                seen.append((w, bag))
+            equal.add(w)
     return out
 
 
+def line_dedup(rows, least=1, words_per_edit=10):
+    """rows: (doc_id, text) -> texts without the lines that near_lines names."""
+    gone = near_lines(rows, least, words_per_edit)
+    return {d: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone.get(d, ())) for d, t in rows}
+
+
 def shingle_set(text, n):
     w = words(lower(text))
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()

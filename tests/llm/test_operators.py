@@ -110,11 +110,38 @@ def test_line_dedup(spark, docs, texts, nothing):
     got = line_dedup.dedup_lines(docs)
     assert got.columns == [*docs.columns, "n_lines", "n_removed"]
     assert {r["doc_id"]: r["text"] for r in got.collect()} == brute.line_dedup(texts)
-    assert line_dedup.dedup_lines(nothing).count() == 0
+    assert line_dedup.dedup_lines(nothing).count() == 0 and line_dedup.dedup_documents(nothing).columns == nothing.columns
     rows = [(i, "x " * 5 + " ".join(rng), "en", "s", 1) for i, rng in enumerate([["a", "b"], ["a", "c"], ["a"], ["q", "a", "b"], ["z", "y"]])]
     got = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS))
     assert {r["doc_id"]: r["text"] for r in got.collect()} == brute.line_dedup([(r[0], r[1]) for r in rows])
-    assert line_dedup.within_one_edit("a b c", "a c") and line_dedup.within_one_edit("a b c", "A x c") and not line_dedup.within_one_edit("a b c", "b a c")
+    assert line_dedup.within_edits("a b c", "a c") and line_dedup.within_edits("a b c", "A x c") and not line_dedup.within_edits("a b c", "b a c")
+
+
+def test_line_dedup_with_clashing_columns(spark):
+    """Columns that the operator makes itself: the counts are replaced, helpers step aside, and documents keep theirs."""
+    rows = spark.createDataFrame([(1, "a\nb", 5), (2, "a\nb", 6), (3, "b\nc\n", 7), (4, None, 8), (None, "c", 9), (5, "", 10)], "doc_id long, text string, n_removed int")
+    for name in ("d", "T", "gone", "row", "n_lines"):
+        rows = rows.withColumn(name, F.lit("x"))
+    got = line_dedup.dedup_lines(rows)
+    assert got.columns == ["doc_id", "text", "d", "T", "gone", "row", "n_lines", "n_removed"]
+    assert {(r["doc_id"], r["text"], r["n_removed"]) for r in got.collect()} == {(None, "c", 0), (1, "a\nb", 0), (2, "", 2), (3, "", 2), (4, None, 0), (5, "", 0)}
+    kept = line_dedup.dedup_documents(rows)
+    assert kept.columns == rows.columns and {(r["doc_id"], r["n_removed"]) for r in kept.collect()} == {(None, 9), (1, 5), (4, 8), (5, 10)}
+
+
+def test_line_dedup_frequent_runs_and_several_blocks(spark, monkeypatch):
+    """Lines around common passages; the result is the same with frequent runs put last and with many small blocks."""
+    rng = random.Random(11)
+    common = [prose(rng, 25, 100) for _ in range(3)]
+    lines = [f"{prose(rng, rng.randrange(8, 40), 100)} {rng.choice(common)}" for _ in range(90)]
+    lines += [edited(rng, rng.choice(lines), rng.choice([1, 3, 5])) for _ in range(60)]
+    rows = [(i, "\n".join(lines[i : i + 3])) for i in range(0, len(lines), 3)]
+    df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    expected = brute.line_dedup(rows)
+    for seen, most, chunk, block in ((8, 100_000, 1 << 19, 1 << 20), (2, 30, 50, 40), (1 << 30, 0, 1 << 19, 100)):
+        for name, value in (("SEEN_OFTEN", seen), ("MOST_FREQUENT", most), ("CHUNK", chunk), ("BLOCK", block)):
+            monkeypatch.setattr(line_dedup, name, value)
+        assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == expected
 
 
 def test_mixing(spark, docs, nothing):

@@ -26,33 +26,10 @@ def test_short_lines_that_repeat_go(spark, saved):
     texts = ["All rights reserved.\none two three four five\n\nx", "all  rights RESERVED.\nX\n \nnew line", None, "all rights kept.\nx\none two three four six\n"]
     rows = list(enumerate(texts))
     got = line_dedup.dedup_lines(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS), least=1)
-    assert {r["doc_id"]: r["text"] for r in got.collect()} == brute.line_dedup(rows, least=1) | {3: "all rights kept.\n"}
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == brute.line_dedup(rows) == {0: texts[0], 1: " \nnew line", 2: None, 3: "all rights kept.\n"}
     assert {r["doc_id"]: r["n_removed"] for r in queries.op3_line_dedup(spark, saved(texts)).collect()} == {0: 0, 1: 2, 2: 0, 3: 2}
 
 
-def distance(x, y):
-    row = list(range(len(y) + 1))
-    for i, a in enumerate(x, 1):
-        last, row[0] = row[0], i
-        for j, b in enumerate(y, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (a != b))
-    return row[-1]
-
-
-def near_lines(texts, least, words_per_edit):
-    """Numbers of the lines of each text that go, by comparing all lines."""
-    seen, out = [], {}
-    for i, t in enumerate(texts):
-        for k, line in enumerate((t or "").split("\n")):
-            w = tuple(brute.words(brute.lower(line)))
-            if len(w) >= least:
-                bound = lambda v: max(1, min(len(v), len(w)) // words_per_edit) if min(len(v), len(w)) >= 5 else 0  # noqa: B023, E731
-                if any(abs(len(v) - len(w)) <= bound(v) and distance(v, w) <= bound(v) for v in seen):
-                    out.setdefault(i, set()).add(k)
-                seen.append(w)
-    return out
-
-
 def test_bound_grows_with_the_line(spark, saved):
     rng = random.Random(4)
     words = [f"w{i}" for i in range(60)]
@@ -67,7 +44,7 @@ def test_bound_grows_with_the_line(spark, saved):
             lines.append(y or ["w"])
     rng.shuffle(lines)
     texts = ["\n".join(" ".join(x).upper() if i % 5 == 0 else " ".join(x) for i, x in enumerate(lines[k : k + 3])) for k in range(0, len(lines), 3)]
-    expected = near_lines(texts, 1, 10)
+    expected = brute.near_lines(enumerate(texts))
     got = line_dedup.dedup_lines(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], DOCS), 1, 10)
     assert {r["doc_id"]: r["text"] for r in got.collect()} == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in expected.get(i, ())) for i, t in enumerate(texts)}
     assert {r["doc_id"]: r["n_removed"] for r in queries.op3_line_dedup(spark, saved(texts)).collect()} == {i: len(expected.get(i, ())) for i in range(len(texts))}
@@ -82,7 +59,7 @@ def test_within_edits():
             at = rng.randrange(len(y) + 1)
             y[at : at + rng.randrange(2)] = rng.choice([[], ["a"], ["b"]])
         y = y or ["a"]
-        assert line_dedup.within_edits(" ".join(x), " ".join(y), 5) == (distance(x, y) <= max(1, min(len(x), len(y)) // 5))
+        assert line_dedup.within_edits(" ".join(x), " ".join(y), 5) == (brute.distance(x, y) <= max(1, min(len(x), len(y)) // 5))
 
 
 STORY = "<p>" + "some words of the story " * 12 + "</p>"

@@ -18,8 +18,10 @@ SPACES = " \t\n\u000b\f\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); one of our own only where none is set."""
+    """The folder that all executors share (spark.checkpoint.dir); one of our own only in local mode with none set."""
     known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return known.rstrip("/") if known else _own_dir()
 
 
@@ -67,6 +69,17 @@ def join_few(rows: DataFrame, few: DataFrame, keys: list[str], max_rows: int = B
     return hit.unionByName(rows.join(F.broadcast(ids), keys, "left_anti"), allowMissingColumns=True)
 
 
+def fresh_names(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that df does not have, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def words_of(text):
     """Array of the runs without ASCII white space in a text column; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textfeatures import N_STATISTICS, Sparse, held_out, row_sums, sparse_rows, training_rows
+from .tokens import frugal
 
 #: Labelled rows the model is fitted on, at most.
 TRAINING_ROWS = 6000
@@ -104,7 +105,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in frugal(batches):
             for at, x in sparse_rows(batch.column(1), BUCKETS):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(x.stats)), pa.array(machine.score(x))], names=["doc_id", "score"])
 
@@ -117,7 +118,7 @@ def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
     columns, types = docs.columns, docs.schema
 
     def run(batches):
-        for batch in batches:
+        for batch in frugal(batches):
             text = batch.column(columns.index("text"))
             for at, x in sparse_rows(text, BUCKETS):
                 part = batch.slice(at, len(x.stats))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if_small, components, durable, release
-from .tokens import distinct, lowered, mix, prefix_hash, shingles, span_hash, text_slices, words
+from .tokens import distinct, frugal, lowered, mix, prefix_hash, shingles, span_hash, text_slices, words
 
 #: Lower ends of the size classes grow by this factor.
 CLASS_RATIO = 1.4
@@ -95,7 +95,7 @@ def fragment_keys(sh: np.ndarray, row: np.ndarray, sizes: np.ndarray, num: int,
 
 def _frequent(batches, n: int):
     """Shingles of many documents of the batch, and of how many."""
-    for batch in batches:
+    for batch in frugal(batches):
         found = [sh for _, _, sh, _ in text_sets(batch.column(0), n)]
         sh, seen = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, int))
         often = seen >= SEEN_OFTEN
@@ -118,7 +118,7 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _signed(batches, n: int, num: int, den: int, frequent: np.ndarray):
-    for batch in batches:
+    for batch in frugal(batches):
         ids = batch.column(0)
         for at, sizes, sh, row in text_sets(batch.column(1), n):
             sums = []
@@ -130,7 +130,7 @@ def _signed(batches, n: int, num: int, den: int, frequent: np.ndarray):
 
 
 def _wide(batches, n: int):
-    for batch in batches:
+    for batch in frugal(batches):
         ids = np.asarray(batch.column(0))
         for at, sizes, sh, row in text_sets(batch.column(1), n):
             part = (sh >> _U(61)).astype(np.int64) * WIDE // 8

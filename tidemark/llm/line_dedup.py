@@ -1,21 +1,23 @@
 """Near-duplicate lines across documents by a deletion-neighbourhood join.
 
-Lines are sequences of words and the edit distance counts words put in, taken out or replaced; the bound is one. The
-variants of a line, it and each form of it with one word deleted, are emitted as hashed keys. Lines with the same word
-place deleted and an equal rest differ by a replacement; a line equal to another's variant differs by an insertion.
-For each key the earliest line is a grouped minimum, so a line meets one partner per key and never a whole group; the
-partner's words are compared before a line goes.
-
-Most lines have no partner and emit nothing: lines within one edit agree on a run of words at their start or end, and
-only lines that share such a run with a different line emit their variants. Repeats of a line are one group from the
-start and stand for themselves by their earliest place.
-
-With a bound that grows with the length, k edits for each k * words_per_edit words, lines of twice words_per_edit words
-or more are found by parts. k edits leave an unchanged run of at least 2/3 (words_per_edit - 1) words; of each window of
-that length the least-hashed gram is a part, so lines within the bound share parts, c of them at least by count. Parts
-that no other line has are dropped, and of each line the c - 1 most frequent ones; any two lines within the bound still
-share a part. A line is compared with the earliest line of each part first, and only one that stays after that with all
-earlier lines of its parts, always by the words.
+Lines are sequences of words and the edit distance counts words put in, taken out or replaced; the bound is one edit for
+each `words_per_edit` words of the shorter line, and one at least. Repeats of a line are one group from the start and
+stand for themselves by their earliest place.
+
+Where the bound is one edit, a line's variants, it and each form of it with one word deleted, are emitted as hashed keys.
+Lines with the same word place deleted and an equal rest differ by a replacement; a line equal to another's variant
+differs by an insertion. For each key the earliest line is a grouped minimum, so a line meets one partner per key and
+never a whole group. Lines within one edit agree on a run of words at their start or end, and only lines that share such
+a run with a different line emit variants at all.
+
+With a larger bound the neighbourhood of all variants is too large, but what deletions leave untouched is not: k edits
+destroy at most k * GRAM of a line's runs of GRAM words, so of two lines within the bound one of the first k * GRAM + 1
+runs in a global order stands among those of the other. These keys are packed into blocks by key range, and a block task
+finds the keys that two lines share. Frequent runs come last in the order. Word parities of two such lines may differ
+in two bits for each edit; only pairs that pass are compared, with the earliest line of each key first, and what stays
+after that with the other earlier ones.
+
+The words of every pair are compared before a line goes.
 """
 
 from __future__ import annotations
@@ -23,17 +25,26 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType
+from pyspark.sql.types import BooleanType
 
-from .common import broadcast_if_small, durable, join_few, release
-from .tokens import lowered, mix, powers, prefix_hash, span_hash, text_slices, words
+from .common import broadcast_if_small, durable, fresh_names, join_few, release
+from .tokens import frugal, lowered, mix, powers, prefix_hash, span_hash, text_slices, words
 
-#: Lines of fewer words have no variants: they go only as exact repeats, where dedup_lines is asked for those.
+#: Lines of fewer words have no variants: they go only as exact repeats.
 MIN_WORDS = 5
+WORDS_PER_EDIT = 10
+#: Words of a run that lines with a larger bound share.
+GRAM = 4
+#: Runs of many lines come last in their order: at most so many, each in so many lines of CHUNK runs. Any choice of them
+#: gives the same pairs; it only spares meetings on common passages.
+MOST_FREQUENT, SEEN_OFTEN = 100_000, 8
+#: Keys taken together by a task, when frequent ones are counted and when blocks are packed.
+CHUNK = 1 << 19
+#: Keys of a block, about.
+BLOCK = 1 << 20
 _U = np.uint64
 PLACE = ["d", "t", "line"]
 
@@ -43,8 +54,9 @@ def _run(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return (s[end] - s[start]) * powers(len(s))[1][start]
 
 
-def _lines(column: pa.Array, least: int = MIN_WORDS):
-    """(first row, row, number in the row, first word, last word, prefix sums over word hashes) of lines of enough words."""
+def _lines(column: pa.Array, least: int):
+    """(first row, row, number in the row, first word, last word, prefix sums over word hashes, words) of lines of enough
+    words; words are (bytes, start, end, hash)."""
     for at, data, offsets in text_slices(column):
         low = lowered(data)
         start, end, row = words(low, offsets)
@@ -62,98 +74,190 @@ def _lines(column: pa.Array, least: int = MIN_WORDS):
         keep = stop - begin >= least
         begin, stop = begin[keep], stop[keep]
         if len(begin):
-            yield at, row[begin], (number - first)[begin].astype(np.int32), begin, stop, s, (data, start, end)
+            yield at, row[begin], (number - first)[begin].astype(np.int32), begin, stop, s, (data, start, end, h)
 
 
-def _keys(batches, least: int, most: int | None):
-    """Each line's hash and those of its runs: the first and last h words, h half of the power of two its length has.
+def _full(s: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    return mix(_run(s, begin, stop) + (stop - begin).astype(np.uint64))
 
-    Lines of under MIN_WORDS words or over most have no runs.
+
+KEYS = "d long, t long, line int, full long, n int, a long, b long, c long, e long, even long, odd long"
+
+
+def _keys(batches, least: int, words_per_edit: int):
+    """Each line's hash, words and, by the bound it has, the hashes of its runs or the parities of its words.
+
+    Runs are the first and last h words, h half of the power of two its length has; parities are one bit for each of 128
+    groups of words: whether the line has an odd number of them.
     """
-    for batch in batches:
-        for at, row, number, begin, stop, s, _ in _lines(batch.column(2), least):
+    for batch in frugal(batches):
+        for at, row, number, begin, stop, s, (_, _, _, h) in _lines(batch.column(2), least):
             n = stop - begin
-            none = (n < MIN_WORDS) | (n > most if most else False)
+            none = (n < MIN_WORDS) | (n > 2 * words_per_edit)
             runs = []
             for size in (n, n - 1):  # a partner may be one word shorter
                 half = np.where(n < MIN_WORDS, 0, 2 ** (np.floor(np.log2(np.maximum(size, 2))).astype(int) - 1))
                 salt = mix(half.astype(np.uint64))
                 runs.append((mix(_run(s, begin, begin + half) + salt), mix(_run(s, stop - half, stop) + ~salt), half))
             same = runs[0][2] == runs[1][2]
+            short = n < 2 * words_per_edit
+            bit = _U(1) << ((h >> _U(8)) & _U(63))
+            part = ((h >> _U(20)) & _U(1)).astype(bool)
+            parity = []
+            for group in (part, ~part):
+                upto = np.zeros(len(h) + 1, np.uint64)
+                np.bitwise_xor.accumulate(np.where(group, bit, _U(0)), out=upto[1:])
+                parity.append(upto[stop] ^ upto[begin])
             null = lambda x, gone: pa.array(x.view(np.int64), mask=gone)
             take = pa.array(at + row)
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(take), batch.column(1).take(take), pa.array(number), pa.array(mix(_run(s, begin, stop) + n.astype(np.uint64)).view(np.int64)),
-                null(runs[0][0], none), null(runs[0][1], none), null(runs[1][0], none | same), null(runs[1][1], none | same),
-            ], names=[*PLACE, "full", "a", "b", "c", "e"])
+                batch.column(0).take(take), batch.column(1).take(take), pa.array(number), pa.array(_full(s, begin, stop).view(np.int64)), pa.array(n.astype(np.int32)),
+                null(runs[0][0], none), null(runs[0][1], none), null(runs[1][0], none | same), null(runs[1][1], none | same), null(parity[0], short), null(parity[1], short),
+            ], names=[*PLACE, "full", "n", "a", "b", "c", "e", "even", "odd"])
 
 
 def _variants(batches):
     """The variants of the listed lines, and their words: columns d, t, text, lines."""
-    for batch in batches:
-        wanted = batch.column(3)
-        for at, row, number, begin, stop, s, (data, start, end) in _lines(batch.column(2)):
-            lists = {r: set(wanted[int(at + r)].as_py()) for r in np.unique(row)}
-            use = [i for i in range(len(row)) if int(number[i]) in lists[row[i]]]
-            if not use:
-                continue
+    for batch in frugal(batches):
+        for at, row, number, begin, stop, s, use, texts in _listed(batch):
             down = powers(len(s))[1]
-            out, texts = [], []
+            out = []
             for i in use:
                 b, e = int(begin[i]), int(stop[i])
                 p = np.arange(b, e)
                 gone = (s[p] - s[b : b + 1]) * down[b] + (s[e : e + 1] - s[p + 1]) * down[b + 1]
                 own = (s[e : e + 1] - s[b : b + 1]) * down[b : b + 1]
                 out.append(mix(np.r_[own + _U(e - b), gone + _U(e - b - 1)]))
-                texts.append(" ".join(data[start[w] : end[w]].tobytes().decode() for w in range(b, e)))
             ends = np.cumsum([0, *map(len, out)])
             take = pa.array(at + row[use])
             yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(take), batch.column(1).take(take), pa.array(number[use]), pa.array(texts),
+                batch.column(0).take(take), batch.column(1).take(take), pa.array(number[use]), texts,
                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(out).view(np.int64))),
             ], names=[*PLACE, "words", "variants"])
 
 
-def _windows(words_per_edit: int) -> tuple[int, int]:
-    """Words of a window and of a gram: what the bound leaves unchanged somewhere in any line found by parts."""
-    length = -(-2 * (words_per_edit - 1) // 3)
-    return length, max(1, length - 2)
-
-
-def _parts(batches, words_per_edit: int):
-    """The parts of lines of at least twice words_per_edit words: hash, the line's hash, place in the line, words of the line."""
-    length, gram = _windows(words_per_edit)
-    for batch in batches:
-        for _, _, _, begin, stop, s, _ in _lines(batch.column(2), 2 * words_per_edit):
-            n = stop - begin
-            full = mix(_run(s, begin, stop) + n.astype(np.uint64))
-            i = np.arange(len(s) - gram)
-            hashes = mix(_run(s, i, i + gram))
-            count = n - length + 1
-            of = np.repeat(np.arange(len(n)), count)
-            at = begin[of] + np.arange(len(of)) - (np.cumsum(count) - count)[of]
-            least = at + np.argmin(np.stack([hashes[at + j] for j in range(length - gram + 1)]), axis=0)
-            least, where = np.unique(least, return_index=True)
-            of = of[where]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(hashes[least].view(np.int64)), pa.array(full[of].view(np.int64)), pa.array((least - begin[of]).astype(np.int32)), pa.array(n[of].astype(np.int32)),
-            ], names=["key", "full", "at", "n"])
+def _listed(batch):
+    """What _lines gives, the listed ones of these lines and their words: columns d, t, text, lines (numbers)."""
+    wanted = batch.column(3)
+    for at, row, number, begin, stop, s, (data, start, end, _) in _lines(batch.column(2), 1):
+        lists = {r: set(wanted[int(at + r)].as_py()) for r in np.unique(row)}
+        use = [i for i in range(len(row)) if int(number[i]) in lists[row[i]]]
+        if use:
+            texts = [" ".join(data[start[w] : end[w]].tobytes().decode() for w in range(int(begin[i]), int(stop[i]))) for i in use]
+            yield at, row, number, begin, stop, s, use, pa.array(texts, pa.string())
 
 
 def _said(batches):
-    """The words of the listed lines: columns d, t, text, lines."""
-    for batch in batches:
-        wanted = batch.column(3)
-        for at, row, number, begin, stop, _, (data, start, end) in _lines(batch.column(2)):
-            lists = {r: set(wanted[int(at + r)].as_py()) for r in np.unique(row)}
-            use = [i for i in range(len(row)) if int(number[i]) in lists[row[i]]]
-            texts = [" ".join(data[start[w] : end[w]].tobytes().decode() for w in range(int(begin[i]), int(stop[i]))) for i in use]
-            take = pa.array(at + row[use], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(number[use], pa.int32()), pa.array(texts, pa.string())], names=[*PLACE, "words"])
+    """The hash and words of the listed lines: columns d, t, text, lines."""
+    for batch in frugal(batches):
+        for _, _, _, begin, stop, s, use, texts in _listed(batch):
+            yield pa.RecordBatch.from_arrays([pa.array(_full(s, begin, stop)[use].view(np.int64)), texts], names=["full", "words"])
 
 
-def within_edits(a: str, b: str, words_per_edit: int) -> bool:
-    """Whether word sequences differ by at most one edit for each words_per_edit words of the shorter; A-Z equals a-z."""
+def _grams(column: pa.Array, words_per_edit: int, frequent: np.ndarray):
+    """(line of each gram from 0, 48 bits of its hash, hashes of the lines, words of the lines), sorted and distinct.
+
+    The highest of the 48 bits says whether the gram is a frequent one. At most 65,536 lines at a time.
+    """
+    for _, _, _, all_begin, all_stop, s, _ in _lines(column, 2 * words_per_edit):
+        i = np.arange(len(s) - GRAM)
+        hashes = mix(_run(s, i, i + GRAM)) >> _U(17)
+        if len(frequent):
+            place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+            hashes |= (frequent[place] == hashes).astype(np.uint64) << _U(47)
+        for lo in range(0, len(all_begin), 1 << 16):
+            begin, stop = all_begin[lo : lo + (1 << 16)], all_stop[lo : lo + (1 << 16)]
+            count = stop - begin - GRAM + 1
+            of = np.repeat(np.arange(len(begin)), count)
+            at = begin[of] + np.arange(len(of)) - (np.cumsum(count) - count)[of]
+            both = np.sort((of.astype(np.uint64) << _U(48)) | hashes[at])
+            both = both[np.r_[True, both[1:] != both[:-1]]]
+            yield (both >> _U(48)).astype(np.int64), both & _U((1 << 48) - 1), _full(s, begin, stop), stop - begin
+
+
+def _frequent(batches, words_per_edit: int, often_at: int, chunk: int):
+    """Grams of many different lines of a chunk, and of how many."""
+
+    def count(lines, grams):
+        _, new = np.unique(np.concatenate(lines), return_index=True)  # a repeated line counts once
+        found = np.concatenate([grams[k] for k in new])
+        sh, seen = np.unique(found, return_counts=True)
+        often = seen >= often_at
+        return pa.RecordBatch.from_arrays([pa.array(sh[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], names=["key", "seen"])
+
+    lines, grams, size = [], [], 0
+    for batch in frugal(batches):
+        for of, key, full, _ in _grams(batch.column(0), words_per_edit, np.zeros(0, np.uint64)):
+            lines.append(full)
+            grams += np.split(key, np.searchsorted(of, np.arange(1, len(full))))
+            size += len(key)
+            if size >= chunk:
+                yield count(lines, grams)
+                lines, grams, size = [], [], 0
+    if lines:
+        yield count(lines, grams)
+
+
+def _blocks(batches, words_per_edit: int, blocks: int, frequent: np.ndarray, chunk: int):
+    """The first grams of each line, packed by key range: block, keys and line hashes as bytes."""
+
+    def pack(keys, fulls):
+        key, full = np.concatenate(keys), np.concatenate(fulls)
+        block = _block_of(key, blocks)
+        order = np.argsort(block, kind="stable")
+        at = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1]])
+        ends = np.r_[at, len(order)] * 8
+        cells = [pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(x[order])]) for x in (key, full)]
+        return pa.RecordBatch.from_arrays([pa.array(block[order][at].astype(np.int32)), *cells], names=["block", "keys", "fulls"])
+
+    keys, fulls, size = [], [], 0
+    for batch in frugal(batches):
+        for of, key, full, n in _grams(batch.column(0), words_per_edit, frequent):
+            rank = np.arange(len(of)) - np.searchsorted(of, np.arange(len(full)))[of]
+            use = rank <= (n // words_per_edit * GRAM)[of]
+            keys.append(key[use])
+            fulls.append(full[of[use]])
+            size += int(use.sum())
+            if size >= chunk:
+                yield pack(keys, fulls)
+                keys, fulls, size = [], [], 0
+    if size:
+        yield pack(keys, fulls)
+
+
+def _block_of(key: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix(key) >> _U(33)) % _U(blocks)
+
+
+def _shared(batches):
+    """Keys with more than one line and their lines; rows of a block stand together in its partition."""
+
+    def found(keys, fulls):
+        key, full = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(fulls), np.uint64)
+        order = np.lexsort((full, key))
+        key, full = key[order], full[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (full[1:] != full[:-1])]
+        key, full = key[new], full[new]
+        same = np.r_[False, key[1:] == key[:-1]]
+        same[:-1] |= same[1:]
+        return pa.RecordBatch.from_arrays([pa.array(key[same].view(np.int64)), pa.array(full[same].view(np.int64))], names=["key", "full"])
+
+    now, keys, fulls = None, [], []
+    for batch in frugal(batches):
+        for block, key, full in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            if block != now and keys:
+                yield found(keys, fulls)
+                keys, fulls = [], []
+            now = block
+            keys.append(key.as_py())
+            fulls.append(full.as_py())
+    if keys:
+        yield found(keys, fulls)
+
+
+def within_edits(a: str, b: str, words_per_edit: int = WORDS_PER_EDIT) -> bool:
+    """Whether word sequences differ by at most one edit for each words_per_edit words of the shorter, or by one; A-Z
+    equals a-z."""
     x, y = (s.encode().lower().split(b" ") for s in (a, b))
     bound = max(1, min(len(x), len(y)) // words_per_edit)
     if abs(len(x) - len(y)) > bound:
@@ -181,113 +285,120 @@ def within_edits(a: str, b: str, words_per_edit: int) -> bool:
     return far.get(m - n) == n
 
 
-def within_one_edit(a: str, b: str) -> bool:
-    """Whether word sequences differ by at most one word put in, taken out or replaced; A-Z equals a-z."""
-    x, y = (s.encode().lower().split(b" ") for s in (a, b))
-    if abs(len(x) - len(y)) > 1:
-        return False
-    least = min(len(x), len(y))
-    head = next((i for i in range(least) if x[i] != y[i]), least)
-    tail = next((i for i in range(least - head) if x[-1 - i] != y[-1 - i]), least - head)
-    return head + tail >= max(len(x), len(y)) - 1
-
-
-@F.pandas_udf(BooleanType())
-def _verified(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([within_one_edit(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
-
-
-@F.pandas_udf(StringType())
-def _without(text: pd.Series, gone: pd.Series) -> pd.Series:
-    def cut(t, g):
-        if g is None or t is None:
-            return t
-        g = set(g)
-        return "\n".join(x for i, x in enumerate(t.split("\n")) if i not in g)
-
-    return pd.Series([cut(t, g) for t, g in zip(text, gone, strict=True)], dtype=object)
-
-
-def _place(df: DataFrame):
-    return F.struct(*[df[c] for c in PLACE])
+def _near_short(rows: DataFrame, first: DataFrame, words_per_edit: int) -> tuple[DataFrame, list[DataFrame]]:
+    """d, t, line of lines with an earlier one within one edit, and the tables to release once they are written."""
+    verified = F.udf(lambda a, b: within_edits(a, b, words_per_edit), BooleanType(), useArrow=True)
+    runs = first.select("p", F.explode(F.array(*"abce")).alias("run")).where("run is not null")
+    shared = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
+    near = durable(runs.join(shared, "run").select("p.*").groupBy("d", "t").agg(F.collect_set("line").alias("lines")), "near-lines")
+    some = durable(_texts(rows, near).mapInArrow(_variants, "d long, t long, line int, words string, variants array<long>"), "variants")
+    # place 0 is the line itself, place p + 1 its form without word p
+    twice = some.select(F.explode("variants").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keyed = durable(some.select(F.struct(*PLACE).alias("p"), F.posexplode("variants").alias("gap", "key")).join(twice, "key"), "shared-variants")
+    least = keyed.groupBy("key", "gap").agg(F.min("p").alias("first"), F.count("*").alias("n"))
+    swapped = keyed.where("gap > 0").join(least.where("gap > 0 and n > 1").drop("n"), ["key", "gap"]).where("p > first").select("p", "first")
+    whole, cut = F.min(F.when(F.col("gap") == 0, F.col("first"))), F.min(F.when(F.col("gap") > 0, F.col("first")))
+    either = least.groupBy("key").agg(whole.alias("whole"), cut.alias("cut")).where("whole is not null and cut is not null")
+    added = keyed.join(either, "key").select("p", F.when(F.col("gap") == 0, F.col("cut")).otherwise(F.col("whole")).alias("first")).where("p > first")
+    said = some.select(F.struct(*PLACE).alias("p"), "words")
+    pairs = swapped.union(added).distinct().join(said, "p").join(said.select(F.col("p").alias("first"), F.col("words").alias("other")), "first")
+    return pairs.where(verified("words", "other")).select("p.*"), [near, some, keyed]
 
 
-def _near_long(rows: DataFrame, first: DataFrame, words_per_edit: int) -> tuple[DataFrame, list[DataFrame]]:
+def _near_long(rows: DataFrame, lines: DataFrame, first: DataFrame, words_per_edit: int) -> tuple[DataFrame, list[DataFrame]]:
     """d, t, line of long lines with an earlier one within the bound, and the tables to release once they are written."""
     w = words_per_edit
-    length, gram = _windows(w)
+    long = first.where(F.col("n") >= 2 * w)
+    words_in = lines.where(F.col("n") >= 2 * w).agg(F.sum("n")).first()[0] or 0
+    if not words_in:
+        return long.select("p.*").limit(0), []
     verified = F.udf(lambda a, b: within_edits(a, b, w), BooleanType(), useArrow=True)
-    kinds = rows.mapInArrow(lambda b: _parts(b, w), "key long, full long, at int, n int").repartition("key").dropDuplicates(["key", "full", "at"])
-    by = Window.partitionBy("key")
-    shared = kinds.select("*", F.min("full").over(by).alias("lo"), F.max("full").over(by).alias("hi"), F.count("*").over(by).alias("often")).where("lo < hi").drop("lo", "hi")
-    # each edit changes at most length windows, and a part stands for at most length - gram + 1 of them
-    sure = F.ceil((F.col("n") - (length - 1) - F.floor(F.col("n") / w) * length) / (length - gram + 1))
-    rank = F.row_number().over(Window.partitionBy("full").orderBy(F.desc("often"), F.desc("key"), F.desc("at")))
-    parts = shared.withColumn("rank", rank).where(F.col("rank") >= sure).select("key", "full", "at", "n").join(first.select("full", "p"), "full")
-    parts = durable(parts.select("key", "at", "n", "p"), "line-parts")
-    listed = parts.select("p.*").distinct().groupBy("d", "t").agg(F.collect_list("line").alias("lines"))
-    texts = rows.join(listed, ["d", "t"]).dropDuplicates(["d", "t"])
-    said = durable(texts.select("d", "t", "text", "lines").mapInArrow(_said, "d long, t long, line int, words string").select(F.struct(*PLACE).alias("p"), "words"), "line-words")
-
-    def close(pairs):
+    often_at, chunk = SEEN_OFTEN, CHUNK
+    seen = rows.select("text").mapInArrow(lambda b: _frequent(b, w, often_at, chunk), "key long, seen long").groupBy("key").agg(F.sum("seen").alias("seen"))
+    top = seen.orderBy(F.desc("seen"), "key").limit(MOST_FREQUENT).select("key").collect()
+    frequent = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
+    blocks = 1 + int(words_in * GRAM / w / BLOCK)
+    packed = rows.select("text").mapInArrow(lambda b: _blocks(b, w, blocks, frequent, chunk), "block int, keys binary, fulls binary")
+    shared = packed.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_shared, "key long, full long")
+    met = durable(shared.join(long.select("full", "p", "n", "even", "odd"), "full"), "line-keys")
+
+    def close(few: DataFrame, other: DataFrame, name: str) -> DataFrame:
+        """The lines of few that an earlier line of other with the same key is within the bound of."""
         bound = F.floor(F.least("n", "m") / w)
-        moved = F.abs(F.col("at") - F.col("at2")) + F.abs((F.col("n") - F.col("at")) - (F.col("m") - F.col("at2")))
-        pairs = pairs.where((F.col("first") < F.col("p")) & (moved <= bound)).select("p", "first").distinct()
-        pairs = pairs.join(said, "p").join(said.select(F.col("p").alias("first"), F.col("words").alias("other")), "first")
-        return pairs.where(verified("words", "other")).select("p").distinct()
+        unlike = F.bit_count(F.col("even").bitwiseXOR(F.col("even2"))) + F.bit_count(F.col("odd").bitwiseXOR(F.col("odd2")))
+        fits = (F.col("first") < F.col("p")) & (F.abs(F.col("n") - F.col("m")) <= bound) & (unlike <= 2 * bound)
+        pairs = durable(few.join(other, "key").where(fits).select("full", "full2", "p", "first").distinct(), f"{name}-pairs")
+        places = pairs.select("p.*").union(pairs.select("first.*")).distinct().groupBy("d", "t").agg(F.collect_list("line").alias("lines"))
+        said = durable(_texts(rows, durable(places, f"{name}-places")).mapInArrow(_said, "full long, words string"), f"{name}-words")
+        told = pairs.join(said, "full").join(said.select(F.col("full").alias("full2"), F.col("words").alias("other")), "full2")
+        return durable(told.where(verified("words", "other")).select("full", "p").distinct(), name)
+
+    other = met.select("key", F.col("full").alias("full2"), F.col("p").alias("first"), F.col("n").alias("m"), F.col("even").alias("even2"), F.col("odd").alias("odd2"))
+    heads = other.groupBy("key").agg(F.min(F.struct("first", "full2", "m", "even2", "odd2")).alias("h")).select("key", "h.*")
+    soon = close(met, heads, "near-first")
+    late = close(met.join(soon.select("full"), "full", "left_anti"), other, "near-other")
+    return soon.union(late).select("p.*"), [met, soon, late]
 
-    other = parts.select("key", F.col("at").alias("at2"), F.col("n").alias("m"), F.col("p").alias("first"))
-    heads = other.groupBy("key").agg(F.min(F.struct("first", "at2", "m")).alias("h")).select("key", "h.*")
-    soon = durable(close(parts.join(heads, "key")), "near-first")
-    late = durable(close(parts.join(soon, "p", "left_anti").join(other, "key")), "near-other")
-    return soon.union(late).select("p.*"), [parts, said, soon, late]
 
+def _texts(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """d, t, text, lines of the rows that listed (d, t, lines) names, each once."""
+    few = rows.join(broadcast_if_small(listed.select("d", "t")), ["d", "t"], "left_semi")
+    return few.join(listed, ["d", "t"]).dropDuplicates(["d", "t"]).select("d", "t", "text", "lines")
 
-def removed_lines(docs: DataFrame, least: int = MIN_WORDS, words_per_edit: int | None = None) -> DataFrame:
+
+def _key() -> list[Column]:
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t")]
+
+
+def removed_lines(docs: DataFrame, least: int = 1, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """d, t, gone: for each row of docs with lines to remove, (id, hash of the text) and their numbers from 0."""
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t")]
-    rows = docs.select(*key, F.coalesce("text", F.lit("")).alias("text"))
-    lines = durable(rows.mapInArrow(lambda b: _keys(b, least, words_per_edit and 2 * words_per_edit), "d long, t long, line int, full long, a long, b long, c long, e long"), "lines")
-    first = durable(lines.groupBy("full").agg(F.min(F.struct(*PLACE)).alias("p"), *[F.min(k).alias(k) for k in "abce"]), "first-lines")
+    if words_per_edit < 5:
+        raise ValueError("words_per_edit is 5 at least")
+    rows = docs.select(*_key(), F.coalesce("text", F.lit("")).alias("text"))
+    lines = durable(rows.mapInArrow(lambda b: _keys(b, least, words_per_edit), KEYS), "lines")
+    own = [F.min(k).alias(k) for k in ("n", "a", "b", "c", "e", "even", "odd")]
+    first = durable(lines.groupBy("full").agg(F.min(F.struct(*PLACE)).alias("p"), *own), "first-lines")
     again = lines.select(*PLACE, "full").join(first.select("full", "p"), "full").where(F.struct(*PLACE) > F.col("p")).select(*PLACE)
-    runs = first.select("p", F.explode(F.array(*"abce")).alias("run")).where("run is not null")
-    shared = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
-    near = durable(runs.join(shared, "run").select("p.*").groupBy("d", "t").agg(F.collect_set("line").alias("lines")), "near-lines")
-    texts = rows.join(broadcast_if_small(near.select("d", "t")), ["d", "t"], "left_semi").join(near, ["d", "t"]).dropDuplicates(["d", "t"])
-    some = durable(texts.select("d", "t", "text", "lines").mapInArrow(_variants, "d long, t long, line int, words string, variants array<long>"), "variants")
-    # place 0 is the line itself, place p + 1 its form without word p
-    twice = some.select(F.explode("variants").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    keyed = durable(some.select(F.struct(*PLACE).alias("p"), F.posexplode("variants").alias("gap", "key")).join(twice, "key"), "shared-variants")
-    least = keyed.groupBy("key", "gap").agg(F.min("p").alias("first"), F.count("*").alias("n"))
-    swapped = keyed.where("gap > 0").join(least.where("gap > 0 and n > 1").drop("n"), ["key", "gap"]).where("p > first").select("p", "first")
-    either = least.groupBy("key").agg(F.min(F.when(F.col("gap") == 0, F.col("first"))).alias("whole"), F.min(F.when(F.col("gap") > 0, F.col("first"))).alias("cut")).where("whole is not null and cut is not null")
-    added = keyed.join(either, "key").select("p", F.when(F.col("gap") == 0, F.col("cut")).otherwise(F.col("whole")).alias("first")).where("p > first")
-    pairs = swapped.union(added).distinct()
-    said = some.select(F.struct(*PLACE).alias("p"), "words")
-    pairs = pairs.join(said, "p").join(said.select(F.col("p").alias("first"), F.col("words").alias("other")), "first")
-    close = pairs.where(_verified("words", "other")).select("p.*")
-    more = []
-    if words_per_edit:
-        long, more = _near_long(rows, first, words_per_edit)
-        close = close.union(long)
-    gone = durable(again.union(close).distinct().groupBy("d", "t").agg(F.collect_set("line").alias("gone")), "removed-lines")
-    release(lines, first, near, some, keyed, *more)
+    short, spent = _near_short(rows, first, words_per_edit)
+    long, more = _near_long(rows, lines, first, words_per_edit)
+    gone = durable(again.union(short).union(long).distinct().groupBy("d", "t").agg(F.collect_set("line").alias("gone")), "removed-lines")
+    release(lines, first, *spent, *more)
     return gone
 
 
-def dedup_lines(docs: DataFrame, least: int = MIN_WORDS, words_per_edit: int | None = None) -> DataFrame:
+def _deduped(docs: DataFrame, least: int, words_per_edit: int) -> DataFrame:
+    """row (a struct of the columns of docs, text without its repeats), n_lines, n_removed."""
+    d, t, went = fresh_names(docs, "d", "t", "gone")
+    gone = removed_lines(docs, least, words_per_edit).withColumnsRenamed({"d": d, "t": t, "gone": went})
+    got = join_few(docs.select("*", *[c.alias(x) for c, x in zip(_key(), (d, t), strict=True)]), gone, [d, t])
+    # the lambda binds the lines, so that the text is split once
+    stay = F.transform(F.array(F.split("text", "\n")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(went)), lambda i: F.get(x, i)), "\n"))
+    text = F.when(F.col(went).isNull(), F.col("text")).otherwise(F.get(stay, F.lit(0)))
+    own = {"text": text}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.col(went).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    return got.select(F.struct(*[own.get(c, F.col(c)).alias(c) for c in docs.columns]).alias("row"), lines.alias("n_lines"), F.coalesce(F.size(went), F.lit(0)).alias("n_removed"))
+
+
+def dedup_lines(docs: DataFrame, least: int = 1, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
     """docs (doc_id, text, ...) -> the same columns, text without repeated lines, and n_lines, n_removed.
 
     Lines end at \\n. A line of at least `least` words goes if an earlier line, by (doc_id, hash of the text, number), is
-    equal, and one of at least five words also if it is one edit away, whether or not that one stays; A-Z equals a-z and
-    the width of white space does not count. Lines without words stay. With words_per_edit (5 at least) the bound is one
-    edit for each so many words of the shorter line, and one at least.
-    n_chars, where there is one, follows the text. Null texts stay null and empty ones empty; rows without doc_id come
-    first in order; rows alike in doc_id and text are one place and keep their lines together. One row per row of docs.
+    equal; one of five words or more also if an earlier line of five words or more differs by no more edits of words than
+    the bound: one for each words_per_edit words of the shorter line (5 at least), and one at least. It does not matter
+    whether the earlier line stays. A-Z equals a-z and the width of white space does not count. Lines without words stay.
+
+    n_chars, where there is one, follows the text of rows that lose lines. Columns of docs named n_lines or n_removed give
+    way to the new ones. Null texts stay null and empty ones empty; rows without doc_id come first in order; rows alike in
+    doc_id and text are one place and keep their lines together. One row per row of docs; an empty table gives none. A
+    very long text is one row of its own in the tasks that read it, and its lines are dealt out like all others.
     """
-    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("__d"), F.xxhash64("text").alias("__t")]
-    gone = removed_lines(docs, least, words_per_edit).withColumnsRenamed({"d": "__d", "t": "__t", "gone": "__gone"})
-    got = join_few(docs.select("*", *key), gone, ["__d", "__t"]).withColumn("__new", _without("text", "__gone"))
-    own = {"text": F.col("__new")} | ({"n_chars": F.length("__new").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    return got.select(*[own.get(c, F.col(c)).alias(c) for c in docs.columns], lines.alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))
+    got = _deduped(docs, least, words_per_edit)
+    return got.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed")
+
+
+def dedup_documents(docs: DataFrame, least: int = 1, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
+    """The rows of docs with their own columns, as dedup_lines leaves them, but for those that lost all of their words."""
+    got = _deduped(docs, least, words_per_edit).where((F.col("n_removed") == 0) | F.col("row.text").rlike(r"[^\x20\x09-\x0D]"))
+    return got.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

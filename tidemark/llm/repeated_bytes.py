@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, release
-from .tokens import mix, prefix_hash, span_hash, text_slices
+from .tokens import frugal, mix, prefix_hash, span_hash, text_slices
 
 LENGTH = 200
 GRAM = 32
@@ -48,7 +48,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int):
 
 
 def _found(batches, length: int, gram: int, only_anchor: bool):
-    for batch in batches:
+    for batch in frugal(batches):
         for at, data, offsets in text_slices(batch.column(2)):
             r, lo, count, off, anchor, span = anchors(data, offsets, length, gram)
             marks = pa.array(anchor.view(np.int64))
@@ -64,7 +64,7 @@ CONTEXT = "d long, t long, anchor long, span long, lo int, shape int, lone boole
 
 def _contexts(batches, length: int):
     """The bytes of the spans listed in `want` (anchor, span, lo, shape, lone)."""
-    for batch in batches:
+    for batch in frugal(batches):
         want, size = batch.column(3), np.diff(np.asarray(batch.column(3).offsets))
         row = np.repeat(np.arange(len(size)), size)
         x = want.flatten()
@@ -92,7 +92,7 @@ def _windows(batch, length: int):
 
 
 def _window_rows(batches, length: int):
-    for batch in batches:
+    for batch in frugal(batches):
         for row, j, key in _windows(batch, length):
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((np.asarray(batch.column(4))[row] + j).astype(np.int32)), batch.column(6).take(take), pa.array(key.view(np.int64))], names=["d", "t", "lo", "lone", "key"])
@@ -101,7 +101,7 @@ def _window_rows(batches, length: int):
 def _repeats(batches, length: int):
     """Spans of repeated windows of lone contexts; a partition holds all contexts of its anchors."""
     kept, keys = [], []
-    for batch in batches:
+    for batch in frugal(batches):
         for row, j, key in _windows(batch, length):
             lone = np.asarray(batch.column(6).to_numpy(zero_copy_only=False), bool)[row]
             kept.append((np.asarray(batch.column(0))[row], np.asarray(batch.column(1))[row], np.asarray(batch.column(4))[row] + j, lone))
@@ -123,7 +123,7 @@ def _repeats(batches, length: int):
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in frugal(batches):
         text, spans = batch.column(1), batch.column(2)
         kept, runs = [], []
         for x, g in zip(text, spans, strict=True):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tokens import ALPHANUMERIC, SPACE_SEPARATED, lowered, prefix_hash, span_hash, text_slices, words
+from .tokens import ALPHANUMERIC, SPACE_SEPARATED, frugal, lowered, prefix_hash, span_hash, text_slices, words
 
 STATISTICS = ("log_words", "word_length", "upper", "digit", "symbol", "mark", "beyond_ascii", "distinct", "repeated", "line_words", "bar", "long_word")
 N_STATISTICS = len(STATISTICS)
@@ -71,7 +71,7 @@ ROW = "doc_id long, label double, index array<int>, value array<float>, stats ar
 
 
 def _rows(batches, buckets: int, prefixes: tuple[int, ...]):
-    for batch in batches:
+    for batch in frugal(batches):
         for at, x in sparse_rows(batch.column(1), buckets, prefixes):
             n = len(x.begin) - 1
             ends = pa.array(x.begin, pa.int32())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -9,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Texts are taken in slices of about so many bytes; one longer text is a slice of its own.
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _U = np.uint64
@@ -38,10 +39,32 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """_BASE**i and _BASE**-i modulo 2**64 for i < n, kept for the usual slice size."""
-    up, down = _powers(1 << max(21, int(n).bit_length()))
+    if n > 1 << 19:  # one very long text: its table is not kept
+        up, down = _powers.__wrapped__(n)
+    else:
+        up, down = _powers(1 << 19)
     return up[:n], down[:n]
 
 
+def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches one by one; what the work on one has freed goes back to the system before the next and at the end.
+
+    Python workers outlive their tasks, so memory they keep is missing to the stages that follow.
+    """
+    for batch in batches:
+        yield batch
+        del batch
+        give_back()
+    give_back()
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if trim:
+        trim(0)
+
+
 def text_slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of consecutive rows; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textfeatures import Sparse, held_out, row_sums, sparse_rows, training_rows
+from .tokens import frugal
 
 #: Labelled rows the chain is fitted on, at most.
 TRAINING_ROWS = 4000
@@ -127,7 +128,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     names = [f"p_{c}" for c in chain.categories]
 
     def run(batches):
-        for batch in batches:
+        for batch in frugal(batches):
             for at, x in sparse_rows(batch.column(1), BUCKETS, PREFIXES):
                 p = 1 / (1 + np.exp(-chain.logits(x)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(p)), *[pa.array(np.ascontiguousarray(p[:, k])) for k in range(p.shape[1])]], names=["doc_id", *names])
