@@ -8,7 +8,7 @@ from tidemark.llm import factorization
 from tidemark.llm.common import durable
 from tidemark.llm.decontaminate import drop_contaminated
 from tidemark.llm.jaccard_join import keep_one_each
-from tidemark.llm.line_dedup import dedup_lines
+from tidemark.llm.line_dedup import dedup_documents
 from tidemark.llm.mixing import mix_sources
 
 
@@ -18,9 +18,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that came before go; a document that loses all of its words to that goes too."""
-    got = dedup_lines(docs)
-    return got.where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'").select(*docs.columns)
+    """Lines that came before, or nearly so, go; a document that loses all of its words to that goes too.
+
+    Null, empty and wordless texts lose nothing and stay, repeated rows lose alike; columns are kept whatever their names.
+    """
+    return dedup_documents(docs)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
