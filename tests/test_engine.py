@@ -40,6 +40,15 @@ CASES = [
     ("BOOLEAN", "boolean", col("t", "VARCHAR"), [(True, "1"), (False, "0")]),
     ("BOOLEAN", "boolean", col("t", "INT"), [(True, 1)]),
     ("DOUBLE", "double", col("t", "INT"), [(2.5, 3), (-0.5, -1), (float("nan"), "bad"), (1e12, "bad")]),
+    ("DOUBLE", "double", col("t", "BIGINT"), [(2.49999999999, 2), (0.49999999999999994, 0), (-2.5, -3), (1e19, "bad"), (float("inf"), "bad")]),
+    ("DECIMAL", "decimal(38,20)", ColumnSpec("t", "INT"), [(Decimal("2.49999999999999999999"), 2), (Decimal("2.5"), 3), (Decimal("3000000000"), "bad")]),
+    ("VARCHAR", "string", col("t", "SMALLINT"), [("2.49999999999999999999999", 2), ("-2.5000", -3), (".5", 1), ("2.", 2), ("25e-1", 3), ("32768", "bad"), ("1e99", "bad")]),
+    ("VARCHAR", "string", col("t", "TIME"), [("25:61", "bad"), ("23:59:60", "bad"), ("07:08", "07:08"), ("2024-01-01 10:00:00", "10:00:00.000000"), ("2024-01-01", "00:00:00.000000"), ("x", "bad"), (None, None)]),
+    ("VARBINARY", "binary", col("t", "BOOLEAN"), [(b"\x01", True), (b"\x00", False), (b"", False), (b"1", True), (b"ab", "bad"), (None, None)]),
+    ("YEAR", "int", col("t", "BOOLEAN"), [(2024, True), (0, False)]),
+    ("BOOLEAN", "boolean", col("t", "BLOB"), [(True, b"\x01"), (False, b"\x00"), (None, None)]),
+    ("INT", "int", col("t", "BLOB"), [(12, b"12")]),
+    ("DECIMAL", "decimal(20,6)", col("t", "DECIMAL"), [(Decimal("1.234567"), Decimal("1.234567"))]),
     ("INT", "int", col("t", "TINYINT"), [(127, 127), (128, "bad")]),
     ("INT", "int", col("t", "BOOLEAN"), [(0, False), (7, True)]),
     ("YEAR", "int", col("t", "DATE"), [(2024, dt.date(2024, 1, 1))]),

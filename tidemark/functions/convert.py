@@ -16,12 +16,15 @@ from .types import BINARY, CHARACTER, INTEGERS, NUMERIC, TEMPORAL, family, spark
 TRUE, FALSE = ("1", "true", "t", "y", "yes", "on"), ("0", "false", "f", "n", "no", "off", "")
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 MOMENT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
-CLOCK = r"^[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,6})?)?$"
+CLOCK = r"^([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.][0-9]{1,9})?)?$"
 _RANGE = {"tinyint": "tinyint", "smallint": "smallint", "int": "int", "year": "int", "bigint": "bigint"}
 
 
 def as_text(c: Column, source: ColumnSpec) -> Column:
-    """Canonical text: booleans 1 and 0, decimals without exponent, points in time without needless zeros."""
+    """Canonical text: booleans 1 and 0, decimals without exponent, points in time without needless zeros.
+
+    Floating-point numbers are written as the JVM writes them, with an exponent from 1e7 on.
+    """
     kind = family(source)
     if kind in ("boolean", "bit") and spark_type(source).simpleString() == "boolean":
         return F.when(c, "1").when(~c, "0")
@@ -42,9 +45,47 @@ def _number(c: Column, source: ColumnSpec, to: str) -> Column:
 
 
 def _whole(c: Column, source: ColumnSpec, to: str) -> Column:
-    if family(source) in INTEGERS or family(source) == "year":
+    """Rounded half up, once: a value is rounded as it stands, and of text only the first decimal counts."""
+    kind = family(source)
+    if kind in INTEGERS or kind == "year":
         return c.try_cast(to)
-    return F.round(_number(c, source, "decimal(38,10)"), 0).try_cast(to)
+    if kind in NUMERIC:
+        return F.round(c, 0).try_cast(to)
+    if kind in ("boolean", "bit"):
+        return as_text(c, source).try_cast(to)
+    text = F.trim(as_text(c, source))
+    first = F.regexp_replace(text, r"^([+-]?[0-9]*[.][0-9])[0-9]*$", "$1")
+    return F.when(text.rlike(NUMBER), F.round(first.try_cast("decimal(38,18)"), 0).try_cast(to))
+
+
+def _truth(c: Column, source: ColumnSpec) -> Column:
+    """Numbers and single bytes are true unless zero, no byte at all is false, and texts go by the fixed words."""
+    kind = family(source)
+    if kind in NUMERIC | {"year"}:
+        return c != 0
+    if kind == "boolean" or kind == "bit" and source.length <= 1:
+        return c
+    if kind in BINARY | {"bit"}:
+        return F.when(F.octet_length(c) <= 1, F.coalesce(F.conv(F.hex(c), 16, 10).cast("int"), F.lit(0)) != 0)
+    text = F.lower(F.trim(as_text(c, source)))
+    return F.when(text.isin(*TRUE), True).when(text.isin(*FALSE), False)
+
+
+def _bytes(c: Column, source: ColumnSpec) -> Column:
+    kind = family(source)
+    if kind in BINARY or kind == "bit" and source.length > 1:
+        return c
+    if kind in ("boolean", "bit"):
+        return F.when(c, F.lit(b"\x01")).when(~c, F.lit(b"\x00"))
+    return as_text(c, source).cast("binary")
+
+
+def _clock(c: Column, source: ColumnSpec) -> Column:
+    """Time of day as text: a time as it stands, the time part of a point in time."""
+    if family(source) not in CHARACTER | {"time"}:
+        return F.date_format(_moment(c, source), "HH:mm:ss.SSSSSS")
+    text = F.trim(c)
+    return F.when(text.rlike(CLOCK), text).otherwise(F.date_format(F.when(text.rlike(MOMENT), text).try_cast("timestamp_ntz"), "HH:mm:ss.SSSSSS"))
 
 
 def _moment(c: Column, source: ColumnSpec) -> Column:
@@ -65,14 +106,10 @@ def convert(c: Column, source: ColumnSpec, target: ColumnSpec) -> tuple[Column,
     """(value for the target, whether the row is bad by it)."""
     t, s = family(target), family(source)
     fits = F.lit(True)
-    if t in ("boolean", "bit"):
-        if s in NUMERIC:
-            new = c != 0
-        elif s in ("boolean",) or s == "bit" and source.length <= 1:
-            new = c
-        else:
-            text = F.lower(F.trim(as_text(c, source)))
-            new = F.when(text.isin(*TRUE), True).when(text.isin(*FALSE), False)
+    if t == "bit" and target.length > 1 and s == "bit" and source.length > 1:
+        new, fits = c, F.octet_length(c) * 8 < target.length + 8
+    elif t in ("boolean", "bit"):
+        new = _truth(c, source)
         if spark_type(target).simpleString() == "binary":
             new = F.when(new, F.lit(b"\x01")).when(~new, F.lit(b"\x00"))
     elif t == "year":
@@ -80,7 +117,8 @@ def convert(c: Column, source: ColumnSpec, target: ColumnSpec) -> tuple[Column,
     elif t in INTEGERS:
         new = _whole(c, source, _RANGE[t])
     elif t == "decimal":
-        new = _number(c, source, spark_type(target).simpleString())
+        # without a precision a decimal stays as it is
+        new = c if s == "decimal" and target.length <= 0 else _number(c, source, spark_type(target).simpleString())
     elif t in ("float", "double"):
         new = _number(c, source, "double").cast(t)
         fits = F.coalesce(~F.isnan(new) & (F.abs(new) != float("inf")), F.lit(True))
@@ -89,13 +127,13 @@ def convert(c: Column, source: ColumnSpec, target: ColumnSpec) -> tuple[Column,
         if t != "text" and target.length > 0:
             fits = F.length(new) <= target.length
     elif t in BINARY:
-        new = c if s in BINARY else as_text(c, source).cast("binary")
+        new = _bytes(c, source)
         if t == "binary" and target.length > 0:
             fits = F.octet_length(new) <= target.length
     elif t == "date":
         new = _moment(c, source).cast("date")
     elif t == "time":
-        new = F.when(F.trim(c).rlike(CLOCK), F.trim(c)) if s in CHARACTER | {"time"} else F.date_format(_moment(c, source), "HH:mm:ss.SSSSSS")
+        new = _clock(c, source)
     elif t == "timestamp":
         new = _moment(c, source)
     elif t == "timestamptz":
