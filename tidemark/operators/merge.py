@@ -4,50 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def last_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+def _col(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
+def last_wins(rows: DataFrame, keys: Sequence[str], order: Sequence[str] = (), collation: str | None = None) -> DataFrame:
     """One row per key, the last by `order`. Rows with a null in a key match nothing and all stay.
 
     A grouped maximum rather than a window: it combines before the shuffle, so a key with very many rows is reduced
-    where they lie.
+    where they lie. With a collation, texts that it takes for equal are one key.
     """
-    rest = [c for c in rows.columns if c not in keys]
-    known = rows.where(~_any_null(keys))
-    best = F.max(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*rest).alias("row")) if rest else F.lit(1))
-    kept = known.groupBy(*keys).agg(best.alias("best"))
-    kept = kept.select(*[F.col(c) if c in keys else F.col(f"best.row.{c}").alias(c) for c in rows.columns])
-    return kept.union(rows.where(_any_null(keys)))
+    rest = list(rows.columns) if collation else [c for c in rows.columns if c not in keys]
+    known, lost = rows.where(~_any_null(keys)), rows.where(_any_null(keys))
+    best = F.max(F.struct(*[_col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*map(_col, rest)).alias("row")) if rest else F.lit(1))
+    kept = known.groupBy(*_compared(known, keys, collation)).agg(best.alias("__best"))
+    return kept.select(*[F.col(f"__best.row.`{c}`").alias(c) if c in rest else _col(c) for c in rows.columns]).union(lost)
+
+
+def _compared(df: DataFrame, keys: Sequence[str], collation: str | None, names: Sequence[str] | None = None) -> list[Column]:
+    """The keys as they compare: texts under the collation, if there is one."""
+    out = []
+    for i, k in enumerate(keys):
+        text = collation and df.schema[k].dataType.typeName().startswith("string")
+        out.append((F.collate(_col(k), collation) if text else _col(k)).alias(names[i] if names else f"__k{i}" if collation else k))
+    return out
 
 
 def _any_null(keys: Sequence[str]) -> Column:
     out = F.lit(False)
     for k in keys:
-        out = out | F.col(k).isNull()
+        out = out | _col(k).isNull()
     return out
 
 
-def merge(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+def merge(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str] = (), collation: str | None = None) -> DataFrame:
     """target after upserting rows on keys.
 
     Columns that rows lacks keep their values on a match and are null on an insert; with nothing but keys, missing rows
-    are put in. Of several rows with a key the last by `order` counts. Keys compare with =, so nulls never match. The
-    result has the columns of target.
+    are put in. Of several rows with a key the last by `order` counts. Keys compare with =, so nulls never match; texts
+    compare by the collation, where one is named (UTF8_LCASE does not look at case). The result has the columns of
+    target.
     """
     lacking = [k for k in keys if k not in rows.columns or k not in target.columns]
     if not keys or lacking:
         raise ValueError(f"merge keys must be written columns: {lacking or 'none given'}")
     columns = [c for c in target.columns if c in rows.columns]
-    new = last_wins(rows.select(*dict.fromkeys([*columns, *order])), keys, order)
-    new = new.select(*[F.col(c).alias(f"s_{c}") for c in columns], F.lit(True).alias("s__hit"))
-    on = [F.col(k) == F.col(f"s_{k}") for k in keys]
-    both = target.join(new, on, "full_outer")
-    hit = F.coalesce("s__hit", F.lit(False))
-    return both.select(*[F.when(hit, F.col(f"s_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in target.columns])
+    new = last_wins(rows.select(*map(_col, dict.fromkeys([*columns, *order]))), keys, order, collation)
+    # numbers for names, so that columns of the two sides can be called anything
+    kt, ks = [f"kt{i}" for i in range(len(keys))], [f"ks{i}" for i in range(len(keys))]
+    left = target.select(*_compared(target, keys, collation, kt), *[_col(c).alias(f"t{i}") for i, c in enumerate(target.columns)])
+    right = new.select(*_compared(new, keys, collation, ks), *[_col(c).alias(f"s{i}") for i, c in enumerate(columns)], F.lit(True).alias("hit"))
+    both = left.join(right, [F.col(a) == F.col(b) for a, b in zip(kt, ks, strict=True)], "full_outer")
+    hit, place = F.coalesce("hit", F.lit(False)), {c: i for i, c in enumerate(columns)}
+    shown = [F.when(hit, F.col(f"s{place[c]}")).otherwise(F.col(f"t{i}")) if c in place else F.col(f"t{i}") for i, c in enumerate(target.columns)]
+    return both.select(*[x.alias(c) for x, c in zip(shown, target.columns, strict=True)])
 
 
 def append(target: DataFrame, rows: DataFrame) -> DataFrame:
     """Plain insert: duplicates stay, columns that rows lacks are null."""
-    return target.unionByName(rows.select(*[c for c in target.columns if c in rows.columns]), allowMissingColumns=True)
+    return target.unionByName(rows.select(*[_col(c) for c in target.columns if c in rows.columns]), allowMissingColumns=True)

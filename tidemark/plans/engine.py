@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.convert import as_text, convert
-from ..functions.types import family
+from ..functions.types import INTEGERS, family
 from ..model import ColumnSpec, Issue, Status, SyncResult, SyncTask, TableSpec, scrub
 from ..operators.cursor import ReadWindow, anchor, encode, read_window
 from ..operators.merge import append, last_wins
@@ -28,8 +28,11 @@ CONSTANT = ColumnSpec("constant", "VARCHAR")
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """Where runs keep their converted rows: the folder all executors share, or a local one where none is named."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _local_dir()).rstrip("/")
+    """Where runs keep their converted rows: the folder all executors share; a local one only in local mode."""
+    known = spark.conf.get("spark.checkpoint.dir", None)
+    if not known and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return (known or _local_dir()).rstrip("/")
 
 
 @lru_cache(maxsize=1)
@@ -99,7 +102,16 @@ def stage(df: DataFrame, plan: SyncPlan) -> Staged:
     return Staged(spark.read.schema(rows.schema).parquet(folder), plan, folder)
 
 
-def source_rows(spark: SparkSession, task: SyncTask, source) -> DataFrame:
+def source_rows(spark: SparkSession, task: SyncTask, source, plan: SyncPlan | None = None) -> DataFrame:
+    """The rows of a task's table or statement, before any window.
+
+    A statement for a database is that database's own SQL and runs there; otherwise it is Spark SQL. With a plan whose
+    order has a whole-number key, a database is read in parts by ranges of it.
+    """
+    if hasattr(source, "query"):
+        whole = [k for k in plan.order_keys if family(plan.source.find(k)) in INTEGERS] if plan else []
+        key = whole[0] if whole else None
+        return source.query(task.source_sql, key) if task.source_sql else source.read(task.source_table, key)
     return read_sql(spark, task.source_sql) if task.source_sql else source.read(task.source_table)
 
 
@@ -138,7 +150,7 @@ def run(
             result.status, result.message = Status.FAILED, "; ".join(f"{i.code}: {i.message}" for i in plan.issues if i.level == "ERROR")[:MESSAGE_CHARS]
             return result
         stop.check(task.id)
-        df = source_rows(spark, task, source)
+        df = source_rows(spark, task, source, plan)
         window = window_of(plan, df, now)
         read = (window.apply(df) if window else df).select(*[F.col(f"`{c}`") for c in plan.select])
         staged = with_retries(lambda: stage(read, plan), task.errors)
@@ -195,4 +207,5 @@ def _apply(staged: Staged, target) -> None:
         target.upsert(table, rows, plan.keys, order)
         return
     kept = (last_wins(rows, plan.keys, order) if plan.keys else rows).select(*names)
-    target.replace(table, append(target.read(table).limit(0), kept) if target.kind in ("PARQUET", "MEMORY") else kept)
+    rows = append(target.read(table).limit(0), kept) if target.kind in ("PARQUET", "MEMORY") else kept
+    target.replace(table, rows, strategy=plan.task.strategy, keys=plan.keys)

@@ -7,7 +7,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.types import spec_of
-from ..model import TableSpec
+from ..model import Strategy, TableSpec
 from ..plans.guard import check_sql, normalize
 
 # Words in a product or driver name, by database.
@@ -34,7 +34,7 @@ class Source(Protocol):
 
 
 class Target(Source, Protocol):
-    def replace(self, table: str, rows: DataFrame) -> None: ...
+    def replace(self, table: str, rows: DataFrame, *, strategy: Strategy = ..., keys: list[str] = ...) -> None: ...
 
     def upsert(self, table: str, rows: DataFrame, keys: list[str], order: list[str]) -> None: ...
 

@@ -7,10 +7,15 @@ from contextlib import closing
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..model import Strategy
 from ..operators.merge import last_wins
+from ..plans.guard import check_sql, normalize
 from .base import database_kind
 from .dialect import dialect_of
 
+#: How long a connection may take to open, and a test of it to answer.
+LOGIN_SECONDS, ANSWER_SECONDS = 5, 15
+
 
 class JdbcTables:
     def __init__(self, spark: SparkSession, url: str, kind: str | None = None, fetch_size: int = 1000, batch_size: int = 500, connections: int = 8, **options: str) -> None:
@@ -18,18 +23,32 @@ class JdbcTables:
         self.kind = kind or ("DERBY" if ":derby:" in url else database_kind(url)) or "ANSI"
         self.dialect, self.fetch_size, self.batch_size, self.connections = dialect_of(self.kind), fetch_size, batch_size, connections
 
-    def read(self, table: str, key: str | None = None, bounds: tuple[int, int] | None = None) -> DataFrame:
-        """The table; with a whole-number key and its bounds, in as many parts as there may be connections."""
-        reader = self.spark.read.format("jdbc").options(url=self.url, dbtable=self.dialect.quote(table), fetchsize=self.fetch_size, **self.options)
-        if key and bounds:
-            reader = reader.options(partitionColumn=self.dialect.quote(key), lowerBound=bounds[0], upperBound=bounds[1], numPartitions=self.connections)
-        return reader.load()
-
-    def query(self, sql: str) -> DataFrame:
-        return self.spark.read.format("jdbc").options(url=self.url, query=sql, fetchsize=self.fetch_size, **self.options).load()
+    def read(self, table: str, key: str | None = None) -> DataFrame:
+        """The table; with a whole-number key, in as many parts by key range as there may be connections."""
+        return self._load(self.dialect.quote(table), key)
+
+    def query(self, sql: str, key: str | None = None) -> DataFrame:
+        """Rows of one read-only statement of the database's own; with a whole-number key of it, read in parts."""
+        issue = check_sql(sql)
+        if issue:
+            raise ValueError(issue.message)
+        return self._load(f"({normalize(sql)}) ds_src", key)
+
+    def _load(self, place: str, key: str | None) -> DataFrame:
+        reader = self.spark.read.format("jdbc").options(url=self.url, dbtable=place, fetchsize=self.fetch_size, **self.options)
+        if not key:
+            return reader.load()
+        name = self.dialect.quote(key)
+        ends = f"(SELECT MIN({name}) AS LO, MAX({name}) AS HI FROM {place}) ds_ends"
+        lo, hi = self.spark.read.format("jdbc").options(url=self.url, dbtable=ends, **self.options).load().first()
+        if lo is None:
+            return reader.load()
+        return reader.options(partitionColumn=name, lowerBound=int(lo), upperBound=int(hi) + 1, numPartitions=self.connections).load()
 
     def _connect(self):
-        return self.spark._jvm.java.sql.DriverManager.getConnection(self.url, self.options.get("user"), self.options.get("password"))
+        manager = self.spark._jvm.java.sql.DriverManager
+        manager.setLoginTimeout(LOGIN_SECONDS)
+        return manager.getConnection(self.url, self.options.get("user"), self.options.get("password"))
 
     def execute(self, *statements: str) -> None:
         """All or none of the statements, in one transaction."""
@@ -47,8 +66,8 @@ class JdbcTables:
     def reachable(self) -> str | None:
         """None if the database answers, else why not."""
         try:
-            with closing(self._connect()):
-                return None
+            with closing(self._connect()) as c:
+                return None if c.isValid(ANSWER_SECONDS) else f"no answer in {ANSWER_SECONDS} s"
         except Exception as e:
             return str(getattr(e, "java_exception", e))[:500]
 
@@ -99,12 +118,25 @@ class JdbcTables:
         finally:
             self.execute(self.dialect.drop(staging))
 
-    def replace(self, table: str, rows: DataFrame) -> None:
-        """Load a staging table, then change the rows over in one transaction."""
-        staging = f"DS_STAGE_{uuid.uuid4().hex[:12].upper()}"
-        self._write(staging, rows, "error")
+    def replace(self, table: str, rows: DataFrame, strategy: Strategy = Strategy.DELETE, **_) -> None:
+        """All rows anew. They go in parallel to a staging table first, so a run that fails leaves the target alone.
+
+        DELETE changes the rows over in one transaction. TRUNCATE empties the table by its statement, which some
+        databases commit by themselves. SWAP gives the staging table, made like the target, the target's name.
+        """
+        d, tag = self.dialect, uuid.uuid4().hex[:12].upper()
+        staging, backup = f"DS_STAGE_{tag}", f"DS_OLD_{tag}"
+        if strategy == Strategy.SWAP:
+            self.execute(*d.create_like(staging, table))
         try:
-            names = self.dialect.names(rows.columns)
-            self.execute(self.dialect.delete_all(table), f"INSERT INTO {self.dialect.quote(table)} ({names}) SELECT {names} FROM {self.dialect.quote(staging)}")
+            self._write(staging, rows, "append" if strategy == Strategy.SWAP else "error")
+            if strategy == Strategy.SWAP:
+                self.execute(*d.swap(table, staging, backup))
+                self.execute(d.drop(backup))
+            else:
+                names = d.names(rows.columns)
+                clear = d.truncate(table) if strategy == Strategy.TRUNCATE else d.delete_all(table)
+                self.execute(clear, f"INSERT INTO {d.quote(table)} ({names}) SELECT {names} FROM {d.quote(staging)}")
         finally:
-            self.execute(self.dialect.drop(staging))
+            if self.exists(staging):
+                self.execute(d.drop(staging))

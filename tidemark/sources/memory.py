@@ -22,7 +22,7 @@ class MemoryTables:
     def tables(self) -> list[str]:
         return sorted(self._tables)
 
-    def replace(self, table: str, rows: DataFrame) -> None:
+    def replace(self, table: str, rows: DataFrame, **_) -> None:
         self._tables[table] = append(self._tables[table].limit(0), rows)
 
     def append(self, table: str, rows: DataFrame) -> None:

@@ -1,17 +1,33 @@
-"""Versioned Parquet tables: each commit is a new folder, and a pointer names the one that counts.
+"""Versioned Parquet tables: each commit writes new files, and a pointer lists the files that count.
 
 A reader never sees half a commit and a failed run leaves the last one in place. All access goes through Hadoop's file
 systems, so a table can lie in any store that Spark writes to.
+
+The pointer of a version is one file, created without overwriting and carrying the list: one of two writers gets the
+version, the other fails and may start again from the new one. A writer that dies leaves at most an empty pointer, which
+is passed over once it is older than GRACE_SECONDS. Exclusive creation is atomic on local disks, HDFS, Azure and Google
+storage; on S3A it is checked when the file is opened only, so there one writer per table is the caller's duty.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators.merge import append, last_wins, merge
 
+#: An empty pointer younger than this may still be written to.
+GRACE_SECONDS = 60
+
+
+class Conflict(RuntimeError):
+    """Another writer committed first."""
+
 
 class ParquetTables:
     kind = "PARQUET"
@@ -25,56 +41,130 @@ class ParquetTables:
     def _fs(self):
         return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
 
+    def _names(self, *parts: str) -> dict[str, float]:
+        """Names in a folder and when they changed, in seconds; empty if there is no such folder."""
+        place = self._path(*parts)
+        return {s.getPath().getName(): s.getModificationTime() / 1000 for s in self._fs().listStatus(place)} if self._fs().exists(place) else {}
+
+    def _create(self, text: str, *parts: str) -> None:
+        """A new file; fails if it exists."""
+        out = self._fs().create(self._path(*parts), False)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _manifest(self, table: str, version: int) -> dict | None:
+        stream = self._fs().open(self._path(table, f"p{version}"))
+        try:
+            text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+        return json.loads(text) if text.endswith("}") else None
+
     def _versions(self, table: str) -> list[int]:
-        """Committed versions, oldest first: those with a pointer file."""
-        place = self._path(table)
-        if not self._fs().exists(place):
-            return []
-        names = [s.getPath().getName() for s in self._fs().listStatus(place)]
-        return sorted(int(n[1:].split("-")[0]) for n in names if n.startswith("p") and n[1:].split("-")[0].isdigit())
+        """Numbers of pointers, oldest first, without empty ones."""
+        return [v for v in self._numbers(table) if self._manifest(table, v)]
 
-    def _folder(self, table: str, version: int) -> str:
-        name = next(n for n in (s.getPath().getName() for s in self._fs().listStatus(self._path(table))) if n.startswith(f"p{version}-"))
-        return f"{self.root}/{table}/v{name[1:]}"
+    def _numbers(self, table: str) -> list[int]:
+        return sorted(int(n[1:]) for n in self._names(table) if n.startswith("p") and n[1:].isdigit())
 
     def exists(self, table: str) -> bool:
         return bool(self._versions(table))
 
     def tables(self) -> list[str]:
-        if not self._fs().exists(self._path()):
-            return []
-        return sorted(n for n in (s.getPath().getName() for s in self._fs().listStatus(self._path())) if self.exists(n))
+        return sorted(n for n in self._names() if self.exists(n))
 
-    def read(self, table: str, version: int | None = None) -> DataFrame:
+    def files(self, table: str, version: int | None = None) -> list[str]:
+        """Paths of the files of a version, the latest by default."""
+        return [f"{self.root}/{table}/{f}" for f in self._of(table, version)["files"]]
+
+    def _of(self, table: str, version: int | None) -> dict:
         versions = self._versions(table)
         if not versions:
             raise FileNotFoundError(f"{table} has no committed version")
-        return self.spark.read.parquet(self._folder(table, versions[-1] if version is None else version))
+        return self._manifest(table, versions[-1] if version is None else version)
 
-    def replace(self, table: str, rows: DataFrame, base: int | None = None) -> int:
-        """Write rows as the next version and point at it. Fails if another writer committed that version first."""
-        versions = self._versions(table)
-        version, tag = (versions[-1] if versions else 0) + 1, uuid.uuid4().hex
-        if base is not None and base != version - 1:
-            raise RuntimeError(f"{table} moved on from version {base}")
-        rows.write.parquet(f"{self.root}/{table}/v{version}-{tag}")
-        lock = self._path(table, f"lock{version}")
-        self._fs().create(lock, False).close()  # without overwriting: one writer gets each version
-        self._fs().create(self._path(table, f"p{version}-{tag}"), False).close()
-        for old in versions[: max(0, len(versions) + 1 - self.keep)]:
-            folder = self._folder(table, old)
-            self._fs().delete(self._path(table, "p" + folder.rsplit("/v", 1)[1]), False)
-            self._fs().delete(self._path(table, folder.rsplit("/", 1)[1]), True)
-            self._fs().delete(self._path(table, f"lock{old}"), False)
+    def read(self, table: str, version: int | None = None) -> DataFrame:
+        found = self._of(table, version)
+        return self._rows(table, found["files"], StructType.fromJson(found["schema"]))
+
+    def _rows(self, table: str, files: list[str], schema: StructType) -> DataFrame:
+        if not files:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{table}/{f}" for f in files])
+
+    def _commit(self, table: str, rows: DataFrame, base: int, kept: list[str] = ()) -> int:
+        """Write rows, then point at them and at the kept files of the base version, as the version after it."""
+        version = base + 1
+        for number, changed in ((n, t) for n, t in self._names(table).items() if n.startswith("p") and n[1:].isdigit() and int(n[1:]) >= version):
+            if self._manifest(table, int(number[1:])) or time.time() - changed < GRACE_SECONDS:
+                raise Conflict(f"{table} moved on from version {base}")
+            version = max(version, int(number[1:]) + 1)
+        folder = f"v{version}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.root}/{table}/{folder}")
+        files = [f"{folder}/{n}" for n in self._names(table, folder) if n.endswith(".parquet")]
+        try:
+            self._create(json.dumps({"schema": json.loads(rows.schema.json()), "files": [*kept, *files]}), table, f"p{version}")
+        except Exception as e:
+            self._fs().delete(self._path(table, folder), True)
+            raise Conflict(f"{table} moved on from version {base}") from e
+        self._forget(table)
         return version
 
-    def append(self, table: str, rows: DataFrame) -> int:
-        base = self._versions(table)[-1]
-        return self.replace(table, append(self.read(table), rows), base)
+    def _forget(self, table: str) -> None:
+        """Delete all but the last versions: their pointers, and files that no kept version lists."""
+        versions = self._versions(table)
+        last = {f for v in versions[-self.keep :] for f in self._manifest(table, v)["files"]}
+        for v in versions[: -self.keep]:
+            gone = self._manifest(table, v)["files"]
+            self._fs().delete(self._path(table, f"p{v}"), False)
+            for f in gone:
+                if f not in last:
+                    self._fs().delete(self._path(table, f), False)
+
+    def sweep(self, table: str, older_than_seconds: float = 86_400) -> int:
+        """Delete folders that no version lists and no running writer can still commit. Returns how many."""
+        used = {f.split("/")[0] for v in self._versions(table) for f in self._manifest(table, v)["files"]}
+        old = [n for n, t in self._names(table).items() if n.startswith("v") and n not in used and time.time() - t >= older_than_seconds]
+        for n in old:
+            self._fs().delete(self._path(table, n), True)
+        return len(old)
+
+    def _base(self, table: str) -> int:
+        versions = self._versions(table)
+        return versions[-1] if versions else 0
+
+    def replace(self, table: str, rows: DataFrame, base: int | None = None, keys: list[str] = (), **_) -> int:
+        """All rows anew. With keys they lie by key range, so that later upserts of few keys touch few files.
+
+        Fails with Conflict if the table is not at version `base`, where one is given, or another writer is first. The
+        refresh strategies of databases all come to this: the table changes over in one step.
+        """
+        at = self._base(table)
+        if base is not None and base != at:
+            raise Conflict(f"{table} moved on from version {base}")
+        return self._commit(table, rows.repartitionByRange(*keys) if keys else rows, at)
+
+    def append(self, table: str, rows: DataFrame, base: int | None = None) -> int:
+        """Plain insert: the files of the table stay, the rows come in new ones."""
+        at = self._base(table) if base is None else base
+        return self._commit(table, append(self.read(table, at).limit(0), rows), at, self._of(table, at)["files"])
 
     def upsert(self, table: str, rows: DataFrame, keys: list[str], order: list[str]) -> int:
-        base = self._versions(table)[-1]
-        return self.replace(table, merge(self.read(table), rows, keys, order), base)
+        """Rewrites only the files that hold a key of rows; all others are listed again as they are."""
+        at = self._base(table)
+        found = self._of(table, at)
+        schema, root = StructType.fromJson(found["schema"]), f"{self.root}/{table}/"
+        names = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+        hit = self.read(table, at).select(*keys, names.alias("_file")).join(rows.select(*keys).distinct(), list(keys), "left_semi").select("_file").distinct()
+        # names of files, of which a table has as many as it has parts
+        touched = {r[0] for r in hit.collect()}
+        old = [f for f in found["files"] if f.rsplit("/", 1)[-1] in touched]
+        new = merge(self._rows(table, old, schema), rows, keys, order)
+        return self._commit(table, new, at, [f for f in found["files"] if f not in set(old)])
+
+    def compact(self, table: str, keys: list[str] = ()) -> int:
+        """The same rows in new files, after many small upserts."""
+        return self.replace(table, self.read(table), self._base(table), keys)
 
     def create(self, table: str, rows: DataFrame, keys: list[str] = ()) -> int:
-        return self.replace(table, last_wins(rows, keys) if keys else rows, 0)
+        return self.replace(table, last_wins(rows, keys) if keys else rows, 0, keys)

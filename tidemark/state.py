@@ -3,13 +3,20 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
+import time
+from collections.abc import Callable
 from dataclasses import asdict
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .model import Status, SyncResult
-from .sources.parquet import ParquetTables
+from .runtime import Cancellation
+from .sources.parquet import Conflict, ParquetTables
+
+T = TypeVar("T")
 
 RECORD = "id long, task_id long, run_key string, start_time timestamp_ntz, end_time timestamp_ntz, status string, read_rows long, write_rows long, skipped_rows long, error_rows long, start_cursor string, end_cursor string, total_millis long, error_message string, trigger_type string"
 ERROR = "id long, record_id long, task_id long, phase string, row_key string, message string, row_data string, retryable boolean, created_at timestamp_ntz"
@@ -40,36 +47,73 @@ class StateStore:
     def _lock(self, task_id: int):
         return self.store._path(f"RUNNING-{task_id}")
 
+    def _commit(self, change: Callable[[], T], tries: int = 20) -> T:
+        """Change a table that all tasks share; where another task commits first, read it again and retry."""
+        for attempt in range(1, tries + 1):
+            try:
+                return change()
+            except Conflict:
+                if attempt == tries:
+                    raise
+                time.sleep(random.uniform(0, min(2.0, 0.1 * attempt)))
+        raise AssertionError
+
+    def _append(self, table: str, schema: str, rows: list[tuple]) -> int:
+        """Append rows under the next ids and give the first; the ids are free as long as the commit succeeds."""
+        base = self.store._base(table)
+        first = (self.store.read(table, base).agg(F.max("id")).first()[0] or 0) + 1
+        self.store.append(table, self.spark.createDataFrame([(first + i, *r) for i, r in enumerate(rows)], schema), base)
+        return first
+
     def begin(self, task_id: int, now: dt.datetime, trigger: str = "MANUAL") -> int:
         """The id of a new RUNNING record. Raises TaskRunning while another run has not finished."""
         try:
             self.store._fs().create(self._lock(task_id), False).close()
         except Exception as e:
             raise TaskRunning(f"task {task_id} is running") from e
-        record = (self.records().agg(F.max("id")).first()[0] or 0) + 1
-        row = (record, task_id, f"RUNNING-{task_id}", now, None, Status.RUNNING.value, 0, 0, 0, 0, self.cursor(task_id), None, 0, None, trigger)
-        self.store.append("sync_record", self.spark.createDataFrame([row], RECORD))
-        return record
+        try:
+            row = (task_id, f"RUNNING-{task_id}", now, None, Status.RUNNING.value, 0, 0, 0, 0, self.cursor(task_id), None, 0, None, trigger)
+            return self._commit(lambda: self._append("sync_record", RECORD, [row]))
+        except BaseException:
+            self.store._fs().delete(self._lock(task_id), False)
+            raise
 
     def finish(self, record: int, result: SyncResult, now: dt.datetime) -> None:
         """Close the record, keep its errors, then move the cursor: only of a completed run that has one."""
-        old = self.records().where(F.col("id") == record).first()
-        row = (record, result.task_id, f"{result.task_id}-{record}", old["start_time"], now, result.status.value, result.read_rows, result.written_rows, result.skipped_rows, len(result.errors), result.start_cursor, result.end_cursor, result.millis, result.message, old["trigger_type"])
-        if result.errors:
-            first = (self.errors().agg(F.max("id")).first()[0] or 0) + 1
-            rows = [(first + i, record, result.task_id, e["phase"], e["row_key"], e["message"], e["row_data"], e["retryable"], now) for i, e in enumerate(result.errors)]
-            self.store.append("sync_error", self.spark.createDataFrame(rows, ERROR))
-        self.store.upsert("sync_record", self.spark.createDataFrame([row], RECORD), ["id"], [])
-        if result.status == Status.COMPLETED and result.end_cursor is not None:
-            self.store.upsert("sync_cursor", self.spark.createDataFrame([(result.task_id, result.end_cursor, now)], CURSOR), ["task_id"], [])
-        self.store._fs().delete(self._lock(result.task_id), False)
+        try:
+            old = self.records().where(F.col("id") == record).first()
+            row = (record, result.task_id, f"{result.task_id}-{record}", old["start_time"], now, result.status.value, result.read_rows, result.written_rows, result.skipped_rows, len(result.errors), result.start_cursor, result.end_cursor, result.millis, result.message, old["trigger_type"])
+            if result.errors:
+                errors = [(record, result.task_id, e["phase"], e["row_key"], e["message"], e["row_data"], e["retryable"], now) for e in result.errors]
+                self._commit(lambda: self._append("sync_error", ERROR, errors))
+            self._commit(lambda: self.store.upsert("sync_record", self.spark.createDataFrame([row], RECORD), ["id"], []))
+            if result.status == Status.COMPLETED and result.end_cursor is not None:
+                moved = self.spark.createDataFrame([(result.task_id, result.end_cursor, now)], CURSOR)
+                self._commit(lambda: self.store.upsert("sync_cursor", moved, ["task_id"], []))
+        finally:
+            self.store._fs().delete(self._lock(result.task_id), False)
+
+    def shutdown(self, cancellation: Cancellation, now: dt.datetime, wait_seconds: float = 30, sleep: Callable[[float], None] = time.sleep) -> int:
+        """Cancel all runs, give them time to end by themselves, then close the records of those that have not.
+
+        Returns how many were closed that way.
+        """
+        for r in self.records().where("status = 'RUNNING'").select("task_id").collect():
+            cancellation.cancel(r["task_id"])
+        end = time.monotonic() + wait_seconds
+        while time.monotonic() < end and not self.records().where("status = 'RUNNING'").isEmpty():
+            sleep(0.5)
+        return self._close(now, Status.CANCELLED, "the process was shut down during the run")
 
     def recover(self, now: dt.datetime) -> int:
         """At start-up: runs left RUNNING have failed; their cursors stay. Returns how many there were."""
+        return self._close(now, Status.FAILED, "the process ended during the run")
+
+    def _close(self, now: dt.datetime, status: Status, why: str) -> int:
         left = self.records().where("status = 'RUNNING'").collect()
         if left:
-            rows = [tuple((r.asDict() | {"status": Status.FAILED.value, "end_time": now, "run_key": f"{r['task_id']}-{r['id']}", "error_message": "the process ended during the run"}).values()) for r in left]
-            self.store.upsert("sync_record", self.spark.createDataFrame(rows, RECORD), ["id"], [])
+            rows = [tuple((r.asDict() | {"status": status.value, "end_time": now, "run_key": f"{r['task_id']}-{r['id']}", "error_message": why}).values()) for r in left]
+            self._commit(lambda: self.store.upsert("sync_record", self.spark.createDataFrame(rows, RECORD), ["id"], []))
             for r in left:
                 self.store._fs().delete(self._lock(r["task_id"]), False)
         return len(left)
@@ -77,8 +121,8 @@ class StateStore:
     def clean(self, now: dt.datetime, record_days: int = 30, error_days: int = 7) -> None:
         from .reports import kept_errors, kept_records
 
-        self.store.replace("sync_record", kept_records(self.records(), now, record_days))
-        self.store.replace("sync_error", kept_errors(self.errors(), now, error_days))
+        for table, kept in (("sync_record", lambda x: kept_records(x, now, record_days)), ("sync_error", lambda x: kept_errors(x, now, error_days))):
+            self._commit(lambda: self.store.replace(table, kept(self.store.read(table, base := self.store._base(table))), base))  # noqa: B023
 
     def run(self, task, source, target, now: dt.datetime, **more) -> SyncResult:
         """One run under the task's lock, from the stored cursor, recorded."""

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.merge import last_wins
-
 
 def stream_upsert(stream: DataFrame, target, table: str, keys: list[str], order: list[str], checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Start upserting a stream into a target table.
@@ -17,7 +15,7 @@ def stream_upsert(stream: DataFrame, target, table: str, keys: list[str], order:
 
     def apply(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            target.upsert(table, last_wins(batch, keys, order), keys, order)
+            target.upsert(table, batch, keys, order)
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
