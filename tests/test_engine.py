@@ -49,6 +49,9 @@ CASES = [
     ("BOOLEAN", "boolean", col("t", "BLOB"), [(True, b"\x01"), (False, b"\x00"), (None, None)]),
     ("INT", "int", col("t", "BLOB"), [(12, b"12")]),
     ("DECIMAL", "decimal(20,6)", col("t", "DECIMAL"), [(Decimal("1.234567"), Decimal("1.234567"))]),
+    ("INT", "int", col("t", "TINYINT UNSIGNED"), [(200, 200), (256, "bad"), (-1, "bad")]),
+    ("VARCHAR", "string", col("t", "BIGINT UNSIGNED"), [("18446744073709551615", Decimal("18446744073709551615")), ("18446744073709551616", "bad")]),
+    ("BIT", "binary", col("t", "BIT", True, 8), [(b"\x05", b"\x05"), (b"\x05\x05", "bad")]),
     ("INT", "int", col("t", "TINYINT"), [(127, 127), (128, "bad")]),
     ("INT", "int", col("t", "BOOLEAN"), [(0, False), (7, True)]),
     ("YEAR", "int", col("t", "DATE"), [(2024, dt.date(2024, 1, 1))]),
@@ -63,7 +66,7 @@ CASES = [
 @pytest.mark.parametrize("kind,spark_kind,target,pairs", CASES)
 def test_conversions(spark, kind, spark_kind, target, pairs):
     df = spark.createDataFrame([(i, v) for i, (v, _) in enumerate(pairs)], f"i int, x {spark_kind}")
-    new, bad = convert(F.col("x"), col("x", kind), target)
+    new, bad = convert(F.col("x"), col("x", kind, True, 8 if kind == "BIT" else 0), target)
     got = {r["i"]: "bad" if r["bad"] else r["y"] for r in df.select("i", new.alias("y"), bad.alias("bad")).collect()}
     assert got == {i: bytes(w) if isinstance(w, bytes) else w for i, (_, w) in enumerate(pairs)}
 

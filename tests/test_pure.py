@@ -173,3 +173,14 @@ def test_listener_and_bus():
     bus.subscribe(heard.append)
     bus.publish("x")
     assert heard == ["x"] and bus.count() == 2
+
+
+def test_tasks_that_may_not_be_saved():
+    from tidemark.model import SyncTask, check_task
+
+    assert check_task(SyncTask(1, "t", "s", mode="FULL")).cursor is None
+    assert SyncTask(1, "t", "s", incr_value="5").cursor == "5" and SyncTask(1, "t", "s", cursor=" ", incr_value=" ").cursor is None
+    assert SyncTask(1, "t", "s", cursor="7", incr_value="5").cursor == "7"
+    for wrong in (SyncTask(1, "t", "s", mode="INCR"), SyncTask(1, "t", "s"), SyncTask(1, "t", "s", mode="FULL_INCR", incr_column=" "), SyncTask(1, "t", "s", mode="FULL", batch_size=2000)):
+        with pytest.raises(ValueError):
+            check_task(wrong)

@@ -10,14 +10,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..model import ColumnSpec
-from .types import BINARY, CHARACTER, INTEGERS, NUMERIC, TEMPORAL, family, spark_type
+from .types import BINARY, CHARACTER, INTEGERS, NUMERIC, TEMPORAL, UNSIGNED_MOST, family, is_unsigned, spark_type
 
 # Texts of booleans, numbers and points in time.
 TRUE, FALSE = ("1", "true", "t", "y", "yes", "on"), ("0", "false", "f", "n", "no", "off", "")
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 MOMENT = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?$"
 CLOCK = r"^([01][0-9]|2[0-3]):[0-5][0-9](:[0-5][0-9]([.][0-9]{1,9})?)?$"
-_RANGE = {"tinyint": "tinyint", "smallint": "smallint", "int": "int", "year": "int", "bigint": "bigint"}
 
 
 def as_text(c: Column, source: ColumnSpec) -> Column:
@@ -115,7 +114,9 @@ def convert(c: Column, source: ColumnSpec, target: ColumnSpec) -> tuple[Column,
     elif t == "year":
         new = F.year(_moment(c, source)) if s in TEMPORAL - {"year"} else _whole(c, source, "int")
     elif t in INTEGERS:
-        new = _whole(c, source, _RANGE[t])
+        new = _whole(c, source, spark_type(target).simpleString())
+        if is_unsigned(target):
+            fits = new.between(F.lit(0), F.lit(UNSIGNED_MOST[t]).cast("decimal(20,0)"))
     elif t == "decimal":
         # without a precision a decimal stays as it is
         new = c if s == "decimal" and target.length <= 0 else _number(c, source, spark_type(target).simpleString())

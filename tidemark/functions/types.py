@@ -53,6 +53,14 @@ def family(column: ColumnSpec) -> str | None:
     return _BY_NAME.get(base_name(column.sql_type))
 
 
+def is_unsigned(column: ColumnSpec) -> bool:
+    return family(column) in INTEGERS and "UNSIGNED" in column.sql_type.upper().split()
+
+
+#: Greatest values of unsigned integers; they are held in the next wider type.
+UNSIGNED_MOST = {"tinyint": 2**8 - 1, "smallint": 2**16 - 1, "int": 2**32 - 1, "bigint": 2**64 - 1}
+
+
 def is_watermark(column: ColumnSpec) -> bool:
     """Numbers and points in time have an order that new rows follow; a time of day has not."""
     return family(column) in NUMERIC | TEMPORAL - {"time"}
@@ -73,6 +81,8 @@ def spark_type(column: ColumnSpec) -> T.DataType:
         "boolean": T.BooleanType(), "tinyint": T.ByteType(), "smallint": T.ShortType(), "year": T.IntegerType(), "int": T.IntegerType(), "bigint": T.LongType(), "float": T.FloatType(), "double": T.DoubleType(),
         "char": T.StringType(), "varchar": T.StringType(), "text": T.StringType(), "binary": T.BinaryType(), "blob": T.BinaryType(), "date": T.DateType(), "time": T.StringType(), "timestamp": T.TimestampNTZType(), "timestamptz": T.TimestampType(),
     }
+    if is_unsigned(column):
+        return {"tinyint": T.ShortType(), "smallint": T.IntegerType(), "int": T.LongType(), "bigint": T.DecimalType(20, 0)}[kind]
     if kind == "bit":
         return T.BooleanType() if column.length <= 1 else T.BinaryType()
     if kind == "decimal":
@@ -122,7 +132,8 @@ def compatibility(source: ColumnSpec, target: ColumnSpec) -> tuple[Level | None,
 
 
 def _shrinks(source: ColumnSpec, s: str, target: ColumnSpec, t: str) -> tuple[Level | None, str]:
-    if s in INTEGERS and t in INTEGERS and INTEGERS.index(s) > INTEGERS.index(t):
+    # an unsigned integer needs the next wider signed one, and no unsigned one takes negative numbers
+    if s in INTEGERS and t in INTEGERS and (INTEGERS.index(s) + is_unsigned(source) > INTEGERS.index(t) + is_unsigned(target) or is_unsigned(target) > is_unsigned(source)):
         return Level.WARN, "values beyond the smaller range become bad rows"
     if s in ("float", "double") and t in INTEGERS:
         return Level.WARN, "fractions are rounded half up"

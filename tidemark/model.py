@@ -122,6 +122,8 @@ class SyncTask:
     incr_column: str | None = None
     order_column: str | None = None
     cursor: str | None = None
+    #: An older field for the cursor, read where cursor is blank.
+    incr_value: str | None = None
     page_size: int = 1000
     batch_size: int = 500
     mappings: tuple[FieldMapping, ...] = ()
@@ -146,7 +148,19 @@ class SyncTask:
             raise ValueError("; ".join(wrong))
         object.__setattr__(self, "mode", Mode(self.mode) if self.mode else None)
         object.__setattr__(self, "strategy", Strategy(self.strategy))
-        object.__setattr__(self, "cursor", self.cursor if self.cursor and self.cursor.strip() else None)
+        object.__setattr__(self, "cursor", next((c for c in (self.cursor, self.incr_value) if c and c.strip()), None))
+
+
+def check_task(task: SyncTask) -> SyncTask:
+    """The task, if it may be saved. Raises ValueError where a run could only warn or read everything again."""
+    wrong = []
+    if task.mode != Mode.FULL and not (task.incr_column and task.incr_column.strip()):
+        wrong.append("INCR_COLUMN_MISSING: an incremental task needs an incremental column")
+    if task.batch_size > task.page_size:
+        wrong.append("INVALID_BATCH_SIZE: a batch is no larger than a page")
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    return task
 
 
 @dataclass(frozen=True)

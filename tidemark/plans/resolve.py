@@ -46,7 +46,15 @@ class SyncPlan:
     def select(self) -> list[str]:
         """Source columns to read: the mapped ones, then the cursor and order keys."""
         names = [w.source.name for w in self.written if w.source] + ([self.incr.name] if self.incr else []) + self.order_keys
-        return list({n.lower(): n for n in reversed(names)}.values())[::-1]
+        return _once(names)
+
+
+def _once(names: list[str]) -> list[str]:
+    """The names in order, each at its first place; case does not count."""
+    found: dict[str, str] = {}
+    for n in names:
+        found.setdefault(n.lower(), n)
+    return list(found.values())
 
 
 def is_incremental(task: SyncTask) -> bool:
@@ -172,7 +180,7 @@ def _order(plan: SyncPlan) -> None:
         keys += [] if order else list(source.first_key())
     else:
         keys += list(source.first_key())
-    keys = list({k.lower(): k for k in reversed(keys)}.values())[::-1]
+    keys = _once(keys)
     if not keys:
         _say(plan, Level.ERROR, "SORT_KEY_MISSING", "the source has no key and no order column")
         return

@@ -18,6 +18,14 @@ def count_by_status(records: DataFrame) -> DataFrame:
     return records.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def count_by_task(records: DataFrame) -> DataFrame:
+    return records.groupBy("task_id").agg(F.count("*").alias("n"))
+
+
+def total_records(records: DataFrame) -> DataFrame:
+    return records.agg(F.count("*").alias("n"))
+
+
 def overview(tasks: DataFrame, records: DataFrame) -> DataFrame:
     """One row: tasks, runs by outcome and rows read, in one aggregation of each table."""
     n = tasks.agg(F.count("*").alias("total_tasks")).withColumn("_one", F.lit(1))
