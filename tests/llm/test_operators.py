@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 
 import brute
@@ -100,6 +101,73 @@ def test_main_text_by_density():
     assert html_text.main_text("<a \"<b" * 200) is not None
 
 
+def tree(rng, depth=0):
+    """A random element: (tag, children), children being texts and elements."""
+    name = rng.choice(["div", "section", "div", "ul"]) if depth < 3 and rng.random() < 0.7 else rng.choice(["p", "a", "span", "p"])
+    if name in ("p", "a", "span"):
+        return name, [" ".join(rng.choice(VOCABULARY) for _ in range(rng.choice([1, 3, 30, 80])))]
+    return name, [tree(rng, depth + 1) for _ in range(rng.randrange(1, 5))]
+
+
+def shown(node):
+    return node if isinstance(node, str) else f"<{node[0]}>{''.join(map(shown, node[1]))}</{node[0]}>"
+
+
+def density_tree(node, body=None, linked=False):
+    """Elements in page order as (characters, density, sum of the children's densities), counted anew for each."""
+
+    def count(x, linked):
+        if isinstance(x, str):
+            return len(x), 0, len(x) * linked, 0
+        linked = linked or x[0] == "a"
+        parts = [count(c, linked) for c in x[1]]
+        return sum(p[0] for p in parts), 1 + sum(p[1] for p in parts), sum(p[2] for p in parts), (x[0] == "a") + sum(p[3] for p in parts)
+
+    def density(x, linked):
+        c, t, lc, lt = count(x, linked)
+        base = math.log(c / max(1.0, c - lc) * lc + body * c + math.e)
+        return c / t * max(0.0, math.log(max(1.0, c / max(1.0, lc) * t / max(1.0, lt)))) / max(html_text.LEAST_LOG, math.log(base)) if c else 0.0
+
+    if body is None:
+        c, _, lc, _ = count(node, False)
+        body = lc / c
+    linked = linked or node[0] == "a"
+    inner = [x for x in node[1] if not isinstance(x, str)]
+    out = [(count(node, linked)[0], density(node, linked), sum(density(x, linked) for x in inner))]
+    for x in inner:
+        out += density_tree(x, body, linked)
+    return out
+
+
+def test_density_against_a_naive_tree():
+    rng = random.Random(12)
+    for _ in range(200):
+        node = ("body", [tree(rng) for _ in range(rng.randrange(1, 6))])
+        parent, tag, unseen, _, runs = html_text._parse(shown(node))
+        chars, density, total = html_text.measures(parent, tag, unseen, runs)
+        for i, (c, d, s) in enumerate(density_tree(node), 1):
+            assert (chars[i], density[i], total[i]) == (c, pytest.approx(d), pytest.approx(s))
+
+
+def test_density_decides_on_pages_without_names(monkeypatch):
+    """Pages of plain div elements: lists of links and the text. Without the density most are wrong."""
+    rng = random.Random(13)
+    pages = []
+    for _ in range(40):
+        links = lambda: "<div>" + "".join(f"<div><a href=#>{prose(rng, 2, 9)}</a></div>" for _ in range(rng.randrange(8, 15))) + "</div>"
+        text = [prose(rng, rng.randrange(40, 90), 99) for _ in range(rng.randrange(2, 6))]
+        pages.append((f"<body>{links()}<div><div>{''.join(f'<p>{x}</p>' for x in text)}</div></div>{links()}</body>", "\n\n".join(text)))
+    assert all(html_text.main_text(page) == text for page, text in pages)
+    monkeypatch.setattr(html_text, "_density", lambda *_: 1.0)
+    assert sum(html_text.main_text(page) != text for page, text in pages) > 30
+
+
+def test_long_comments_are_not_the_text():
+    story, talk = "<p>" + "some words of the story " * 12 + "</p>", "<p>" + "what a reader says of it " * 20 + "</p>"
+    assert html_text.main_text(f"<body><div>{story * 2}</div><div class='comments'>{talk * 9}</div></body>").count("reader") == 0
+    assert html_text.main_text(f"<body><article>{story * 2}</article><aside>{talk * 9}</aside></body>").count("reader") == 0
+
+
 def test_extract_pages(spark):
     df = spark.createDataFrame([(1, "u", "<article><p>é</p></article>"), (2, None, None), (1, "u", "<article><p>é</p></article>")], "page_id long, url string, html string").withColumn("text", F.lit("x"))
     assert sorted((r["page_id"], r["text"], r["n_chars"]) for r in html_text.extract_pages(df).collect()) == [(1, "é", 1), (1, "é", 1), (2, "", 0)]

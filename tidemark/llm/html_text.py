@@ -1,9 +1,13 @@
 """Main text of HTML pages by composite text density.
 
 For every node of the page: characters per tag, adjusted by the share of characters and tags that are links. The node
-whose children's densities add up to most is the core of the page; the least density on its path from the body is the
-threshold, and other subtrees whose density reaches it, and whose own sum is a fair part of the core's, belong to the
-text too. A core inside an article or main element stands for that whole element.
+whose children's densities add up to most is the core of the page, and the least density on its path from the body is the
+threshold: other subtrees whose density reaches it belong to the text too.
+
+Names of tags and classes choose nothing, they only take away: menus, adverts and the like inside what was chosen, and
+what lies outside the article or main element that holds the core. A core inside such named matter, as a long thread of
+comments may be, is given up for the densest node of the rest, unless nothing there comes near the threshold; then the
+name is that of a wrapper around the page's text.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 #: A name that says what a wrapper has or lacks tells nothing about its own text.
 WRAPPER = re.compile(r"(?:has|no|with)[_-]", re.I)
 # Elements without page text, names that mark other matter, and how HTML nests.
-SKIPPED = set("head script style noscript template nav header footer aside form button select option textarea iframe svg canvas object video audio dialog menu".split())
+UNSEEN = set("head script style noscript template iframe svg canvas object video audio".split())
+SKIPPED = set("nav header footer aside form button select option textarea dialog menu".split())
 RAW = set("script style textarea title noscript iframe template svg".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 OTHER = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?\w*|consent|notice|popup|modal|newsletter|subscribe|sidebar|side|related|recommend\w*|share|sharing|social|nav\w*|menu|breadcrumbs?|footer|masthead|comments?|commentlist|disqus|respond|reply|replies|pagination|pager|toolbar|widget|login|signup)(?:$|[\s_-])", re.I)
@@ -31,8 +36,10 @@ BLOCK = set("address article blockquote body caption center dd details div dl dt
 CLOSES_P = BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 FENCE = {"ul", "ol", "table", "dl", "select", "body", "html", "article", "main", "section", "div"}
-#: Part of the core's density sum that another subtree needs.
-FAIR_PART = 0.1
+#: Part of the threshold that the rest must reach for a core in named matter to be given up.
+NEAR_PART = 0.1
+#: The logarithm of the density's base goes to nothing for short texts without links, and is held here.
+LEAST_LOG = 0.5
 
 
 def _marks(attrs: str) -> tuple[bool, bool]:
@@ -45,8 +52,8 @@ def _marks(attrs: str) -> tuple[bool, bool]:
 
 
 def _parse(html: str):
-    """Parents, tags, own skipped and named flags of the nodes, and the runs (node, text or None for a block's edge) in order."""
-    parent, tag, skipped, named, runs, stack, at = [-1], ["#root"], [False], [False], [], [0], 0
+    """Parents, tags, own unseen and named flags of the nodes, and the runs (node, text or None for a block's edge) in order."""
+    parent, tag, unseen, named, runs, stack, at = [-1], ["#root"], [False], [False], [], [0], 0
     n = len(html)
 
     def text(piece: str) -> None:
@@ -74,7 +81,7 @@ def _parse(html: str):
                 if tag[stack[depth]] == name:
                     leave(depth)
                     break
-                if name not in BLOCK and tag[stack[depth]] in BLOCK and name not in SKIPPED:
+                if name not in BLOCK and tag[stack[depth]] in BLOCK and name not in SKIPPED | UNSEEN:
                     break
             continue
         if name in CLOSES_P:
@@ -94,8 +101,8 @@ def _parse(html: str):
         hidden, other = _marks(attrs) if attrs and name not in ("html", "body", "article", "main") else (False, False)
         parent.append(stack[-1])
         tag.append(name)
-        skipped.append(name in SKIPPED or hidden)
-        named.append(other)
+        unseen.append(name in UNSEEN or hidden)
+        named.append(other or name in SKIPPED)
         if name in VOID:
             runs.append((node, " " if name == "br" else None) if name in ("br", "hr") else (node, ""))
             continue
@@ -107,28 +114,29 @@ def _parse(html: str):
             continue
         if not attrs.rstrip().endswith("/") or name in BLOCK:
             stack.append(node)
-    return parent, tag, skipped, named, runs
+    return parent, tag, unseen, named, runs
 
 
 def _density(c: float, t: float, lc: float, lt: float, body: float) -> float:
-    if not c or not t:
+    """c characters and t tags, lc and lt of them links; body is the share of links in the whole page's characters."""
+    if not c:
         return 0.0
-    base = math.log(c / max(1.0, c - lc) * lc + body * c + math.e)
-    return c / t * max(0.0, math.log(max(1.0, c / max(1.0, lc) * t / max(1.0, lt)))) / max(1e-9, math.log(base) if base > 1.0001 else 1e-4) if base > 1 else c / t
+    base = math.log(max(1.0, c / max(1.0, c - lc) * lc + body * c + math.e))
+    return c / t * max(0.0, math.log(max(1.0, c / max(1.0, lc) * t / max(1.0, lt)))) / max(LEAST_LOG, math.log(max(1.0, base)))
 
 
-def _measures(parent: list, tag: list, skipped: list, runs: list):
-    """Characters, density and sum of the children's densities of each node, and the core."""
+def measures(parent: list, tag: list, gone: list, runs: list):
+    """Characters, density and sum of the children's densities of each node, without the nodes that are gone."""
     n = len(parent)
     chars, links, tags, link_tags = [0.0] * n, [0.0] * n, [0.0] * n, [0.0] * n
     linked = [False] * n
     for i in range(1, n):
         linked[i] = linked[parent[i]] or tag[i] == "a"
-        if not skipped[i]:
+        if not gone[i]:
             tags[i] += 1
             link_tags[i] += tag[i] == "a"
     for node, piece in runs:
-        if piece and not skipped[node]:
+        if piece and not gone[node]:
             size = len(piece.strip())
             chars[node] += size
             links[node] += size if linked[node] else 0
@@ -142,12 +150,26 @@ def _measures(parent: list, tag: list, skipped: list, runs: list):
     density = [_density(chars[i], tags[i] or 1, links[i], link_tags[i], body) for i in range(n)]
     total = [0.0] * n
     for i in range(1, n):
-        if not skipped[i]:
+        if not gone[i]:
             total[parent[i]] += density[i]
-    core = max(range(n), key=lambda i: (total[i] if not skipped[i] else -1, i))
-    if not total[core]:  # text without elements around it
-        core = 0
-    return chars, density, total, core
+    return chars, density, total
+
+
+def core_of(parent: list, tag: list, gone: list, density: list, total: list) -> tuple[int, float]:
+    """The node of the greatest sum, the inner of equals, and the least density on its path from the body.
+
+    A paragraph with marked-up text is no container: the element around it that holds blocks stands for it.
+    """
+    core = max(range(len(parent)), key=lambda i: (-1 if gone[i] else total[i], i))
+    core = core if total[core] else 0  # text without elements around it
+    holds = {parent[i] for i in range(1, len(parent)) if tag[i] in BLOCK}
+    while core and core not in holds:
+        core = parent[core]
+    least, i = density[core], core
+    while i and tag[i] != "body":
+        i = parent[i]
+        least = min(least, density[i])
+    return core, least
 
 
 def _inherited(parent: list, own: list) -> list:
@@ -157,60 +179,51 @@ def _inherited(parent: list, own: list) -> list:
     return out
 
 
-def _unnamed(parent: list, tag: list, skipped: list, named: list, runs: list) -> list:
-    """The named flags without those of wrappers around the main text.
-
-    These are the elements around the largest article or main, or around the core of a page without one (or the core
-    itself), if what lies outside named elements is not a fair part of it.
-    """
-    out = _inherited(parent, [a or b for a, b in zip(skipped, named, strict=True)])
-    free = _inherited(parent, skipped)
-    chars, _, total, core = _measures(parent, tag, free, runs)
-    most = max((i for i in range(len(parent)) if tag[i] in ("article", "main") and not free[i]), key=lambda i: (chars[i], i), default=None)
-    shown, _, sums, _ = _measures(parent, tag, out, runs)
-    if most is not None and chars[most]:
-        if max((shown[i] for i in range(len(parent)) if tag[i] in ("article", "main") and not out[i]), default=0) >= FAIR_PART * chars[most]:
-            return named
-        core = most
-    elif max(x for x, gone in zip(sums, out, strict=True) if not gone) >= FAIR_PART * total[core]:
-        return named
-    above, named = core, list(named)
-    while above > 0:
-        named[above] = False
-        above = parent[above]
-    return named
+def _path(parent: list, node: int) -> list[int]:
+    """The node and those around it, but for the root."""
+    out = []
+    while node > 0:
+        out.append(node)
+        node = parent[node]
+    return out
 
 
 def main_text(html: str | None) -> str:
-    """The text of the page's main subtree: its blocks, white space made single, joined by an empty line."""
+    """The text of the page's main subtrees: their blocks, white space made single, joined by an empty line."""
     if not html:
         return ""
-    parent, tag, skipped, named, runs = _parse(html)
+    parent, tag, unseen, named, runs = _parse(html)
     n = len(parent)
-    if any(named):
-        named = _unnamed(parent, tag, skipped, named, runs)
-        skipped = [a or b for a, b in zip(skipped, named, strict=True)]
-    skipped = _inherited(parent, skipped)
-    _, density, total, core = _measures(parent, tag, skipped, runs)
-    least, i, whole = density[core], core, None
-    while i:
-        least = min(least, density[i])
-        whole = i if tag[i] in ("article", "main") else whole
-        i = parent[i]
-    chosen = [False] * n
-    chosen[core if whole is None else whole] = True
-    if whole is None:
-        for i in range(1, n):
-            if not skipped[i] and total[i] >= FAIR_PART * total[core] and density[i] >= least and tag[i] not in ("html", "body"):
-                chosen[i] = True
-    for i in range(1, n):
-        chosen[i] = chosen[i] or chosen[parent[i]]
+    unseen = _inherited(parent, unseen)
+    chars, density, total = measures(parent, tag, unseen, runs)
+    # a class of a wrapper around the largest article names its layout
+    most = max((i for i in range(n) if tag[i] in ("article", "main") and not unseen[i]), key=lambda i: (chars[i], i), default=0)
+    for i in _path(parent, most):
+        named[i] = named[i] and tag[i] in SKIPPED
+    core, least = core_of(parent, tag, unseen, density, total)
+    other = [i for i in _path(parent, core) if named[i]]
+    gone = _inherited(parent, [a or b for a, b in zip(unseen, named, strict=True)])
+    if other and max((density[i] for i in range(1, n) if not gone[i] and tag[i] not in ("html", "body")), default=0) >= NEAR_PART * least:
+        _, density, total = measures(parent, tag, gone, runs)
+        core, least = core_of(parent, tag, gone, density, total)
+    elif other:
+        for i in other:
+            named[i] = False
+        gone = _inherited(parent, [a or b for a, b in zip(unseen, named, strict=True)])
+    path = _path(parent, core)
+    above = set(path)
+    chosen = [not core] + [i == core or density[i] >= least and i not in above for i in range(1, n)]
+    chosen = _inherited(parent, chosen)
+    whole = next((i for i in path if tag[i] in ("article", "main")), 0)
+    if whole:
+        inside = _inherited(parent, [i == whole for i in range(n)])
+        chosen = [a and b for a, b in zip(chosen, inside, strict=True)]
     blocks, now = [], []
     for node, piece in runs:
         if piece is None:
             blocks.append("".join(now))
             now = []
-        elif chosen[node] and not skipped[node]:
+        elif chosen[node] and not gone[node]:
             now.append(piece)
     blocks.append("".join(now))
     return "\n\n".join(b for b in (" ".join(unescape(b).split()) for b in blocks) if b)
@@ -224,6 +237,8 @@ def _main_text(html: pd.Series) -> pd.Series:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """pages (page_id, url, html, ...) -> page_id, url, text, n_chars, one row per row.
 
-    A null or empty page, or one without main text, has the text ''. Repeated rows give repeated results.
+    A null or empty page, or one without main text, has the text ''. Repeated rows give repeated results, of nodes with
+    equal sums the inner one is the core, and other columns, whatever their names, are left out. A page of any length is
+    parsed whole, by itself, in time and memory proportional to it; an empty table gives no rows.
     """
     return pages.select("page_id", "url", _main_text(F.coalesce("html", F.lit(""))).alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
