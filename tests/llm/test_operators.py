@@ -255,6 +255,35 @@ def test_chat_layouts():
     assert chat.canonical("{") is None and chat.canonical(None) is None and chat.canonical('{"what": 1}') is None
 
 
+@pytest.mark.parametrize(
+    "record",
+    ['{"messages":["a"]}', '{"instruction":5,"output":"x"}', '{"messages":[{"role":"user","content":7}]}', '{"messages":[{"role":"user","content":["x"]}]}', "[1]", "7", "", None, "{", '{"what":1}', '{"prompt":{"a":"b"},"completion":"c"}', "[" * 100_000, '{"turns":"x"}'],
+)
+def test_records_that_nobody_knows(record):
+    assert chat.parsed(record) == (None, None)
+
+
+def test_records_with_nulls():
+    assert chat.canonical('{"messages":[null,{"role":"user","content":"a"},{"role":"assistant"},{"content":"c"}]}') == [("user", "a"), ("assistant", ""), ("", "c")]
+    assert chat.canonical('{"turns":[]}') == [] and chat.canonical('{"prompt":"","completion":"b","id":{"x":1}}') == [("user", ""), ("assistant", "b")]
+    assert chat.parsed('{"prompt":"a","completion":"b"}')[0] != chat.parsed('{"instruction":"a","output":"b"}')[0]
+
+
+def test_mixed_layouts_hold_the_same_turns(spark):
+    rng, rows = random.Random(6), []
+    for conv in [None, *range(-20, 40)]:
+        for k in range(rng.choice([1, 2, 2, 2, 3, 5])):
+            role = rng.choice(["user", "assistant", "system", "human", None]) if rng.random() < 0.3 else ["user", "assistant"][k % 2]
+            rows.append((conv, k, role, rng.choice(["", None, "a", "</s>", "x\\n" * 3000])))
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("record", F.lit("x"))
+    one, two = (chat.format_chats(chat.records_of(df, mixed)) for mixed in (False, True))
+    assert one.select("layout").distinct().count() == 1 and two.select("layout").distinct().count() == 5
+    plain = lambda x: {tuple(r) for r in chat.digests(x).collect()}
+    assert plain(one) == plain(two)
+    odd = spark.createDataFrame([(1, "{"), (2, None), (None, '{"messages":["a"]}'), (4, '{"prompt":"a","completion":"b"}')], "conv_id long, record string")
+    assert sorted((str(r["conv_id"]), r["n_turns"]) for r in chat.digests(chat.format_chats(odd)).collect()) == [("1", None), ("2", None), ("4", 2), ("None", None)]
+
+
 def test_chat_format(spark):
     rows = [(1, 1, "assistant", "b</s>"), (1, 0, "user", "a"), (2, 0, None, None), (3, 0, "assistant", ""), (3, 0, "user", "tie"), (None, 0, "user", "<|turn|>")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("record", F.lit("x"))

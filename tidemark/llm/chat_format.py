@@ -28,21 +28,24 @@ ROLES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assist
 
 @dataclass(frozen=True)
 class Mapping:
-    """Where turns stand: a list of (role, text) under `turns`, or fixed fields each with its role."""
+    """Where turns stand: a list of (role, text) under `turns`, or fixed fields with their roles.
+
+    An optional field that is empty is no turn; a field with the role of the one before it continues that turn.
+    """
 
     turns: str | None = None
     role: str = "role"
     text: str = "text"
-    fields: tuple[tuple[str, str], ...] = ()
+    fields: tuple[tuple[str, str, bool], ...] = ()
 
     def read(self, record: dict) -> list[tuple[str, str]]:
         if self.turns is not None:
-            said = [(x.get(self.role) or "", x.get(self.text) or "") for x in record.get(self.turns) or []]
+            said = [(x.get(self.role) or "", x.get(self.text) or "") for x in record.get(self.turns) or [] if x is not None]
             return said if self.turns == "turns" else [(ROLES.get(r, r), t) for r, t in said]
         out: list[tuple[str, str]] = []
-        for name, role in self.fields:
+        for name, role, optional in self.fields:
             said = record.get(name)
-            if said is None or said == "" and role != "assistant":
+            if said is None or optional and not said:
                 continue
             if out and out[-1][0] == role:  # instruction and input are one user turn
                 out[-1] = (role, out[-1][1] + "\n\n" + said)
@@ -52,16 +55,20 @@ class Mapping:
 
 
 def paths(value: object, at: str = "") -> set[str]:
-    """Paths of all leaves; elements of a list share '[]', nulls and missing fields look alike."""
+    """Paths of all leaves with their types; elements of a list share '[]', nulls and missing fields look alike."""
     if isinstance(value, dict):
         return set().union(*(paths(v, f"{at}.{k}" if at else k) for k, v in value.items())) if value else set()
     if isinstance(value, list):
         return set().union(*(paths(v, at + "[]") for v in value)) if value else {at + "[]"}
-    return set() if value is None else {at}
+    return set() if value is None else {f"{at}:{'text' if isinstance(value, str) else 'other'}"}
 
 
 def fingerprint(found: set[str]) -> str:
-    return hashlib.sha256("\n".join(sorted(found)).encode()).hexdigest()[:16]
+    return hashlib.sha256("\n".join(sorted(found)).encode("utf-8", "surrogatepass")).hexdigest()[:16]
+
+
+#: Fields that say nothing of the turns, whatever is in them.
+ASIDE = ("id", "conv_id", "source", "lang", "meta", "metadata", "category")
 
 
 def _layouts() -> dict[str, Mapping]:
@@ -69,30 +76,45 @@ def _layouts() -> dict[str, Mapping]:
     known: dict[str, Mapping] = {}
     for turns, role, text in (("messages", "role", "content"), ("messages", "role", "text"), ("conversations", "from", "value"), ("turns", "role", "text"), ("conversation", "role", "content"), ("dialog", "speaker", "text")):
         m = Mapping(turns, role, text)
-        both = {f"{turns}[].{role}", f"{turns}[].{text}"}
-        for found in (both, {f"{turns}[].{role}"}, {f"{turns}[].{text}"}, {f"{turns}[]"}, both | {f"{turns}[]"}):
+        both = {f"{turns}[].{role}:text", f"{turns}[].{text}:text"}
+        for found in (both, *({x} for x in both), {f"{turns}[]"}, both | {f"{turns}[]"}):
             known[fingerprint(found)] = m
     for ask, answer in (("instruction", "output"), ("instruction", "response"), ("prompt", "completion"), ("prompt", "response"), ("question", "answer"), ("prompt", "chosen"), ("query", "response"), ("input", "output")):
         for more in ((), ("input",), ("system",), ("system", "input"), ("context",), ("rejected",)):
-            fields = ((("system", "system"),) if "system" in more else ()) + ((ask, "user"),) + tuple((x, "user") for x in more if x in ("input", "context") and x != ask) + ((answer, "assistant"),)
-            known.setdefault(fingerprint({ask, answer, *more}), Mapping(fields=fields))
+            fields = [("system", "system", True)] * ("system" in more) + [(ask, "user", False)] + [(x, "user", True) for x in more if x in ("input", "context") and x != ask] + [(answer, "assistant", False)]
+            known.setdefault(fingerprint({f"{x}:text" for x in (ask, answer, *more)}), Mapping(fields=tuple(fields)))
     return known
 
 
 LAYOUTS = _layouts()
 
 
-def canonical(record: str | None) -> list[tuple[str, str]] | None:
-    """The turns of a JSON record, or None if its layout is unknown. Field names of no layout are left out of it."""
-    try:
-        value = json.loads(record or "")
-    except ValueError:
-        return None
+def layout_of(value: object) -> str | None:
+    """The fingerprint of a known layout that the record has, with or without the fields that stand aside."""
     if not isinstance(value, dict):
         return None
-    found = paths(value)
-    mapping = LAYOUTS.get(fingerprint(found)) or LAYOUTS.get(fingerprint({p for p in found if p.split(".")[0].split("[")[0] not in ("id", "conv_id", "source", "lang", "meta", "metadata", "category")}))
-    return mapping.read(value) if mapping else None
+    for found in (paths(value), paths({k: v for k, v in value.items() if k not in ASIDE})):
+        if fingerprint(found) in LAYOUTS:
+            return fingerprint(found)
+    return None
+
+
+def parsed(record: str | None) -> tuple[str | None, list[tuple[str, str]] | None]:
+    """Layout and turns of a JSON record; (None, None) for broken JSON and layouts nobody knows.
+
+    A layout is known by the paths of its leaves and by their being texts, so no record of a known one can be misread.
+    """
+    try:
+        value = json.loads(record or "")
+        layout = layout_of(value)
+    except (ValueError, RecursionError):
+        return None, None
+    return layout, LAYOUTS[layout].read(value) if layout else None
+
+
+def canonical(record: str | None) -> list[tuple[str, str]] | None:
+    """The turns of a JSON record, or None if its layout is unknown. Field names of no layout are left out of it."""
+    return parsed(record)[1]
 
 
 def escape(text: str) -> str:
@@ -119,12 +141,33 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(r), unescape(t)) for r, t in _PIECE.findall(formatted)]
 
 
-def records_of(rows: DataFrame) -> DataFrame:
+def records_of(rows: DataFrame, mixed: bool = False) -> DataFrame:
     """rows (conv_id, turn, role, text, ...) -> conv_id, record: one JSON record per conversation, its turns in order of
-    turn (nulls first), then role and text; a null conv_id is one conversation, a null text or role empty."""
+    turn (nulls first), then role and text; a null conv_id is one conversation, a null text or role empty.
+
+    All have the layout `turns`; with mixed, the layout changes with conv_id among those that can hold the conversation
+    without loss, as records from several collections would have them.
+    """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    told = F.transform(F.sort_array(F.collect_list(turn)), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text")))
-    return rows.groupBy("conv_id").agg(F.to_json(F.struct(told.alias("turns"))).alias("record"))
+    told = rows.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(turn)), lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    own = F.to_json(F.struct("turns"))
+    if not mixed:
+        return told.select("conv_id", own.alias("record"))
+    roles = F.transform("turns", lambda x: x["role"])
+    plain = F.forall(roles, lambda r: r.isin("user", "assistant", "system"))
+    pair = roles == F.array(F.lit("user"), F.lit("assistant"))
+    ask, answer = (F.get("turns", F.lit(i))["text"] for i in (0, 1))
+    shared = F.transform("turns", lambda x: F.struct(F.when(x["role"] == "user", "human").when(x["role"] == "assistant", "gpt").otherwise(x["role"]).alias("from"), x["text"].alias("value")))
+    messages = F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content")))
+    kind = F.pmod(F.col("conv_id"), F.lit(5))
+    record = (
+        F.when(pair & (kind == 0), F.to_json(F.struct(ask.alias("instruction"), F.lit("").alias("input"), answer.alias("output"))))
+        .when(pair & (kind == 1), F.to_json(F.struct(ask.alias("prompt"), answer.alias("completion"))))
+        .when(plain & kind.isin(0, 2), F.to_json(F.struct(F.col("conv_id").alias("id"), shared.alias("conversations"))))
+        .when(plain & kind.isin(1, 3), F.to_json(F.struct(messages.alias("messages"))))
+        .otherwise(own)
+    )
+    return told.select("conv_id", record.alias("record"))
 
 
 FORMATTED = "conv_id long, layout string, n_turns long, formatted string, mask array<struct<start:long,end:long>>"
@@ -133,19 +176,22 @@ FORMATTED = "conv_id long, layout string, n_turns long, formatted string, mask a
 def format_chats(records: DataFrame) -> DataFrame:
     """records (conv_id, record) -> conv_id, layout (fingerprint), n_turns, formatted, mask; one row per row.
 
-    Unknown layouts, broken JSON and nulls give null n_turns, formatted and mask. Offsets of the mask are code points.
+    Unknown layouts, broken JSON and nulls give null layout, n_turns, formatted and mask; a record without turns gives
+    an empty text. Repeated rows give repeated results, an empty table none, and other columns, whatever their names, are
+    left out. Texts of any length are formatted whole; one record is in memory at a time besides its Arrow batch. Offsets
+    of the mask are code points.
     """
 
     def run(frames):
         for frame in frames:
             out = []
             for conv, record in zip(frame["conv_id"], frame["record"], strict=True):
-                turns = canonical(record)
+                layout, turns = parsed(record)
                 if turns is None:
                     out.append((conv, None, None, None, None))
                     continue
                 text, mask = format_turns(turns)
-                out.append((conv, fingerprint(paths(json.loads(record))), len(turns), text, [{"start": a, "end": b} for a, b in mask]))
+                out.append((conv, layout, len(turns), text, [{"start": a, "end": b} for a, b in mask]))
             f = pd.DataFrame(out, columns=["conv_id", "layout", "n_turns", "formatted", "mask"])
             f["conv_id"], f["n_turns"] = f["conv_id"].astype("Int64"), f["n_turns"].astype("Int64")
             yield f
@@ -157,18 +203,25 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """What the formatted strings say when read back: turns, and the text under the mask, unescaped."""
+    """What the formatted strings say when read back: turns, and the text under the mask, unescaped.
+
+    One row per row; rows that were not formatted have nulls.
+    """
 
     def run(frames):
         for frame in frames:
             out = []
             for conv, text, mask in zip(frame["conv_id"], frame["formatted"], frame["mask"], strict=True):
+                if text is None:
+                    out.append((conv, *[None] * 5))
+                    continue
                 turns = read_back(text)
                 loss = "".join(unescape(text[m["start"] : m["end"]]) for m in mask)
                 told = "".join(f"{r}\n{t}\n" for r, t in turns)
                 out.append((conv, len(turns), hashlib.sha256(told.encode("utf-8", "surrogatepass")).hexdigest(), len(loss), hashlib.sha256(loss.encode("utf-8", "surrogatepass")).hexdigest(), len(text)))
             f = pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-            f["conv_id"] = f["conv_id"].astype("Int64")
+            for c in ("conv_id", "n_turns", "loss_chars", "formatted_chars"):
+                f[c] = f[c].astype("Int64")
             yield f
 
-    return chats.where("formatted is not null").select("conv_id", "formatted", "mask").mapInPandas(run, DIGEST)
+    return chats.select("conv_id", "formatted", "mask").mapInPandas(run, DIGEST)

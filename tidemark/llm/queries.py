@@ -38,11 +38,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations, and one whose texts are control strings."""
+    """All conversations, and one whose texts are control strings, as records of several layouts."""
     told = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
-    return chat_format.digests(chat_format.format_chats(chat_format.records_of(rows)))
+    return chat_format.digests(chat_format.format_chats(chat_format.records_of(rows, mixed=True)))
 
 
 def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
