@@ -227,6 +227,20 @@ def test_mixing(spark, docs, nothing):
     assert [r["taken"] for r in mixing.mix_sources(nothing.union(spark.createDataFrame([(1, None, None, None, 0)], DOCS))).collect()] == [0]
 
 
+@pytest.mark.parametrize("buckets,edge", [(2, 1), (3, 0), (1 << 16, 1)])
+def test_mixing_cuts_the_last_bucket_again(spark, monkeypatch, buckets, edge):
+    """However few the buckets, the rows taken are the same; repeated rows share a key that no cut parts."""
+    monkeypatch.setattr(mixing, "BUCKETS", buckets)
+    monkeypatch.setattr(mixing, "EDGE_ROWS", edge)
+    rng = random.Random(14)
+    rows = [(i // 3 if i % 7 == 0 else i, "#$ " * rng.randrange(30) + prose(rng, rng.randrange(1, 60)), "en", rng.choice(["a", "b", "b", None]), 0) for i in range(300)]
+    rows += [(1, "one two three", "en", "b", 0)] * 5
+    con = duckdb.connect()
+    con.register("documents", spark.createDataFrame(rows, DOCS).toPandas())
+    got = mixing.mix_sources(spark.createDataFrame(rows, DOCS).repartition(3)).select("doc_id", "size", "source_size", "target", "taken")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, con.execute(mixing.ORACLE).fetchall()))
+
+
 def test_targets_share_the_excess(spark):
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame([("a", 10), ("b", 1000), (None, 1000)], "source string, source_size long")).collect()}
     assert got["a"] == 20 and got["b"] == pytest.approx((1.5 * 2010 - 20) / 3) and got[None] == pytest.approx((1.5 * 2010 - 20) * 2 / 3)

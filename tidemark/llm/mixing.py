@@ -3,7 +3,8 @@
 Every document gets an exponential key -ln(u) / w, u from a hash of its id and w its quality weight; sorted by key
 within its source, documents are taken until the prefix sum of their sizes reaches what the source's target leaves
 after complete epochs. The prefix sum is never taken over a whole source: keys fall into 2**16 buckets whose sums are
-added up first, and only the one bucket per source in which the budget ends is sorted.
+added up first; the bucket in which a source's budget ends is cut the same way until it is small, and only its rows are
+sorted.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
 BUCKETS = 1 << 16
+#: Rows of the bucket in which a budget ends, at most, unless they share one key.
+EDGE_ROWS = 1000
 SEED = "mix-1"
 #: Characters that prose seldom has; the quality weight of a text falls with their share.
 NOISE = r"[^#*$%&|<>{}\[\]\\^~=+_@!]+"
@@ -46,6 +49,21 @@ def targets(sizes: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, ca
     return s.select("source", "source_size", F.least("most", F.coalesce(first["level"] * F.col("weight"), F.col("most"))).alias("target"))
 
 
+def _edges(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """Per source the bucket in which its budget ends: source, words before it, its least and greatest key, its rows.
+
+    rows has source, bucket, size, key and goal source, budget and before, the words ahead of all its rows. Sources whose
+    budget outlasts their rows are left out.
+    """
+    words = [F.sum("size").alias("words"), F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")]
+    sums = rows.groupBy("source", "bucket").agg(*words)
+    small = broadcast_if_small(goal.select(F.col("source").alias("s"), "budget", "before"))
+    upto = F.sum("words").over(Window.partitionBy("source").orderBy("bucket"))
+    ended = sums.withColumn("end", upto).join(small, F.col("source").eqNullSafe(F.col("s"))).where("before + end > budget")
+    first = F.min(F.struct("bucket", (F.col("before") + F.col("end") - F.col("words")).alias("before"), "low", "high", "n"))
+    return ended.groupBy("source").agg(first.alias("e")).select("source", "e.before", "e.low", "e.high", "e.n")
+
+
 def mix_sources(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS, seed: str = SEED) -> DataFrame:
     """docs (doc_id, text, source, ...) -> doc_id, size, source_size, target, taken; one row per row of docs.
 
@@ -53,27 +71,33 @@ def mix_sources(docs: DataFrame, share: float = SHARE, weights: tuple = WEIGHTS,
     row: size times the complete epochs of its source, and size once more if the fractional selection has it. A row is
     selected if its middle lies within the budget, so a source misses its target by half a document at most. Ties of
     keys go by doc_id and size; rows alike in both are interchangeable. Rows without doc_id hash as the text 'null';
-    a null source is a source of its own, last in order. An empty table gives no rows.
+    a null source is a source of its own, last in order. Other columns, whatever their names, are left out. A text of any
+    length is one row with its size. An empty table gives no rows. Targets are worked out in one task, from one narrow
+    row per source.
     """
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", F.size(words_of(F.col("text"))).cast("long").alias("size"), (-F.ln(u) / quality_weight(F.col("text"))).alias("key"))
-    base = durable(base.withColumn("bucket", F.least(F.lit(BUCKETS - 1), F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)).cast("int")), "mix")
-    sums = durable(base.groupBy("source", "bucket").agg(F.sum("size").alias("words")), "mix-buckets")
-    goal = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), share, weights)
+    size = F.size(words_of(F.col("text"))).cast("long").alias("size")
+    base = durable(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", size, (-F.ln(u) / quality_weight(F.col("text"))).alias("key")), "mix")
+    goal = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), share, weights)
     goal = goal.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)))
     goal = durable(goal.withColumn("budget", F.col("target") - F.col("epochs") * F.col("source_size")), "mix-targets")
-    small = broadcast_if_small(goal)
-    upto = Window.partitionBy("source").orderBy("bucket")
-    edge = sums.withColumn("end", F.sum("words").over(upto)).join(small.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-    edge = edge.where("end > budget").groupBy("source").agg(F.min(F.struct("bucket", (F.col("end") - F.col("words")).alias("before"))).alias("edge"))
-    goal = goal.join(edge.select(F.col("source").alias("es"), "edge"), F.col("source").eqNullSafe(F.col("es")), "left").drop("es").withColumnRenamed("source", "s")
-    goal = broadcast_if_small(durable(goal, "mix-edges"))
+    share_of = F.floor((1 - F.exp(-F.col("key"))) * BUCKETS)
+    edge = durable(_edges(base.withColumn("bucket", F.least(F.lit(BUCKETS - 1), share_of).cast("int")), goal.withColumn("before", F.lit(0))), "mix-edges")
+    # the bucket in which a budget ends is cut again until few rows are left in it, or all of them have one key
+    while not edge.where((F.col("n") > EDGE_ROWS) & (F.col("low") < F.col("high"))).isEmpty():
+        within = broadcast_if_small(edge.select(F.col("source").alias("s"), "low", "high"))
+        rows = base.join(within, F.col("source").eqNullSafe(F.col("s")) & F.col("key").between(F.col("low"), F.col("high")))
+        part = F.floor(F.try_divide(F.col("key") - F.col("low"), F.col("high") - F.col("low")) * BUCKETS)
+        rows = rows.withColumn("bucket", F.coalesce(F.least(F.lit(BUCKETS - 1), part), F.lit(0)).cast("int"))
+        ends = edge.select(F.col("source").alias("t"), "before").join(goal.select("source", "budget"), F.col("t").eqNullSafe(F.col("source"))).select("source", "budget", "before")
+        edge = durable(_edges(rows.select("source", "bucket", "size", "key"), ends), "mix-edges")
+    goal = goal.join(edge.select(F.col("source").alias("es"), "before", "low", "high"), F.col("source").eqNullSafe(F.col("es")), "left").drop("es").withColumnRenamed("source", "s")
+    goal = broadcast_if_small(durable(goal, "mix-goals"))
     rows = base.join(goal, F.col("source").eqNullSafe(F.col("s")))
-    inside = F.col("edge").isNull() | (F.col("bucket") < F.col("edge.bucket"))
-    at_edge = F.coalesce(F.col("bucket") == F.col("edge.bucket"), F.lit(False))
+    at_edge = F.coalesce(F.col("key").between(F.col("low"), F.col("high")), F.lit(False))
     order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    clear = rows.where(~at_edge).withColumn("picked", inside)
-    split = rows.where(at_edge).withColumn("picked", F.sum("size").over(order) - F.col("size") / 2 + F.col("edge.before") <= F.col("budget"))
+    clear = rows.where(~at_edge).withColumn("picked", F.col("low").isNull() | (F.col("key") < F.col("low")))
+    split = rows.where(at_edge).withColumn("picked", F.sum("size").over(order) - F.col("size") / 2 + F.col("before") <= F.col("budget"))
     taken = (F.col("size") * (F.col("epochs") + F.col("picked").cast("int"))).cast("long").alias("taken")
     out = ["doc_id", "size", "source_size", "target", taken]
     return clear.select(*out).union(split.select(*out))
