@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format as chat
 from tidemark.llm import decontaminate as decon
-from tidemark.llm import factorization, html_text, line_dedup, mixing, quality_rules, repeated_bytes, toxicity
+from tidemark.llm import factorization, html_text, jaccard_join, line_dedup, mixing, quality_rules, repeated_bytes, toxicity
 from tidemark.llm.common import components
 from tidemark.llm.jaccard_join import class_ends, fragments_of, jaccard_classes, keep_one_each
 
@@ -384,6 +384,39 @@ def test_jaccard_groups(spark):
     assert all(f - s > (e - 1) * 10 // 90 for e, f, s in zip(ends[1:], *fragments_of(ends, 90, 100), strict=True))
 
 
+@pytest.mark.parametrize("most,leaders,rounds,block", [(0, 2, 2, 60), (30, 1000, 1, 1 << 20), (100_000, 4, 0, 300)])
+def test_jaccard_of_a_template(spark, monkeypatch, most, leaders, rounds, block):
+    """Copies of a template with its slots filled differently: linked in chains, whichever way they are found."""
+    for name, value in (("MOST_FREQUENT", most), ("LEADERS", leaders), ("ROUNDS", rounds), ("BLOCK", block)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    rng = random.Random(15)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        w = list(base)
+        for slot in range(20, 180, 25):
+            w[slot] = f"s{slot}o{rng.randrange(5)}"
+        rows.append((i, " ".join(w), "en", "s", 0))
+    rows += [(1000 + i, prose(rng, 30), "en", "s", 0) for i in range(20)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_classes(spark.createDataFrame(rows, DOCS), 3, 90, 100).collect()}
+    assert got == brute.components([(r[0], r[1]) for r in rows], 3, 90, 100)
+
+
+def test_jaccard_of_rows_that_share_or_lack_ids(spark):
+    """Two texts of one doc_id are two nodes; rows without one link, and go where a row with one is in their group."""
+    rng = random.Random(16)
+    a, b, c, d = (prose(rng, 80, 99) for _ in range(4))
+    rows = [(5, a), (5, b), (9, edited(rng, b, 1)), (None, a), (None, c), (None, c), (None, edited(rng, c, 1)), (7, d), (7, d), (None, ""), (None, None)]
+    df = spark.createDataFrame([(i, t, "en", f"s{k}", 0) for k, (i, t) in enumerate(rows)], DOCS).withColumn("node", F.lit("x"))
+    got = sorted((str(r["doc_id"]), str(r["component_id"])) for r in jaccard_classes(df).collect())
+    assert got == sorted([("5", "5"), ("5", "5"), ("9", "5"), ("None", "5"), *[("None", "None")] * 5, ("7", "7"), ("7", "7")])
+    kept = keep_one_each(df)
+    assert kept.columns == df.columns
+    left = sorted((str(r["doc_id"]), r["text"], r["source"]) for r in kept.collect() if r["text"] and r["text"] not in (c, rows[6][1]))
+    assert left == sorted([("5", a, "s0"), ("5", b, "s1"), ("7", d, "s7")])
+    assert kept.count() == 6 and kept.where("text is null or text = ''").count() == 2
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 300), (7, 7)]
     rng = random.Random(1)

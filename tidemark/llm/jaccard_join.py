@@ -1,14 +1,16 @@
 """Exact set-similarity self join on word shingles by vertical partitioning of the global shingle order.
 
-The order is that of the shingles' 64-bit hashes. It is cut into fragments, many enough for a document's size class
-that two documents which link agree on at least one whole fragment (their differences are fewer than the fragments).
-Fragments with equal content bring documents together; the verdict counts the overlap of each pair in each of a few
-wide fragments separately and sums it per pair.
-
-Documents with equal sets are one class. Inside a fragment's bucket nobody is paired with everybody: each document is
-held against one leader, found as a grouped minimum. Only documents of buckets that then still hold several components
-go on: their shingles are ordered by rarity among them, and documents meet on the shingles of their prefixes, which in
-a group of near copies are the edits and not the common text; offsets and lengths drop most of these pairs.
+The order is that of the shingles' 64-bit hashes, frequent ones last. It is cut into fragments, many enough for a
+document's size class that two documents which link agree on at least one whole fragment (their differences are fewer
+than the fragments). Fragments with equal content bring documents together; the verdict counts the overlap of each pair
+in each of a few wide fragments separately and sums it per pair.
+
+Documents with equal sets are one node from the start, named by the hash of the set. Inside a fragment's bucket nobody is
+paired with everybody: each node is held against one leader, found as a grouped minimum, and while a bucket holds several
+components its nodes are held against a few more leaders, chosen by hash, a bounded number of times. Only nodes of
+buckets that stay open go on: their shingles are ordered by rarity among them, and nodes meet on the shingles of their
+prefixes, which in a group of near copies are the edits and not the common text; offsets and lengths drop most of these
+pairs.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, components, durable, release
+from .blocks import PACKED, packed, shared_keys
+from .common import broadcast_if_small, components, durable, fresh_names, release
 from .tokens import distinct, frugal, lowered, mix, prefix_hash, shingles, span_hash, text_slices, words
 
 #: Lower ends of the size classes grow by this factor.
@@ -29,8 +32,12 @@ WIDE = 8
 #: Arrow batch. Any choice of them gives the same links; it only spares meetings on common passages.
 MOST_FREQUENT, SEEN_OFTEN = 100_000, 4
 
+#: Leaders that the nodes of an open bucket are held against in a round, about, and rounds at most.
+LEADERS, ROUNDS = 32, 4
+#: Keys of a block, about, and keys that a task packs at a time.
+BLOCK, CHUNK = 1 << 20, 1 << 19
+
 _U = np.uint64
-SETS = "doc_id long, n_shingles long, sig1 long, sig2 long, keys array<long>"
 
 
 def class_ends(limit: int = 1 << 40) -> np.ndarray:
@@ -111,97 +118,155 @@ def text_sets(column: pa.Array, n: int):
         yield at, np.bincount(row, minlength=len(offsets) - 1).astype(np.int64), sh, row
 
 
-def _lists(parts: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, parts)])
-    flat = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+def _node(sizes: np.ndarray, sh: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """The hash of each row's set."""
+    acc = np.zeros(len(sizes), np.uint64)
+    np.add.at(acc, row, mix(sh + _U(0x8CB92BA72F3D8DD7)))
+    return mix(acc + sizes.astype(np.uint64))
 
 
-def _signed(batches, n: int, num: int, den: int, frequent: np.ndarray):
+def _sets(batches, n: int):
+    """d, t, doc_id, n_shingles and node of each row: columns d, t, doc_id, text."""
     for batch in frugal(batches):
-        ids = batch.column(0)
-        for at, sizes, sh, row in text_sets(batch.column(1), n):
-            sums = []
-            for seed in (0x8CB92BA72F3D8DD7, 0xAC564B05A1B2C3D5):
-                acc = np.zeros(len(sizes), np.uint64)
-                np.add.at(acc, row, mix(sh + _U(seed)))
-                sums.append(pa.array(mix(acc + sizes.astype(np.uint64)).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([ids.slice(at, len(sizes)), pa.array(sizes), *sums, _lists(fragment_keys(sh, row, sizes, num, den, frequent))], names=["doc_id", "n_shingles", "sig1", "sig2", "keys"])
+        for at, sizes, sh, row in text_sets(batch.column(3), n):
+            kept = [batch.column(i).slice(at, len(sizes)) for i in range(3)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sizes), pa.array(_node(sizes, sh, row).view(np.int64))], names=["d", "t", "doc_id", "n_shingles", "node"])
+
+
+def _keyed(batches, n: int, num: int, den: int, frequent: np.ndarray):
+    for batch in frugal(batches):
+        for _, sizes, sh, row in text_sets(batch.column(0), n):
+            some = sizes > 0
+            keys = fragment_keys(sh, row, sizes, num, den, frequent)
+            yield [k for k, s in zip(keys, some, strict=True) if s], _node(sizes, sh, row)[some], sizes[some]
 
 
 def _wide(batches, n: int):
     for batch in frugal(batches):
-        ids = np.asarray(batch.column(0))
+        nodes = np.asarray(batch.column(0))
         for at, sizes, sh, row in text_sets(batch.column(1), n):
             part = (sh >> _U(61)).astype(np.int64) * WIDE // 8
             begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (part[1:] != part[:-1])]) if len(sh) else np.zeros(0, int)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[begin, len(sh)], pa.int32()), pa.array(sh.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at + row[begin]]), pa.array(sizes[row[begin]]), pa.array(part[begin].astype(np.int32)), lists], names=["doc_id", "n", "part", "items"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[at + row[begin]]), pa.array(sizes[row[begin]]), pa.array(part[begin].astype(np.int32)), lists], names=["node", "n", "part", "items"])
+
+
+def _linked(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
+    """Of pairs (a, b) of nodes those that link: partial overlaps by fragment, summed."""
+    left = pairs.join(wide.select(F.col("node").alias("a"), F.col("n").alias("na"), "part", F.col("items").alias("ia")), "a")
+    right = wide.select(F.col("node").alias("b"), F.col("n").alias("nb"), "part", F.col("items").alias("ib"))
+    partial = left.join(right, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ia", "ib")).alias("same"))
+    total = partial.groupBy("a", "b").agg(F.sum("same").alias("same"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    return total.where(F.lit(den) * F.col("same") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
+
+
+def _open_buckets(bucket: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components of the links, and the rows of buckets with several of them: key, node, n, comp, many (of the bucket)."""
+    comp = durable(components(links), "components")
+    grouped = bucket.join(comp, "node", "left").withColumn("comp", F.coalesce("component", "node")).drop("component")
+    several = grouped.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("many")).where("lo < hi")
+    return comp, durable(grouped.join(several.select("key", "many"), "key"), "open-buckets")
+
+
+def _alike(num: int, den: int, n: str, m: str):
+    return F.lit(den) * F.least(n, m) >= F.lit(num) * F.greatest(n, m)
+
+
+def _prefix_pairs(left: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of nodes of different components that share a shingle of their rarity-ordered prefixes at fitting places."""
+    rest = wide.join(left.select("node", "comp").distinct(), "node").select("node", "comp", "n", F.explode("items").alias("sh"))
+    often = rest.groupBy("sh").agg(F.count("*").alias("df")).where("df > 1")
+    # shingles of one node only come first in the order and can meet nobody; they only take up places in it
+    known = rest.join(often, "sh").withColumn("single", F.col("n") - F.count("*").over(Window.partitionBy("node")))
+    placed = known.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "sh")) + F.col("single"))
+    prefix = durable(placed.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("sh", "node", "comp", "n", "rank"), "prefixes")
+    other = prefix.select("sh", *[F.col(c).alias(f"{c}2") for c in ("node", "comp", "n", "rank")])
+    need = F.ceil((F.col("n") + F.col("n2")) * num / (num + den))
+    fits = _alike(num, den, "n", "n2") & (1 + F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) >= need)
+    return prefix.join(other, "sh").where((F.col("comp") < F.col("comp2")) & fits).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+
+
+def jaccard_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """(d, t, doc_id, n_shingles, node of each row), and (node, group) of the nodes that link or have several rows.
+
+    d and t name a row: its doc_id, the least long for null, and the hash of its text.
+    """
+    key = [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t"), F.col("doc_id").cast("long").alias("doc_id")]
+    sizes = durable(docs.select(*key, "text").mapInArrow(lambda b: _sets(b, n), "d long, t long, doc_id long, n_shingles long, node long"), "sizes")
+    seen = docs.select("text").mapInArrow(lambda b: _frequent(b, n), "sh long, seen long").groupBy("sh").agg(F.sum("seen").alias("seen"))
+    frequent = np.sort(np.array([r[0] for r in seen.orderBy(F.desc("seen"), "sh").limit(MOST_FREQUENT).select("sh").collect()], np.int64).view(np.uint64))
+    # keys of all sets, about: fragments and those of the class below, and a few for each small set
+    total = sizes.agg(F.sum("n_shingles"), F.count("*")).first()
+    blocks, chunk = 1 + int(((total[0] or 0) * 2.5 * (den - num) / num + 4 * total[1]) / BLOCK), CHUNK
+    rows = docs.select("text").mapInArrow(lambda b: packed(_keyed(b, n, num, den, frequent), blocks, chunk), PACKED)
+    shared = rows.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(shared_keys, "key long, owner long, size int")
+    bucket = durable(shared.select("key", F.col("owner").alias("node"), F.col("size").alias("n")), "buckets")
+    classes = sizes.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("d", "t")).alias("p"), F.count("*").alias("rows"))
+    involved = durable(classes.join(bucket.select("node").distinct(), "node", "left_semi").select("node", "p.*"), "involved")
+    texts = docs.select(*key[:2], "text").join(broadcast_if_small(involved), ["d", "t"]).groupBy("node").agg(F.min("text").alias("text"))
+    wide = durable(texts.mapInArrow(lambda b: _wide(b, n), "node long, n long, part int, items array<long>"), "wide")
+    lead = bucket.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead")).select("key", F.col("lead.node").alias("b"), F.col("lead.n").alias("m"))
+    first = bucket.join(lead, "key").where((F.col("node") != F.col("b")) & _alike(num, den, "n", "m")).select(F.col("node").alias("a"), "b").distinct()
+    links = durable(_linked(first, wide, num, den), "links")
+    comp, left = _open_buckets(bucket, links)
+    for k in range(ROUNDS):
+        if left.isEmpty():
+            break
+        leads = left.where(F.pmod(F.xxhash64("node", F.lit(k)), F.greatest(F.lit(1), F.floor(F.col("many") / LEADERS))) == 0)
+        leads = leads.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
+        pairs = left.join(leads, "key").where((F.col("comp") != F.col("other")) & _alike(num, den, "n", "m")).select(F.col("node").alias("a"), "b").distinct()
+        more = durable(_linked(pairs, wide, num, den), "links")
+        if more.isEmpty():
+            break
+        links, spent = durable(links.union(more), "links"), [links, more, comp, left]
+        comp, left = _open_buckets(bucket, links)
+        release(*spent)
+    if not left.isEmpty():
+        more = durable(_linked(_prefix_pairs(left, wide, num, den), wide, num, den), "links")
+        if not more.isEmpty():
+            release(comp)
+            comp = durable(components(links.union(more)), "components")
+        release(more)
+    release(links, left, wide, bucket, involved)
+    named = comp.select("node", F.col("component").alias("group"))
+    alone = classes.where("rows > 1").select("node").join(named, "node", "left_anti").select("node", F.col("node").alias("group"))
+    return sizes, durable(named.union(alone), "groups")
 
 
 def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs (doc_id, text, ...) -> one row per row of docs: doc_id, n_shingles, component_id.
 
     Two documents link when den * |intersection| >= num * |union| of their sets of n-word shingles (words are runs
-    without ASCII white space, A-Z lowered; a text with fewer than n words is one shingle). component_id is the
-    smallest doc_id that links reach. Null, empty and wordless texts have no shingles and link with nothing, as rows
-    without doc_id do; repeated rows come out as often as they came in; rows that share a doc_id count as one node.
+    without ASCII white space, A-Z lowered; a text with fewer than n words is one shingle). component_id is the smallest
+    doc_id that links reach. Null, empty and wordless texts have no shingles and link with nothing. Rows without doc_id
+    link like all others and count for nobody's smallest id; rows that share a doc_id but not their text are nodes of
+    their own; repeated rows come out as often as they came in. Other columns, whatever their names, are left out. A very
+    long text is one set like any other, in memory by itself; an empty table gives no rows.
     """
-    ids = F.col("doc_id").cast("long").alias("doc_id")
-    seen = docs.select("text").mapInArrow(lambda b: _frequent(b, n), "sh long, seen long").groupBy("sh").agg(F.sum("seen").alias("seen"))
-    frequent = np.sort(np.array([r[0] for r in seen.orderBy(F.desc("seen"), "sh").limit(MOST_FREQUENT).select("sh").collect()], np.int64).view(np.uint64))
-    signed = durable(docs.select(ids, F.col("text")).mapInArrow(lambda b: _signed(b, n, num, den, frequent), SETS), "sets")
-    alike = ["sig1", "sig2", "n_shingles"]
-    sizes = durable(signed.drop("keys"), "sizes")
-    classes = durable(sizes.where("n_shingles > 0 and doc_id is not null").groupBy(*alike).agg(F.min("doc_id").alias("rep")), "classes")
-    # of each class one document goes on; the copies are the fewer, and only their ids are needed to leave them out
-    copies = durable(sizes.join(classes, alike).where("doc_id != rep").select("doc_id", *alike).distinct(), "copies")
-    single = signed.where("n_shingles > 0 and doc_id is not null").join(broadcast_if_small(copies), ["doc_id", *alike], "left_anti")
-    keyed = single.select("doc_id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key")).repartition("key")  # one exchange for both uses
-    shared = keyed.groupBy("key").agg(F.min(F.struct("doc_id", "n")).alias("lead"), F.max("doc_id").alias("hi")).where("lead.doc_id < hi").select("key", F.col("lead.doc_id").alias("lead"), F.col("lead.n").alias("lead_n"))
-    bucket = durable(keyed.join(shared, "key"), "buckets")
-    release(signed)
-    involved = broadcast_if_small(durable(bucket.select("doc_id").distinct(), "involved"))
-    texts = docs.select(ids, "text").join(involved, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-    wide = durable(texts.mapInArrow(lambda b: _wide(b, n), "doc_id long, n long, part int, items array<long>"), "wide")
-
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b) those that link: partial overlaps by fragment, summed."""
-        left = pairs.join(wide.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "part", F.col("items").alias("ia")), "a")
-        right = wide.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "part", F.col("items").alias("ib"))
-        partial = left.join(right, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ia", "ib")).alias("same"))
-        total = partial.groupBy("a", "b").agg(F.sum("same").alias("same"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-        return total.where(F.lit(den) * F.col("same") >= F.lit(num) * (F.col("na") + F.col("nb") - F.col("same"))).select("a", "b")
-
-    alike_size = F.lit(den) * F.least("n", "lead_n") >= F.lit(num) * F.greatest("n", "lead_n")
-    near = durable(linked(bucket.where("doc_id != lead").where(alike_size).select(F.col("doc_id").alias("a"), F.col("lead").alias("b")).distinct()), "links")
-    first = near.groupBy("a").agg(F.min("b").alias("comp")).withColumnRenamed("a", "doc_id")
-    grouped = bucket.join(first, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    several = grouped.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left_over = grouped.join(several, "key", "left_semi").select("doc_id", "comp").distinct()
-    rest = durable(wide.join(left_over, "doc_id").select("doc_id", "comp", "n", F.explode("items").alias("sh")), "residual")
-    often = rest.groupBy("sh").agg(F.count("*").alias("df")).where("df > 1")
-    # shingles of one document only come first in the order and can meet nobody; they only take up places in it
-    known = rest.join(often, "sh").withColumn("single", F.col("n") - F.count("*").over(Window.partitionBy("doc_id")))
-    placed = known.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "sh")) + F.col("single"))
-    prefix = durable(placed.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("sh", "doc_id", "comp", "n", "rank"), "prefixes")
-    other = prefix.select("sh", *[F.col(c).alias(f"{c}2") for c in ("doc_id", "comp", "n", "rank")])
-    need = F.ceil((F.col("n") + F.col("n2")) * num / (num + den))
-    fits = (F.lit(den) * F.least("n", "n2") >= F.lit(num) * F.greatest("n", "n2")) & (1 + F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) >= need)
-    met = prefix.join(other, "sh").where((F.col("comp") < F.col("comp2")) & fits).select(F.greatest("doc_id", "doc_id2").alias("a"), F.least("doc_id", "doc_id2").alias("b")).distinct()
-    comp = durable(components(near.union(linked(met))), "components")
-    release(bucket, wide, near, rest, prefix)
-    named = classes.join(comp, F.col("rep") == F.col("node"), "left").select(*alike, F.coalesce("component", "rep").alias("component"))
-    out = sizes.join(named, alike, "left")
-    empty = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
-    return out.select("doc_id", "n_shingles", F.when(empty, F.col("doc_id")).otherwise(F.col("component")).alias("component_id"))
+    sizes, groups = jaccard_groups(docs, n, num, den)
+    few = broadcast_if_small(groups)
+    named = sizes.where("n_shingles > 0").join(few, "node")
+    least = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
+    few = broadcast_if_small(durable(groups.join(least, "group").select("node", "component_id", F.lit(True).alias("found")), "component-ids"))
+    out = sizes.withColumn("node", F.when(F.col("n_shingles") > 0, F.col("node"))).join(few, "node", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("found"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one_each(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of their component, repeated rows once; all columns.
+    """Of each component of jaccard_classes the row with the smallest doc_id, then hash of the text; all columns.
 
-    Texts without words link with nothing and stay, and so do rows without doc_id.
+    Rows without doc_id stay only where their component has no row with one. Texts without words link with nothing and
+    stay. Of rows alike in doc_id and text, one stays if they have words: the first by its columns as JSON.
     """
-    kept = jaccard_classes(docs, n, num, den).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return named.select(*docs.columns).union(docs.where("doc_id is null"))
+    sizes, groups = jaccard_groups(docs, n, num, den)
+    rows = sizes.where("n_shingles > 0").join(broadcast_if_small(groups), "node").select("group", F.struct(F.col("doc_id").isNull().alias("none"), "d", "t").alias("p"))
+    best = durable(rows.groupBy("group").agg(F.min("p").alias("best")), "kept")
+    gone = durable(rows.join(broadcast_if_small(best), "group").where("p != best").select("p.d", "p.t").distinct(), "gone")
+    twice = durable(rows.groupBy("p").agg(F.count("*").alias("n")).where("n > 1").select("p.d", "p.t"), "repeated")
+    d, t, said = fresh_names(docs, "d", "t", "said")
+    own = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias(d), F.xxhash64("text").alias(t))
+    left = own.join(broadcast_if_small(gone.toDF(d, t)), [d, t], "left_anti")
+    again = broadcast_if_small(twice.toDF(d, t))
+    once = left.join(again, [d, t], "left_semi").withColumn(said, F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")])))
+    once = once.groupBy(d, t).agg(F.min_by(F.struct(*docs.columns), said).alias("row")).select("row.*")
+    return left.join(again, [d, t], "left_anti").select(*docs.columns).union(once.select(*docs.columns))
