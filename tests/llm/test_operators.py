@@ -4,9 +4,11 @@ import hashlib
 import json
 import math
 import random
+from collections import Counter
 
 import brute
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -310,6 +312,37 @@ def test_chat_format(spark):
     assert chat.digests(chat.format_chats(chat.records_of(df.limit(0)))).count() == 0
 
 
+def test_intervals_of_a_transform():
+    rng = random.Random(17)
+    for _ in range(300):
+        length, letters = rng.choice([1, 3, 8, 20]), rng.choice(["ab", "abcd", "abcdefghijkl"])
+        base = "".join(rng.choice(letters) for _ in range(60))
+        parts = []
+        for _ in range(rng.randrange(1, 8)):
+            part = list(base[rng.randrange(20) : rng.randrange(25, 60)])
+            for _ in range(rng.randrange(3)):
+                part[rng.randrange(len(part))] = rng.choice(letters)
+            parts.append("".join(part).encode())
+        text = np.concatenate([*[np.r_[np.frombuffer(x, np.uint8).astype(np.int16) + 2, np.int16(1)] for x in parts], np.zeros(1, np.int16)])
+        order = repeated_bytes.suffix_order(text, 80)
+        assert [tuple(text[i : i + 80]) for i in order] == sorted(tuple(text[i : i + 80]) for i in range(len(text)))
+        often = Counter(x[i : i + length] for x in parts for i in range(len(x) - length + 1))
+        got, at = repeated_bytes.repeated_starts(text, length), 0
+        for x in parts:
+            assert [bool(got[at + i]) for i in range(len(x) - length + 1)] == [often[x[i : i + length]] > 1 for i in range(len(x) - length + 1)]
+            at += len(x) + 1
+
+
+@pytest.mark.parametrize("sizes", [(1, 1, 1), (300, 50, 40)])
+def test_repeated_bytes_in_small_blocks(spark, docs, texts, monkeypatch, sizes):
+    for name, value in zip(("BLOCK_BYTES", "CHUNK", "SPANS"), sizes, strict=True):
+        monkeypatch.setattr(repeated_bytes, name, value)
+    got = {r["doc_id"]: (bytes(r["kept"]), len(r["spans"])) for r in repeated_bytes.remove_repeats(docs, 40, 8).collect()}
+    assert got == brute.repeated_bytes([(i, (t or "").encode()) for i, t in texts], 40)
+    with pytest.raises(ValueError):
+        repeated_bytes.remove_repeats(docs, 1001)
+
+
 @pytest.mark.parametrize("hot", [20_000, 0])
 def test_repeated_bytes(spark, docs, texts, nothing, hot):
     got = {r["doc_id"]: (bytes(r["kept"]), len(r["spans"])) for r in repeated_bytes.remove_repeats(docs, 40, 8, hot).collect()}

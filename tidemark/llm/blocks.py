@@ -24,11 +24,39 @@ def _cells(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer((ends * values.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def pack_rows(block: np.ndarray, columns: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row per block: the values of its rows, column by column, as bytes."""
+    order = np.argsort(block, kind="stable")
+    block = block[order]
+    cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+    ends = np.r_[cut, len(block)]
+    return pa.RecordBatch.from_arrays([pa.array(block[cut].astype(np.int32)), *[_cells(c[order], ends) for c in columns.values()]], names=["block", *columns])
+
+
+def by_block(batches) -> Iterator[list[list[bytes]]]:
+    """The cells of each block, column by column, from rows of pack_rows of which each block's stand together."""
+    now, parts = None, []
+    for batch in frugal(batches):
+        cells = [batch.column(i) for i in range(1, batch.num_columns)]
+        for row, block in enumerate(batch.column(0).to_pylist()):
+            if block != now and parts:
+                yield list(zip(*parts, strict=True))
+                parts = []
+            now = block
+            parts.append([c[row].as_py() for c in cells])
+    if parts:
+        yield list(zip(*parts, strict=True))
+
+
+def block_of(key: np.ndarray, blocks: int) -> np.ndarray:
+    return (mix(key) >> _U(33)) % _U(blocks)
+
+
 def pack(keys: list[np.ndarray], owners: np.ndarray, sizes: np.ndarray, blocks: int) -> pa.RecordBatch:
     """Rows of PACKED: the keys of each owner, of which 48 bits count, and the owner's size."""
     key = np.concatenate(keys) & LOW
     of = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-    block = ((mix(key) >> _U(33)) % _U(blocks)).astype(np.int32)
+    block = block_of(key, blocks).astype(np.int32)
     order = np.argsort(block, kind="stable")
     key, of, block = key[order], of[order], block[order]
     cut = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
@@ -65,8 +93,8 @@ def packed(rows: Iterable[tuple[list[np.ndarray], np.ndarray, np.ndarray]], bloc
 def shared_keys(batches) -> Iterator[pa.RecordBatch]:
     """Of PACKED rows, each block's together: key, owner, size of the keys that at least two owners have."""
 
-    def found(parts):
-        cat = lambda i, kind: np.concatenate([np.frombuffer(p[i], kind) for p in parts])
+    def found(columns):
+        cat = lambda i, kind: np.frombuffer(b"".join(columns[i]), kind)
         key = cat(1, np.uint16).astype(np.uint64) << _U(32) | cat(0, np.uint32)
         many = cat(4, np.int32)
         owner, size = np.repeat(cat(2, np.uint64), many), np.repeat(cat(3, np.int32), many)
@@ -78,14 +106,5 @@ def shared_keys(batches) -> Iterator[pa.RecordBatch]:
         same[:-1] |= same[1:]
         return pa.RecordBatch.from_arrays([pa.array(key[same].view(np.int64)), pa.array(owner[same].view(np.int64)), pa.array(size[same])], names=["key", "owner", "size"])
 
-    now, parts = None, []
-    for batch in frugal(batches):
-        cells = [batch.column(i) for i in range(1, 6)]
-        for row, block in enumerate(batch.column(0).to_pylist()):
-            if block != now and parts:
-                yield found(parts)
-                parts = []
-            now = block
-            parts.append([c[row].as_py() for c in cells])
-    if parts:
-        yield found(parts)
+    for columns in by_block(batches):
+        yield found(columns)
