@@ -9,12 +9,13 @@ from collections import Counter
 import brute
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import chat_format as chat
 from tidemark.llm import decontaminate as decon
-from tidemark.llm import factorization, html_text, jaccard_join, line_dedup, mixing, quality_rules, repeated_bytes, toxicity
+from tidemark.llm import common, factorization, html_text, jaccard_join, line_dedup, mixing, quality_rules, repeated_bytes, textfeatures, toxicity
 from tidemark.llm.common import components
 from tidemark.llm.jaccard_join import class_ends, fragments_of, jaccard_classes, keep_one_each
 
@@ -385,6 +386,61 @@ def test_quality_classifier(spark, labelled, docs, nothing):
     assert {r["score"] for r in factorization.score(rows.limit(3), none).collect()} == {0.5}
 
 
+def some_features(n=40, prefixes=()):
+    rng = random.Random(18)
+    texts = [prose(rng, rng.randrange(1, 60)) for _ in range(n)] + ["", None]
+    parts = [x for _, x in textfeatures.sparse_rows(pa.array(texts), 64 if not prefixes else toxicity.BUCKETS, prefixes)]
+    assert len(parts) == 1
+    return parts[0]
+
+
+def test_factorisation_against_the_sum_over_pairs():
+    rng, x = np.random.default_rng(1), some_features()
+    x.index = x.index % factorization.BUCKETS
+    m = factorization.Machine(0.3, rng.normal(size=factorization.WIDTH), rng.normal(size=(factorization.WIDTH, factorization.FACTORS)), x.stats.mean(0), x.stats.std(0) + 0.1)
+    begin, feature, value = m.design(x)
+    got, _ = m.logits(begin, feature, value)
+    for r in range(len(got)):
+        f, v = feature[begin[r] : begin[r + 1]], value[begin[r] : begin[r + 1]]
+        z = 0.3 + sum(m.linear[i] * a for i, a in zip(f, v, strict=True))
+        z += sum(m.factors[f[i]] @ m.factors[f[j]] * v[i] * v[j] for i in range(len(f)) for j in range(i))
+        assert got[r] == pytest.approx(z)
+
+
+def test_chain_against_a_plain_loop():
+    rng, x = np.random.default_rng(2), some_features(120, toxicity.PREFIXES)
+    n = len(x.begin) - 1
+    labels = (rng.random((n, 2)) < 0.4).astype(float)
+    labels[3, 0] = labels[7, 1] = np.nan
+    chain = toxicity.fit(labels, x, ["one", "two"])
+    told = np.zeros(n)
+    for fold in range(toxicity.FOLDS):  # what a model says of rows it has not learned from
+        learn = np.array([i for i in range(n) if i % toxicity.FOLDS != fold and not np.isnan(labels[i, 0])])
+        keep = np.isin(np.arange(n), learn)
+        model = toxicity._fit(labels[keep, 0], toxicity._rows(x, keep), np.zeros((len(learn), 0)))
+        for i in range(fold, n, toxicity.FOLDS):
+            told[i] = np.clip(model.bias + sum(model.words[j] for j in x.index[x.begin[i] : x.begin[i + 1]]), -30, 30)
+    known = ~np.isnan(labels[:, 1])
+    second = toxicity._fit(labels[known, 1], toxicity._rows(x, known), told[known, None])
+    assert np.allclose(chain.links[1].words, second.words) and chain.links[1].earlier == pytest.approx(second.earlier)
+    got = chain.logits(x)
+    for i in range(n):
+        one = np.clip(chain.links[0].bias + sum(chain.links[0].words[j] for j in x.index[x.begin[i] : x.begin[i + 1]]), -30, 30)
+        two = chain.links[1].bias + sum(chain.links[1].words[j] for j in x.index[x.begin[i] : x.begin[i + 1]]) + chain.links[1].earlier[0] * one
+        assert got[i] == pytest.approx([one, np.clip(two, -30, 30)])
+
+
+def test_training_sample_is_the_same_each_time(spark, labelled):
+    """Null ids, ids with several texts and labels, and ties: whatever the partitions, the same rows are learned from."""
+    rows, marks = labelled
+    more = rows.where("doc_id < 60").withColumn("text", F.concat(F.lit("other words here "), "text"))
+    twice = rows.union(more).union(rows.where("doc_id < 30").withColumn("doc_id", F.lit(None).cast("long")))
+    said = marks.union(marks.where("doc_id < 40").selectExpr("doc_id", "1 - quality", "toxic")).union(spark.createDataFrame([(None, 1, 1)], marks.schema))
+    one, two = (factorization.train(twice.repartition(k), said.repartition(k), most=120) for k in (2, 5))
+    assert one.bias == two.bias and np.array_equal(one.factors, two.factors)
+    assert factorization.score(twice, one).where("doc_id is null and held_out").count() == 0
+
+
 def test_toxicity(spark, labelled, docs, nothing):
     rows, marks = labelled
     labels = marks.select("doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic")
@@ -470,6 +526,26 @@ def test_decontamination(spark, docs, texts, nothing):
     assert not any(r["contaminated"] for r in decon.decontaminate(docs, bench.limit(0)).collect())
 
 
+def test_nothing_is_broadcast_beyond_the_bound(spark, docs, texts, monkeypatch):
+    """With a bound of no rows, and without the planner's own broadcasts, all joins shuffle and results are the same."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        lines = line_dedup.dedup_lines(docs)
+        assert "Broadcast" not in lines._jdf.queryExecution().executedPlan().toString()
+        assert {r["doc_id"]: r["text"] for r in lines.collect()} == brute.line_dedup(texts)
+        classes = jaccard_classes(docs, 3, 90, 100)
+        assert "Broadcast" not in classes._jdf.queryExecution().executedPlan().toString()
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in classes.collect()} == brute.components(texts, 3, 90, 100)
+        items = [(1, " ".join(texts[2][1].split()[3:20])), (10, "one two")]
+        hits = decon.decontaminate(docs, spark.createDataFrame(items, "item_id long, text string"))
+        assert {r["doc_id"]: r["n_hit"] for r in hits.collect()} == {i: brute.hits(t, items)[1] for i, t in texts}
+        assert mixing.mix_sources(docs).count() == docs.count() and keep_one_each(docs).columns == docs.columns
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_repeated_rows_and_missing_ids(spark):
     rows = [(1, "a b c d e f g", "en", "s", 1)] * 2 + [(None, "a b c d e f g", "en", None, 1), (None, None, None, None, None)]
     df = spark.createDataFrame(rows, DOCS)

@@ -3,6 +3,7 @@
 import random
 
 import brute
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,7 +52,7 @@ def test_bound_grows_with_the_line(spark, saved):
 
 
 def test_within_edits():
-    rng = random.Random(8)
+    rng, pairs = random.Random(8), []
     for _ in range(3000):
         x = [rng.choice("abcd") for _ in range(rng.randrange(1, 30))]
         y = list(x)
@@ -59,7 +60,9 @@ def test_within_edits():
             at = rng.randrange(len(y) + 1)
             y[at : at + rng.randrange(2)] = rng.choice([[], ["a"], ["b"]])
         y = y or ["a"]
+        pairs.append((" ".join(x).upper(), "  ".join(y)))
         assert line_dedup.within_edits(" ".join(x), " ".join(y), 5) == (brute.distance(x, y) <= max(1, min(len(x), len(y)) // 5))
+    assert list(line_dedup.near_pairs(*map(pa.array, zip(*pairs, strict=True)), 5)) == [line_dedup.within_edits(a, b, 5) for a, b in pairs]
 
 
 STORY = "<p>" + "some words of the story " * 12 + "</p>"

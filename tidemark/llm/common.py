@@ -51,19 +51,23 @@ def release(*tables: DataFrame) -> None:
         place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast after counting at most max_rows + 1 rows; a larger table keeps the planner's own join."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+def _is_small(df: DataFrame) -> bool:
+    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
-def join_few(rows: DataFrame, few: DataFrame, keys: list[str], max_rows: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Hint a broadcast after counting at most BROADCAST_ROWS + 1 rows; a larger table keeps the planner's own join."""
+    return F.broadcast(df) if _is_small(df) else df
+
+
+def join_few(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     """rows left join few, a table already written that has each key once.
 
-    If few has at most max_rows rows, its keys are broadcast and only the rows that match are shuffled, not all texts;
+    If few has at most BROADCAST_ROWS rows, its keys are broadcast and only the rows that match are shuffled, not all texts;
     otherwise the planner's own join does the same.
     """
     ids = few.select(*keys)
-    if ids.limit(max_rows + 1).count() > max_rows:
+    if not _is_small(ids):
         return rows.join(few, keys, "left")
     hit = rows.join(F.broadcast(ids), keys, "left_semi").join(few, keys)
     return hit.unionByName(rows.join(F.broadcast(ids), keys, "left_anti"), allowMissingColumns=True)

@@ -8,10 +8,12 @@ words of each remaining place are compared.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, durable
+from .common import broadcast_if_small, durable, fresh_names
 
 SHINGLE = 3
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,7 +46,6 @@ def _key() -> list[Column]:
 
 def hit_documents(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
     """d, t (id and hash of the text), n_hit and ids (of the items, as strings) of the rows of docs with a window."""
-    spark = docs.sparkSession
     win = durable(windows(items, length), "windows")
     one = durable(win.dropDuplicates(["wid", "win"]).drop("item_id"), "window-kinds")
     kinds = sorted(r.k for r in one.select("k").distinct().collect())  # three at most
@@ -53,15 +54,16 @@ def hit_documents(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFr
     def places(k: int) -> DataFrame:
         return words.select("d", "t", "n", F.posexplode(_shingles("w", "n", k)).alias("pos", "h")).withColumn("k", F.lit(k))
 
-    found = spark.createDataFrame([], "d long, t long, start int, m int, wid long")
+    none = words.limit(0).select("d", "t", F.lit(0).alias("start"), F.lit(0).alias("m"), F.lit(0).cast("long").alias("wid"))
+    found = []
     for k in kinds:
         mine = one.where(F.col("k") == k).withColumn("n", F.size("win")).select("wid", "win", "m", F.posexplode(_shingles("win", "n", k)).alias("off", "h"))
         seen = places(k).join(broadcast_if_small(mine.select("h").distinct()), "h").groupBy("h").agg(F.count("*").alias("df"))
         rare = mine.join(seen, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
         prefix = durable(rare.groupBy("wid", "win", "m").agg(F.min(F.struct("df", "h", "off")).alias("r")).where("r.df > 0").select("wid", "m", "r.h", "r.off"), "prefixes")
         at = places(k).join(broadcast_if_small(prefix), "h").where("pos >= off and pos - off + m <= n")
-        found = found.union(at.select("d", "t", (F.col("pos") - F.col("off")).alias("start"), "m", "wid"))
-    found = durable(found.distinct(), "places")
+        found.append(at.select("d", "t", (F.col("pos") - F.col("off")).alias("start"), "m", "wid"))
+    found = durable(reduce(DataFrame.union, found or [none]).distinct(), "places")
     texts = found.join(one.select("wid", "m", "win"), ["wid", "m"]).groupBy("d", "t").agg(F.collect_set(F.struct("start", "m", "wid", "win")).alias("c"))
     # only documents with a place to look at are shuffled with their words
     flagged = words.join(broadcast_if_small(found.select("d", "t").distinct()), ["d", "t"], "left_semi")
@@ -81,7 +83,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFr
     A window is `length` consecutive words of an item, or the whole item if it has fewer (but some). n_hit counts the
     words of the document inside any occurrence of any window; n_items the items with one; items_sha256 is the digest of
     their ids, sorted as strings and joined by commas (of the empty string if there are none). Null and empty texts
-    have no words; an empty benchmark hits nothing; repeated items and rows count as often as they stand there.
+    have no words; an empty benchmark hits nothing; repeated rows are judged alike, and an item told twice under one id
+    is one item. Rows without doc_id are judged by their texts, items without item_id hit but are not listed. Other
+    columns, whatever their names, are left out. A very long text is one row of words like any other.
     """
     hits = hit_documents(docs, items, length)
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_key(), F.size(tokens(F.col("text"))).cast("long").alias("n_words")).join(hits, ["d", "t"], "left")
@@ -89,12 +93,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFr
     return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
 
 
-
 def drop_contaminated(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:
-    """The rows of docs in which no window of an item occurs, with all their columns."""
-    hits = durable(hit_documents(docs, items, length).select(F.col("d").alias("__d"), F.col("t").alias("__t")), "contaminated")
-    own = [c.alias(n) for c, n in zip(_key(), ("__d", "__t"), strict=True)]
-    return docs.select("*", *own).join(broadcast_if_small(hits), ["__d", "__t"], "left_anti").select(*docs.columns)
+    """The rows of docs in which no window of an item occurs, with all their columns, whatever their names.
+
+    Null, empty and wordless texts have no window and stay; repeated rows and rows without doc_id go by their texts.
+    """
+    names = fresh_names(docs, "d", "t")
+    hits = durable(hit_documents(docs, items, length).select("d", "t").toDF(*names), "contaminated")
+    own = [c.alias(n) for c, n in zip(_key(), names, strict=True)]
+    return docs.select("*", *own).join(broadcast_if_small(hits), names, "left_anti").select(*docs.columns)
 
 
 ORACLE = """

@@ -101,7 +101,8 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, held_out, score, predicted, one row per row.
 
     Only the text enters the score. A null text scores as an empty one; repeated rows score alike; a null doc_id is not
-    held out.
+    held out. Texts of any length are scored whole, in slices of an Arrow batch; other columns, whatever their names, are
+    left out; a score of just THRESHOLD counts as good. An empty table gives no rows.
     """
 
     def run(batches):
@@ -114,7 +115,10 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows of docs whose text scores THRESHOLD or more, with all their columns."""
+    """The rows of docs whose text scores THRESHOLD or more, with all their columns, whatever their names.
+
+    Null and empty texts, repeated rows and very long texts are judged as score() does.
+    """
     columns, types = docs.columns, docs.schema
 
     def run(batches):

@@ -87,11 +87,14 @@ def held_out(doc_id, folds: int = 5):
 def training_rows(docs: DataFrame, labels: DataFrame, most: int, buckets: int, prefixes: tuple[int, ...] = ()):
     """Features of at most `most` labelled documents outside the held-out fold, the first by a hash of the id.
 
-    labels has doc_id and label. Only this bounded sample comes to the driver. Returns (doc_ids, labels, Sparse).
+    labels has doc_id and label; of several labels of a doc_id the greatest counts, of several texts the one whose hash
+    is least. Only this bounded sample comes to the driver. Returns (doc_ids, labels, Sparse).
     """
     chosen = labels.where(F.col("doc_id").isNotNull() & F.col("label").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").cast("double").alias("label"))
     chosen = F.broadcast(chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most))
-    got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("doc_id", "text", "label").mapInArrow(lambda b: _rows(b, buckets, prefixes), ROW).dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"), F.max("label").alias("label"))
+    got = texts.select("doc_id", "text", "label").mapInArrow(lambda b: _rows(b, buckets, prefixes), ROW).toPandas().sort_values("doc_id")
     begin = np.cumsum([0, *map(len, got["index"])])
     flat = lambda c, kind: np.concatenate([np.asarray(x, kind) for x in got[c]]) if len(got) else np.zeros(0, kind)
     stats = flat("stats", float).reshape(-1, N_STATISTICS)

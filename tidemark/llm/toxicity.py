@@ -123,7 +123,9 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     """docs (doc_id, text, ...) -> doc_id, held_out and, for each category c, p_c and c (1 if p_c is THRESHOLD or more).
 
     One row per row of docs. Null and empty texts have no words and get the base rates; repeated rows score alike; words
-    nobody labelled weigh nothing.
+    nobody labelled weigh nothing. Rows without doc_id are scored and not held out. Texts of any length are scored whole,
+    in slices of an Arrow batch; other columns, whatever their names, are left out; a probability of just THRESHOLD counts
+    as the category. An empty table gives no rows.
     """
     names = [f"p_{c}" for c in chain.categories]
 
