@@ -1,4 +1,9 @@
-"""From raw documents to a training mix, in five stages; each reads what the one before it wrote."""
+"""From raw documents to a training mix, in five stages; each reads what the one before it wrote.
+
+All but the last return rows of documents with all of their columns, whatever their names. Each says what it does with
+nulls, empty and wordless texts and repeated rows; texts of any length are judged whole, ties go by doc_id and then by
+the hash of the text, and an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +18,10 @@ from tidemark.llm.mixing import mix_sources
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine rejects go. It learns from the labels outside the held-out fold."""
+    """Documents that the factorisation machine rejects go. It learns from the labels outside the held-out fold.
+
+    Null texts are judged as empty ones; repeated rows are judged alike; rows without doc_id by their texts.
+    """
     return factorization.keep_good(docs, factorization.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -26,17 +34,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that five-word shingles link at a similarity of 0.8 or more, the one with the smallest id stays."""
+    """Of documents that five-word shingles link at a similarity of 0.8 or more, the one with the smallest id stays.
+
+    Null, empty and wordless texts link with nothing and stay. Rows without doc_id go where a row with one is linked, and
+    else one of them stays; of rows alike in doc_id and text one stays.
+    """
     return keep_one_each(docs, n=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with ten consecutive words of a benchmark item go."""
+    """Documents with ten consecutive words of a benchmark item go, or all words of a shorter one.
+
+    Null, empty and wordless texts stay; repeated rows and rows without doc_id go by their texts.
+    """
     return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What the mix takes of each document left."""
+    """What the mix takes of each document left.
+
+    Null, empty and wordless texts have the size 0; a null source is a source of its own; repeated rows count each.
+    """
     return mix_sources(docs)
 
 
