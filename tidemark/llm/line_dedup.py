@@ -13,9 +13,10 @@ a run with a different line emit variants at all.
 With a larger bound the neighbourhood of all variants is too large, but what deletions leave untouched is not: k edits
 destroy at most k * GRAM of a line's runs of GRAM words, so of two lines within the bound one of the first k * GRAM + 1
 runs in a global order stands among those of the other. These keys are packed into blocks by key range, and a block task
-finds the keys that two lines share. Frequent runs come last in the order. Word parities of two such lines may differ
-in two bits for each edit; only pairs that pass are compared, with the earliest line of each key first, and what stays
-after that with the other earlier ones.
+finds the keys that two lines of fitting lengths share at fitting places. Frequent runs come last in the order. Word
+parities of two such lines may differ in two bits for each edit, and only pairs that pass are compared: the two lines of
+a key that no other has, each line with the earliest one of its other keys, and what stays after that with all earlier
+ones of these keys.
 
 The words of every pair are compared before a line goes.
 """
@@ -25,6 +26,7 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -45,7 +47,12 @@ MOST_FREQUENT, SEEN_OFTEN = 100_000, 8
 CHUNK = 1 << 19
 #: Keys of a block, about.
 BLOCK = 1 << 20
+#: Lengths are told apart by powers of this, where keys are packed; and a place that says nothing.
+LENGTH_STEP, ANYWHERE = 1.04, 255
+#: Rows of a key that a row is held against in its block at most; larger groups go on undiminished.
+LOOK_AHEAD = 256
 _U = np.uint64
+_LOW = np.uint64((1 << 48) - 1)
 PLACE = ["d", "t", "line"]
 
 
@@ -81,39 +88,63 @@ def _full(s: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
     return mix(_run(s, begin, stop) + (stop - begin).astype(np.uint64))
 
 
-KEYS = "d long, t long, line int, full long, n int, a long, b long, c long, e long, even long, odd long"
+PARITY = [f"parity{i}" for i in range(4)]
+KEYS = "d long, t long, line int, full long, n int, a long, b long, c long, e long, " + ", ".join(f"{c} long" for c in PARITY)
 
 
-def _keys(batches, least: int, words_per_edit: int):
+def _keys(batches, least: int, words_per_edit: int, often_at: int, chunk: int):
     """Each line's hash, words and, by the bound it has, the hashes of its runs or the parities of its words.
 
-    Runs are the first and last h words, h half of the power of two its length has; parities are one bit for each of 128
-    groups of words: whether the line has an odd number of them.
+    Runs are the first and last h words, h half of the power of two its length has; parities are one bit for each of 256
+    groups of words: whether the line has an odd number of them. Rows without a line tell frequent grams: the gram as
+    `full`, and as `n` how many different lines of a chunk of long lines have it.
     """
+    lines, grams, size = [], [], 0  # hashes of long lines; (line from 0, gram), of each line once
+
+    def rows(columns, count):
+        columns = [columns.get(name, pa.nulls(count, pa.int32() if name in ("line", "n") else pa.int64())) for name in (*PLACE, "full", "n", *"abce", *PARITY)]
+        return pa.RecordBatch.from_arrays(columns, names=[*PLACE, "full", "n", *"abce", *PARITY])
+
+    def frequent():
+        told = np.concatenate(lines)
+        first = np.zeros(len(told), bool)
+        first[np.unique(told, return_index=True)[1]] = True  # a repeated line counts once
+        base = np.cumsum([0, *map(len, lines[:-1])])
+        found, seen = np.unique(np.concatenate([g[first[b + of]] for b, (of, g) in zip(base, grams, strict=True)]), return_counts=True)
+        often = seen >= often_at
+        return rows({"full": pa.array(found[often].view(np.int64)), "n": pa.array(seen[often].astype(np.int32))}, int(often.sum()))
+
     for batch in frugal(batches):
         for at, row, number, begin, stop, s, (_, _, _, h) in _lines(batch.column(2), least):
             n = stop - begin
+            full = _full(s, begin, stop)
             none = (n < MIN_WORDS) | (n > 2 * words_per_edit)
             runs = []
-            for size in (n, n - 1):  # a partner may be one word shorter
-                half = np.where(n < MIN_WORDS, 0, 2 ** (np.floor(np.log2(np.maximum(size, 2))).astype(int) - 1))
+            for length in (n, n - 1):  # a partner may be one word shorter
+                half = np.where(n < MIN_WORDS, 0, 2 ** (np.floor(np.log2(np.maximum(length, 2))).astype(int) - 1))
                 salt = mix(half.astype(np.uint64))
                 runs.append((mix(_run(s, begin, begin + half) + salt), mix(_run(s, stop - half, stop) + ~salt), half))
             same = runs[0][2] == runs[1][2]
-            short = n < 2 * words_per_edit
-            bit = _U(1) << ((h >> _U(8)) & _U(63))
-            part = ((h >> _U(20)) & _U(1)).astype(bool)
-            parity = []
-            for group in (part, ~part):
-                upto = np.zeros(len(h) + 1, np.uint64)
-                np.bitwise_xor.accumulate(np.where(group, bit, _U(0)), out=upto[1:])
-                parity.append(upto[stop] ^ upto[begin])
             null = lambda x, gone: pa.array(x.view(np.int64), mask=gone)
             take = pa.array(at + row)
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(take), batch.column(1).take(take), pa.array(number), pa.array(_full(s, begin, stop).view(np.int64)), pa.array(n.astype(np.int32)),
-                null(runs[0][0], none), null(runs[0][1], none), null(runs[1][0], none | same), null(runs[1][1], none | same), null(parity[0], short), null(parity[1], short),
-            ], names=[*PLACE, "full", "n", "a", "b", "c", "e", "even", "odd"])
+            short = n < 2 * words_per_edit
+            columns = {"d": batch.column(0).take(take), "t": batch.column(1).take(take), "line": pa.array(number), "full": pa.array(full.view(np.int64)), "n": pa.array(n.astype(np.int32))}
+            columns |= {"a": null(runs[0][0], none), "b": null(runs[0][1], none), "c": null(runs[1][0], none | same), "e": null(runs[1][1], none | same)}
+            bit, part = _U(1) << ((h >> _U(8)) & _U(63)), (h >> _U(20)) & _U(3)
+            for k, name in enumerate(PARITY):
+                upto = np.zeros(len(h) + 1, np.uint64)
+                np.bitwise_xor.accumulate(np.where(part == _U(k), bit, _U(0)), out=upto[1:])
+                columns[name] = null(upto[stop] ^ upto[begin], short)
+            yield rows(columns, len(n))
+            for of, key, _, told, _ in _grams(s, begin[~short], stop[~short], np.zeros(0, np.uint64)):
+                lines.append(told)
+                grams.append((of, key))
+                size += len(key)
+            if size >= chunk:
+                yield frequent()
+                lines, grams, size = [], [], 0
+    if lines:
+        yield frequent()
 
 
 def _variants(batches):
@@ -143,7 +174,7 @@ def _listed(batch):
         lists = {r: set(wanted[int(at + r)].as_py()) for r in np.unique(row)}
         use = [i for i in range(len(row)) if int(number[i]) in lists[row[i]]]
         if use:
-            texts = [" ".join(data[start[w] : end[w]].tobytes().decode() for w in range(int(begin[i]), int(stop[i]))) for i in use]
+            texts = [data[start[begin[i]] : end[stop[i] - 1]].tobytes().decode() for i in use]
             yield at, row, number, begin, stop, s, use, pa.array(texts, pa.string())
 
 
@@ -154,48 +185,38 @@ def _said(batches):
             yield pa.RecordBatch.from_arrays([pa.array(_full(s, begin, stop)[use].view(np.int64)), texts], names=["full", "words"])
 
 
-def _grams(column: pa.Array, words_per_edit: int, frequent: np.ndarray):
-    """(line of each gram from 0, 48 bits of its hash, hashes of the lines, words of the lines), sorted and distinct.
+def _grams(s: np.ndarray, all_begin: np.ndarray, all_stop: np.ndarray, frequent: np.ndarray):
+    """(line of each gram from 0, 48 bits of its hash, its place, hashes of the lines, words of the lines), sorted and
+    distinct.
 
-    The highest of the 48 bits says whether the gram is a frequent one. At most 65,536 lines at a time.
+    The highest of the 48 bits says whether the gram is a frequent one. Places are 256ths of the line, rounded down, and
+    ANYWHERE for grams that a line has twice. At most 65,536 lines at a time.
     """
-    for _, _, _, all_begin, all_stop, s, _ in _lines(column, 2 * words_per_edit):
-        i = np.arange(len(s) - GRAM)
-        hashes = mix(_run(s, i, i + GRAM)) >> _U(17)
-        if len(frequent):
-            place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-            hashes |= (frequent[place] == hashes).astype(np.uint64) << _U(47)
-        for lo in range(0, len(all_begin), 1 << 16):
-            begin, stop = all_begin[lo : lo + (1 << 16)], all_stop[lo : lo + (1 << 16)]
-            count = stop - begin - GRAM + 1
-            of = np.repeat(np.arange(len(begin)), count)
-            at = begin[of] + np.arange(len(of)) - (np.cumsum(count) - count)[of]
-            both = np.sort((of.astype(np.uint64) << _U(48)) | hashes[at])
-            both = both[np.r_[True, both[1:] != both[:-1]]]
-            yield (both >> _U(48)).astype(np.int64), both & _U((1 << 48) - 1), _full(s, begin, stop), stop - begin
-
-
-def _frequent(batches, words_per_edit: int, often_at: int, chunk: int):
-    """Grams of many different lines of a chunk, and of how many."""
-
-    def count(lines, grams):
-        _, new = np.unique(np.concatenate(lines), return_index=True)  # a repeated line counts once
-        found = np.concatenate([grams[k] for k in new])
-        sh, seen = np.unique(found, return_counts=True)
-        often = seen >= often_at
-        return pa.RecordBatch.from_arrays([pa.array(sh[often].view(np.int64)), pa.array(seen[often].astype(np.int64))], names=["key", "seen"])
-
-    lines, grams, size = [], [], 0
-    for batch in frugal(batches):
-        for of, key, full, _ in _grams(batch.column(0), words_per_edit, np.zeros(0, np.uint64)):
-            lines.append(full)
-            grams += np.split(key, np.searchsorted(of, np.arange(1, len(full))))
-            size += len(key)
-            if size >= chunk:
-                yield count(lines, grams)
-                lines, grams, size = [], [], 0
-    if lines:
-        yield count(lines, grams)
+    if not len(all_begin):
+        return
+    i = np.arange(len(s) - GRAM)
+    hashes = mix(_run(s, i, i + GRAM)) >> _U(17)
+    if len(frequent):
+        place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        hashes |= (frequent[place] == hashes).astype(np.uint64) << _U(47)
+    for lo in range(0, len(all_begin), 1 << 16):
+        begin, stop = all_begin[lo : lo + (1 << 16)], all_stop[lo : lo + (1 << 16)]
+        count = stop - begin - GRAM + 1
+        of = np.repeat(np.arange(len(begin)), count)
+        at = np.arange(len(of)) - (np.cumsum(count) - count)[of]
+        both = (of.astype(np.uint64) << _U(48)) | hashes[begin[of] + at]
+        order = np.argsort(both)
+        both = both[order]
+        new = np.r_[True, both[1:] != both[:-1]]
+        place = np.minimum(at * 256 // (stop - begin)[of], 254)[order][new]
+        place[np.diff(np.r_[np.flatnonzero(new), len(new)]) > 1] = ANYWHERE
+        both = both[new]
+        yield (both >> _U(48)).astype(np.int64), both & _LOW, place, _full(s, begin, stop), stop - begin
+
+
+def _long_grams(column: pa.Array, words_per_edit: int, frequent: np.ndarray):
+    for _, _, _, begin, stop, s, _ in _lines(column, 2 * words_per_edit):
+        yield from _grams(s, begin, stop, frequent)
 
 
 def _blocks(batches, words_per_edit: int, blocks: int, frequent: np.ndarray, chunk: int):
@@ -212,10 +233,11 @@ def _blocks(batches, words_per_edit: int, blocks: int, frequent: np.ndarray, chu
 
     keys, fulls, size = [], [], 0
     for batch in frugal(batches):
-        for of, key, full, n in _grams(batch.column(0), words_per_edit, frequent):
+        for of, key, place, full, n in _long_grams(batch.column(0), words_per_edit, frequent):
             rank = np.arange(len(of)) - np.searchsorted(of, np.arange(len(full)))[of]
             use = rank <= (n // words_per_edit * GRAM)[of]
-            keys.append(key[use])
+            meta = _length_class(n)[of[use]].astype(np.uint64) << _U(8) | place[use].astype(np.uint64)
+            keys.append(key[use] | meta << _U(48))
             fulls.append(full[of[use]])
             size += int(use.sum())
             if size >= chunk:
@@ -226,39 +248,98 @@ def _blocks(batches, words_per_edit: int, blocks: int, frequent: np.ndarray, chu
 
 
 def _block_of(key: np.ndarray, blocks: int) -> np.ndarray:
-    return (mix(key) >> _U(33)) % _U(blocks)
+    return (mix(key & _LOW) >> _U(33)) % _U(blocks)
+
+
+def _length_class(n: np.ndarray) -> np.ndarray:
+    """Lengths by powers of LENGTH_STEP, in a byte."""
+    return np.minimum(np.log(n) / np.log(LENGTH_STEP), 255).astype(np.int64)
 
 
-def _shared(batches):
-    """Keys with more than one line and their lines; rows of a block stand together in its partition."""
+def _bounds(words_per_edit: int) -> tuple[int, int]:
+    """By how much the length classes of lines within the bound may differ, and the places of a gram they share.
+
+    Lengths differ by one word in words_per_edit at most, and so does the place of a gram from its line's start and end
+    taken together; one more for the rounding down of both.
+    """
+    return int(np.ceil(np.log(1 + 1 / words_per_edit) / np.log(LENGTH_STEP))), 256 // words_per_edit + 2
+
+
+SHARED = "key long, full long, other long, place int"
+
+
+def _shared(batches, words_per_edit: int):
+    """What the lines of each key mean for each other, in blocks whose rows stand together in their partition.
+
+    The two lines of a key that no other has are a pair: rows (null, full, other, null). Lines of other keys follow as
+    (key, full, null, place). Lines without a partner of fitting length and place are left out.
+    """
+    far, away = _bounds(words_per_edit)
 
     def found(keys, fulls):
         key, full = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(fulls), np.uint64)
+        meta, key = (key >> _U(48)).astype(np.int64), key & _LOW
         order = np.lexsort((full, key))
-        key, full = key[order], full[order]
+        key, full, meta = key[order], full[order], meta[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (full[1:] != full[:-1])]
-        key, full = key[new], full[new]
-        same = np.r_[False, key[1:] == key[:-1]]
-        same[:-1] |= same[1:]
-        return pa.RecordBatch.from_arrays([pa.array(key[same].view(np.int64)), pa.array(full[same].view(np.int64))], names=["key", "full"])
+        key, full, size, place = key[new], full[new], meta[new] >> 8, meta[new] & 255
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        count = np.diff(np.r_[begin, len(key)])
+        one = begin[count == 2]
+        two = one + 1
+        near = (np.abs(place[one] - place[two]) <= away) | (place[one] == ANYWHERE) | (place[two] == ANYWHERE)
+        near &= np.abs(size[one] - size[two]) <= far
+        a, b = full[one[near]], full[two[near]]
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+        yield pa.RecordBatch.from_arrays([pa.nulls(int(once.sum()), pa.int64()), pa.array(a[once].view(np.int64)), pa.array(b[once].view(np.int64)), pa.nulls(int(once.sum()), pa.int32())], names=["key", "full", "other", "place"])
+        several = np.repeat(count > 2, count)
+        key, full, size, place = key[several], full[several], size[several], place[several]
+        order = np.lexsort((size, key))
+        key, full, size, place = key[order], full[order], size[order], place[order]
+        use = _with_partner(key, size, place, words_per_edit)
+        yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), pa.array(full[use].view(np.int64)), pa.nulls(int(use.sum()), pa.int64()), pa.array(place[use].astype(np.int32))], names=["key", "full", "other", "place"])
 
     now, keys, fulls = None, [], []
     for batch in frugal(batches):
         for block, key, full in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             if block != now and keys:
-                yield found(keys, fulls)
+                yield from found(keys, fulls)
                 keys, fulls = [], []
             now = block
             keys.append(key.as_py())
             fulls.append(full.as_py())
     if keys:
-        yield found(keys, fulls)
+        yield from found(keys, fulls)
+
+
+def _with_partner(key: np.ndarray, size: np.ndarray, place: np.ndarray, words_per_edit: int) -> np.ndarray:
+    """Which rows may have a partner, of rows sorted by (key, size): all that have one, and any not looked at to the end.
+
+    Each is held against the LOOK_AHEAD rows after it at most.
+    """
+    far, away = _bounds(words_per_edit)
+    use = np.zeros(len(key), bool)
+    left = np.arange(len(key))
+    for step in range(1, LOOK_AHEAD + 1):
+        left = left[left + step < len(key)]
+        left = left[(key[left] == key[left + step]) & (size[left + step] - size[left] <= far)]
+        if not len(left):
+            return use
+        other = left + step
+        near = (np.abs(place[left] - place[other]) <= away) | (place[left] == ANYWHERE) | (place[other] == ANYWHERE)
+        use[left[near]] = use[other[near]] = True
+    # groups of more rows of one length stay whole
+    for i in np.unique(key[left]):
+        use[np.searchsorted(key, i) : np.searchsorted(key, i, "right")] = True
+    return use
 
 
 def within_edits(a: str, b: str, words_per_edit: int = WORDS_PER_EDIT) -> bool:
     """Whether word sequences differ by at most one edit for each words_per_edit words of the shorter, or by one; A-Z
     equals a-z."""
-    x, y = (s.encode().lower().split(b" ") for s in (a, b))
+    x, y = (s.encode().lower().split() for s in (a, b))  # bytes part at ASCII white space only
     bound = max(1, min(len(x), len(y)) // words_per_edit)
     if abs(len(x) - len(y)) > bound:
         return False
@@ -285,9 +366,48 @@ def within_edits(a: str, b: str, words_per_edit: int = WORDS_PER_EDIT) -> bool:
     return far.get(m - n) == n
 
 
+def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """48-bit hashes of the lowered words of some texts, and the text of each from 0."""
+    for _, data, offsets in text_slices(texts, 1 << 62):
+        low = lowered(data)
+        start, end, row = words(low, offsets)
+        return span_hash(prefix_hash(low), start, end) >> _U(16), row
+    return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+
+def near_pairs(one: pa.Array, two: pa.Array, words_per_edit: int) -> np.ndarray:
+    """within_edits for each pair of two text columns: exactly for those whose bags of words differ by no more."""
+    out = np.zeros(len(one), bool)
+    for lo in range(0, len(one), 256):
+        a, b = one.slice(lo, 256), two.slice(lo, 256)
+        (ha, ra), (hb, rb) = _hashed(a), _hashed(b)
+        na, nb = np.bincount(ra, minlength=len(a)), np.bincount(rb, minlength=len(a))
+        bound = np.maximum(1, np.minimum(na, nb) // words_per_edit)
+        cell = np.concatenate([ra.astype(np.uint64) << _U(48) | ha, rb.astype(np.uint64) << _U(48) | hb])
+        order = np.argsort(cell)
+        cell, sign = cell[order], np.where(order < len(ha), 1, -1)
+        begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]]) if len(cell) else np.zeros(0, int)
+        more = np.add.reduceat(sign, begin) if len(cell) else np.zeros(0, int)
+        row = (cell[begin] >> _U(48)).astype(np.int64)
+        maybe = np.abs(na - nb) <= bound
+        for side in (more, -more):
+            maybe &= np.bincount(row, np.maximum(side, 0), len(a)) <= bound
+        for i in np.flatnonzero(maybe):
+            out[lo + i] = within_edits(a[int(i)].as_py(), b[int(i)].as_py(), words_per_edit)
+    return out
+
+
+def _verified(words_per_edit: int):
+    @F.pandas_udf(BooleanType())
+    def verified(one: pd.Series, two: pd.Series) -> pd.Series:
+        return pd.Series(near_pairs(pa.array(one, pa.string()), pa.array(two, pa.string()), words_per_edit))
+
+    return verified
+
+
 def _near_short(rows: DataFrame, first: DataFrame, words_per_edit: int) -> tuple[DataFrame, list[DataFrame]]:
     """d, t, line of lines with an earlier one within one edit, and the tables to release once they are written."""
-    verified = F.udf(lambda a, b: within_edits(a, b, words_per_edit), BooleanType(), useArrow=True)
+    verified = _verified(words_per_edit)
     runs = first.select("p", F.explode(F.array(*"abce")).alias("run")).where("run is not null")
     shared = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
     near = durable(runs.join(shared, "run").select("p.*").groupBy("d", "t").agg(F.collect_set("line").alias("lines")), "near-lines")
@@ -308,36 +428,46 @@ def _near_short(rows: DataFrame, first: DataFrame, words_per_edit: int) -> tuple
 def _near_long(rows: DataFrame, lines: DataFrame, first: DataFrame, words_per_edit: int) -> tuple[DataFrame, list[DataFrame]]:
     """d, t, line of long lines with an earlier one within the bound, and the tables to release once they are written."""
     w = words_per_edit
-    long = first.where(F.col("n") >= 2 * w)
-    words_in = lines.where(F.col("n") >= 2 * w).agg(F.sum("n")).first()[0] or 0
+    long = first.where(F.col("n") >= 2 * w).select("full", "p", "n", *PARITY)
+    words_in = lines.where((F.col("n") >= 2 * w) & F.col("line").isNotNull()).agg(F.sum("n")).first()[0] or 0
     if not words_in:
         return long.select("p.*").limit(0), []
-    verified = F.udf(lambda a, b: within_edits(a, b, w), BooleanType(), useArrow=True)
-    often_at, chunk = SEEN_OFTEN, CHUNK
-    seen = rows.select("text").mapInArrow(lambda b: _frequent(b, w, often_at, chunk), "key long, seen long").groupBy("key").agg(F.sum("seen").alias("seen"))
-    top = seen.orderBy(F.desc("seen"), "key").limit(MOST_FREQUENT).select("key").collect()
+    verified = _verified(w)
+    seen = lines.where(F.col("line").isNull()).groupBy("full").agg(F.sum("n").alias("seen"))
+    top = seen.orderBy(F.desc("seen"), "full").limit(MOST_FREQUENT).select("full").collect()
     frequent = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
-    blocks = 1 + int(words_in * GRAM / w / BLOCK)
+    blocks, chunk, away = 1 + int(words_in * GRAM / w / BLOCK), CHUNK, _bounds(w)[1]
     packed = rows.select("text").mapInArrow(lambda b: _blocks(b, w, blocks, frequent, chunk), "block int, keys binary, fulls binary")
-    shared = packed.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_shared, "key long, full long")
-    met = durable(shared.join(long.select("full", "p", "n", "even", "odd"), "full"), "line-keys")
-
-    def close(few: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        """The lines of few that an earlier line of other with the same key is within the bound of."""
-        bound = F.floor(F.least("n", "m") / w)
-        unlike = F.bit_count(F.col("even").bitwiseXOR(F.col("even2"))) + F.bit_count(F.col("odd").bitwiseXOR(F.col("odd2")))
-        fits = (F.col("first") < F.col("p")) & (F.abs(F.col("n") - F.col("m")) <= bound) & (unlike <= 2 * bound)
-        pairs = durable(few.join(other, "key").where(fits).select("full", "full2", "p", "first").distinct(), f"{name}-pairs")
-        places = pairs.select("p.*").union(pairs.select("first.*")).distinct().groupBy("d", "t").agg(F.collect_list("line").alias("lines"))
-        said = durable(_texts(rows, durable(places, f"{name}-places")).mapInArrow(_said, "full long, words string"), f"{name}-words")
-        told = pairs.join(said, "full").join(said.select(F.col("full").alias("full2"), F.col("words").alias("other")), "full2")
-        return durable(told.where(verified("words", "other")).select("full", "p").distinct(), name)
-
-    other = met.select("key", F.col("full").alias("full2"), F.col("p").alias("first"), F.col("n").alias("m"), F.col("even").alias("even2"), F.col("odd").alias("odd2"))
-    heads = other.groupBy("key").agg(F.min(F.struct("first", "full2", "m", "even2", "odd2")).alias("h")).select("key", "h.*")
-    soon = close(met, heads, "near-first")
-    late = close(met.join(soon.select("full"), "full", "left_anti"), other, "near-other")
-    return soon.union(late).select("p.*"), [met, soon, late]
+    shared = durable(packed.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(lambda b: _shared(b, w), SHARED), "line-keys")
+    mine, other = (long.select(*[F.col(c).alias(c + end) for c in long.columns]) for end in ("1", "2"))
+    bound = F.floor(F.least("n1", "n2") / w)
+    unlike = sum((F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in PARITY), F.lit(0))
+    fits = (F.abs(F.col("n1") - F.col("n2")) <= bound) & (unlike <= 2 * bound)
+
+    def later(pairs: DataFrame, name: str) -> DataFrame:
+        """The later lines of those pairs (full1, full2, p1, p2) whose words are within the bound: full and p."""
+        pairs = durable(pairs.select("full1", "full2", "p1", "p2").distinct(), f"{name}-pairs")
+        places = durable(pairs.select("p1.*").union(pairs.select("p2.*")).distinct().groupBy("d", "t").agg(F.collect_list("line").alias("lines")), f"{name}-places")
+        said = durable(_texts(rows, places).mapInArrow(_said, "full long, words string"), f"{name}-words")
+        told = pairs.join(said.toDF("full1", "words1"), "full1").join(said.toDF("full2", "words2"), "full2").where(verified("words1", "words2"))
+        turned = F.col("p1") < F.col("p2")
+        got = durable(told.select(*[F.when(turned, F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(c) for c in ("full", "p")]).distinct(), name)
+        release(pairs, places, said)
+        return got
+
+    pairs = shared.where(F.col("other").isNotNull()).select(F.col("full").alias("full1"), F.col("other").alias("full2")).distinct()
+    soon = later(pairs.join(mine, "full1").join(other, "full2").where(fits), "near-first")
+    met = durable(shared.where(F.col("key").isNotNull()).select("key", "full", "place").join(long, "full"), "met")
+    mine, other = (met.select("key", *[F.col(c).alias(c + end) for c in met.columns if c != "key"]) for end in ("1", "2"))
+    near = (F.abs(F.col("place1") - F.col("place2")) <= away) | (F.col("place1") == ANYWHERE) | (F.col("place2") == ANYWHERE)
+    near &= fits & (F.col("p2") < F.col("p1"))
+    rest = [c for c in other.columns if c not in ("key", "p2")]
+    heads = other.groupBy("key").agg(F.min(F.struct("p2", *rest)).alias("h")).select("key", "h.*")
+    left = mine.join(soon.select(F.col("full").alias("full1")), "full1", "left_anti")
+    next_ = later(left.join(heads, "key").where(near), "near-heads")
+    left = left.join(next_.select(F.col("full").alias("full1")), "full1", "left_anti")
+    late = later(left.join(other, "key").where(near), "near-other")
+    return soon.union(next_).union(late).select("p.*"), [shared, met, soon, next_, late]
 
 
 def _texts(rows: DataFrame, listed: DataFrame) -> DataFrame:
@@ -355,14 +485,16 @@ def removed_lines(docs: DataFrame, least: int = 1, words_per_edit: int = WORDS_P
     if words_per_edit < 5:
         raise ValueError("words_per_edit is 5 at least")
     rows = docs.select(*_key(), F.coalesce("text", F.lit("")).alias("text"))
-    lines = durable(rows.mapInArrow(lambda b: _keys(b, least, words_per_edit), KEYS), "lines")
-    own = [F.min(k).alias(k) for k in ("n", "a", "b", "c", "e", "even", "odd")]
+    often_at, chunk = SEEN_OFTEN, CHUNK
+    every = durable(rows.mapInArrow(lambda b: _keys(b, least, words_per_edit, often_at, chunk), KEYS), "lines")
+    lines = every.where(F.col("line").isNotNull())
+    own = [F.min(k).alias(k) for k in ("n", *"abce", *PARITY)]
     first = durable(lines.groupBy("full").agg(F.min(F.struct(*PLACE)).alias("p"), *own), "first-lines")
     again = lines.select(*PLACE, "full").join(first.select("full", "p"), "full").where(F.struct(*PLACE) > F.col("p")).select(*PLACE)
     short, spent = _near_short(rows, first, words_per_edit)
-    long, more = _near_long(rows, lines, first, words_per_edit)
+    long, more = _near_long(rows, every, first, words_per_edit)
     gone = durable(again.union(short).union(long).distinct().groupBy("d", "t").agg(F.collect_set("line").alias("gone")), "removed-lines")
-    release(lines, first, *spent, *more)
+    release(every, first, *spent, *more)
     return gone
 
 
