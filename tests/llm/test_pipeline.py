@@ -1,5 +1,7 @@
 """The pipeline against its stages in plain Python."""
 
+import random
+
 import brute
 import corpus_pipeline
 import duckdb
@@ -35,7 +37,7 @@ def test_run_equals_plain_python(spark):
 def test_stages_take_any_row(spark, tmp_path):
     """Nulls in every column, empty and very long texts, repeated rows, ties and columns with the operators' own names."""
     words = [a + b for a in "ba ce di fo gu ha ki lo mu ne".split() for b in "ran tel vis som dar pel".split()]
-    prose = lambda k, n: " ".join(words[(k * 7 + i * (k % 11 + 3) + i * i) % len(words)] for i in range(n))
+    prose = lambda k, n: " ".join(random.Random(k).choices(words, k=n))
     rows = [(i, prose(i, 80), "en", f"s{i % 3}", 1) for i in range(30)]
     rows += [rows[3], (3, "another text under this id " + prose(77, 60), "en", None, 1), (None, None, None, None, None), (None, prose(5, 80), None, "s1", 1), (None, prose(88, 70), None, None, 0)]
     rows += [(40, "", "en", "s", 0), (41, " \n\t", "en", "s", 3), (42, "\n".join(prose(k, 40) for k in range(200, 900)), "de", "s", None), (43, "w" * 300_000, "de", "s", 1), (44, "\n" * 50_000, "de", "s", 1), (45, prose(9, 80), "en", "s0", 1), (None, None, None, None, None)]
