@@ -60,17 +60,26 @@ def hit_documents(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFr
         mine = one.where(F.col("k") == k).withColumn("n", F.size("win")).select("wid", "win", "m", F.posexplode(_shingles("win", "n", k)).alias("off", "h"))
         seen = places(k).join(broadcast_if_small(mine.select("h").distinct()), "h").groupBy("h").agg(F.count("*").alias("df"))
         rare = mine.join(seen, "h", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-        prefix = durable(rare.groupBy("wid", "win", "m").agg(F.min(F.struct("df", "h", "off")).alias("r")).where("r.df > 0").select("wid", "m", "r.h", "r.off"), "prefixes")
+        least = rare.groupBy("wid", "win", "m").agg(F.min(F.struct("df", "h", "off")).alias("r")).where("r.df > 0")
+        prefix = durable(least.select("wid", "m", "r.h", "r.off"), "prefixes")
         at = places(k).join(broadcast_if_small(prefix), "h").where("pos >= off and pos - off + m <= n")
         found.append(at.select("d", "t", (F.col("pos") - F.col("off")).alias("start"), "m", "wid"))
     found = durable(reduce(DataFrame.union, found or [none]).distinct(), "places")
     texts = found.join(one.select("wid", "m", "win"), ["wid", "m"]).groupBy("d", "t").agg(F.collect_set(F.struct("start", "m", "wid", "win")).alias("c"))
     # only documents with a place to look at are shuffled with their words
     flagged = words.join(broadcast_if_small(found.select("d", "t").distinct()), ["d", "t"], "left_semi")
-    checked = flagged.dropDuplicates(["d", "t"]).join(texts, ["d", "t"]).select("d", "t", "n", F.filter("c", lambda c: F.slice("w", c["start"] + 1, c["m"]) == c["win"]).alias("c"))
+    equal = F.filter("c", lambda c: F.slice("w", c["start"] + 1, c["m"]) == c["win"])
+    checked = flagged.dropDuplicates(["d", "t"]).join(texts, ["d", "t"]).select("d", "t", "n", equal.alias("c"))
     spans = F.array_sort(F.transform("c", lambda c: F.struct(c["start"].alias("s"), (c["start"] + c["m"]).alias("e"))))
-    hit = F.aggregate(spans, F.struct(F.lit(0).alias("e"), F.lit(0).alias("n")), lambda a, x: F.struct(F.greatest(a["e"], x["e"]).alias("e"), (a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["e"], x["s"]))).alias("n")), lambda a: a["n"])
-    checked = durable(checked.where(F.size("c") > 0).select("d", "t", hit.alias("n_hit"), F.transform("c", lambda c: F.struct(c["wid"].alias("wid"), c["win"].alias("win"))).alias("c")), "hits")
+
+    def longer(a: Column, x: Column) -> Column:
+        """The end of the words seen so far and their number, with those of a span more."""
+        more = F.greatest(F.lit(0), x["e"] - F.greatest(a["e"], x["s"]))
+        return F.struct(F.greatest(a["e"], x["e"]).alias("e"), (a["n"] + more).alias("n"))
+
+    hit = F.aggregate(spans, F.struct(F.lit(0).alias("e"), F.lit(0).alias("n")), longer, lambda a: a["n"])
+    named = F.transform("c", lambda c: F.struct(c["wid"].alias("wid"), c["win"].alias("win")))
+    checked = durable(checked.where(F.size("c") > 0).select("d", "t", hit.alias("n_hit"), named.alias("c")), "hits")
     ids = checked.select("d", "t", F.explode(F.array_distinct("c")).alias("x")).select("d", "t", "x.wid", "x.win").join(win, ["wid", "win"])
     ids = ids.groupBy("d", "t").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
     return checked.select("d", "t", "n_hit").join(ids, ["d", "t"])
@@ -88,9 +97,13 @@ def decontaminate(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFr
     columns, whatever their names, are left out. A very long text is one row of words like any other.
     """
     hits = hit_documents(docs, items, length)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_key(), F.size(tokens(F.col("text"))).cast("long").alias("n_words")).join(hits, ["d", "t"], "left")
+    n_words = F.size(tokens(F.col("text"))).cast("long").alias("n_words")
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *_key(), n_words).join(hits, ["d", "t"], "left")
     listed = F.array_sort(F.coalesce("ids", F.array().cast("array<string>")))
-    return out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"), F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"))
+    return out.select(
+        "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
+        F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), F.col("n_hit").isNotNull().alias("contaminated"),
+    )
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, length: int = 10) -> DataFrame:

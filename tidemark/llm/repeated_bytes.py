@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .blocks import block_of, by_block, pack_rows
 from .common import durable, release
-from .tokens import frugal, mix, prefix_hash, span_hash, text_slices
+from .tokens import batch_of, frugal, mix, prefix_hash, span_hash, text_slices
 
 LENGTH = 200
 GRAM = 32
@@ -82,12 +82,14 @@ def _packed(batches, length: int, gram: int, blocks: int, chunk: int):
 def _places(batches):
     """ANCHORS rows of the spans whose anchor has another place."""
     for columns in by_block(batches):
-        d, t, anchor, span, lo, shape = (np.frombuffer(b"".join(c), kind) for c, kind in zip(columns, (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32), strict=True))
+        kinds = (np.int64, np.int64, np.int64, np.int64, np.int32, np.int32)
+        d, t, anchor, span, lo, shape = (np.frombuffer(b"".join(c), kind) for c, kind in zip(columns, kinds, strict=True))
         order = np.argsort(anchor, kind="stable")
         same = anchor[order][1:] == anchor[order][:-1]
         twice = np.zeros(len(anchor), bool)
         twice[order[1:][same]] = twice[order[:-1][same]] = True
-        yield pa.RecordBatch.from_arrays([pa.array(c[twice]) for c in (d, t, anchor, span, lo, shape)], names=["d", "t", "anchor", "span", "lo", "shape"])
+        found = {"d": d, "t": t, "anchor": anchor, "span": span, "lo": lo, "shape": shape}
+        yield batch_of(**{name: pa.array(c[twice]) for name, c in found.items()})
 
 
 CONTEXT = "d long, t long, anchor long, span long, lo int, shape int, lone boolean, context binary"
@@ -106,7 +108,8 @@ def _contexts(batches, length: int):
             whole = text[int(r)].as_py()
             cut = [whole[lo[k] : lo[k] + shape[k] // 1024 - 1 + length] for k in mine]
             take, some = pa.array(np.full(len(mine), r)), pa.array(mine)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), *[x.field(c).take(some) for c in ("anchor", "span", "lo", "shape", "lone")], pa.array(cut, pa.binary())], names=["d", "t", "anchor", "span", "lo", "shape", "lone", "context"])
+            own = {c: x.field(c).take(some) for c in ("anchor", "span", "lo", "shape", "lone")}
+            yield batch_of(d=batch.column(0).take(take), t=batch.column(1).take(take), **own, context=pa.array(cut, pa.binary()))
 
 
 def _windows(batch, length: int):
@@ -126,7 +129,9 @@ def _window_rows(batches, length: int):
     for batch in frugal(batches):
         for row, j, key in _windows(batch, length):
             take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array((np.asarray(batch.column(4))[row] + j).astype(np.int32)), batch.column(6).take(take), pa.array(key.view(np.int64))], names=["d", "t", "lo", "lone", "key"])
+            lo = pa.array((np.asarray(batch.column(4))[row] + j).astype(np.int32))
+            d, t, lone = (batch.column(i).take(take) for i in (0, 1, 6))
+            yield batch_of(d=d, t=t, lo=lo, lone=lone, key=pa.array(key.view(np.int64)))
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -218,7 +223,8 @@ def _repeats(batches, length: int, block_bytes: int):
         row, start = row[use], (lo[row] + j)[use]
         first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)]) if len(row) else np.zeros(0, int)
         last = np.r_[first[1:], len(row)] - 1 if len(row) else first
-        return pa.RecordBatch.from_arrays([pa.array(d[row[first]]), pa.array(t[row[first]]), pa.array(start[first].astype(np.int32)), pa.array((start[last] + length).astype(np.int32))], names=["d", "t", "start", "end"])
+        begin, end = start[first].astype(np.int32), (start[last] + length).astype(np.int32)
+        return batch_of(d=pa.array(d[row[first]]), t=pa.array(t[row[first]]), start=pa.array(begin), end=pa.array(end))
 
     rows, size = [], 0
     for batch in frugal(batches):
@@ -260,7 +266,9 @@ def _cut(batches):
             edges = [0, *[e for m in merged for e in m], len(whole)]
             kept.append(b"".join(whole[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             runs.append([{"start": a, "end": b} for a, b in merged])
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x.as_py() or b"") for x in text], pa.int64()), pa.array(kept, pa.binary()), pa.array(runs, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=["doc_id", "n_bytes", "kept", "spans"])
+        size = pa.array([len(x.as_py() or b"") for x in text], pa.int64())
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+        yield batch_of(doc_id=batch.column(0), n_bytes=size, kept=pa.array(kept, pa.binary()), spans=pa.array(runs, kind))
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
@@ -282,7 +290,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     packed = rows.mapInArrow(lambda b: _packed(b, length, gram, blocks, chunk), PACKED)
     places = durable(packed.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(_places, ANCHORS), "places")
     spans = durable(places.groupBy("anchor", "span").agg(F.count("*").alias("n"), F.min(F.struct("d", "t", "lo", "shape")).alias("p")), "spans")
-    whole = places.join(spans.where("n > 1").select("anchor", "span"), ["anchor", "span"]).select("d", "t", F.col("lo").alias("start"), (F.col("lo") + F.floor(F.col("shape") / 1024) - 1 + length).cast("int").alias("end"))
+    end = (F.col("lo") + F.floor(F.col("shape") / 1024) - 1 + length).cast("int").alias("end")
+    whole = places.join(spans.where("n > 1").select("anchor", "span"), ["anchor", "span"])
+    whole = whole.select("d", "t", F.col("lo").alias("start"), end)
     several = spans.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = spans.join(several, "anchor").select("p.d", "p.t", F.struct("anchor", "span", "p.lo", "p.shape", (F.col("n") == 1).alias("lone"), "kinds").alias("w"))
     listed = wanted.groupBy("d", "t").agg(F.collect_list("w").alias("want"))
@@ -292,11 +302,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
         mine = texts.select("d", "t", "text", F.filter("want", of).alias("want")).where(F.size("want") > 0)
         return mine.mapInArrow(lambda b: _contexts(b, length), CONTEXT)
 
-    close = contexts(lambda w: w["kinds"] <= hot).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _repeats(b, length, block_bytes), "d long, t long, start int, end int")
-    partial = durable(close, "partial")
+    close = contexts(lambda w: w["kinds"] <= hot).repartition("anchor").sortWithinPartitions("anchor")
+    partial = durable(close.mapInArrow(lambda b: _repeats(b, length, block_bytes), "d long, t long, start int, end int"), "partial")
     tables = [places, spans, partial]
     if not several.where(F.col("kinds") > hot).isEmpty():
-        one = durable(contexts(lambda w: w["kinds"] > hot).mapInArrow(lambda b: _window_rows(b, length), "d long, t long, lo int, lone boolean, key long"), "windows")
+        large = contexts(lambda w: w["kinds"] > hot)
+        one = durable(large.mapInArrow(lambda b: _window_rows(b, length), "d long, t long, lo int, lone boolean, key long"), "windows")
         twice = one.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
         partial = partial.union(one.where("lone").join(twice, "key").select("d", "t", F.col("lo").alias("start"), (F.col("lo") + length).alias("end")))
         tables.append(one)

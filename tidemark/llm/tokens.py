@@ -46,6 +46,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up[:n], down[:n]
 
 
+def batch_of(**columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
 def frugal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches one by one; what the work on one has freed goes back to the system before the next and at the end.
 
