@@ -2,7 +2,7 @@
 
 Every document gets an exponential key -ln(u) / w, u from a hash of its id and w its quality weight; sorted by key
 within its source, documents are taken until the prefix sum of their sizes reaches what the source's target leaves
-after complete epochs. The prefix sum is never taken over a whole source: keys fall into 2**16 buckets whose sums are
+after complete epochs. The prefix sum is never taken over a whole source: keys fall into 1024 buckets whose sums are
 added up first; the bucket in which a source's budget ends is cut the same way until it is small, and only its rows are
 sorted.
 """
@@ -17,7 +17,7 @@ from .common import broadcast_if_small, durable, words_of
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MAX_EPOCHS = 2
-BUCKETS = 1 << 16
+BUCKETS = 1 << 10
 #: Rows of the bucket in which a budget ends, at most, unless they share one key.
 EDGE_ROWS = 1000
 SEED = "mix-1"
