@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from .common import broadcast_if_small, durable, fresh_names, join_few, release
-from .tokens import frugal, lowered, mix, powers, prefix_hash, span_hash, text_slices, words
+from .tokens import batch_of, frugal, lowered, mix, powers, prefix_hash, span_hash, text_slices, words
 
 #: Lines of fewer words have no variants: they go only as exact repeats.
 MIN_WORDS = 5
@@ -128,7 +128,8 @@ def _keys(batches, least: int, words_per_edit: int, often_at: int, chunk: int):
             null = lambda x, gone: pa.array(x.view(np.int64), mask=gone)
             take = pa.array(at + row)
             short = n < 2 * words_per_edit
-            columns = {"d": batch.column(0).take(take), "t": batch.column(1).take(take), "line": pa.array(number), "full": pa.array(full.view(np.int64)), "n": pa.array(n.astype(np.int32))}
+            columns = {"d": batch.column(0).take(take), "t": batch.column(1).take(take), "line": pa.array(number)}
+            columns |= {"full": pa.array(full.view(np.int64)), "n": pa.array(n.astype(np.int32))}
             columns |= {"a": null(runs[0][0], none), "b": null(runs[0][1], none), "c": null(runs[1][0], none | same), "e": null(runs[1][1], none | same)}
             bit, part = _U(1) << ((h >> _U(8)) & _U(63)), (h >> _U(20)) & _U(3)
             for k, name in enumerate(PARITY):
@@ -136,7 +137,7 @@ def _keys(batches, least: int, words_per_edit: int, often_at: int, chunk: int):
                 np.bitwise_xor.accumulate(np.where(part == _U(k), bit, _U(0)), out=upto[1:])
                 columns[name] = null(upto[stop] ^ upto[begin], short)
             yield rows(columns, len(n))
-            for of, key, _, told, _ in _grams(s, begin[~short], stop[~short], np.zeros(0, np.uint64)):
+            for of, key, told in _distinct_grams(s, begin[~short], stop[~short]):
                 lines.append(told)
                 grams.append((of, key))
                 size += len(key)
@@ -185,26 +186,39 @@ def _said(batches):
             yield pa.RecordBatch.from_arrays([pa.array(_full(s, begin, stop)[use].view(np.int64)), texts], names=["full", "words"])
 
 
-def _grams(s: np.ndarray, all_begin: np.ndarray, all_stop: np.ndarray, frequent: np.ndarray):
-    """(line of each gram from 0, 48 bits of its hash, its place, hashes of the lines, words of the lines), sorted and
-    distinct.
-
-    The highest of the 48 bits says whether the gram is a frequent one. Places are 256ths of the line, rounded down, and
-    ANYWHERE for grams that a line has twice. At most 65,536 lines at a time.
-    """
-    if not len(all_begin):
-        return
-    i = np.arange(len(s) - GRAM)
+def _grams(s: np.ndarray, all_begin: np.ndarray, all_stop: np.ndarray):
+    """(first and last words, line of each gram from 0, its place in the line, line and 47 bits of its hash in one number)
+    of at most 65,536 lines at a time."""
+    i = np.arange(len(s) - GRAM) if len(all_begin) else np.zeros(0, np.int64)
     hashes = mix(_run(s, i, i + GRAM)) >> _U(17)
-    if len(frequent):
-        place = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        hashes |= (frequent[place] == hashes).astype(np.uint64) << _U(47)
     for lo in range(0, len(all_begin), 1 << 16):
         begin, stop = all_begin[lo : lo + (1 << 16)], all_stop[lo : lo + (1 << 16)]
         count = stop - begin - GRAM + 1
         of = np.repeat(np.arange(len(begin)), count)
         at = np.arange(len(of)) - (np.cumsum(count) - count)[of]
-        both = (of.astype(np.uint64) << _U(48)) | hashes[begin[of] + at]
+        yield begin, stop, of, at, of.astype(np.uint64) << _U(48) | hashes[begin[of] + at]
+
+
+def _distinct_grams(s: np.ndarray, all_begin: np.ndarray, all_stop: np.ndarray):
+    """(line of each gram from 0, gram, hashes of the lines); each gram of a line once."""
+    for begin, stop, _, _, both in _grams(s, all_begin, all_stop):
+        both = np.sort(both)
+        both = both[np.r_[True, both[1:] != both[:-1]]]
+        yield (both >> _U(48)).astype(np.int64), both & _LOW, _full(s, begin, stop)
+
+
+def _ordered_grams(s: np.ndarray, all_begin: np.ndarray, all_stop: np.ndarray, frequent: np.ndarray):
+    """(line of each gram from 0, 48 bits of its hash, its place, hashes of the lines, words of the lines), sorted and
+    distinct.
+
+    The highest of the 48 bits says whether the gram is a frequent one. Places are 256ths of the line, rounded down, and
+    ANYWHERE for grams that a line has twice.
+    """
+    for begin, stop, of, at, both in _grams(s, all_begin, all_stop):
+        if len(frequent):
+            gram = both & _LOW
+            place = np.minimum(np.searchsorted(frequent, gram), len(frequent) - 1)
+            both = both | (frequent[place] == gram).astype(np.uint64) << _U(47)
         order = np.argsort(both)
         both = both[order]
         new = np.r_[True, both[1:] != both[:-1]]
@@ -216,7 +230,7 @@ def _grams(s: np.ndarray, all_begin: np.ndarray, all_stop: np.ndarray, frequent:
 
 def _long_grams(column: pa.Array, words_per_edit: int, frequent: np.ndarray):
     for _, _, _, begin, stop, s, _ in _lines(column, 2 * words_per_edit):
-        yield from _grams(s, begin, stop, frequent)
+        yield from _ordered_grams(s, begin, stop, frequent)
 
 
 def _blocks(batches, words_per_edit: int, blocks: int, frequent: np.ndarray, chunk: int):
@@ -279,7 +293,8 @@ def _shared(batches, words_per_edit: int):
     def found(keys, fulls):
         key, full = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(fulls), np.uint64)
         meta, key = (key >> _U(48)).astype(np.int64), key & _LOW
-        order = np.lexsort((full, key))
+        # lines by their first 16 bits: one told twice stands beside itself but for rare ties, which do no harm
+        order = np.argsort(key << _U(16) | full >> _U(48))
         key, full, meta = key[order], full[order], meta[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (full[1:] != full[:-1])]
         key, full, size, place = key[new], full[new], meta[new] >> 8, meta[new] & 255
@@ -288,18 +303,20 @@ def _shared(batches, words_per_edit: int):
         one = begin[count == 2]
         two = one + 1
         near = (np.abs(place[one] - place[two]) <= away) | (place[one] == ANYWHERE) | (place[two] == ANYWHERE)
-        near &= np.abs(size[one] - size[two]) <= far
+        near &= (np.abs(size[one] - size[two]) <= far) & (full[one] != full[two])
         a, b = full[one[near]], full[two[near]]
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([pa.nulls(int(once.sum()), pa.int64()), pa.array(a[once].view(np.int64)), pa.array(b[once].view(np.int64)), pa.nulls(int(once.sum()), pa.int32())], names=["key", "full", "other", "place"])
+        none = pa.nulls(int(once.sum()), pa.int64())
+        yield batch_of(key=none, full=pa.array(a[once].view(np.int64)), other=pa.array(b[once].view(np.int64)), place=none.cast(pa.int32()))
         several = np.repeat(count > 2, count)
         key, full, size, place = key[several], full[several], size[several], place[several]
         order = np.lexsort((size, key))
         key, full, size, place = key[order], full[order], size[order], place[order]
         use = _with_partner(key, size, place, words_per_edit)
-        yield pa.RecordBatch.from_arrays([pa.array(key[use].view(np.int64)), pa.array(full[use].view(np.int64)), pa.nulls(int(use.sum()), pa.int64()), pa.array(place[use].astype(np.int32))], names=["key", "full", "other", "place"])
+        key, full, place = key[use].view(np.int64), full[use].view(np.int64), place[use].astype(np.int32)
+        yield batch_of(key=pa.array(key), full=pa.array(full), other=pa.nulls(len(key), pa.int64()), place=pa.array(place))
 
     now, keys, fulls = None, [], []
     for batch in frugal(batches):
@@ -489,8 +506,9 @@ def removed_lines(docs: DataFrame, least: int = 1, words_per_edit: int = WORDS_P
     every = durable(rows.mapInArrow(lambda b: _keys(b, least, words_per_edit, often_at, chunk), KEYS), "lines")
     lines = every.where(F.col("line").isNotNull())
     own = [F.min(k).alias(k) for k in ("n", *"abce", *PARITY)]
-    first = durable(lines.groupBy("full").agg(F.min(F.struct(*PLACE)).alias("p"), *own), "first-lines")
-    again = lines.select(*PLACE, "full").join(first.select("full", "p"), "full").where(F.struct(*PLACE) > F.col("p")).select(*PLACE)
+    first = durable(lines.groupBy("full").agg(F.min(F.struct(*PLACE)).alias("p"), F.count("*").alias("times"), *own), "first-lines")
+    repeated = broadcast_if_small(first.where("times > 1").select("full", "p"))
+    again = lines.select(*PLACE, "full").join(repeated, "full").where(F.struct(*PLACE) > F.col("p")).select(*PLACE)
     short, spent = _near_short(rows, first, words_per_edit)
     long, more = _near_long(rows, every, first, words_per_edit)
     gone = durable(again.union(short).union(long).distinct().groupBy("d", "t").agg(F.collect_set("line").alias("gone")), "removed-lines")
@@ -504,13 +522,15 @@ def _deduped(docs: DataFrame, least: int, words_per_edit: int) -> DataFrame:
     gone = removed_lines(docs, least, words_per_edit).withColumnsRenamed({"d": d, "t": t, "gone": went})
     got = join_few(docs.select("*", *[c.alias(x) for c, x in zip(_key(), (d, t), strict=True)]), gone, [d, t])
     # the lambda binds the lines, so that the text is split once
-    stay = F.transform(F.array(F.split("text", "\n")), lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(went)), lambda i: F.get(x, i)), "\n"))
+    kept = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(went))
+    stay = F.transform(F.array(F.split("text", "\n")), lambda x: F.array_join(F.transform(kept(x), lambda i: F.get(x, i)), "\n"))
     text = F.when(F.col(went).isNull(), F.col("text")).otherwise(F.get(stay, F.lit(0)))
     own = {"text": text}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.when(F.col(went).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
     lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
-    return got.select(F.struct(*[own.get(c, F.col(c)).alias(c) for c in docs.columns]).alias("row"), lines.alias("n_lines"), F.coalesce(F.size(went), F.lit(0)).alias("n_removed"))
+    row = F.struct(*[own.get(c, F.col(c)).alias(c) for c in docs.columns]).alias("row")
+    return got.select(row, lines.alias("n_lines"), F.coalesce(F.size(went), F.lit(0)).alias("n_removed"))
 
 
 def dedup_lines(docs: DataFrame, least: int = 1, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
