@@ -90,8 +90,12 @@ def packed(rows: Iterable[tuple[list[np.ndarray], np.ndarray, np.ndarray]], bloc
         yield flush()
 
 
-def shared_keys(batches) -> Iterator[pa.RecordBatch]:
-    """Of PACKED rows, each block's together: key, owner, size of the keys that at least two owners have."""
+def shared_keys(batches, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Of PACKED rows, each block's together: key, owner, size of owners that share a key with one of a like size.
+
+    Sizes are alike if den times the less is num times the greater or more; of a key's owners by size, one that is not
+    like the next smaller nor the next greater is like none.
+    """
 
     def found(columns):
         cat = lambda i, kind: np.frombuffer(b"".join(columns[i]), kind)
@@ -102,8 +106,11 @@ def shared_keys(batches) -> Iterator[pa.RecordBatch]:
         key, owner, size = key[order], owner[order], size[order]
         new = np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]
         key, owner, size = key[new], owner[new], size[new]
-        same = np.r_[False, key[1:] == key[:-1]]
+        order = np.lexsort((size, key))
+        key, owner, size = key[order], owner[order], size[order].astype(np.int64)
+        same = np.r_[False, (key[1:] == key[:-1]) & (den * size[:-1] >= num * size[1:])]
         same[:-1] |= same[1:]
+        size = size.astype(np.int32)
         return pa.RecordBatch.from_arrays([pa.array(key[same].view(np.int64)), pa.array(owner[same].view(np.int64)), pa.array(size[same])], names=["key", "owner", "size"])
 
     for columns in by_block(batches):

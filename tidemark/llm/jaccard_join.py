@@ -33,7 +33,7 @@ WIDE = 8
 MOST_FREQUENT, SEEN_OFTEN = 100_000, 4
 
 #: Leaders that the nodes of an open bucket are held against in a round, about, and rounds at most.
-LEADERS, ROUNDS = 32, 4
+LEADERS, ROUNDS = 8, 8
 #: Keys of a block, about, and keys that a task packs at a time.
 BLOCK, CHUNK = 1 << 20, 1 << 19
 
@@ -199,7 +199,7 @@ def jaccard_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFra
     total = sizes.agg(F.sum("n_shingles"), F.count("*")).first()
     blocks, chunk = 1 + int(((total[0] or 0) * 2.5 * (den - num) / num + 4 * total[1]) / BLOCK), CHUNK
     rows = docs.select("text").mapInArrow(lambda b: packed(_keyed(b, n, num, den, frequent), blocks, chunk), PACKED)
-    shared = rows.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(shared_keys, "key long, owner long, size int")
+    shared = rows.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(lambda b: shared_keys(b, num, den), "key long, owner long, size int")
     bucket = durable(shared.select("key", F.col("owner").alias("node"), F.col("size").alias("n")), "buckets")
     classes = sizes.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct("d", "t")).alias("p"), F.count("*").alias("rows"))
     involved = durable(classes.join(bucket.select("node").distinct(), "node", "left_semi").select("node", "p.*"), "involved")
