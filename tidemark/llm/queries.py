@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, factorization, toxicity
+from .bin_packing import place_pieces, token_pieces
+from .clustering import cluster_vectors
 from .decontaminate import decontaminate
 from .html_text import extract_pages
 from .jaccard_join import jaccard_classes
@@ -13,6 +17,8 @@ from .line_dedup import dedup_lines
 from .mixing import mix_sources
 from .quality_rules import quality_rules
 from .repeated_bytes import remove_repeats
+from .vector_codes import compress_vectors
+from .vectors import join_total
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,5 +75,28 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return factorization.score(docs, factorization.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    pieces = token_pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end=2, room=1024)
+    # the ids stay in their table; their sums alone are shuffled
+    return place_pieces(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "_part", "_place"), room=1024)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = compress_vectors(_table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024.0)
+    told = hashlib.sha256(",".join(str(x) for book in coded.codebooks for x in book.ravel()).encode()).hexdigest()
+    rows = join_total(coded.rows, "label", "error", "label_error")
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", F.lit(told).alias("codebooks_sha256"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = cluster_vectors(_table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, width=64, scale=256.0, seed="2")
+    sums = {r[0]: r[1] for r in found.rows.groupBy("cluster").agg(F.sum("distance")).collect()}  # a row per cluster
+    told = [(c, sums.get(c, 0), hashlib.sha256(",".join(map(str, x)).encode()).hexdigest()) for c, x in enumerate(found.centroids)]
+    each = spark.createDataFrame(told, "cluster int, cluster_inertia long, centroid_sha256 string")
+    return found.rows.join(F.broadcast(each), "cluster").withColumn("inertia", F.lit(sum(sums.values())).cast("long"))
+
+
 def queries() -> dict:
     return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
