@@ -16,7 +16,8 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,13 @@ from .tokens import frugal
 
 #: Characters of the texts that are cut into ids together.
 STRETCH = 1 << 20
-#: A task remembers the ids of so many words, then begins anew.
-REMEMBERED = 400_000
+#: A worker remembers the ids of so many words, from task to task; beyond that, of the more used half.
+REMEMBERED = 600_000
 #: Bytes of ids in one batch of pieces.
 BATCH = 1 << 22
 
-_WORD = re.compile(r"\s*\S*?[A-Za-z](?=[!-@\[-`{-~])|\s*\S+|\s+")
+# one white space other than a blank; Latin letters after white space, with what stands before them in the word; the rest of a word
+_WORD = re.compile(r"[\t\n\v\f\r](?=\S)|\s*+[A-Za-z]++(?![^\x00-\x7f])|\s*+\S*?[A-Za-z](?=[!-@\[-`{-~])|\s*\S+|\s+")
 # Python takes these for white space and the tokenizer does not: texts that hold one are not cut into words
 _ODD = re.compile("[\x1c-\x1f]")
 _CUT = re.compile(r"(?<=\w)[ \n]")
@@ -43,8 +45,9 @@ _CUT = re.compile(r"(?<=\w)[ \n]")
 class Encoder:
     """Ids of texts. Words, each with the white space before it, go to the tokenizer once and are then remembered.
 
-    No token crosses from a character to white space after it, nor from a Latin letter to a mark or digit after it, so
-    that the ids of the words make the ids of the text. Control strings in a text are ordinary text.
+    No token crosses from a character to white space after it, nor from a Latin letter to a mark or digit after it, nor
+    from a single white space that is no blank to what follows, so that the ids of the words make the ids of the text.
+    Control strings in a text are ordinary text.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,11 +56,19 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self._forget()
+        self.known: dict[str, int] = {}
+        self.ids, self.ends, self.uses = array("I"), array("q", [0]), np.zeros(0, np.int64)
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.ends = array("I"), array("q", [0])
+        """Keep the more used half of the words."""
+        words, ids, ends = list(self.known), np.array(self.ids, np.uint32), np.array(self.ends)
+        kept = np.sort(np.argsort(-self.uses, kind="stable")[: REMEMBERED // 2])
+        self.known = {words[i]: at for at, i in enumerate(kept)}
+        self.uses = self.uses[kept] // 2
+        length = (ends[1:] - ends[:-1])[kept]
+        till = np.cumsum(length)
+        self.ids = array("I", ids[np.repeat(ends[kept] - till + length, length) + np.arange(till[-1])].tobytes())
+        self.ends = array("q", np.r_[0, till].tobytes())
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -66,15 +77,20 @@ class Encoder:
         split = [[] if _ODD.search(t) else _WORD.findall(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self._forget()
-        new = list(set(chain.from_iterable(split)) - self.known.keys())
-        at = len(self.known)
+        words, at = list(chain.from_iterable(split)), len(self.known)
+        word = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        lacking = np.flatnonzero(word < 0).tolist()
+        new = list(dict.fromkeys(words[i] for i in lacking))
         for ids in self._ids(new):
             self.ids.extend(ids)
             self.ends.append(len(self.ids))
         self.known.update(zip(new, range(at, at + len(new)), strict=True))
+        word[lacking] = [self.known[words[i]] for i in lacking]
         counts = [len(s) for s in split]
-        word = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int64, sum(counts))
         ends, ids = np.array(self.ends), np.array(self.ids, np.uint32)
+        uses = np.bincount(word, minlength=len(self.known))
+        uses[:at] += self.uses
+        self.uses = uses
         length = ends[word + 1] - ends[word]
         till = np.cumsum(length)
         flat = ids[np.repeat(ends[word] - till + length, length) + np.arange(till[-1] if len(till) else 0)]
@@ -86,6 +102,11 @@ class Encoder:
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
     """A text in parts of about so many characters; each but the last ends in a letter or digit before a blank or new line."""
     at = 0
@@ -117,7 +138,7 @@ def cuts(n: int, room: int) -> list[int]:
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, end: int, room: int, size: int) -> Iterator[pa.RecordBatch]:
-    encoder, seen, part = Encoder(path), np.zeros(room + 1, np.int64), TaskContext.get().partitionId()
+    encoder, seen, part = _encoder(path), np.zeros(room + 1, np.int64), TaskContext.get().partitionId()
     names = ["doc_id", "piece", "start", "length", "ids", "_part", "_place"]
 
     def batch(doc_ids, rows):
