@@ -53,7 +53,18 @@ def _whole(c: Column, source: ColumnSpec, to: str) -> Column:
     if kind in ("boolean", "bit"):
         return as_text(c, source).try_cast(to)
     text = F.trim(as_text(c, source))
-    first = F.regexp_replace(text, r"^([+-]?[0-9]*[.][0-9])[0-9]*$", "$1")
+    plain = F.regexp_replace(text, r"^([+-]?[0-9]*[.][0-9])[0-9]*$", "$1")
+    # with an exponent: the point is moved among the digits first, then again only the first decimal counts
+    power = F.regexp_extract(text, r"[eE]([+-]?[0-9]+)$", 1).try_cast("int")
+    before, after = F.regexp_extract(text, r"^[+-]?([0-9]*)", 1), F.regexp_extract(text, r"[.]([0-9]*)", 1)
+    place = F.length(before) + power
+    digits = F.concat(F.repeat(F.lit("0"), F.least(F.greatest(-place, F.lit(0)), F.lit(40))), before, F.rpad(after, F.least(F.greatest(power + 1, F.length(after)), F.lit(80)), "0"))
+    at = F.greatest(place, F.lit(0))
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    moved = F.concat(sign, F.substring(digits, F.lit(1), at), F.lit("."), F.substring(digits, at + 1, F.lit(1)), F.lit("0"))
+    # so great a power with a digit that is not zero fits no whole number
+    shifted = F.when(place > 40, F.when(F.concat(before, after).rlike("^0*$"), "0")).otherwise(moved)
+    first = F.when(power.isNull(), plain).otherwise(shifted)
     return F.when(text.rlike(NUMBER), F.round(first.try_cast("decimal(38,18)"), 0).try_cast(to))
 
 
@@ -116,7 +127,7 @@ def convert(c: Column, source: ColumnSpec, target: ColumnSpec) -> tuple[Column,
     elif t in INTEGERS:
         new = _whole(c, source, spark_type(target).simpleString())
         if is_unsigned(target):
-            fits = new.between(F.lit(0), F.lit(UNSIGNED_MOST[t]).cast("decimal(20,0)"))
+            fits = new.between(F.lit(0), F.lit(str(UNSIGNED_MOST[t])).cast("decimal(20,0)"))  # over what a JVM long holds
     elif t == "decimal":
         # without a precision a decimal stays as it is
         new = c if s == "decimal" and target.length <= 0 else _number(c, source, spark_type(target).simpleString())

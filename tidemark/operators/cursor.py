@@ -110,7 +110,7 @@ def anchor(df: DataFrame, column: ColumnSpec, policy: IncrPolicy, now: dt.dateti
             raise ValueError("a cursor in time needs the moment of the run")
         bound = now - dt.timedelta(seconds=max(0, policy.safety_lag_seconds))
         return bound.date() if family(column) == "date" else bound
-    return df.agg(F.max(column.name)).first()[0]
+    return df.agg(F.max(f"`{column.name}`")).first()[0]
 
 
 def read_window(cursor: str | None, column: ColumnSpec, ties: list[ColumnSpec], policy: IncrPolicy, upper: object) -> ReadWindow:

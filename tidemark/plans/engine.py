@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import tempfile
 import time
 import uuid
@@ -14,12 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.convert import as_text, convert
-from ..functions.types import INTEGERS, family
+from ..functions.types import BINARY, CHARACTER, INTEGERS, family
 from ..model import ColumnSpec, Issue, Status, SyncResult, SyncTask, TableSpec, scrub
 from ..operators.cursor import ReadWindow, anchor, encode, read_window
 from ..operators.merge import append, last_wins
 from ..runtime import Cancellation, Cancelled, Progress, with_retries
 from ..sources.base import read_sql, spec_from
+from ..sources.jdbc import Rejected, TooManyRejected
 from .resolve import SyncPlan, resolve
 
 #: Longest texts kept of an error.
@@ -102,16 +104,15 @@ def stage(df: DataFrame, plan: SyncPlan) -> Staged:
     return Staged(spark.read.schema(rows.schema).parquet(folder), plan, folder)
 
 
-def source_rows(spark: SparkSession, task: SyncTask, source, plan: SyncPlan | None = None) -> DataFrame:
+def source_rows(spark: SparkSession, task: SyncTask, source, plan: SyncPlan | None = None, window: ReadWindow | None = None) -> DataFrame:
     """The rows of a task's table or statement, before any window.
 
-    A statement for a database is that database's own SQL and runs there; otherwise it is Spark SQL. With a plan whose
-    order has a whole-number key, a database is read in parts by ranges of it.
+    A statement for a database is that database's own SQL and runs there; otherwise it is Spark SQL. With a plan, a
+    database is read in parts by ranges of the plan's order keys, even over the rows of the window.
     """
     if hasattr(source, "query"):
-        whole = [k for k in plan.order_keys if family(plan.source.find(k)) in INTEGERS] if plan else []
-        key = whole[0] if whole else None
-        return source.query(task.source_sql, key) if task.source_sql else source.read(task.source_table, key)
+        keys = plan.order_keys if plan and not any(family(plan.source.find(k)) in {*BINARY, "boolean", "bit", "float", "double"} for k in plan.order_keys) else []
+        return source.query(task.source_sql, keys, window) if task.source_sql else source.read(task.source_table, keys, window)
     return read_sql(spark, task.source_sql) if task.source_sql else source.read(task.source_table)
 
 
@@ -150,8 +151,8 @@ def run(
             result.status, result.message = Status.FAILED, "; ".join(f"{i.code}: {i.message}" for i in plan.issues if i.level == "ERROR")[:MESSAGE_CHARS]
             return result
         stop.check(task.id)
-        df = source_rows(spark, task, source, plan)
-        window = window_of(plan, df, now)
+        window = window_of(plan, source_rows(spark, task, source), now) if plan.incremental else None
+        df = source_rows(spark, task, source, plan, window)
         read = (window.apply(df) if window else df).select(*[F.col(f"`{c}`") for c in plan.select])
         staged = with_retries(lambda: stage(read, plan), task.errors)
         keys = [F.col(f"_o{i}") for i in range(len(plan.order_keys))]
@@ -167,8 +168,16 @@ def run(
             return result
         stop.check(task.id)
         if not task.dry_run:
-            with_retries(lambda: _apply(staged, target), task.errors)
-            result.written_rows = n["read"] - n["bad"]
+            spare = max(0, task.errors.max_skip_rows - n["bad"]) if task.errors.skip_bad_rows else 0
+            try:
+                refused = with_retries(lambda: _apply(staged, target, spare), task.errors)
+            except TooManyRejected as e:
+                result.skipped_rows += len(e.rejected)
+                result.errors += _write_errors(e.rejected, plan)[: max(0, task.errors.max_errors_recorded - len(result.errors))]
+                raise
+            result.skipped_rows += len(refused)
+            result.errors += _write_errors(refused, plan)[: max(0, task.errors.max_errors_recorded - len(result.errors))]
+            result.written_rows = n["read"] - result.skipped_rows
             if n["last"] is not None:
                 result.end_cursor = encode(list(n["last"]))
         result.status = Status.COMPLETED
@@ -199,13 +208,35 @@ def _plan(spark, task, source, target, source_spec, target_spec, preflight) -> S
     return resolve(task, source_spec, target_spec, target_kind=target.kind, **preflight)
 
 
-def _apply(staged: Staged, target) -> None:
+def _write_errors(rejected: list[Rejected], plan: SyncPlan) -> list[dict]:
+    """Rows that a database refuses, told like bad rows; their data is what would have been written."""
+    source = {w.target.name: w.source.name for w in plan.written if w.source}
+    keys = plan.keys or [w.target.name for w in plan.written]
+    key = lambda row: ",".join(f"{source.get(k, k)}={row.get(k) if row.get(k) is not None else 'null'}" for k in keys)[:KEY_CHARS]
+    return [{"phase": "WRITE", "row_key": key(r.row), "message": scrub(r.message)[:MESSAGE_CHARS], "row_data": json.dumps(r.row, ensure_ascii=False)[:DATA_CHARS], "retryable": False} for r in rejected]
+
+
+def keys_are_unique(plan: SyncPlan) -> bool:
+    """Whether the target keys are filled, as they stand, from a key that the source declares: then no key comes twice.
+
+    Only of whole numbers, dates and texts, which no conversion of theirs makes alike.
+    """
+    alike = lambda w: family(w.source) == family(w.target) and family(w.source) in {*INTEGERS, *CHARACTER, "date"}
+    filled = {w.source.name.lower() for w in plan.written if w.source and w.target.name in plan.keys and alike(w)}
+    declared = [plan.source.primary_key, *plan.source.unique_keys]
+    return not plan.task.source_sql and any(u and {c.lower() for c in u} <= filled for u in declared)
+
+
+def _apply(staged: Staged, target, most_rejected: int) -> list[Rejected]:
     plan, rows = staged.plan, staged.target_rows
     order = [f"_o{i}" for i in range(len(plan.order_keys))]
     table, names = plan.task.target_table, [w.target.name for w in plan.written]
+    unique = keys_are_unique(plan)
+    more = {"most_rejected": most_rejected} if getattr(target, "isolates", False) else {}
     if plan.incremental:
-        target.upsert(table, rows, plan.keys, order)
-        return
-    kept = (last_wins(rows, plan.keys, order) if plan.keys else rows).select(*names)
+        found = target.upsert(table, rows, plan.keys, order, unique=unique, **more)
+        return found if more else []
+    kept = (last_wins(rows, plan.keys, order) if plan.keys and not unique else rows).select(*names)
     rows = append(target.read(table).limit(0), kept) if target.kind in ("PARQUET", "MEMORY") else kept
-    target.replace(table, rows, strategy=plan.task.strategy, keys=plan.keys)
+    found = target.replace(table, rows, strategy=plan.task.strategy, keys=plan.keys, **more)
+    return found if more else []

@@ -36,7 +36,7 @@ class Source(Protocol):
 class Target(Source, Protocol):
     def replace(self, table: str, rows: DataFrame, *, strategy: Strategy = ..., keys: list[str] = ...) -> None: ...
 
-    def upsert(self, table: str, rows: DataFrame, keys: list[str], order: list[str]) -> None: ...
+    def upsert(self, table: str, rows: DataFrame, keys: list[str], order: list[str], *, unique: bool = ...) -> None: ...
 
     def append(self, table: str, rows: DataFrame) -> None: ...
 

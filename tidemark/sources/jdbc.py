@@ -1,13 +1,23 @@
-"""Tables in a database: Spark reads and writes in parallel, one set-based statement from the driver merges."""
+"""Tables in a database: Spark reads and writes in parallel, one set-based statement from the driver merges.
+
+Reads go in parts of about as many rows, whatever the key: its bounds are taken one from the other, in a single pass over
+the key's index, within the window that is read. Writes go to a staging table first. Where the statement that merges it
+fails because of rows, the rows are halved by their number until those that the database refuses are found, all in one
+transaction: they are set aside, as far as a caller allows, and the others are written.
+"""
 
 from __future__ import annotations
 
 import uuid
-from contextlib import closing
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import closing, contextmanager
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..model import Strategy
+from ..operators.cursor import ReadWindow
 from ..operators.merge import last_wins
 from ..plans.guard import check_sql, normalize
 from .base import database_kind
@@ -15,6 +25,36 @@ from .dialect import dialect_of
 
 #: How long a connection may take to open, and a test of it to answer.
 LOGIN_SECONDS, ANSWER_SECONDS = 5, 15
+#: Number of a row in a staging table.
+NUMBER = "DS_ROW"
+# Classes of SQL states that rows are to blame for (data that does not fit, broken constraints), and types of
+# text without a bound, as databases name them.
+ROW_STATES = ("22", "23")
+LONG_TEXTS = ("CLOB", "TEXT", "MEDIUMTEXT", "LONGTEXT", "LONG VARCHAR")
+
+
+@dataclass(frozen=True)
+class Rejected:
+    """A row as it was staged, by column and as text, and why the database refuses it."""
+
+    row: dict[str, str | None]
+    message: str
+
+
+class TooManyRejected(RuntimeError):
+    def __init__(self, rejected: list[Rejected], most: int) -> None:
+        super().__init__(f"the database refuses more than {most} rows; the last: {rejected[-1].message}")
+        self.rejected = rejected
+
+
+def refused(error: Exception) -> str | None:
+    """What a database says of rows that it refuses; None for any other failure."""
+    e, seen = getattr(error, "java_exception", None), 0
+    while e is not None and seen < 20:
+        if hasattr(e, "getSQLState") and (e.getSQLState() or "").startswith(ROW_STATES):
+            return e.getMessage()
+        e, seen = e.getCause(), seen + 1
+    return None
 
 
 class JdbcTables:
@@ -23,27 +63,66 @@ class JdbcTables:
         self.kind = kind or ("DERBY" if ":derby:" in url else database_kind(url)) or "ANSI"
         self.dialect, self.fetch_size, self.batch_size, self.connections = dialect_of(self.kind), fetch_size, batch_size, connections
 
-    def read(self, table: str, key: str | None = None) -> DataFrame:
-        """The table; with a whole-number key, in as many parts by key range as there may be connections."""
-        return self._load(self.dialect.quote(table), key)
+    #: upsert and replace take most_rejected, and tell the rows that the database refuses.
+    isolates = True
+
+    def read(self, table: str, keys: str | Sequence[str] = (), window: ReadWindow | None = None) -> DataFrame:
+        """The table; with keys, in as many parts by ranges of them as there may be connections.
+
+        The parts are even over the rows of the window, if one is given; it is the caller that filters by it.
+        """
+        return self._load(self.dialect.quote(table), keys, window)
 
-    def query(self, sql: str, key: str | None = None) -> DataFrame:
-        """Rows of one read-only statement of the database's own; with a whole-number key of it, read in parts."""
+    def query(self, sql: str, keys: str | Sequence[str] = (), window: ReadWindow | None = None) -> DataFrame:
+        """Rows of one read-only statement of the database's own; with keys of it, read in parts."""
         issue = check_sql(sql)
         if issue:
             raise ValueError(issue.message)
-        return self._load(f"({normalize(sql)}) ds_src", key)
-
-    def _load(self, place: str, key: str | None) -> DataFrame:
-        reader = self.spark.read.format("jdbc").options(url=self.url, dbtable=place, fetchsize=self.fetch_size, **self.options)
-        if not key:
-            return reader.load()
-        name = self.dialect.quote(key)
-        ends = f"(SELECT MIN({name}) AS LO, MAX({name}) AS HI FROM {place}) ds_ends"
-        lo, hi = self.spark.read.format("jdbc").options(url=self.url, dbtable=ends, **self.options).load().first()
-        if lo is None:
-            return reader.load()
-        return reader.options(partitionColumn=name, lowerBound=int(lo), upperBound=int(hi) + 1, numPartitions=self.connections).load()
+        return self._load(f"({normalize(sql)}) ds_src", keys, window)
+
+    def _load(self, place: str, keys: str | Sequence[str], window: ReadWindow | None = None) -> DataFrame:
+        options = {"url": self.url, "fetchsize": str(self.fetch_size), **self.options}
+        keys = [keys] if isinstance(keys, str) else list(keys)
+        ends = [self.dialect.after(keys, b) for b in self.bounds(place, keys, window)] if keys else []
+        if not ends or None in ends:
+            return self.spark.read.format("jdbc").options(dbtable=place, **options).load()
+        # NOT (after) is not true of a null key; such rows go with the first part
+        null = "(" + " OR ".join(f"{self.dialect.quote(k)} IS NULL" for k in keys) + ")"
+        middle = [f"{lo} AND NOT {hi} AND NOT {null}" for lo, hi in zip(ends, ends[1:], strict=False)]
+        parts = [f"NOT {ends[0]} OR {null}", *middle, f"{ends[-1]} AND NOT {null}"]
+        return self.spark.read.jdbc(self.url, place, predicates=parts, properties=options)
+
+    def bounds(self, place: str, keys: Sequence[str], window: ReadWindow | None = None) -> list[list]:
+        """Positions that cut the rows in parts of equal number, by keys in order. Each is found from the one before it,
+        so all of them take one pass over an index of the keys."""
+        names, within = self.dialect.names(keys), self._within(window)
+        rows = lambda sql: self.spark.read.format("jdbc").options(url=self.url, dbtable=f"({sql}) ds_bound", **self.options).load().head(1)
+        where = lambda *asked: " WHERE " + " AND ".join(a for a in asked if a) if any(asked) else ""
+        there = " AND ".join(f"{self.dialect.quote(k)} IS NOT NULL" for k in keys)
+        n = int(rows(f"SELECT COUNT(*) AS N FROM {place}{where(within, there)}")[0][0])
+        step, out, after = -(-n // self.connections), [], None
+        if n < self.connections:
+            return []
+        while (len(out) + 1) * step < n:
+            found = rows(f"SELECT {names} FROM {place}{where(within, there, after)} ORDER BY {names} {self.dialect.nth(step - 1)}")
+            after = found and self.dialect.after(keys, list(found[0]))
+            if not after:  # the table shrank, or a key of this type has no literal
+                break
+            out.append(list(found[0]))
+        return out
+
+    def _within(self, window: ReadWindow | None) -> str | None:
+        """The window as SQL; None if it has no bounds or they have no literals, and the parts are then those of all rows."""
+        if window is None:
+            return None
+        d, asked = self.dialect, []
+        for bound, sign in ((window.lower, ">"), (window.upper, "<=")):
+            if bound is not None:
+                said = d.literal(bound)
+                asked.append(said and f"{d.quote(window.column)} {sign} {said}")
+        if window.position is not None:
+            asked.append(d.after([window.column, *window.ties], window.position))
+        return " AND ".join(asked) if asked and None not in asked else None
 
     def _connect(self):
         manager = self.spark._jvm.java.sql.DriverManager
@@ -103,40 +182,150 @@ class JdbcTables:
         key = [primary[k] for k in sorted(primary)]
         return key, [u for u in ([x[k] for k in sorted(x)] for x in indexes.values()) if u != key], lead
 
+    def types(self, table: str) -> dict[str, str]:
+        """Names of the columns' types, in upper case."""
+        with closing(self._connect()) as c, closing(c.getMetaData().getColumns(c.getCatalog(), c.getSchema(), table.rsplit(".", 1)[-1], None)) as rows:
+            out = {}
+            while rows.next():
+                out[rows.getString("COLUMN_NAME")] = rows.getString("TYPE_NAME").upper()
+        return out
+
     def _write(self, table: str, rows: DataFrame, mode: str) -> None:
         rows.write.format("jdbc").options(url=self.url, dbtable=self.dialect.quote(table), batchsize=self.batch_size, numPartitions=self.connections, **self.options).mode(mode).save()
 
-    def append(self, table: str, rows: DataFrame) -> None:
-        self._write(table, rows, "append")
+    def append(self, table: str, rows: DataFrame, most_rejected: int = 0) -> list[Rejected]:
+        """Plain insert, all rows or, but for those that the database refuses, none."""
+        with self._staged(table, rows) as staging:
+            return self._apply(table, staging, rows.columns, [], lambda where: self.dialect.insert_from(table, staging, rows.columns, where), most_rejected)
+
+    @contextmanager
+    def _staged(self, table: str, rows: DataFrame) -> Iterator[str]:
+        """A table of its own with the rows, numbered; gone at the end.
 
-    def upsert(self, table: str, rows: DataFrame, keys: list[str], order: list[str]) -> None:
-        """Rows go in parallel to a staging table, then one statement merges it; a failed run leaves the target alone."""
-        columns, staging = [c for c in rows.columns if c not in order or c in self.read(table).columns], f"DS_STAGE_{uuid.uuid4().hex[:12].upper()}"
-        self._write(staging, last_wins(rows, keys, order).select(*columns), "error")
+        Spark writes texts without a bound, so values that the target refuses get there too, and nulls. Where such texts
+        do not compare with the target's, the database copies the rows to a table in which they do.
+        """
+        tag, kinds, d = uuid.uuid4().hex[:12].upper(), self.types(table), self.dialect
+        written, typed = f"DS_STAGE_{tag}", f"DS_TYPED_{tag}"
+        texts = [f.name for f in rows.schema.fields if f.dataType.typeName() == "string" and kinds.get(f.name) not in LONG_TEXTS] if d.wide_text else []
         try:
-            self.execute(self.dialect.upsert_from(table, staging, columns, keys))
+            self._write(written, rows.withColumn(NUMBER, F.monotonically_increasing_id()), "error")
+            if texts:
+                self.execute(*d.retyped(typed, written, [*rows.columns, NUMBER], texts))
+                self.execute(d.drop(written))
+            yield typed if texts else written
         finally:
-            self.execute(self.dialect.drop(staging))
+            there = set(self.tables())
+            self.execute(*[d.drop(t) for t in (written, typed) if t in there])
+
+    def _clashing(self, table: str, staging: str, columns: list[str], keys: list[str], most: int) -> list[Rejected]:
+        """Take out of a staging table the rows that another unique key of the table refuses whatever else is written."""
+        out, d = [], self.dialect
+        primary, others, _ = self.keys(table)
+        for unique in [u for u in (primary, *others) if u and d.refuses_duplicates and set(u) != set(keys) and set(u) <= set(columns)]:
+            where, said = d.clashing(table, staging, keys, unique), f"another row has the same {', '.join(unique)}"
+            found = self._rows(f"SELECT {d.names(columns, 's.')} FROM {d.quote(staging)} s WHERE {where} {d.limit(most + 1 - len(out))}", columns)
+            out += [Rejected(r, said) for r in found]
+            if len(out) > most:
+                raise TooManyRejected(out, most)
+            if found:
+                self.execute(f"DELETE FROM {d.quote(staging)} WHERE {d.quote(NUMBER)} IN (SELECT s.{d.quote(NUMBER)} FROM {d.quote(staging)} s WHERE {where})")
+        return out
+
+    def _rows(self, sql: str, columns: Sequence[str], connection=None) -> list[dict[str, str | None]]:
+        with closing(connection.createStatement() if connection else (own := self._connect()).createStatement()) as s, closing(s.executeQuery(sql)) as found:
+            out = []
+            while found.next():
+                out.append({c: found.getString(i + 1) for i, c in enumerate(columns)})
+        if not connection:
+            own.close()
+        return out
+
+    def _apply(self, table: str, staging: str, columns: list[str], keys: list[str], statement: Callable[[str], str], most: int, first: Sequence[str] = ()) -> list[Rejected]:
+        """Run `first` and the statement over all staged rows in one transaction; the rows that the database refuses.
+
+        They are searched only if the statement fails because of rows: first by the table's other unique keys, all at
+        once, then by halving what fails. With more of them than `most` nothing is written.
+        """
+        try:
+            self.execute(*first, statement(""))
+            return []
+        except Exception as e:
+            if refused(e) is None:
+                raise
+        d = self.dialect
+        number = d.quote(NUMBER)
+        self.execute(f"CREATE INDEX {d.quote('DS_I' + staging[-12:])} ON {d.quote(staging)} ({number})")
+        out = self._clashing(table, staging, columns, keys, most) if keys else []
+        with closing(self._connect()) as c:
+            c.setAutoCommit(False)
+
+            def run(sql: str) -> None:
+                with closing(c.createStatement()) as s:
+                    s.executeUpdate(sql)
+
+            try:
+                for sql in first:
+                    run(sql)
+                spans = [(0, (1 << 63) - 1)]
+                while spans:
+                    lo, hi = spans.pop()
+                    where, mark = f"{number} BETWEEN {lo} AND {hi}", c.setSavepoint()
+                    try:
+                        run(statement(where))
+                    except Exception as e:
+                        why = refused(e)
+                        c.rollback(mark)
+                        if why is None:
+                            raise
+                        n = int(self._rows(f"SELECT COUNT(*) FROM {d.quote(staging)} WHERE {where}", ["n"], c)[0]["n"])
+                        if n > 1:
+                            cut = int(self._rows(f"SELECT {number} FROM {d.quote(staging)} WHERE {where} ORDER BY {number} {d.nth(n // 2 - 1)}", ["n"], c)[0]["n"])
+                            spans += [(cut + 1, hi), (lo, cut)]
+                            continue
+                        out += [Rejected(r, why) for r in self._rows(f"SELECT {d.names(columns)} FROM {d.quote(staging)} WHERE {where}", columns, c)]
+                        if len(out) > most:
+                            raise TooManyRejected(out, most) from e
+                    else:
+                        c.releaseSavepoint(mark)
+                c.commit()
+            except Exception:
+                c.rollback()
+                raise
+        return out
+
+    def upsert(self, table: str, rows: DataFrame, keys: list[str], order: list[str], most_rejected: int = 0, unique: bool = False) -> list[Rejected]:
+        """Rows go in parallel to a staging table, then one statement merges it; a failed run leaves the target alone.
+
+        Returns the rows that the database refuses, of which there may be most_rejected; of a key whose last row it
+        refuses no earlier row is tried. With `unique` no key comes twice, which spares the search for the last.
+        """
+        there = self.types(table)
+        columns = [c for c in rows.columns if c not in order or c in there]
+        kept = rows if unique else last_wins(rows, keys, order)
+        with self._staged(table, kept.select(*[F.col(f"`{c}`") for c in columns])) as staging:
+            return self._apply(table, staging, columns, keys, lambda where: self.dialect.upsert_from(table, staging, columns, keys, where), most_rejected)
 
-    def replace(self, table: str, rows: DataFrame, strategy: Strategy = Strategy.DELETE, **_) -> None:
+    def replace(self, table: str, rows: DataFrame, strategy: Strategy = Strategy.DELETE, most_rejected: int = 0, **_) -> list[Rejected]:
         """All rows anew. They go in parallel to a staging table first, so a run that fails leaves the target alone.
 
         DELETE changes the rows over in one transaction. TRUNCATE empties the table by its statement, which some
-        databases commit by themselves. SWAP gives the staging table, made like the target, the target's name.
+        databases commit by themselves. SWAP fills a table made like the target and gives it the target's name. Returns
+        the rows that the database refuses, of which there may be most_rejected.
         """
         d, tag = self.dialect, uuid.uuid4().hex[:12].upper()
-        staging, backup = f"DS_STAGE_{tag}", f"DS_OLD_{tag}"
-        if strategy == Strategy.SWAP:
-            self.execute(*d.create_like(staging, table))
-        try:
-            self._write(staging, rows, "append" if strategy == Strategy.SWAP else "error")
-            if strategy == Strategy.SWAP:
-                self.execute(*d.swap(table, staging, backup))
-                self.execute(d.drop(backup))
-            else:
-                names = d.names(rows.columns)
+        like, backup = f"DS_LIKE_{tag}", f"DS_OLD_{tag}"
+        with self._staged(table, rows) as staging:
+            insert = lambda into: lambda where: d.insert_from(into, staging, rows.columns, where)
+            if strategy != Strategy.SWAP:
                 clear = d.truncate(table) if strategy == Strategy.TRUNCATE else d.delete_all(table)
-                self.execute(clear, f"INSERT INTO {d.quote(table)} ({names}) SELECT {names} FROM {d.quote(staging)}")
-        finally:
-            if self.exists(staging):
-                self.execute(d.drop(staging))
+                return self._apply(table, staging, rows.columns, [], insert(table), most_rejected, [clear])
+            self.execute(*d.create_like(like, table))
+            try:
+                rejected = self._apply(like, staging, rows.columns, [], insert(like), most_rejected)
+                self.execute(*d.swap(table, like, backup))
+                self.execute(d.drop(backup))
+                return rejected
+            finally:
+                if self.exists(like):
+                    self.execute(d.drop(like))

@@ -28,5 +28,5 @@ class MemoryTables:
     def append(self, table: str, rows: DataFrame) -> None:
         self._tables[table] = append(self._tables[table], rows)
 
-    def upsert(self, table: str, rows: DataFrame, keys: list[str], order: list[str]) -> None:
-        self._tables[table] = merge(self._tables[table], rows, keys, order)
+    def upsert(self, table: str, rows: DataFrame, keys: list[str], order: list[str], unique: bool = False) -> None:
+        self._tables[table] = merge(self._tables[table], rows, keys, order, unique=unique)

@@ -14,17 +14,25 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from ..operators.merge import append, last_wins, merge
 
+#: An upsert's keys are told by at most so many ranges when files are searched for them.
+RANGES = 512
 #: An empty pointer younger than this may still be written to.
 GRACE_SECONDS = 60
 
 
+def _has_order(kind: DataType) -> bool:
+    return kind.typeName() not in ("map", "variant", "interval")
+
+
 class Conflict(RuntimeError):
     """Another writer committed first."""
 
@@ -34,6 +42,8 @@ class ParquetTables:
 
     def __init__(self, spark: SparkSession, root: str, keep: int = 2) -> None:
         self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
+        #: Of the last upsert: files of the table, files whose keys were read, files that were put anew.
+        self.touched = (0, 0, 0)
 
     def _path(self, *parts: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path("/".join([self.root, *parts]))
@@ -53,7 +63,13 @@ class ParquetTables:
         out.close()
 
     def _manifest(self, table: str, version: int) -> dict | None:
-        stream = self._fs().open(self._path(table, f"p{version}"))
+        """What a pointer says; None if it is empty, or gone with a version that another commit has let go."""
+        try:
+            stream = self._fs().open(self._path(table, f"p{version}"))
+        except Exception as e:
+            if "FileNotFoundException" in str(e):
+                return None
+            raise
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
@@ -81,7 +97,10 @@ class ParquetTables:
         versions = self._versions(table)
         if not versions:
             raise FileNotFoundError(f"{table} has no committed version")
-        return self._manifest(table, versions[-1] if version is None else version)
+        found = self._manifest(table, versions[-1] if version is None else version)
+        if found is None:
+            raise FileNotFoundError(f"{table} has no version {version or versions[-1]}")
+        return found
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
         found = self._of(table, version)
@@ -92,7 +111,33 @@ class ParquetTables:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f"{self.root}/{table}/{f}" for f in files])
 
-    def _commit(self, table: str, rows: DataFrame, base: int, kept: list[str] = ()) -> int:
+    def _statistics(self, table: str, folder: str, keys: Sequence[str]) -> str | None:
+        """A part with the least and greatest key of each file of a folder, from its key columns alone."""
+        new = self.spark.read.parquet(f"{self.root}/{table}/{folder}")
+        if not keys or any(k not in new.columns or not _has_order(new.schema[k].dataType) for k in keys):
+            return None
+        key = F.struct(*[F.col(f"`{k}`") for k in keys])
+        known = reduce(lambda a, b: a & b, [F.col(f"`{k}`").isNotNull() for k in keys])
+        file = F.concat(F.lit(f"{folder}/"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        part = f"s-{uuid.uuid4().hex}"
+        found = new.select(file.alias("file"), F.when(known, key).alias("key")).groupBy("file").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+        found.coalesce(1).write.parquet(f"{self.root}/{table}/{part}")
+        return part
+
+    def _met(self, table: str, found: dict, rows: DataFrame, keys: Sequence[str]) -> list[str]:
+        """Files that may hold a key of rows: those without statistics by these keys, and those that meet a range of rows' keys."""
+        parts = found.get("statistics", {}) if found.get("keys") == list(keys) else {}
+        if not parts:
+            return found["files"]
+        known = rows.select(*[F.col(f"`{k}`") for k in keys]).dropna()
+        key = F.struct(*[F.col(f"`{k}`") for k in keys])
+        ranges = known.repartitionByRange(RANGES, *[F.col(f"`{k}`") for k in keys]).groupBy(F.spark_partition_id().alias("p")).agg(F.min(key).alias("first"), F.max(key).alias("last"))
+        stats = self.spark.read.parquet(*[f"{self.root}/{table}/{p}" for p in sorted(set(parts.values()))])
+        hit = stats.join(F.broadcast(ranges), (F.col("low") <= F.col("last")) & (F.col("first") <= F.col("high")), "left_semi")
+        names = {r[0] for r in hit.select("file").collect()}  # names of the few files that an upsert meets
+        return [f for f in found["files"] if f in names or f.split("/")[0] not in parts]
+
+    def _commit(self, table: str, rows: DataFrame, base: int, kept: list[str] = (), keys: Sequence[str] = ()) -> int:
         """Write rows, then point at them and at the kept files of the base version, as the version after it."""
         version = base + 1
         for number, changed in ((n, t) for n, t in self._names(table).items() if n.startswith("p") and n[1:].isdigit() and int(n[1:]) >= version):
@@ -102,10 +147,21 @@ class ParquetTables:
         folder = f"v{version}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.root}/{table}/{folder}")
         files = [f"{folder}/{n}" for n in self._names(table, folder) if n.endswith(".parquet")]
+        before = self._manifest(table, base) if kept else {}
+        if before is None:
+            self._fs().delete(self._path(table, folder), True)
+            raise Conflict(f"{table} moved on from version {base}")
+        keys = list(keys or before.get("keys", ()))
+        there = {f.split("/")[0] for f in kept}
+        parts = {f: p for f, p in before.get("statistics", {}).items() if f in there} if before.get("keys") == keys else {}
+        part = self._statistics(table, folder, keys) if files else None
+        if part:
+            parts[folder] = part
         try:
-            self._create(json.dumps({"schema": json.loads(rows.schema.json()), "files": [*kept, *files]}), table, f"p{version}")
+            self._create(json.dumps({"schema": json.loads(rows.schema.json()), "keys": keys, "statistics": parts, "files": [*kept, *files]}), table, f"p{version}")
         except Exception as e:
-            self._fs().delete(self._path(table, folder), True)
+            for gone in filter(None, (folder, part)):
+                self._fs().delete(self._path(table, gone), True)
             raise Conflict(f"{table} moved on from version {base}") from e
         self._forget(table)
         return version
@@ -113,18 +169,19 @@ class ParquetTables:
     def _forget(self, table: str) -> None:
         """Delete all but the last versions: their pointers, and files that no kept version lists."""
         versions = self._versions(table)
-        last = {f for v in versions[-self.keep :] for f in self._manifest(table, v)["files"]}
+        listed = lambda m: {*m["files"], *m.get("statistics", {}).values()} if m else set()
+        last = {f for v in versions[-self.keep :] for f in listed(self._manifest(table, v))}
         for v in versions[: -self.keep]:
-            gone = self._manifest(table, v)["files"]
+            gone = listed(self._manifest(table, v))
             self._fs().delete(self._path(table, f"p{v}"), False)
-            for f in gone:
-                if f not in last:
-                    self._fs().delete(self._path(table, f), False)
+            for f in gone - last:
+                self._fs().delete(self._path(table, f), True)
 
     def sweep(self, table: str, older_than_seconds: float = 86_400) -> int:
         """Delete folders that no version lists and no running writer can still commit. Returns how many."""
-        used = {f.split("/")[0] for v in self._versions(table) for f in self._manifest(table, v)["files"]}
-        old = [n for n, t in self._names(table).items() if n.startswith("v") and n not in used and time.time() - t >= older_than_seconds]
+        kept = [m for m in (self._manifest(table, v) for v in self._versions(table)) if m]
+        used = {f.split("/")[0] for m in kept for f in (*m["files"], *m.get("statistics", {}).values())}
+        old = [n for n, t in self._names(table).items() if n.startswith(("v", "s-")) and n not in used and time.time() - t >= older_than_seconds]
         for n in old:
             self._fs().delete(self._path(table, n), True)
         return len(old)
@@ -142,25 +199,32 @@ class ParquetTables:
         at = self._base(table)
         if base is not None and base != at:
             raise Conflict(f"{table} moved on from version {base}")
-        return self._commit(table, rows.repartitionByRange(*keys) if keys else rows, at)
+        return self._commit(table, rows.repartitionByRange(*[F.col(f"`{k}`") for k in keys]) if keys else rows, at, keys=keys)
 
     def append(self, table: str, rows: DataFrame, base: int | None = None) -> int:
         """Plain insert: the files of the table stay, the rows come in new ones."""
         at = self._base(table) if base is None else base
         return self._commit(table, append(self.read(table, at).limit(0), rows), at, self._of(table, at)["files"])
 
-    def upsert(self, table: str, rows: DataFrame, keys: list[str], order: list[str]) -> int:
-        """Rewrites only the files that hold a key of rows; all others are listed again as they are."""
+    def upsert(self, table: str, rows: DataFrame, keys: list[str], order: list[str], unique: bool = False) -> int:
+        """Rewrites only the files that hold a key of rows; all others are listed again as they are.
+
+        Statistics leave few files to search, of which the key columns are read. With `unique` no key comes twice in rows.
+        """
         at = self._base(table)
         found = self._of(table, at)
-        schema, root = StructType.fromJson(found["schema"]), f"{self.root}/{table}/"
+        schema, met = StructType.fromJson(found["schema"]), self._met(table, found, rows, keys)
         names = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
-        hit = self.read(table, at).select(*keys, names.alias("_file")).join(rows.select(*keys).distinct(), list(keys), "left_semi").select("_file").distinct()
+        told = [F.col(f"`{k}`") for k in keys]
         # names of files, of which a table has as many as it has parts
-        touched = {r[0] for r in hit.collect()}
-        old = [f for f in found["files"] if f.rsplit("/", 1)[-1] in touched]
-        new = merge(self._rows(table, old, schema), rows, keys, order)
-        return self._commit(table, new, at, [f for f in found["files"] if f not in set(old)])
+        touched = {r[0] for r in self._rows(table, met, schema).select(*told, names.alias("_file")).join(rows.select(*told).distinct(), list(keys), "left_semi").select("_file").distinct().collect()} if met else set()
+        old = [f for f in met if f.rsplit("/", 1)[-1] in touched]
+        self.touched = len(found["files"]), len(met), len(old)
+        new = merge(self._rows(table, old, schema), rows, keys, order, unique=unique)
+        if found.get("statistics") and found.get("keys") == list(keys):  # what lies by key range goes on to
+            new = new.repartitionByRange(*told)
+        gone = set(old)
+        return self._commit(table, new, at, [f for f in found["files"] if f not in gone], keys)
 
     def compact(self, table: str, keys: list[str] = ()) -> int:
         """The same rows in new files, after many small upserts."""
