@@ -250,7 +250,7 @@ def test_merge_under_a_collation(spark):
 
 
 def test_upserts_rewrite_only_the_files_they_touch(spark):
-    store = ParquetTables(spark, tempfile.mkdtemp(dir="/tmp"), keep=2)
+    store = ParquetTables(spark, tempfile.mkdtemp(dir="/tmp"), keep=2, keep_seconds=0)
     store.create("t", spark.range(0, 1000, 1, 8).select("id", F.lit("old").alias("v")))
     before = store.files("t")
     assert len(before) == 8

@@ -9,10 +9,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.convert import convert
-from tidemark.model import ColumnSpec, ErrorPolicy, SyncTask, TableSpec
+from tidemark.model import ColumnSpec, ErrorPolicy, IncrPolicy, SyncTask, TableSpec
 from tidemark.operators import merge
 from tidemark.operators.cursor import ReadWindow
 from tidemark.plans.engine import run
+from tidemark.plans.guard import check_sql
 from tidemark.sources.dialect import DIALECTS
 from tidemark.sources.jdbc import JdbcTables, TooManyRejected
 from tidemark.sources.memory import MemoryTables
@@ -128,7 +129,7 @@ def test_literals_and_statements_of_dialects():
 
 
 def test_upserts_open_few_files(spark):
-    store = ParquetTables(spark, tempfile.mkdtemp(dir="/tmp"))
+    store = ParquetTables(spark, tempfile.mkdtemp(dir="/tmp"), keep_seconds=0)
     rows = spark.range(0, 20_000, 1, 4).select((F.col("id") % 40).alias("tenant"), F.concat(F.lit("b"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("no"), F.lit("old").alias("v"))
     spark.conf.set("spark.sql.shuffle.partitions", "120")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
@@ -154,6 +155,66 @@ def test_upserts_open_few_files(spark):
     assert store.sweep("t", 0) >= 0 and store.read("t").count() == 20_002
 
 
+def test_readers_end_over_commits_and_old_versions_go(spark):
+    root = tempfile.mkdtemp(dir="/tmp")
+    store = ParquetTables(spark, root)
+    store.create("t", spark.range(5))
+    reader = store.read("t")
+    for n in (6, 7, 8):
+        store.replace("t", spark.range(n))
+    assert reader.count() == 5 and store.read("t", 1).count() == 5 and store.read("t").count() == 8
+    soon = ParquetTables(spark, root, keep_seconds=0)
+    soon.replace("t", spark.range(9))
+    assert soon._versions("t") == [4, 5] and len([n for n in soon._names("t") if n.startswith("v") and [x for x in soon._names("t", n) if x.endswith(".parquet")]]) == 2
+    with pytest.raises(FileNotFoundError):
+        store.read("t", 1)
+
+
+def test_batches_in_any_order(spark):
+    rng = random.Random(3)
+    events = [(i % 20, i, f"v{i}") for i in range(300)]
+    rng.shuffle(events)
+    store = ParquetTables(spark, tempfile.mkdtemp(dir="/tmp"))
+    store.create("t", spark.createDataFrame([], "k int, at long, v string"))
+    for i in range(0, 300, 60):
+        store.upsert("t", spark.createDataFrame(events[i : i + 60], "k int, at long, v string"), ["k"], ["at"], version="at")
+    assert sorted(map(tuple, store.read("t").collect())) == [(k, 280 + k, f"v{280 + k}") for k in range(20)]
+    files, at = store.files("t"), store._base("t")
+    assert store.upsert("t", spark.createDataFrame(events, "k int, at long, v string"), ["k"], ["at"], version="at") == at and store.files("t") == files
+    assert store.upsert("t", spark.createDataFrame([(1, 0, "older"), (2, 282, "v282"), (3, 283, "same version")], "k int, at long, v string"), ["k"], [], version="at") == at + 1
+    assert {r["k"]: r["v"] for r in store.read("t").where("k < 4").collect()} == {0: "v280", 1: "v281", 2: "v282", 3: "same version"}
+
+
+def test_a_repeated_look_back_writes_no_file(spark):
+    now = dt.datetime(2026, 1, 1, 12)
+    rows = spark.createDataFrame([(i, f"n{i}", now - dt.timedelta(minutes=i)) for i in range(1, 40)], "id long, name string, at timestamp_ntz")
+    spec = TableSpec((col("id", "BIGINT", False), col("name", "VARCHAR"), col("at", "DATETIME")), ("id",), indexed=("at",))
+    store = ParquetTables(spark, tempfile.mkdtemp(dir="/tmp"))
+    store.create("t", rows.limit(0))
+    go = lambda source, back: run(spark, SyncTask(1, "t", "s", mode="INCR", incr_column="at", cursor="2026-01-01 11:50:00|10", incr=IncrPolicy(0, back)), MemoryTables(s=source), store, source_spec=spec, target_spec=spec, now=now)
+    assert go(rows, 1200).written_rows == 29 and store._base("t") == 2
+    assert go(rows, 1200).status == "COMPLETED" and store._base("t") == 2
+    assert go(rows.withColumn("name", F.when(F.col("id") == 3, "changed").otherwise(F.col("name"))), 1200).status == "COMPLETED"
+    assert store._base("t") == 3 and store.read("t").count() == 29 and store.read("t").where("name = 'changed'").count() == 1
+
+
+@pytest.mark.parametrize("kind,sql", [
+    ("MYSQL", "select 1 /*! into outfile '/tmp/x' */"), ("MYSQL", "select 1 /*!50000 into outfile 'x' */"), ("MYSQL", "select /*M!100 1 */ 1"), ("MYSQL", "select /*+ SET_VAR(sql_mode='') */ 1"),
+    ("MYSQL", "select 1--1 into outfile 'x'"), ("MYSQL", "select sleep(10)"), ("MYSQL", "select benchmark (9, md5(1))"), ("DERBY", r"select '\' ; drop table t --'"), ("DM8", r"select '\' from t into x --'"),
+    ("MYSQL", "with a as (select 1) replace into t select * from a"), ("ANSI", "select 1 # ; drop table t"),
+])
+def test_statements_refused_by_the_rules_of_their_database(kind, sql):
+    assert check_sql(sql, kind).code == "CUSTOM_SQL_INVALID"
+
+
+@pytest.mark.parametrize("kind,sql", [
+    ("MYSQL", "select replace(a, 'x', 'y'), start from t where start > 3"), ("MYSQL", r"select 'it\'s; drop' from t"), ("DERBY", r"select '\' from t"), ("MYSQL", "select 1 # drop"), ("MYSQL", "select 1 -- drop"),
+    ("SPARK", "select 'a /*! b */' as sleep"), ("DM8", 'select "drop" from t'), ("MYSQL", "select `sleep` from t"),
+])
+def test_statements_that_pass(kind, sql):
+    assert check_sql(sql, kind) is None
+
+
 def test_last_wins_by_hash(spark):
     rng = random.Random(6)
     when = lambda: rng.choice([None, dt.datetime(1, 1, 1), dt.datetime(9999, 12, 31, 23, 59, 59, 999999), *[dt.datetime(2026, 1, 1, 0, 0, s, 1) for s in range(6)]])

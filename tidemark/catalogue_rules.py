@@ -555,6 +555,53 @@ def jdbc_refresh(spark, d):
     return out
 
 
+@query(
+    "select s_suppkey::bigint as \"K\", s_name as \"U\", not (s_suppkey % 5 = 3 or s_suppkey % 97 = 1) as written from supplier"
+)
+def jdbc_isolated_rows(spark, d):
+    """A run writes all rows but those that the database refuses: of another row's unique key, or too long for it."""
+    db, s = _derby(spark), t(spark, d, "supplier").select(F.col("s_suppkey").cast("long").alias("K"), F.col("s_name").alias("U"))
+    db.execute('CREATE TABLE "T" ("K" BIGINT NOT NULL PRIMARY KEY, "U" VARCHAR(40) NOT NULL UNIQUE, "V" VARCHAR(4))')
+    db.append("T", s.where("K % 5 = 3").select((-F.col("K")).alias("K"), "U", F.lit("old").alias("V")))
+    source = s.withColumn("V", F.when(F.col("K") % 97 == 1, "too long").otherwise("new"))
+    spec = TableSpec((_column("K", "BIGINT", False), _column("U", "VARCHAR", False), _column("V", "VARCHAR")), ("K",))
+    task = SyncTask(31, "T", "s", mode="INCR", errors=ErrorPolicy(skip_bad_rows=True, max_skip_rows=source.count(), max_errors_recorded=0))
+    _done(run_task(spark, task, MemoryTables(s=source), db, source_spec=spec, target_spec=spec))
+    there = db.read("T", ["K"]).where("V = 'new'").select("K", F.lit(True).alias("hit"))
+    return s.join(there, "K", "left").select("K", "U", F.col("hit").isNotNull().alias("written"))
+
+
+@query('select o_orderkey::bigint as "K", o_orderstatus as "S", true as even from orders')
+def jdbc_even_parts(spark, d):
+    """A database read by a text and a number: few distinct texts, and yet parts of about as many rows."""
+    rows = _derby_orders(spark, d).read("O", ["S", "K"])
+    n = [r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]  # one for each connection
+    return rows.select("K", "S", F.lit(len(n) == 4 and max(n) <= 2 * min(n)).alias("even"))
+
+
+@query("select event_id, case when event_id >= (select 0.99 * max(event_id) from events) then value + 1 else value end as value, true as spared from events")
+def parquet_pruned_upsert(spark, d):
+    """The newest hundredth of the keys put into a table that lies by key: statistics leave a twentieth of the files to open."""
+    rows = t(spark, d, "events").select("event_id", "value")
+    store = ParquetTables(spark, _folder(spark, "tables"), rows_per_file=max(1, rows.count() // 100))
+    store.create("out", rows, ["event_id"])
+    top = rows.agg(F.max("event_id")).first()[0]
+    store.upsert("out", rows.where(F.col("event_id") >= 0.99 * top).withColumn("value", F.col("value") + 1), ["event_id"], [], unique=True)
+    files, opened, _ = store.touched
+    return store.read("out").withColumn("spared", F.lit(opened <= 0.05 * files))
+
+
+@query("select user_id, max(event_id) as event_id, arg_max(value, event_id) as value from events group by user_id")
+def upsert_across_batches(spark, d):
+    """Three batches, the newest first: a row of the table with a greater version stays."""
+    rows = t(spark, d, "events").select("user_id", "event_id", "value")
+    store = ParquetTables(spark, _folder(spark, "tables"))
+    store.create("out", rows.limit(0))
+    for batch in (2, 0, 1):
+        store.upsert("out", rows.where(F.col("event_id") % 3 == batch), ["user_id"], ["event_id"], version="event_id")
+    return store.read("out")
+
+
 @query(_sql([("exists", "true"), ("lead", "K,S"), ("primary", "K"), ("reachable", "true"), ("tables", "O")], "what, said"))
 def jdbc_metadata(spark, d):
     """Names, keys and indexed lead columns as the database tells them."""

@@ -98,7 +98,7 @@ def merge(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequen
     if not keys or lacking:
         raise ValueError(f"merge keys must be written columns: {lacking or 'none given'}")
     columns = [c for c in target.columns if c in rows.columns]
-    new = rows.select(*map(_col, dict.fromkeys([*columns, *order])))
+    new = rows.select(*map(_col, dict.fromkeys([*columns, *([] if unique else order)])))
     new = new if unique else last_wins(new, keys, order, collation)
     # numbers for names, so that columns of the two sides can be called anything
     kt, ks = [f"kt{i}" for i in range(len(keys))], [f"ks{i}" for i in range(len(keys))]
@@ -110,6 +110,24 @@ def merge(target: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequen
     return both.select(*[x.alias(c) for x, c in zip(shown, target.columns, strict=True)])
 
 
+def compared(target: DataFrame, rows: DataFrame, keys: Sequence[str], version: str | None = None, carry: Sequence[str] = ()) -> DataFrame:
+    """The keys that both sides have, the carried columns of target, and whether the row changes target's (_changes).
+
+    It does if a column of its own differs and target's row is not of a later version. Rows have each key once.
+    """
+    columns = [c for c in rows.columns if c in target.columns and c not in keys]
+    left = target.select(*[_col(k).alias(f"kt{i}") for i, k in enumerate(keys)], *[_col(c).alias(f"c{i}") for i, c in enumerate(carry)], *[_col(c).alias(f"t{i}") for i, c in enumerate(columns)])
+    right = rows.select(*[_col(k).alias(f"ks{i}") for i, k in enumerate(keys)], *[_col(c).alias(f"s{i}") for i, c in enumerate(columns)])
+    changes = F.lit(False)
+    for i, c in enumerate(columns):
+        changes = changes | (F.lit(True) if _has_map(target.schema[c].dataType) else ~F.col(f"t{i}").eqNullSafe(F.col(f"s{i}")))
+    if version:
+        v = columns.index(version)
+        changes = changes & ~F.coalesce(F.col(f"t{v}") > F.col(f"s{v}"), F.lit(False))
+    both = left.join(right, [F.col(f"kt{i}") == F.col(f"ks{i}") for i in range(len(keys))])
+    return both.select(*[F.col(f"ks{i}").alias(k) for i, k in enumerate(keys)], *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)], changes.alias("_changes"))
+
+
 def append(target: DataFrame, rows: DataFrame) -> DataFrame:
     """Plain insert: duplicates stay, columns that rows lacks are null."""
     return target.unionByName(rows.select(*[_col(c) for c in target.columns if c in rows.columns]), allowMissingColumns=True)

@@ -227,6 +227,13 @@ def keys_are_unique(plan: SyncPlan) -> bool:
     return not plan.task.source_sql and any(u and {c.lower() for c in u} <= filled for u in declared)
 
 
+def version_column(plan: SyncPlan) -> str | None:
+    """The target column that the incremental column fills as it is."""
+    if plan.incr is None:
+        return None
+    return next((w.target.name for w in plan.written if w.source and w.source.name == plan.incr.name and family(w.source) == family(w.target) and w.target.name not in plan.keys), None)
+
+
 def _apply(staged: Staged, target, most_rejected: int) -> list[Rejected]:
     plan, rows = staged.plan, staged.target_rows
     order = [f"_o{i}" for i in range(len(plan.order_keys))]
@@ -234,9 +241,11 @@ def _apply(staged: Staged, target, most_rejected: int) -> list[Rejected]:
     unique = keys_are_unique(plan)
     more = {"most_rejected": most_rejected} if getattr(target, "isolates", False) else {}
     if plan.incremental:
+        if getattr(target, "compares", False) and plan.task.incr.lookback_seconds:  # most of a look-back is there already
+            more |= {"compare": True, "version": version_column(plan)}
         found = target.upsert(table, rows, plan.keys, order, unique=unique, **more)
-        return found if more else []
+        return found if getattr(target, "isolates", False) else []
     kept = (last_wins(rows, plan.keys, order) if plan.keys and not unique else rows).select(*names)
     rows = append(target.read(table).limit(0), kept) if target.kind in ("PARQUET", "MEMORY") else kept
     found = target.replace(table, rows, strategy=plan.task.strategy, keys=plan.keys, **more)
-    return found if more else []
+    return found if getattr(target, "isolates", False) else []

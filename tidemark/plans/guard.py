@@ -12,7 +12,22 @@ BLOCKED = set(
     "INSERT UPDATE DELETE DROP TRUNCATE ALTER CREATE REPLACE GRANT REVOKE EXECUTE CALL MERGE RENAME LOCK UNLOCK OUTFILE DUMPFILE LOAD_FILE SHUTDOWN SET COMMIT ROLLBACK START BEGIN HANDLER PREPARE DEALLOCATE FLUSH KILL INTO".split()
 )
 METADATA_TABLES = {"datasource", "sync_task", "sync_record", "sync_error", "flyway_schema_history"}
-_SKIPPED = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|#[^\n]*|/\*.*?(?:\*/|\Z)", re.S)
+#: Words that only do something with what follows them; a column or a function may be called so.
+ONLY_BEFORE = {"START": r"START\s+(TRANSACTION|SLAVE|REPLICA|GROUP_REPLICATION)", "REPLACE": r"REPLACE(?!\s*\()"}
+#: Functions that hold up a database or lock something in it.
+HOLDING = re.compile(r"\b(SLEEP|BENCHMARK|GET_LOCK|RELEASE_LOCK|RELEASE_ALL_LOCKS)\s*\(", re.I)
+_NAMES = r'"(?:[^"]|"")*"|`(?:[^`]|``)*`'
+_COMMENT = r"/\*.*?(?:\*/|\Z)"
+# By the rules of each kind of database: MySQL escapes with backslashes, takes # for a comment, and -- only before a blank;
+# Spark escapes with backslashes too; standard SQL does neither.
+_LEXERS = {
+    "MYSQL": rf"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`(?:[^`]|``)*`|--(?=\s|\Z)[^\n]*|#[^\n]*|{_COMMENT}",
+    "SPARK": rf"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"|`(?:[^`]|``)*`|--[^\n]*|{_COMMENT}",
+    "ANSI": rf"'(?:[^']|'')*'|{_NAMES}|--[^\n]*|{_COMMENT}",
+}
+_LEXERS = {kind: re.compile(pattern, re.S) for kind, pattern in _LEXERS.items()}
+#: How comments begin that a database may carry out: versioned ones, and hints that can set variables.
+_EXECUTED = ("/*!", "/*M!", "/*+")
 
 
 def is_identifier(name: str | None) -> bool:
@@ -33,30 +48,42 @@ def normalize(sql: str) -> str:
     return sql.strip().rstrip(";").rstrip()
 
 
-def strip_literals(sql: str) -> str:
-    """The statement with literals, quoted names and comments blanked out."""
-    return _SKIPPED.sub(" ", sql)
+def _lexer(kind: str) -> re.Pattern:
+    return _LEXERS.get(kind) or _LEXERS["ANSI"]
+
+
+def strip_literals(sql: str, kind: str = "SPARK") -> str:
+    """The statement with literals, quoted names and comments blanked out, by the rules of a kind of database."""
+    return _lexer(kind).sub(" ", sql)
 
 
 def words(code: str) -> list[str]:
     return [w.upper() for w in re.findall(r"[A-Za-z_][A-Za-z0-9_]*", code)]
 
 
-def check_sql(sql: str | None) -> Issue | None:
-    """None for one SELECT or WITH statement without any blocked word outside literals, names and comments."""
+def check_sql(sql: str | None, kind: str = "SPARK") -> Issue | None:
+    """None for one SELECT or WITH statement without any blocked word outside literals, names and comments.
+
+    What a literal or a comment is goes by the kind of database that gets the statement. Comments that a database may
+    carry out are refused, whatever they hold.
+    """
 
     def wrong(why: str) -> Issue:
         return Issue(Level.ERROR, "CUSTOM_SQL_INVALID", why, "give one read-only SELECT")
 
     if not sql or not sql.strip():
         return wrong("the statement is empty")
-    code = strip_literals(normalize(sql))
+    sql = normalize(sql)
+    if any(m[0].startswith(_EXECUTED) for m in _lexer(kind).finditer(sql)):
+        return wrong("a comment that is carried out")
+    code = strip_literals(sql, kind)
     if ";" in code:
         return wrong("more than one statement")
     found = words(code)
     if not found or found[0] not in ("SELECT", "WITH"):
         return wrong("a statement starts with SELECT or WITH")
-    bad = sorted(set(found) & BLOCKED)
+    bad = sorted(w for w in set(found) & BLOCKED if w not in ONLY_BEFORE or re.search(rf"\b{ONLY_BEFORE[w]}", code, re.I))
+    bad += sorted({m.upper() for m in HOLDING.findall(code)})
     return wrong(f"not read-only: {', '.join(bad)}") if bad else None
 
 

@@ -75,7 +75,7 @@ class JdbcTables:
 
     def query(self, sql: str, keys: str | Sequence[str] = (), window: ReadWindow | None = None) -> DataFrame:
         """Rows of one read-only statement of the database's own; with keys of it, read in parts."""
-        issue = check_sql(sql)
+        issue = check_sql(sql, self.kind)
         if issue:
             raise ValueError(issue.message)
         return self._load(f"({normalize(sql)}) ds_src", keys, window)

@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
-from ..operators.merge import append, last_wins, merge
+from ..operators.merge import append, compared, last_wins, merge
 
 #: An upsert's keys are told by at most so many ranges when files are searched for them.
 RANGES = 512
+#: Tables of no more files than this are not searched by statistics, and write none.
+FEW_FILES = 8
 #: An empty pointer younger than this may still be written to.
 GRACE_SECONDS = 60
 
@@ -40,8 +42,13 @@ class Conflict(RuntimeError):
 class ParquetTables:
     kind = "PARQUET"
 
-    def __init__(self, spark: SparkSession, root: str, keep: int = 2) -> None:
-        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
+    #: upsert takes compare and version.
+    compares = True
+
+    def __init__(self, spark: SparkSession, root: str, keep: int = 2, keep_seconds: float = 3600, rows_per_file: int = 0) -> None:
+        """Of each table the last `keep` versions stay, and others for `keep_seconds` after they are followed: as long as
+        a reader of theirs may take. Files get at most rows_per_file rows, if it is given."""
+        self.spark, self.root, self.keep, self.keep_seconds, self.rows_per_file = spark, root.rstrip("/"), keep, keep_seconds, rows_per_file
         #: Of the last upsert: files of the table, files whose keys were read, files that were put anew.
         self.touched = (0, 0, 0)
 
@@ -84,7 +91,7 @@ class ParquetTables:
         return sorted(int(n[1:]) for n in self._names(table) if n.startswith("p") and n[1:].isdigit())
 
     def exists(self, table: str) -> bool:
-        return bool(self._versions(table))
+        return self._base(table) > 0
 
     def tables(self) -> list[str]:
         return sorted(n for n in self._names() if self.exists(n))
@@ -94,12 +101,12 @@ class ParquetTables:
         return [f"{self.root}/{table}/{f}" for f in self._of(table, version)["files"]]
 
     def _of(self, table: str, version: int | None) -> dict:
-        versions = self._versions(table)
-        if not versions:
+        at = self._base(table) if version is None else version
+        if not at:
             raise FileNotFoundError(f"{table} has no committed version")
-        found = self._manifest(table, versions[-1] if version is None else version)
+        found = self._manifest(table, at)
         if found is None:
-            raise FileNotFoundError(f"{table} has no version {version or versions[-1]}")
+            raise FileNotFoundError(f"{table} has no version {at}")
         return found
 
     def read(self, table: str, version: int | None = None) -> DataFrame:
@@ -145,7 +152,7 @@ class ParquetTables:
                 raise Conflict(f"{table} moved on from version {base}")
             version = max(version, int(number[1:]) + 1)
         folder = f"v{version}-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.root}/{table}/{folder}")
+        rows.write.option("maxRecordsPerFile", self.rows_per_file).parquet(f"{self.root}/{table}/{folder}")
         files = [f"{folder}/{n}" for n in self._names(table, folder) if n.endswith(".parquet")]
         before = self._manifest(table, base) if kept else {}
         if before is None:
@@ -154,7 +161,7 @@ class ParquetTables:
         keys = list(keys or before.get("keys", ()))
         there = {f.split("/")[0] for f in kept}
         parts = {f: p for f, p in before.get("statistics", {}).items() if f in there} if before.get("keys") == keys else {}
-        part = self._statistics(table, folder, keys) if files else None
+        part = self._statistics(table, folder, keys) if files and len(kept) + len(files) > FEW_FILES else None
         if part:
             parts[folder] = part
         try:
@@ -167,11 +174,15 @@ class ParquetTables:
         return version
 
     def _forget(self, table: str) -> None:
-        """Delete all but the last versions: their pointers, and files that no kept version lists."""
-        versions = self._versions(table)
+        """Delete versions that are neither among the last nor young: their pointers, and files that no kept version lists."""
+        written = {int(n[1:]): t for n, t in self._names(table).items() if n.startswith("p") and n[1:].isdigit()}
+        numbers = sorted(written)
+        old = [v for v, after in zip(numbers, numbers[1:], strict=False) if v in numbers[: -self.keep] and time.time() - written[after] >= self.keep_seconds]
+        if not old:
+            return
         listed = lambda m: {*m["files"], *m.get("statistics", {}).values()} if m else set()
-        last = {f for v in versions[-self.keep :] for f in listed(self._manifest(table, v))}
-        for v in versions[: -self.keep]:
+        last = {f for v in numbers if v not in old for f in listed(self._manifest(table, v))}
+        for v in old:
             gone = listed(self._manifest(table, v))
             self._fs().delete(self._path(table, f"p{v}"), False)
             for f in gone - last:
@@ -187,8 +198,14 @@ class ParquetTables:
         return len(old)
 
     def _base(self, table: str) -> int:
-        versions = self._versions(table)
-        return versions[-1] if versions else 0
+        """The latest committed version; 0 if there is none. Looks at no more pointers than it must."""
+        return next((v for v in reversed(self._numbers(table)) if self._manifest(table, v)), 0)
+
+    def _of_base(self, table: str, at: int) -> dict:
+        found = self._manifest(table, at) if at else None
+        if found is None and at:
+            raise Conflict(f"{table} moved on from version {at}")
+        return found or self._of(table, at or None)
 
     def replace(self, table: str, rows: DataFrame, base: int | None = None, keys: list[str] = (), **_) -> int:
         """All rows anew. With keys they lie by key range, so that later upserts of few keys touch few files.
@@ -204,21 +221,35 @@ class ParquetTables:
     def append(self, table: str, rows: DataFrame, base: int | None = None) -> int:
         """Plain insert: the files of the table stay, the rows come in new ones."""
         at = self._base(table) if base is None else base
-        return self._commit(table, append(self.read(table, at).limit(0), rows), at, self._of(table, at)["files"])
+        found = self._of_base(table, at)
+        return self._commit(table, append(self._rows(table, [], StructType.fromJson(found["schema"])), rows), at, found["files"])
 
-    def upsert(self, table: str, rows: DataFrame, keys: list[str], order: list[str], unique: bool = False) -> int:
+    def upsert(self, table: str, rows: DataFrame, keys: list[str], order: list[str], unique: bool = False, compare: bool = False, version: str | None = None) -> int:
         """Rewrites only the files that hold a key of rows; all others are listed again as they are.
 
         Statistics leave few files to search, of which the key columns are read. With `unique` no key comes twice in rows.
+        With `compare` rows that change nothing are left out, and without others no version is written; with a `version`
+        column neither do rows change a row of the table that has a greater one, so that batches may come in any order.
         """
         at = self._base(table)
-        found = self._of(table, at)
+        found = self._of_base(table, at)
         schema, met = StructType.fromJson(found["schema"]), self._met(table, found, rows, keys)
         names = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
         told = [F.col(f"`{k}`") for k in keys]
         # names of files, of which a table has as many as it has parts
         touched = {r[0] for r in self._rows(table, met, schema).select(*told, names.alias("_file")).join(rows.select(*told).distinct(), list(keys), "left_semi").select("_file").distinct().collect()} if met else set()
         old = [f for f in met if f.rsplit("/", 1)[-1] in touched]
+        if compare or version:
+            columns = [F.col(f"`{c}`") for c in rows.columns if c in schema.names]
+            rows, unique = (rows if unique else last_wins(rows, keys, order)).select(*columns), True
+            if old:
+                both = compared(self._rows(table, old, schema).withColumn("_file", names), rows, keys, version, ["_file"])
+                touched = {r[0] for r in both.where("_changes").select("_file").distinct().collect()}
+                rows = rows.join(both.where("not _changes").select(*told).distinct(), list(keys), "left_anti").select(*columns)
+                old = [f for f in old if f.rsplit("/", 1)[-1] in touched]
+            if not old and rows.isEmpty():
+                self.touched = len(found["files"]), len(met), 0
+                return at
         self.touched = len(found["files"]), len(met), len(old)
         new = merge(self._rows(table, old, schema), rows, keys, order, unique=unique)
         if found.get("statistics") and found.get("keys") == list(keys):  # what lies by key range goes on to
