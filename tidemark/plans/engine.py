@@ -131,12 +131,13 @@ def _problem(task: SyncTask, bad: int) -> str | None:
 
 def run(
     spark: SparkSession, task: SyncTask, source, target, *, source_spec: TableSpec | None = None, target_spec: TableSpec | None = None, now: dt.datetime | None = None,
-    listener: Callable[[Progress], None] | None = None, cancellation: Cancellation | None = None, issues: tuple[Issue, ...] = (), **preflight,
+    listener: Callable[[Progress], None] | None = None, cancellation: Cancellation | None = None, issues: tuple[Issue, ...] = (), fence: Callable[[], None] | None = None, **preflight,
 ) -> SyncResult:
     """Apply one task. Specs default to the schemas read, which declare no keys; `now` anchors cursors in time.
 
     A failed or cancelled run leaves the target as it was and has no end cursor. written_rows counts good rows before
-    rows with equal keys are reduced to the last.
+    rows with equal keys are reduced to the last. `fence` is called before anything is written, and raises if the run has
+    lost its right to.
     """
     began = time.monotonic()
     result = SyncResult(task.id, Status.RUNNING, start_cursor=task.cursor)
@@ -169,6 +170,8 @@ def run(
         stop.check(task.id)
         if not task.dry_run:
             spare = max(0, task.errors.max_skip_rows - n["bad"]) if task.errors.skip_bad_rows else 0
+            if fence:
+                fence()
             try:
                 refused = with_retries(lambda: _apply(staged, target, spare), task.errors)
             except TooManyRejected as e:
