@@ -27,10 +27,11 @@ def rows(names, found):
     return sorted((tuple(plain(r[i]) for i in order) for r in found), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(catalogue.ORACLES))
+@pytest.mark.parametrize("name", sorted([*catalogue.ORACLES, *catalogue.RULES]))
 def test_query_equals_sql(spark, db, name):
-    got = catalogue.QUERIES[name](spark, SF)
-    said = db.execute(catalogue.ORACLES[name])
+    run, sql = catalogue.RULES[name] if name in catalogue.RULES else (catalogue.QUERIES[name], catalogue.ORACLES[name])
+    got = run(spark, SF)
+    said = db.execute(sql)
     names = [c[0] for c in said.description]
     assert sorted(got.columns) == sorted(names)
     assert rows(got.columns, map(tuple, got.collect())) == rows(names, said.fetchall())
@@ -38,3 +39,4 @@ def test_query_equals_sql(spark, db, name):
 
 def test_all_queries_have_sql():
     assert catalogue_rules and set(catalogue.QUERIES) == set(catalogue.ORACLES)
+    assert len(catalogue.RULES) == 21 and not set(catalogue.RULES) & set(catalogue.QUERIES)

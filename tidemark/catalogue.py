@@ -22,6 +22,8 @@ from .sources.memory import MemoryTables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+#: Rules over fixed cases: tested like queries, with what they must give, and registered with none, as they read no table.
+RULES: dict = {}
 #: The moment that stands for "now" in the catalogue.
 NOW = dt.datetime(2024, 1, 25, 12, 0, 0)
 
@@ -36,6 +38,14 @@ def query(sql: str | None = None):
     return add
 
 
+def rule(sql: str | None = None):
+    def add(f):
+        RULES[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
 def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -312,7 +322,7 @@ def custom_sql_window(spark, d):
     return _with_views(spark, d, "with e as (select * from events) select user_id, event_id, cast(rank() over (partition by user_id order by value desc, event_id) as bigint) as r from e", "events")
 
 
-@query("select * from (values ('select 1', true), ('delete from t', false), ('select 1; drop table t', false), ('with a as (select ''drop'' as x) select * from a', true), ('select 1 -- update', true), ('', false)) v(sql, ok)")
+@rule("select * from (values ('select 1', true), ('delete from t', false), ('select 1; drop table t', false), ('with a as (select ''drop'' as x) select * from a', true), ('select 1 -- update', true), ('', false)) v(sql, ok)")
 def sql_guard(spark, d):
     texts = ["select 1", "delete from t", "select 1; drop table t", "with a as (select 'drop' as x) select * from a", "select 1 -- update", ""]
     return spark.createDataFrame([(s, check_sql(s) is None) for s in texts], "sql string, ok boolean")
@@ -403,7 +413,7 @@ def describe_columns(spark, d):
     return spark.createDataFrame([(c["name"],) for c in describe(t(spark, d, "orders"))], "name string")
 
 
-@query()
+@rule()
 def preflight_issues(spark, d):
     """The codes of a task with a wrong key, a text for a number and no index."""
     src = spec_from(t(spark, d, "events"), ["event_id"])
@@ -412,7 +422,7 @@ def preflight_issues(spark, d):
     return spark.createDataFrame([(str(i.level), i.code) for i in plan.issues], "level string, code string")
 
 
-ORACLES["preflight_issues"] = "select * from (values ('WARN', 'CONFIG_INVALID'), ('ERROR', 'TYPE_INCOMPATIBLE'), ('ERROR', 'PK_MISSING'), ('WARN', 'INCR_COLUMN_NO_INDEX')) v(level, code)"
+RULES["preflight_issues"] = (preflight_issues, "select * from (values ('WARN', 'CONFIG_INVALID'), ('ERROR', 'TYPE_INCOMPATIBLE'), ('ERROR', 'PK_MISSING'), ('WARN', 'INCR_COLUMN_NO_INDEX')) v(level, code)")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import reports
-from .catalogue import NOW, _column, _done, _runs, query, t
+from .catalogue import NOW, _column, _done, _runs, query, rule, t
 from .functions.convert import as_text, convert
 from .functions.types import compatibility, map_type_name
 from .model import ErrorPolicy, FieldMapping, IncrPolicy, Strategy, SyncTask, TableSpec, check_task, scrub
@@ -167,7 +167,7 @@ def convert_bool_to_text(spark, d):
 _DM8 = [("TINYINT", "SMALLINT"), ("YEAR", "INT"), ("MEDIUMINT", "INT"), ("int(11) unsigned", "INT"), ("LONGTEXT", "CLOB"), ("JSON", "CLOB"), ("ENUM", "VARCHAR(255)"), ("VARBINARY", "BLOB"), ("DATETIME", "TIMESTAMP"), ("BIT", "INT"), ("GEOMETRY", "GEOMETRY")]
 
 
-@query(_sql([(n, n, to) for n, to in _DM8], "sql_type, mysql, dm8"))
+@rule(_sql([(n, n, to) for n, to in _DM8], "sql_type, mysql, dm8"))
 def type_names(spark, d):
     return spark.createDataFrame([(n, map_type_name(n), map_type_name(n, "DM8")) for n, _ in _DM8], "sql_type string, mysql string, dm8 string")
 
@@ -175,7 +175,7 @@ def type_names(spark, d):
 _KINDS = {"VARCHAR": "char", "TEXT": "text", "INT": "num", "DOUBLE": "num", "DECIMAL": "num", "DATE": "time", "DATETIME": "time", "TIME": "time", "YEAR": "year", "BLOB": "bin", "VARBINARY": "bin", "BOOLEAN": "bool", "GEOMETRY": "none"}
 
 
-@query(
+@rule(
     f"with k(name, kind) as (values {', '.join(f'({n!r}, {k!r})' for n, k in _KINDS.items())}) select s.name as source, t.name as target, case when s.kind = 'none' or t.kind in ('none', 'char', 'text', 'bin') then 'OK' "
     "when t.kind = 'bool' then case when s.kind = 'time' then 'ERROR' else 'OK' end "
     "when t.kind = 'num' then case s.kind when 'char' then 'WARN' when 'text' then 'ERROR' when 'time' then 'ERROR' when 'bin' then 'ERROR' when 'num' then case when s.name = 'DOUBLE' and t.name = 'INT' then 'WARN' else 'OK' end else 'OK' end "
@@ -186,7 +186,7 @@ def compatibility_matrix(spark, d):
     return spark.createDataFrame([(s.name, x.name, str(compatibility(s, x)[0] or "OK")) for s in names for x in names], "source string, target string, level string")
 
 
-@query(_sql([("VARCHAR", 200, 32, "WARN"), ("VARCHAR", 10, 32, "OK"), ("DECIMAL", 38, 12, "WARN"), ("DECIMAL", 10, 12, "OK")], "kind, source, target, level"))
+@rule(_sql([("VARCHAR", 200, 32, "WARN"), ("VARCHAR", 10, 32, "OK"), ("DECIMAL", 38, 12, "WARN"), ("DECIMAL", 10, 12, "OK")], "kind, source, target, level"))
 def compatibility_lengths(spark, d):
     cases = [("VARCHAR", 200, 32), ("VARCHAR", 10, 32), ("DECIMAL", 38, 12), ("DECIMAL", 10, 12)]
     return spark.createDataFrame([(k, a, b, str(compatibility(_column("x", k, True, a), _column("y", k, True, b))[0] or "OK")) for k, a, b in cases], "kind string, source long, target long, level string")
@@ -435,7 +435,7 @@ def run_error_records(spark, d):
     return state.errors().select("id", "record_id", "phase", "row_key")
 
 
-@query("select * from (values (1::bigint, 'FAILED'), (2::bigint, 'CANCELLED'), (3::bigint, 'RUNNING')) v(id, status)")
+@rule("select * from (values (1::bigint, 'FAILED'), (2::bigint, 'CANCELLED'), (3::bigint, 'RUNNING')) v(id, status)")
 def run_recovery(spark, d):
     """Left-over runs fail at start-up, a shutdown cancels, and a task runs once at a time."""
     state = _state(spark)
@@ -632,13 +632,13 @@ def describe_table(spark, d):
     return spark.createDataFrame([(c["name"], c["type"].split("(")[0] if not c["type"].startswith("DECIMAL") else c["type"], c["nullable"], c["primary_key"]) for c in found], "name string, type string, nullable boolean, primary_key boolean")
 
 
-@query(_sql([("DM DBMS", "DM8"), ("MariaDB Server", "MYSQL"), ("MySQL", "MYSQL"), ("PostgreSQL", None)], "product, kind"))
+@rule(_sql([("DM DBMS", "DM8"), ("MariaDB Server", "MYSQL"), ("MySQL", "MYSQL"), ("PostgreSQL", None)], "product, kind"))
 def database_kinds(spark, d):
     names = ["DM DBMS", "MariaDB Server", "MySQL", "PostgreSQL"]
     return spark.createDataFrame([(n, database_kind(n)) for n in names], "product string, kind string")
 
 
-@query(_sql([("DM8", "jdbc:dm://h:5236/b"), ("MYSQL", "jdbc:mysql://h:3306/b?useSSL=false&allowPublicKeyRetrieval=true&characterEncoding=utf8&serverTimezone=UTC&rewriteBatchedStatements=true&zeroDateTimeBehavior=EXCEPTION")], "kind, url"))
+@rule(_sql([("DM8", "jdbc:dm://h:5236/b"), ("MYSQL", "jdbc:mysql://h:3306/b?useSSL=false&allowPublicKeyRetrieval=true&characterEncoding=utf8&serverTimezone=UTC&rewriteBatchedStatements=true&zeroDateTimeBehavior=EXCEPTION")], "kind, url"))
 def jdbc_addresses(spark, d):
     return spark.createDataFrame([(k, jdbc_url(k, "h", p, "b")) for k, p in (("DM8", 5236), ("MYSQL", 3306))], "kind string, url string")
 
@@ -649,7 +649,7 @@ _SAID = [
 ]
 
 
-@query(_sql(_SAID, "dialect, what, statement"))
+@rule(_sql(_SAID, "dialect, what, statement"))
 def dialect_statements(spark, d):
     """The statements that Spark's own writer does not make."""
     rows = []
@@ -664,20 +664,20 @@ def dialect_statements(spark, d):
 _CODES = [("5", 1, "5"), ("2024-01-02 03:04:05|7", 2, "2024-01-02 03:04:05"), ('["2024-01-02", 7]', 2, "2024-01-02"), ("a\\|b|c", 2, "a|b"), ("[broken", 1, "[broken"), ("  ", 0, None)]
 
 
-@query(_sql(_CODES, "cursor, parts, first"))
+@rule(_sql(_CODES, "cursor, parts, first"))
 def cursor_parts(spark, d):
     found = [(c, cursor.decode(c)) for c, _, _ in _CODES]
     return spark.createDataFrame([(c, len(p), p[0] if p else None) for c, p in found], "cursor string, parts long, first string")
 
 
-@query(_sql([("DATE", "90000", "2024-01-08"), ("INT", "10", "90"), ("TIMESTAMP", "600", "2024-01-09 23:50:00")], "kind, back, bound"))
+@rule(_sql([("DATE", "90000", "2024-01-08"), ("INT", "10", "90"), ("TIMESTAMP", "600", "2024-01-09 23:50:00")], "kind, back, bound"))
 def cursor_look_back(spark, d):
     """Seconds for points in time, whole days for dates, units for numbers."""
     cases = [("DATE", 90000, dt.date(2024, 1, 10)), ("INT", 10, 100), ("TIMESTAMP", 600, dt.datetime(2024, 1, 10))]
     return spark.createDataFrame([(k, str(by), cursor.text_of(cursor.look_back(v, _column("c", k), by))) for k, by, v in cases], "kind string, back string, bound string")
 
 
-@query(_sql([("FULL", "5", False), ("FULL_INCR", None, False), ("FULL_INCR", "5", True), ("INCR", None, True), (None, None, True)], "mode, cursor, incremental"))
+@rule(_sql([("FULL", "5", False), ("FULL_INCR", None, False), ("FULL_INCR", "5", True), ("INCR", None, True), (None, None, True)], "mode, cursor, incremental"))
 def mode_choice(spark, d):
     cases = [("FULL", "5"), ("FULL_INCR", None), ("FULL_INCR", "5"), ("INCR", None), (None, None)]
     return spark.createDataFrame([(m, c, is_incremental(SyncTask(1, "t", "s", mode=m, incr_value=c))) for m, c in cases], "mode string, cursor string, incremental boolean")
@@ -686,7 +686,7 @@ def mode_choice(spark, d):
 _NAMES = [("orders", True), ("db.orders", True), ("中文表_订单", True), ("a.b.c.d", False), ("a b", False), ("a;drop", False), ("", False), ("order", True)]
 
 
-@query(_sql(_NAMES, "name, ok"))
+@rule(_sql(_NAMES, "name, ok"))
 def identifiers(spark, d):
     return spark.createDataFrame([(n, is_identifier(n)) for n, _ in _NAMES], "name string, ok boolean")
 
@@ -694,7 +694,7 @@ def identifiers(spark, d):
 _URL = "jdbc:mysql://H:3306/own?useSSL=false"
 
 
-@query(_sql([("jdbc:mysql://h:3306/own", "sync_task", "ERROR"), ("jdbc:mysql://h:3306/own", "QRTZ_JOBS", "ERROR"), ("jdbc:mysql://h:3306/own", "orders", "WARN"), ("jdbc:mysql://h:3306/other", "sync_task", None)], "url, name, level"))
+@rule(_sql([("jdbc:mysql://h:3306/own", "sync_task", "ERROR"), ("jdbc:mysql://h:3306/own", "QRTZ_JOBS", "ERROR"), ("jdbc:mysql://h:3306/own", "orders", "WARN"), ("jdbc:mysql://h:3306/other", "sync_task", None)], "url, name, level"))
 def metadata_target(spark, d):
     cases = [("jdbc:mysql://h:3306/own", "sync_task"), ("jdbc:mysql://h:3306/own", "QRTZ_JOBS"), ("jdbc:mysql://h:3306/own", "orders"), ("jdbc:mysql://h:3306/other", "sync_task")]
     found = [(u, n, check_metadata_target(_URL, u, n)) for u, n in cases]
@@ -704,7 +704,7 @@ def metadata_target(spark, d):
 _GRANTS = [("GRANT ALL PRIVILEGES ON *.* TO 'u'@'%'", "DROP", True), ("GRANT SELECT, DELETE ON `b`.* TO 'u'@'%'", "DELETE", True), ("GRANT SELECT ON `b`.* TO 'u'@'%'", "DROP", False), ("GRANT DROP ON `x`.* TO 'u'@'%'", "DROP", False), ("unreadable", "DROP", True)]
 
 
-@query(_sql(_GRANTS, "line, privilege, ok"))
+@rule(_sql(_GRANTS, "line, privilege, ok"))
 def grants(spark, d):
     return spark.createDataFrame([(line, p, check_grants([line], p, "b") is None) for line, p, _ in _GRANTS], "line string, privilege string, ok boolean")
 
@@ -742,7 +742,7 @@ _TASKS = [
 ]
 
 
-@query(_sql([(n, c) for n, *_, codes in _TASKS for c in codes], "task, said"))
+@rule(_sql([(n, c) for n, *_, codes in _TASKS for c in codes], "task, said"))
 def preflight_codes(spark, d):
     """Every code of preflight, from one table of tasks."""
     rows = []
@@ -755,17 +755,17 @@ def preflight_codes(spark, d):
 _STATES = [("08S01", 0, True), ("40001", 0, True), ("23000", 1205, False), ("42000", 0, False), (None, 1213, True), (None, 7, False)]
 
 
-@query(_sql(_STATES, "state, code, retryable"))
+@rule(_sql(_STATES, "state, code, retryable"))
 def retryable_errors(spark, d):
     return spark.createDataFrame([(s, c, retryable_state(s, c)) for s, c, _ in _STATES], "state string, code long, retryable boolean")
 
 
-@query("select attempt, least(60000, 2000 * power(2, attempt - 1))::bigint as pause from (select unnest(range(1, 9)) as attempt)")
+@rule("select attempt, least(60000, 2000 * power(2, attempt - 1))::bigint as pause from (select unnest(range(1, 9)) as attempt)")
 def retry_pauses(spark, d):
     return spark.createDataFrame([(n, backoff_ms(2000, n)) for n in range(1, 9)], "attempt long, pause long")
 
 
-@query("select 2::bigint as heard, 1::bigint as left_over")
+@rule("select 2::bigint as heard, 1::bigint as left_over")
 def event_bus(spark, d):
     """A subscriber that raises does not disturb the others."""
     bus, heard = EventBus(), []
@@ -784,7 +784,7 @@ def event_bus(spark, d):
 _SAVED = [("full", {"mode": "FULL"}, True), ("incr", {"mode": "INCR", "incr_column": "a"}, True), ("no_column", {"mode": "INCR"}, False), ("batch", {"mode": "FULL", "batch_size": 2000}, False), ("page", {"mode": "FULL", "page_size": 0}, False), ("lag", {"mode": "FULL", "incr": IncrPolicy(-1)}, False), ("source", {"mode": "FULL", "source_table": None}, False)]
 
 
-@query(_sql([(n, ok) for n, _, ok in _SAVED], "task, ok"))
+@rule(_sql([(n, ok) for n, _, ok in _SAVED], "task, ok"))
 def task_validation(spark, d):
     def ok(fields):
         try:
@@ -795,7 +795,7 @@ def task_validation(spark, d):
     return spark.createDataFrame([(n, ok(f)) for n, f, _ in _SAVED], "task string, ok boolean")
 
 
-@query(_sql([("password=***", 12), ("x" * 1000, 1000)], "said, n"))
+@rule(_sql([("password=***", 12), ("x" * 1000, 1000)], "said, n"))
 def secrets_scrubbed(spark, d):
     said = [scrub("password=hunter2"), scrub("x" * 5000)]
     return spark.createDataFrame([(s, len(s)) for s in said], "said string, n long")
