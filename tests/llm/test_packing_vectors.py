@@ -5,13 +5,14 @@ import random
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import bin_packing, clustering, queries, vector_codes, vectors
+from tidemark.llm import bin_packing, clustering, oracle, queries, vector_codes, vectors
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -229,3 +230,14 @@ def test_sums_of_many_keys(spark, monkeypatch):
     rows = spark.createDataFrame([(i, None if i % 4 == 0 else 7 if i % 4 == 1 else i, i) for i in range(400)], "id int, label int, error long")
     got = {r["id"]: r["t"] for r in vectors.join_total(rows, "label", "error", "t").collect()}
     assert len(got) == 400 and got[0] == got[4] == sum(range(0, 400, 4)) and got[1] == got[7] == 7 + sum(range(1, 400, 4)) and got[2] == 2
+
+
+@pytest.mark.parametrize("name", ["op12_vector_codes", "op13_clusters"])
+def test_equals_sql(spark, name):
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{folder}/embeddings.parquet'")
+    said = con.execute(oracle.oracle_sql()[name])
+    names = [c[0] for c in said.description]
+    got = queries.queries()[name](spark, folder)
+    assert set(got.columns) == set(names) and sorted(map(tuple, got.select(*names).collect())) == sorted(said.fetchall())

@@ -75,6 +75,52 @@ from v
 """
 
 
+def _floor_div(total: str, n: str) -> str:
+    return f"(({total} - ((({total} % {n}) + {n}) % {n})) // {n})"
+
+
+def _lloyd(points: str, first: str, rounds: int, width: int) -> str:
+    """CTEs c0, a0, c1, a1, ...: entries (p, c, v) and what is nearest to each point (p, rid, c, dist) of a table of points
+    (p, rid, v); distances and numbers are told by one whole number, so the least has ties to the lower entry."""
+    out = [f"c0 as ({first})"]
+    for r in range(rounds + 1):
+        far = "+".join(f"(x.v[{i}] - c.v[{i}]) * (x.v[{i}] - c.v[{i}])" for i in range(1, width + 1))
+        out.append(f"a{r} as (select p, rid, (m % 256)::int as c, m // 256 as dist from (select x.p, x.rid, min(({far}) * 256 + c.c) as m from {points} x join c{r} c on x.p = c.p group by x.p, x.rid))")
+        if r < rounds:
+            sums = ", ".join(_floor_div(f"sum(x.v[{i}])", "count(*)") + "::bigint" for i in range(1, width + 1))
+            out.append(f"c{r + 1} as (select c.p, c.c, coalesce(n.v, c.v) as v from c{r} c left join (select a.p, a.c, [{sums}] as v from a{r} a join {points} x on a.p = x.p and a.rid = x.rid group by a.p, a.c) n on n.p = c.p and n.c = c.c)")
+    return ",\n".join(out)
+
+
+_FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def _clusters() -> str:
+    first = "select 0 as p, row_number() over (order by sha256('2:' || vec_id::varchar)) - 1 as c, v from pts order by sha256('2:' || vec_id::varchar) limit 40"
+    return f"""
+with pts as (
+  select 0 as p, row_number() over (order by vec_id) as rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings where {_FINITE} and len(embedding) = 64),
+{_lloyd("pts", first, 5, 64)}
+select vec_id, a5.c as cluster, dist as distance, sum(dist) over (partition by a5.c)::bigint as cluster_inertia, sum(dist) over ()::bigint as inertia,
+  sha256(array_to_string(c5.v, ',')) as centroid_sha256
+from a5 join pts using (rid) join c5 on c5.c = a5.c
+"""
+
+
+def _codes() -> str:
+    first = "select p, row_number() over (partition by p order by vec_id) - 1 as c, v from pts where rid <= 256"
+    return f"""
+with whole as (
+  select row_number() over (order by vec_id) as rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v from embeddings where {_FINITE}),
+pts as (select p, rid, vec_id, label, v[16 * p + 1:16 * p + 16] as v from whole, (values (0), (1), (2), (3)) t(p)),
+{_lloyd("pts", first, 4, 16)},
+coded as (select rid, string_agg(lower(printf('%02x', c)), '' order by p) as code, sum(dist)::bigint as error from a4 group by rid),
+told as (select sha256(string_agg(array_to_string(v, ','), ',' order by p, c)) as codebooks_sha256 from c4)
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from coded join whole using (rid), told
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     special = "".join(c if c.isalnum() or c in "<>/_" else "\\" + c for c in "\x00".join(("\\", *chat_format.CONTROL))).replace("\\\x00", "|")
     marks = sum(map(len, (chat_format.TURN, chat_format.TEXT, chat_format.END)))
@@ -84,4 +130,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_chat_format": _CHAT.format(escaped=special, marks=marks),
         "op8_ngram_jaccard": _JACCARD,
         "op9_decontaminate": decontaminate.ORACLE,
+        "op12_vector_codes": _codes(),
+        "op13_clusters": _clusters(),
     }
