@@ -25,6 +25,7 @@ from .sources.jdbc import JdbcTables
 from .sources.memory import MemoryTables
 from .sources.parquet import Conflict, ParquetTables
 from .state import StateStore, TaskRunning
+from .streaming.source import stream_by_cursor
 from .streaming.upsert import stream_upsert
 
 
@@ -463,6 +464,23 @@ def stream_to_table(spark, d):
     return store.read("out")
 
 
+@query("select ts::date as day, event_id, user_id, count(*) as times from events group by all")
+def stream_cursor_resume(spark, d):
+    """A table as a stream by (day, event): what is added between two runs from one checkpoint, in the middle of the ties
+    of a day, comes once each."""
+    folder = _folder(spark, "stream")
+    events = t(spark, d, "events").select(F.to_date("ts").alias("day"), "event_id", "user_id")
+    middle = events.agg(F.percentile_approx(F.unix_date("day"), 0.5).alias("at"), (F.max("event_id") / 2).alias("id")).first()
+    day = F.date_from_unix_date(F.lit(middle["at"]))
+    first = (F.col("day") < day) | (F.col("day") == day) & (F.col("event_id") <= middle["id"])
+    for part in (first, ~first):
+        events.where(part).write.mode("append").parquet(f"{folder}/in")
+        stream = stream_by_cursor(spark, f"{folder}/in", events.schema, ["day", "event_id"])
+        sink = stream.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/check")
+        sink.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(events.schema).parquet(f"{folder}/out").groupBy("day", "event_id", "user_id").agg(F.count("*").alias("times"))
+
+
 # --- reports ---------------------------------------------------------------------------------------------------------
 
 _FAULTS = "with e as (select event_id as id, user_id as record_id, case when event_type = 'error' then 'WRITE' else 'MAP' end as phase, ts as created_at from events) "

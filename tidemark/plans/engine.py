@@ -11,7 +11,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.convert import as_text, convert
@@ -49,6 +49,10 @@ class Staged:
     rows: DataFrame
     plan: SyncPlan
     folder: str = ""
+    #: Rows read, bad rows, and the order keys of the last good row, counted while they were written.
+    read: int = 0
+    n_bad: int = 0
+    last: tuple | None = None
 
     @property
     def good(self) -> DataFrame:
@@ -97,11 +101,19 @@ def converted(df: DataFrame, plan: SyncPlan) -> DataFrame:
 
 
 def stage(df: DataFrame, plan: SyncPlan) -> Staged:
+    """Write the converted rows and count them on the way. The metrics sit on top of the written plan, in its last stage,
+    whose tasks count once each however often they are tried."""
     spark = df.sparkSession
     rows = converted(df, plan)
     folder = f"{staging_dir(spark)}/stage-{plan.task.id}-{uuid.uuid4().hex}"
-    rows.write.parquet(folder)
-    return Staged(spark.read.schema(rows.schema).parquet(folder), plan, folder)
+    keys = [F.col(f"_o{i}") for i in range(len(plan.order_keys))]
+    metrics = [F.count("*").alias("read"), F.count("_phase").alias("bad")]
+    if keys and plan.incr is not None:
+        metrics.append(F.max(F.when(F.col("_phase").isNull(), F.struct(*keys))).alias("last"))
+    seen = Observation()
+    rows.observe(seen, *metrics).write.parquet(folder)
+    n = seen.get
+    return Staged(spark.read.schema(rows.schema).parquet(folder), plan, folder, n["read"], n["bad"], n.get("last"))
 
 
 def source_rows(spark: SparkSession, task: SyncTask, source, plan: SyncPlan | None = None, window: ReadWindow | None = None) -> DataFrame:
@@ -157,19 +169,17 @@ def run(
         read = (window.apply(df) if window else df).select(*[F.col(f"`{c}`") for c in plan.select])
         staged = with_retries(lambda: stage(read, plan), task.errors)
         keys = [F.col(f"_o{i}") for i in range(len(plan.order_keys))]
-        last = F.max(F.when(F.col("_phase").isNull(), F.struct(*keys))) if keys and plan.incr is not None else F.lit(None)
-        n = staged.rows.agg(F.count("*").alias("read"), F.count("_phase").alias("bad"), last.alias("last")).first()
-        result.read_rows, result.skipped_rows = n["read"], n["bad"]
-        tell(Progress("MAP", n["read"], 0, n["bad"]))
-        if n["bad"]:
+        result.read_rows, result.skipped_rows = staged.read, staged.n_bad
+        tell(Progress("MAP", staged.read, 0, staged.n_bad))
+        if staged.n_bad:
             shown = staged.bad.orderBy(*keys).limit(task.errors.max_errors_recorded) if keys else staged.bad.limit(task.errors.max_errors_recorded)
             result.errors = [{"phase": r["_phase"], "row_key": r["_key"], "message": scrub(r["_message"]), "row_data": r["_data"], "retryable": False} for r in shown.select("_phase", "_key", "_message", "_data").collect()]
-        if why := _problem(task, n["bad"]):
+        if why := _problem(task, staged.n_bad):
             result.status, result.message = Status.FAILED, why
             return result
         stop.check(task.id)
         if not task.dry_run:
-            spare = max(0, task.errors.max_skip_rows - n["bad"]) if task.errors.skip_bad_rows else 0
+            spare = max(0, task.errors.max_skip_rows - staged.n_bad) if task.errors.skip_bad_rows else 0
             if fence:
                 fence()
             try:
@@ -180,9 +190,9 @@ def run(
                 raise
             result.skipped_rows += len(refused)
             result.errors += _write_errors(refused, plan)[: max(0, task.errors.max_errors_recorded - len(result.errors))]
-            result.written_rows = n["read"] - result.skipped_rows
-            if n["last"] is not None:
-                result.end_cursor = encode(list(n["last"]))
+            result.written_rows = staged.read - result.skipped_rows
+            if staged.last is not None:
+                result.end_cursor = encode(list(staged.last))
         result.status = Status.COMPLETED
         tell(Progress("WRITE", result.read_rows, result.written_rows, result.skipped_rows, result.end_cursor))
     except Cancelled as e:
