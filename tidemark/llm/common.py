@@ -51,13 +51,14 @@ def release(*tables: DataFrame) -> None:
         place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def _is_small(df: DataFrame) -> bool:
+def is_small(df: DataFrame) -> bool:
+    """Whether df has at most BROADCAST_ROWS rows; no more than one row beyond them is counted."""
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Hint a broadcast after counting at most BROADCAST_ROWS + 1 rows; a larger table keeps the planner's own join."""
-    return F.broadcast(df) if _is_small(df) else df
+    return F.broadcast(df) if is_small(df) else df
 
 
 def join_few(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,7 +68,7 @@ def join_few(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
     otherwise the planner's own join does the same.
     """
     ids = few.select(*keys)
-    if not _is_small(ids):
+    if not is_small(ids):
         return rows.join(few, keys, "left")
     hit = rows.join(F.broadcast(ids), keys, "left_semi").join(few, keys)
     return hit.unionByName(rows.join(F.broadcast(ids), keys, "left_anti"), allowMissingColumns=True)

@@ -6,11 +6,12 @@ than the fragments). Fragments with equal content bring documents together; the
 in each of a few wide fragments separately and sums it per pair.
 
 Documents with equal sets are one node from the start, named by the hash of the set. Inside a fragment's bucket nobody is
-paired with everybody: each node is held against one leader, found as a grouped minimum, and while a bucket holds several
-components its nodes are held against a few more leaders, chosen by hash, a bounded number of times. Only nodes of
-buckets that stay open go on: their shingles are ordered by rarity among them, and nodes meet on the shingles of their
-prefixes, which in a group of near copies are the edits and not the common text; offsets and lengths drop most of these
-pairs.
+paired with everybody: each bucket has one leader, found as a grouped minimum, and each node is held against that one of
+its leaders with which it shares most buckets. While buckets hold several components, the same is done with a few more
+leaders of each, chosen by hash, as long as that links enough nodes. These rounds only spare work; nodes of buckets that
+stay open go on to a search that misses nothing: their shingles are ordered by rarity among them, and nodes meet on the
+shingles of their prefixes, which in a group of near copies are the edits and not the common text; offsets and lengths
+drop most of these pairs.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import PACKED, packed, shared_keys
-from .common import broadcast_if_small, components, durable, fresh_names, release
+from .common import broadcast_if_small, components, durable, fresh_names, is_small, release
 from .tokens import distinct, frugal, lowered, mix, prefix_hash, shingles, span_hash, text_slices, words
 
 #: Lower ends of the size classes grow by this factor.
@@ -32,8 +33,8 @@ WIDE = 8
 #: Arrow batch. Any choice of them gives the same links; it only spares meetings on common passages.
 MOST_FREQUENT, SEEN_OFTEN = 100_000, 4
 
-#: Leaders that the nodes of an open bucket are held against in a round, about, and rounds at most.
-LEADERS, ROUNDS = 8, 8
+#: Leaders of an open bucket in a round, about; rounds at most; a round comes after one that linked one node in so many.
+LEADERS, ROUNDS, GAIN = 8, 8, 50
 #: Keys of a block, about, and keys that a task packs at a time.
 BLOCK, CHUNK = 1 << 20, 1 << 19
 
@@ -151,8 +152,18 @@ def _wide(batches, n: int):
             yield pa.RecordBatch.from_arrays([pa.array(nodes[at + row[begin]]), pa.array(sizes[row[begin]]), pa.array(part[begin].astype(np.int32)), lists], names=["node", "n", "part", "items"])
 
 
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of pairs (a, b), one row for each bucket that brings them together, the b of each a with most of them."""
+    often = pairs.groupBy("a", "b").agg(F.count("*").alias("same"))
+    return often.groupBy("a").agg(F.max(F.struct("same", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+
+
 def _linked(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
     """Of pairs (a, b) of nodes those that link: partial overlaps by fragment, summed."""
+    pairs = durable(pairs, "pairs")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if is_small(nodes):
+        wide = wide.join(F.broadcast(nodes), "node", "left_semi")
     left = pairs.join(wide.select(F.col("node").alias("a"), F.col("n").alias("na"), "part", F.col("items").alias("ia")), "a")
     right = wide.select(F.col("node").alias("b"), F.col("n").alias("nb"), "part", F.col("items").alias("ib"))
     partial = left.join(right, ["b", "part"]).select("a", "b", "na", "nb", F.size(F.array_intersect("ia", "ib")).alias("same"))
@@ -174,10 +185,11 @@ def _alike(num: int, den: int, n: str, m: str):
 
 def _prefix_pairs(left: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of nodes of different components that share a shingle of their rarity-ordered prefixes at fitting places."""
-    rest = wide.join(left.select("node", "comp").distinct(), "node").select("node", "comp", "n", F.explode("items").alias("sh"))
+    nodes = durable(left.select("node", "comp", "n").distinct(), "open-nodes")
+    rest = wide.join(broadcast_if_small(nodes), "node", "left_semi").select("node", F.explode("items").alias("sh"))
     often = rest.groupBy("sh").agg(F.count("*").alias("df")).where("df > 1")
     # shingles of one node only come first in the order and can meet nobody; they only take up places in it
-    known = rest.join(often, "sh").withColumn("single", F.col("n") - F.count("*").over(Window.partitionBy("node")))
+    known = rest.join(often, "sh").join(nodes, "node").withColumn("single", F.col("n") - F.count("*").over(Window.partitionBy("node")))
     placed = known.withColumn("rank", F.row_number().over(Window.partitionBy("node").orderBy("df", "sh")) + F.col("single"))
     prefix = durable(placed.where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * num / den) + 1).select("sh", "node", "comp", "n", "rank"), "prefixes")
     other = prefix.select("sh", *[F.col(c).alias(f"{c}2") for c in ("node", "comp", "n", "rank")])
@@ -206,21 +218,24 @@ def jaccard_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFra
     texts = docs.select(*key[:2], "text").join(broadcast_if_small(involved), ["d", "t"]).groupBy("node").agg(F.min("text").alias("text"))
     wide = durable(texts.mapInArrow(lambda b: _wide(b, n), "node long, n long, part int, items array<long>"), "wide")
     lead = bucket.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead")).select("key", F.col("lead.node").alias("b"), F.col("lead.n").alias("m"))
-    first = bucket.join(lead, "key").where((F.col("node") != F.col("b")) & _alike(num, den, "n", "m")).select(F.col("node").alias("a"), "b").distinct()
-    links = durable(_linked(first, wide, num, den), "links")
+    first = bucket.join(lead, "key").where((F.col("node") != F.col("b")) & _alike(num, den, "n", "m"))
+    links = durable(_linked(_nearest(first.select(F.col("node").alias("a"), "b")), wide, num, den), "links")
     comp, left = _open_buckets(bucket, links)
     for k in range(ROUNDS):
         if left.isEmpty():
             break
         leads = left.where(F.pmod(F.xxhash64("node", F.lit(k)), F.greatest(F.lit(1), F.floor(F.col("many") / LEADERS))) == 0)
         leads = leads.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
-        pairs = left.join(leads, "key").where((F.col("comp") != F.col("other")) & _alike(num, den, "n", "m")).select(F.col("node").alias("a"), "b").distinct()
-        more = durable(_linked(pairs, wide, num, den), "links")
-        if more.isEmpty():
+        pairs = left.join(leads, "key").where((F.col("comp") != F.col("other")) & _alike(num, den, "n", "m")).select(F.col("node").alias("a"), "b")
+        more = durable(_linked(_nearest(pairs), wide, num, den), "links")
+        found, nodes = more.count(), left.select("node").distinct().count()
+        if not found:
             break
         links, spent = durable(links.union(more), "links"), [links, more, comp, left]
         comp, left = _open_buckets(bucket, links)
         release(*spent)
+        if found * GAIN < nodes:
+            break
     if not left.isEmpty():
         more = durable(_linked(_prefix_pairs(left, wide, num, den), wide, num, den), "links")
         if not more.isEmpty():
