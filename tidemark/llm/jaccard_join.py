@@ -6,12 +6,12 @@ than the fragments). Fragments with equal content bring documents together; the
 in each of a few wide fragments separately and sums it per pair.
 
 Documents with equal sets are one node from the start, named by the hash of the set. Inside a fragment's bucket nobody is
-paired with everybody: each bucket has one leader, found as a grouped minimum, and each node is held against that one of
+paired with everybody: each bucket has one leader, found as a grouped minimum, and each node is held against those few of
 its leaders with which it shares most buckets. While buckets hold several components, the same is done with a few more
-leaders of each, chosen by hash, as long as that links enough nodes. These rounds only spare work; nodes of buckets that
-stay open go on to a search that misses nothing: their shingles are ordered by rarity among them, and nodes meet on the
-shingles of their prefixes, which in a group of near copies are the edits and not the common text; offsets and lengths
-drop most of these pairs.
+leaders of each, chosen by hash. These rounds only spare work; nodes of buckets that stay open go on to a search that
+misses nothing: their shingles are ordered by rarity among them, and nodes meet on the shingles of their prefixes, which
+in a group of near copies are the edits and not the common text; offsets and lengths drop most of these pairs. A few pairs
+of each node are counted first, then all others that no component holds by now.
 """
 
 from __future__ import annotations
@@ -33,8 +33,10 @@ WIDE = 8
 #: Arrow batch. Any choice of them gives the same links; it only spares meetings on common passages.
 MOST_FREQUENT, SEEN_OFTEN = 100_000, 4
 
-#: Leaders of an open bucket in a round, about; rounds at most; a round comes after one that linked one node in so many.
-LEADERS, ROUNDS, GAIN = 8, 8, 50
+#: Leaders of an open bucket in a round, about; rounds at most; leaders that a node is held against in a round; pairs of a
+#: node of the greater component that are counted before all others. None of them changes the components: what they leave
+#: open is searched whole.
+LEADERS, ROUNDS, NEAREST, EARLY = 8, 1, 6, 48
 #: Keys of a block, about, and keys that a task packs at a time.
 BLOCK, CHUNK = 1 << 20, 1 << 19
 
@@ -152,10 +154,11 @@ def _wide(batches, n: int):
             yield pa.RecordBatch.from_arrays([pa.array(nodes[at + row[begin]]), pa.array(sizes[row[begin]]), pa.array(part[begin].astype(np.int32)), lists], names=["node", "n", "part", "items"])
 
 
-def _nearest(pairs: DataFrame) -> DataFrame:
-    """Of pairs (a, b), one row for each bucket that brings them together, the b of each a with most of them."""
-    often = pairs.groupBy("a", "b").agg(F.count("*").alias("same"))
-    return often.groupBy("a").agg(F.max(F.struct("same", "b")).alias("best")).select("a", F.col("best.b").alias("b"))
+def _nearest(pairs: DataFrame, of: str, most: int) -> DataFrame:
+    """Of pairs (a, b), one row for each key that brings them together, for each `of` the few with most keys in common."""
+    often = pairs if "same" in pairs.columns else pairs.groupBy("a", "b").agg(F.count("*").alias("same"))
+    place = F.row_number().over(Window.partitionBy(of).orderBy(F.desc("same"), F.xxhash64("a", "b"), "a", "b"))
+    return often.withColumn("place", place).where(F.col("place") <= most).select("a", "b")
 
 
 def _linked(pairs: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
@@ -184,7 +187,7 @@ def _alike(num: int, den: int, n: str, m: str):
 
 
 def _prefix_pairs(left: DataFrame, wide: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of nodes of different components that share a shingle of their rarity-ordered prefixes at fitting places."""
+    """Pairs of nodes of different components, a row for each shingle of their rarity-ordered prefixes at fitting places."""
     nodes = durable(left.select("node", "comp", "n").distinct(), "open-nodes")
     rest = wide.join(broadcast_if_small(nodes), "node", "left_semi").select("node", F.explode("items").alias("sh"))
     often = rest.groupBy("sh").agg(F.count("*").alias("df")).where("df > 1")
@@ -195,7 +198,7 @@ def _prefix_pairs(left: DataFrame, wide: DataFrame, num: int, den: int) -> DataF
     other = prefix.select("sh", *[F.col(c).alias(f"{c}2") for c in ("node", "comp", "n", "rank")])
     need = F.ceil((F.col("n") + F.col("n2")) * num / (num + den))
     fits = _alike(num, den, "n", "n2") & (1 + F.least(F.col("n") - F.col("rank"), F.col("n2") - F.col("rank2")) >= need)
-    return prefix.join(other, "sh").where((F.col("comp") < F.col("comp2")) & fits).select(F.col("node").alias("a"), F.col("node2").alias("b")).distinct()
+    return prefix.join(other, "sh").where((F.col("comp") < F.col("comp2")) & fits).select(F.col("node").alias("a"), F.col("node2").alias("b"))
 
 
 def jaccard_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
@@ -219,7 +222,7 @@ def jaccard_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFra
     wide = durable(texts.mapInArrow(lambda b: _wide(b, n), "node long, n long, part int, items array<long>"), "wide")
     lead = bucket.groupBy("key").agg(F.min(F.struct("node", "n")).alias("lead")).select("key", F.col("lead.node").alias("b"), F.col("lead.n").alias("m"))
     first = bucket.join(lead, "key").where((F.col("node") != F.col("b")) & _alike(num, den, "n", "m"))
-    links = durable(_linked(_nearest(first.select(F.col("node").alias("a"), "b")), wide, num, den), "links")
+    links = durable(_linked(_nearest(first.select(F.col("node").alias("a"), "b"), "a", NEAREST), wide, num, den), "links")
     comp, left = _open_buckets(bucket, links)
     for k in range(ROUNDS):
         if left.isEmpty():
@@ -227,21 +230,27 @@ def jaccard_groups(docs: DataFrame, n: int, num: int, den: int) -> tuple[DataFra
         leads = left.where(F.pmod(F.xxhash64("node", F.lit(k)), F.greatest(F.lit(1), F.floor(F.col("many") / LEADERS))) == 0)
         leads = leads.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("comp").alias("other"))
         pairs = left.join(leads, "key").where((F.col("comp") != F.col("other")) & _alike(num, den, "n", "m")).select(F.col("node").alias("a"), "b")
-        more = durable(_linked(_nearest(pairs), wide, num, den), "links")
-        found, nodes = more.count(), left.select("node").distinct().count()
-        if not found:
+        more = durable(_linked(_nearest(pairs, "a", NEAREST), wide, num, den), "links")
+        if more.isEmpty():
             break
         links, spent = durable(links.union(more), "links"), [links, more, comp, left]
         comp, left = _open_buckets(bucket, links)
         release(*spent)
-        if found * GAIN < nodes:
-            break
     if not left.isEmpty():
-        more = durable(_linked(_prefix_pairs(left, wide, num, den), wide, num, den), "links")
+        pairs = durable(_prefix_pairs(left, wide, num, den).groupBy("a", "b").agg(F.count("*").alias("same")), "open-pairs")
+        near = durable(_linked(_nearest(pairs, "b", EARLY), wide, num, den), "links")
+        known = durable(components(links.union(near)), "components")
+        own = known.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+        other = known.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        apart = F.coalesce("ca", "a") != F.coalesce("cb", "b")
+        rest = pairs.join(broadcast_if_small(own), "a", "left").join(broadcast_if_small(other), "b", "left").where(apart).select("a", "b")
+        more = durable(_linked(rest, wide, num, den), "links")
+        spent = [comp, pairs, near, more]
+        comp = known
         if not more.isEmpty():
-            release(comp)
-            comp = durable(components(links.union(more)), "components")
-        release(more)
+            comp = durable(components(links.union(near).union(more)), "components")
+            spent.append(known)
+        release(*spent)
     release(links, left, wide, bucket, involved)
     named = comp.select("node", F.col("component").alias("group"))
     alone = classes.where("rows > 1").select("node").join(named, "node", "left_anti").select("node", F.col("node").alias("group"))
