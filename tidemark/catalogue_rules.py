@@ -65,8 +65,9 @@ def convert_bigint(spark, d):
 
 @query("select o_orderkey, o_orderkey::int as y, false as bad from orders")
 def convert_double_half_up(spark, d):
-    """A double just below the half is rounded down: once, not twice."""
-    return _converted(t(spark, d, "orders"), ["o_orderkey"], F.col("o_orderkey") + F.lit(0.49999999999), _column("x", "DOUBLE"), _column("y", "INT"))
+    """The last double below the half is rounded down, whatever the size of the number: once, not twice."""
+    below = (F.col("o_orderkey") + F.lit(0.5)) * F.lit(1 - 2.0**-53)  # a constant less than the half is lost in large numbers
+    return _converted(t(spark, d, "orders"), ["o_orderkey"], below, _column("x", "DOUBLE"), _column("y", "INT"))
 
 
 @query("select l_orderkey, l_linenumber, l_quantity::double::varchar as y, false as bad from lineitem")
