@@ -144,6 +144,12 @@ class ParquetTables:
         names = {r[0] for r in hit.select("file").collect()}  # names of the few files that an upsert meets
         return [f for f in found["files"] if f in names or f.split("/")[0] not in parts]
 
+    @staticmethod
+    def _by_range(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Rows by ranges of keys and in their order: files that a task's rows are cut into are ranges as well."""
+        told = [F.col(f"`{k}`") for k in keys]
+        return rows.repartitionByRange(*told).sortWithinPartitions(*told)
+
     def _commit(self, table: str, rows: DataFrame, base: int, kept: list[str] = (), keys: Sequence[str] = ()) -> int:
         """Write rows, then point at them and at the kept files of the base version, as the version after it."""
         version = base + 1
@@ -216,7 +222,7 @@ class ParquetTables:
         at = self._base(table)
         if base is not None and base != at:
             raise Conflict(f"{table} moved on from version {base}")
-        return self._commit(table, rows.repartitionByRange(*[F.col(f"`{k}`") for k in keys]) if keys else rows, at, keys=keys)
+        return self._commit(table, self._by_range(rows, keys) if keys else rows, at, keys=keys)
 
     def append(self, table: str, rows: DataFrame, base: int | None = None) -> int:
         """Plain insert: the files of the table stay, the rows come in new ones."""
@@ -253,7 +259,7 @@ class ParquetTables:
         self.touched = len(found["files"]), len(met), len(old)
         new = merge(self._rows(table, old, schema), rows, keys, order, unique=unique)
         if found.get("statistics") and found.get("keys") == list(keys):  # what lies by key range goes on to
-            new = new.repartitionByRange(*told)
+            new = self._by_range(new, keys)
         gone = set(old)
         return self._commit(table, new, at, [f for f in found["files"] if f not in gone], keys)
 
