@@ -4,12 +4,10 @@ from __future__ import annotations
 
 import datetime as dt
 import json
-import tempfile
 import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -20,7 +18,7 @@ from ..model import ColumnSpec, Issue, Status, SyncResult, SyncTask, TableSpec,
 from ..operators.cursor import ReadWindow, anchor, encode, read_window
 from ..operators.merge import append, last_wins
 from ..runtime import Cancellation, Cancelled, Progress, with_retries
-from ..sources.base import read_sql, spec_from
+from ..sources.base import read_sql, spec_from, staging_dir
 from ..sources.jdbc import Rejected, TooManyRejected
 from .resolve import SyncPlan, resolve
 
@@ -29,19 +27,6 @@ KEY_CHARS, MESSAGE_CHARS, DATA_CHARS = 255, 1000, 4000
 CONSTANT = ColumnSpec("constant", "VARCHAR")
 
 
-def staging_dir(spark: SparkSession) -> str:
-    """Where runs keep their converted rows: the folder all executors share; a local one only in local mode."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return (known or _local_dir()).rstrip("/")
-
-
-@lru_cache(maxsize=1)
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
-
-
 @dataclass(frozen=True)
 class Staged:
     """Converted rows, written once: counting and writing read the same rows whatever the source does meanwhile."""
