@@ -91,3 +91,22 @@ def test_texts_without_id_whose_short_hashes_collide(spark):
     got = repeated_bytes.remove_repeats(spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], DOCS), 40, 8).collect()
     expected = brute.repeated_bytes([(i, t.encode()) for i, (_, t) in enumerate(rows)], 40)
     assert sorted((bytes(r["kept"]), len(r["spans"])) for r in got) == sorted(expected.values())
+
+
+def test_lines_of_repeated_words_make_no_pairs(spark, monkeypatch):
+    """Words that lines repeat an even number of times leave no parity; such lines share a passage and are not near each other."""
+    counts, write = {}, line_dedup.durable
+
+    def durable(df, name):
+        out = write(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "durable", durable)
+    lines = [f"{'x%d ' % i * 20}we share this passage all of us {'y%d ' % i * 20}" for i in range(60)]
+    lines += [lines[5] + "more", lines[7].replace("share", "shared"), lines[9].replace("x9", "z", 6)]
+    rows = [(i, "\n".join(lines[i : i + 3])) for i in range(0, len(lines), 3)]
+    got = line_dedup.dedup_lines(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS))
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == brute.line_dedup(rows)
+    assert sum(brute.near_lines(rows).get(60, ())) == 1  # lines 0 and 1 of the last text; line 2 has six edits
+    assert sum(n for name, n in counts.items() if name.endswith("-pairs")) < 20

@@ -56,6 +56,12 @@ def is_small(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
 
+def few_lists(df: DataFrame, lists: str) -> bool:
+    """Whether df has at most BROADCAST_ROWS rows with some eight numbers each in a column of lists."""
+    rows, numbers = df.agg(F.count("*"), F.sum(F.size(lists))).first()
+    return rows <= BROADCAST_ROWS and (numbers or 0) <= 8 * BROADCAST_ROWS
+
+
 def broadcast_if_small(df: DataFrame) -> DataFrame:
     """Hint a broadcast after counting at most BROADCAST_ROWS + 1 rows; a larger table keeps the planner's own join."""
     return F.broadcast(df) if is_small(df) else df

@@ -13,10 +13,10 @@ a run with a different line emit variants at all.
 With a larger bound the neighbourhood of all variants is too large, but what deletions leave untouched is not: k edits
 destroy at most k * GRAM of a line's runs of GRAM words, so of two lines within the bound one of the first k * GRAM + 1
 runs in a global order stands among those of the other. These keys are packed into blocks by key range, and a block task
-finds the keys that two lines of fitting lengths share at fitting places. Frequent runs come last in the order. Word
-parities of two such lines may differ in two bits for each edit, and only pairs that pass are compared: the two lines of
-a key that no other has, each line with the earliest one of its other keys, and what stays after that with all earlier
-ones of these keys.
+finds the keys that two lines of fitting lengths share at fitting places. Frequent runs come last in the order. Parities
+of the words of two such lines, each word with its number in the line, may differ in two bits for each edit, and only
+pairs that pass are compared: each line of a key with the head of its key, an early line, which all of a group of copies have in common, and
+what stays after that with the earlier ones of these keys.
 
 The words of every pair are compared before a line goes.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import broadcast_if_small, durable, fresh_names, join_few, release
+from .common import broadcast_if_small, durable, few_lists, fresh_names, join_few, release
 from .tokens import batch_of, frugal, lowered, mix, powers, prefix_hash, span_hash, text_slices, words
 
 #: Lines of fewer words have no variants: they go only as exact repeats.
@@ -53,6 +53,10 @@ LENGTH_STEP, ANYWHERE = 1.04, 255
 LOOK_AHEAD = 256
 _U = np.uint64
 _LOW = np.uint64((1 << 48) - 1)
+#: Of a gram's hash, the bits that a packed key has beside length, place and level of its line.
+_KEY = np.uint64((1 << 40) - 1)
+#: Documents are told apart by so many levels of their ids where heads are chosen.
+LEVELS = 256
 PLACE = ["d", "t", "line"]
 
 
@@ -71,17 +75,18 @@ def _lines(column: pa.Array, least: int):
         s = np.zeros(len(h) + 1, np.uint64)
         np.cumsum(h * powers(len(h) + 1)[0][: len(h)], out=s[1:])
         breaks = np.flatnonzero(data == 10)
-        # breaks before the word; those before its row are taken off for the number of the line
-        number = np.searchsorted(breaks, start)
-        first = np.searchsorted(breaks, offsets[row])
         if not len(h):
             continue
-        begin = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (number[1:] != number[:-1])])
+        # the first word of each line that has one
+        begin = np.unique(np.searchsorted(start, np.r_[offsets[:-1], breaks]))
+        begin = begin[begin < len(h)]
         stop = np.r_[begin[1:], len(h)]
         keep = stop - begin >= least
         begin, stop = begin[keep], stop[keep]
         if len(begin):
-            yield at, row[begin], (number - first)[begin].astype(np.int32), begin, stop, s, (data, start, end, h)
+            # breaks before the line, without those before its row
+            number = np.searchsorted(breaks, start[begin]) - np.searchsorted(breaks, offsets[row[begin]])
+            yield at, row[begin], number.astype(np.int32), begin, stop, s, (data, start, end, h)
 
 
 def _full(s: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -96,8 +101,9 @@ def _keys(batches, least: int, words_per_edit: int, often_at: int, chunk: int):
     """Each line's hash, words and, by the bound it has, the hashes of its runs or the parities of its words.
 
     Runs are the first and last h words, h half of the power of two its length has; parities are one bit for each of 256
-    groups of words: whether the line has an odd number of them. Rows without a line tell frequent grams: the gram as
-    `full`, and as `n` how many different lines of a chunk of long lines have it.
+    groups of words, the second of a word in a line being another word than its first: whether the line has an odd number
+    of them. Rows without a line
+    tell frequent grams: the gram as `full`, and as `n` how many different lines of a chunk of long lines have it.
     """
     lines, grams, size = [], [], 0  # hashes of long lines; (line from 0, gram), of each line once
 
@@ -131,11 +137,10 @@ def _keys(batches, least: int, words_per_edit: int, often_at: int, chunk: int):
             columns = {"d": batch.column(0).take(take), "t": batch.column(1).take(take), "line": pa.array(number)}
             columns |= {"full": pa.array(full.view(np.int64)), "n": pa.array(n.astype(np.int32))}
             columns |= {"a": null(runs[0][0], none), "b": null(runs[0][1], none), "c": null(runs[1][0], none | same), "e": null(runs[1][1], none | same)}
-            bit, part = _U(1) << ((h >> _U(8)) & _U(63)), (h >> _U(20)) & _U(3)
-            for k, name in enumerate(PARITY):
-                upto = np.zeros(len(h) + 1, np.uint64)
-                np.bitwise_xor.accumulate(np.where(part == _U(k), bit, _U(0)), out=upto[1:])
-                columns[name] = null(upto[stop] ^ upto[begin], short)
+            for name, told in zip(PARITY, _parities(h, begin[~short], stop[~short]), strict=True):
+                whole = np.zeros(len(n), np.uint64)
+                whole[~short] = told
+                columns[name] = null(whole, short)
             yield rows(columns, len(n))
             for of, key, told in _distinct_grams(s, begin[~short], stop[~short]):
                 lines.append(told)
@@ -148,6 +153,22 @@ def _keys(batches, least: int, words_per_edit: int, often_at: int, chunk: int):
         yield frequent()
 
 
+def _parities(h: np.ndarray, all_begin: np.ndarray, all_stop: np.ndarray) -> list[np.ndarray]:
+    """The parities of lines as four numbers of 64 bits each."""
+    out = [np.zeros(len(all_begin), np.uint64) for _ in PARITY]
+    for lo in range(0, len(all_begin), 1 << 16):
+        begin, count = all_begin[lo : lo + (1 << 16)], (all_stop - all_begin)[lo : lo + (1 << 16)]
+        of = np.repeat(np.arange(len(begin)), count)
+        at, first = np.arange(len(of)), np.cumsum(count) - count
+        cell = np.sort(of.astype(np.uint64) << _U(48) | h[begin[of] + at - first[of]] >> _U(16))
+        again = at - np.maximum.accumulate(np.where(np.r_[True, cell[1:] != cell[:-1]], at, 0))
+        told = mix(cell & _LOW | again.astype(np.uint64) << _U(48))
+        bit, part = _U(1) << (told & _U(63)), (told >> _U(6)) & _U(3)
+        for k, whole in enumerate(out):
+            whole[lo : lo + len(begin)] = np.bitwise_xor.reduceat(np.where(part == _U(k), bit, _U(0)), first)
+    return out
+
+
 def _variants(batches):
     """The variants of the listed lines, and their words: columns d, t, text, lines."""
     for batch in frugal(batches):
@@ -228,12 +249,17 @@ def _ordered_grams(s: np.ndarray, all_begin: np.ndarray, all_stop: np.ndarray, f
         yield (both >> _U(48)).astype(np.int64), both & _LOW, place, _full(s, begin, stop), stop - begin
 
 
-def _long_grams(column: pa.Array, words_per_edit: int, frequent: np.ndarray):
-    for _, _, _, begin, stop, s, _ in _lines(column, 2 * words_per_edit):
-        yield from _ordered_grams(s, begin, stop, frequent)
+def _long_grams(batch: pa.RecordBatch, words_per_edit: int, frequent: np.ndarray, levels: np.ndarray):
+    """What _ordered_grams gives of the long lines of a batch (d, text), and the levels of these lines."""
+    level = np.searchsorted(levels, batch.column(0).to_numpy(zero_copy_only=False)).astype(np.uint64)
+    for at, row, _, begin, stop, s, _ in _lines(batch.column(1), 2 * words_per_edit):
+        lo, own = 0, level[at + row]
+        for of, key, place, full, n in _ordered_grams(s, begin, stop, frequent):
+            yield of, key, place, full, n, own[lo : lo + len(n)]
+            lo += len(n)
 
 
-def _blocks(batches, words_per_edit: int, blocks: int, frequent: np.ndarray, chunk: int):
+def _blocks(batches, words_per_edit: int, blocks: int, frequent: np.ndarray, levels: np.ndarray, chunk: int):
     """The first grams of each line, packed by key range: block, keys and line hashes as bytes."""
 
     def pack(keys, fulls):
@@ -247,11 +273,11 @@ def _blocks(batches, words_per_edit: int, blocks: int, frequent: np.ndarray, chu
 
     keys, fulls, size = [], [], 0
     for batch in frugal(batches):
-        for of, key, place, full, n in _long_grams(batch.column(0), words_per_edit, frequent):
+        for of, key, place, full, n, level in _long_grams(batch, words_per_edit, frequent, levels):
             rank = np.arange(len(of)) - np.searchsorted(of, np.arange(len(full)))[of]
             use = rank <= (n // words_per_edit * GRAM)[of]
-            meta = _length_class(n)[of[use]].astype(np.uint64) << _U(8) | place[use].astype(np.uint64)
-            keys.append(key[use] | meta << _U(48))
+            line = _length_class(n).astype(np.uint64) << _U(16) | level
+            keys.append(key[use] & _KEY | (line[of[use]] | place[use].astype(np.uint64) << _U(8)) << _U(40))
             fulls.append(full[of[use]])
             size += int(use.sum())
             if size >= chunk:
@@ -262,7 +288,7 @@ def _blocks(batches, words_per_edit: int, blocks: int, frequent: np.ndarray, chu
 
 
 def _block_of(key: np.ndarray, blocks: int) -> np.ndarray:
-    return (mix(key & _LOW) >> _U(33)) % _U(blocks)
+    return (mix(key & _KEY) >> _U(33)) % _U(blocks)
 
 
 def _length_class(n: np.ndarray) -> np.ndarray:
@@ -285,37 +311,41 @@ SHARED = "key long, full long, other long, place int"
 def _shared(batches, words_per_edit: int):
     """What the lines of each key mean for each other, in blocks whose rows stand together in their partition.
 
-    The two lines of a key that no other has are a pair: rows (null, full, other, null). Lines of other keys follow as
-    (key, full, null, place). Lines without a partner of fitting length and place are left out.
+    The head of a key is the line of the lowest level, and of those the one with the least hash. It makes a pair with each
+    other line of fitting length and place: rows (null, full, other, null), the lesser hash first. Where a key has more
+    lines than two, all but the head follow as (key, full, null, place). Lines without a partner of fitting length and
+    place are left out.
     """
     far, away = _bounds(words_per_edit)
 
     def found(keys, fulls):
         key, full = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(fulls), np.uint64)
-        meta, key = (key >> _U(48)).astype(np.int64), key & _LOW
-        # lines by their first 16 bits: one told twice stands beside itself but for rare ties, which do no harm
-        order = np.argsort(key << _U(16) | full >> _U(48))
+        meta, key = (key >> _U(40)).astype(np.int64), key & _KEY
+        # lines by their first 24 bits: one told twice stands beside itself but for rare ties, which do no harm
+        order = np.argsort(key << _U(24) | full >> _U(40))
         key, full, meta = key[order], full[order], meta[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (full[1:] != full[:-1])]
-        key, full, size, place = key[new], full[new], meta[new] >> 8, meta[new] & 255
-        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        count = np.diff(np.r_[begin, len(key)])
-        one = begin[count == 2]
-        two = one + 1
-        near = (np.abs(place[one] - place[two]) <= away) | (place[one] == ANYWHERE) | (place[two] == ANYWHERE)
-        near &= (np.abs(size[one] - size[two]) <= far) & (full[one] != full[two])
-        a, b = full[one[near]], full[two[near]]
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
-        none = pa.nulls(int(once.sum()), pa.int64())
-        yield batch_of(key=none, full=pa.array(a[once].view(np.int64)), other=pa.array(b[once].view(np.int64)), place=none.cast(pa.int32()))
-        several = np.repeat(count > 2, count)
-        key, full, size, place = key[several], full[several], size[several], place[several]
-        order = np.lexsort((size, key))
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (full[1:] != full[:-1])])
+        level = np.minimum.reduceat(meta & 255, first)
+        key, full, size, place = key[first], full[first], meta[first] >> 16, meta[first] >> 8 & 255
+        order = np.flatnonzero(_members(key) > 1)
+        order = order[np.lexsort((size[order], key[order]))]
+        order = order[_with_partner(key[order], size[order], place[order], words_per_edit)]
+        order = order[np.lexsort((full[order], level[order], key[order]))]
         key, full, size, place = key[order], full[order], size[order], place[order]
-        use = _with_partner(key, size, place, words_per_edit)
-        key, full, place = key[use].view(np.int64), full[use].view(np.int64), place[use].astype(np.int32)
+        members = _members(key)
+        lead = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        head = np.flatnonzero(lead)[np.cumsum(lead) - 1]
+        near = (np.abs(place - place[head]) <= away) | (place == ANYWHERE) | (place[head] == ANYWHERE)
+        near &= (np.abs(size - size[head]) <= far) & (full != full[head])
+        one, two = full[near], full[head][near]
+        one, two = np.minimum(one, two), np.maximum(one, two)
+        order = np.lexsort((two, one))
+        one, two = one[order], two[order]
+        once = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])] if len(one) else np.zeros(0, bool)
+        none = pa.nulls(int(once.sum()), pa.int64())
+        yield batch_of(key=none, full=pa.array(one[once].view(np.int64)), other=pa.array(two[once].view(np.int64)), place=none.cast(pa.int32()))
+        rest = ~lead & (members > 2)
+        key, full, place = key[rest].view(np.int64), full[rest].view(np.int64), place[rest].astype(np.int32)
         yield batch_of(key=pa.array(key), full=pa.array(full), other=pa.nulls(len(key), pa.int64()), place=pa.array(place))
 
     now, keys, fulls = None, [], []
@@ -331,6 +361,13 @@ def _shared(batches, words_per_edit: int):
         yield from found(keys, fulls)
 
 
+def _members(key: np.ndarray) -> np.ndarray:
+    """How many rows have the key of each row, of rows sorted by key."""
+    begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    count = np.diff(np.r_[begin, len(key)])
+    return np.repeat(count, count)
+
+
 def _with_partner(key: np.ndarray, size: np.ndarray, place: np.ndarray, words_per_edit: int) -> np.ndarray:
     """Which rows may have a partner, of rows sorted by (key, size): all that have one, and any not looked at to the end.
 
@@ -425,7 +462,8 @@ def _verified(words_per_edit: int):
 def _near_short(rows: DataFrame, first: DataFrame, words_per_edit: int) -> tuple[DataFrame, list[DataFrame]]:
     """d, t, line of lines with an earlier one within one edit, and the tables to release once they are written."""
     verified = _verified(words_per_edit)
-    runs = first.select("p", F.explode(F.array(*"abce")).alias("run")).where("run is not null")
+    short = first.where(F.col("n").between(MIN_WORDS, 2 * words_per_edit))
+    runs = short.select("p", F.explode(F.array(*"abce")).alias("run")).where("run is not null")
     shared = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
     near = durable(runs.join(shared, "run").select("p.*").groupBy("d", "t").agg(F.collect_set("line").alias("lines")), "near-lines")
     some = durable(_texts(rows, near).mapInArrow(_variants, "d long, t long, line int, words string, variants array<long>"), "variants")
@@ -437,7 +475,7 @@ def _near_short(rows: DataFrame, first: DataFrame, words_per_edit: int) -> tuple
     whole, cut = F.min(F.when(F.col("gap") == 0, F.col("first"))), F.min(F.when(F.col("gap") > 0, F.col("first")))
     either = least.groupBy("key").agg(whole.alias("whole"), cut.alias("cut")).where("whole is not null and cut is not null")
     added = keyed.join(either, "key").select("p", F.when(F.col("gap") == 0, F.col("cut")).otherwise(F.col("whole")).alias("first")).where("p > first")
-    said = some.select(F.struct(*PLACE).alias("p"), "words")
+    said = some.select(F.struct(*PLACE).alias("p"), "words").dropDuplicates(["p"])
     pairs = swapped.union(added).distinct().join(said, "p").join(said.select(F.col("p").alias("first"), F.col("words").alias("other")), "first")
     return pairs.where(verified("words", "other")).select("p.*"), [near, some, keyed]
 
@@ -453,44 +491,46 @@ def _near_long(rows: DataFrame, lines: DataFrame, first: DataFrame, words_per_ed
     seen = lines.where(F.col("line").isNull()).groupBy("full").agg(F.sum("n").alias("seen"))
     top = seen.orderBy(F.desc("seen"), "full").limit(MOST_FREQUENT).select("full").collect()
     frequent = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
+    levels = np.array(long.agg(F.percentile_approx("p.d", [k / LEVELS for k in range(1, LEVELS)], 1000)).first()[0], np.int64)
     blocks, chunk, away = 1 + int(words_in * GRAM / w / BLOCK), CHUNK, _bounds(w)[1]
-    packed = rows.select("text").mapInArrow(lambda b: _blocks(b, w, blocks, frequent, chunk), "block int, keys binary, fulls binary")
+    packed = rows.select("d", "text").mapInArrow(lambda b: _blocks(b, w, blocks, frequent, levels, chunk), "block int, keys binary, fulls binary")
     shared = durable(packed.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(lambda b: _shared(b, w), SHARED), "line-keys")
-    mine, other = (long.select(*[F.col(c).alias(c + end) for c in long.columns]) for end in ("1", "2"))
     bound = F.floor(F.least("n1", "n2") / w)
     unlike = sum((F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in PARITY), F.lit(0))
     fits = (F.abs(F.col("n1") - F.col("n2")) <= bound) & (unlike <= 2 * bound)
 
+    def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+        return tuple(df.select(*[F.col(c).alias(c if c == "key" else c + end) for c in df.columns]) for end in ("1", "2"))
+
     def later(pairs: DataFrame, name: str) -> DataFrame:
         """The later lines of those pairs (full1, full2, p1, p2) whose words are within the bound: full and p."""
-        pairs = durable(pairs.select("full1", "full2", "p1", "p2").distinct(), f"{name}-pairs")
-        places = durable(pairs.select("p1.*").union(pairs.select("p2.*")).distinct().groupBy("d", "t").agg(F.collect_list("line").alias("lines")), f"{name}-places")
-        said = durable(_texts(rows, places).mapInArrow(_said, "full long, words string"), f"{name}-words")
+        pairs = durable(pairs, f"{name}-pairs")
+        places = durable(pairs.select("p1.*").union(pairs.select("p2.*")).groupBy("d", "t").agg(F.collect_set("line").alias("lines")), f"{name}-places")
+        said = durable(_texts(rows, places).mapInArrow(_said, "full long, words string").dropDuplicates(["full"]), f"{name}-words")
         told = pairs.join(said.toDF("full1", "words1"), "full1").join(said.toDF("full2", "words2"), "full2").where(verified("words1", "words2"))
         turned = F.col("p1") < F.col("p2")
         got = durable(told.select(*[F.when(turned, F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(c) for c in ("full", "p")]).distinct(), name)
         release(pairs, places, said)
         return got
 
+    mine, other = sides(long)
     pairs = shared.where(F.col("other").isNotNull()).select(F.col("full").alias("full1"), F.col("other").alias("full2")).distinct()
-    soon = later(pairs.join(mine, "full1").join(other, "full2").where(fits), "near-first")
-    met = durable(shared.where(F.col("key").isNotNull()).select("key", "full", "place").join(long, "full"), "met")
-    mine, other = (met.select("key", *[F.col(c).alias(c + end) for c in met.columns if c != "key"]) for end in ("1", "2"))
+    soon = later(pairs.join(mine, "full1").join(other, "full2").where(fits).select("full1", "full2", "p1", "p2"), "near-heads")
+    settled = soon.select("full", F.lit(True).alias("settled"))
+    met = durable(shared.where(F.col("key").isNotNull()).select("key", "full", "place").join(long, "full").join(settled, "full", "left"), "met")
+    mine, other = sides(met.where(F.col("settled").isNull()).drop("settled"))[0], sides(met.drop("settled"))[1]
     near = (F.abs(F.col("place1") - F.col("place2")) <= away) | (F.col("place1") == ANYWHERE) | (F.col("place2") == ANYWHERE)
     near &= fits & (F.col("p2") < F.col("p1"))
-    rest = [c for c in other.columns if c not in ("key", "p2")]
-    heads = other.groupBy("key").agg(F.min(F.struct("p2", *rest)).alias("h")).select("key", "h.*")
-    left = mine.join(soon.select(F.col("full").alias("full1")), "full1", "left_anti")
-    next_ = later(left.join(heads, "key").where(near), "near-heads")
-    left = left.join(next_.select(F.col("full").alias("full1")), "full1", "left_anti")
-    late = later(left.join(other, "key").where(near), "near-other")
-    return soon.union(next_).union(late).select("p.*"), [shared, met, soon, next_, late]
+    late = later(mine.join(other, "key").where(near).select("full1", "full2", "p1", "p2").distinct(), "near-other")
+    return soon.union(late).select("p.*"), [shared, met, soon, late]
 
 
 def _texts(rows: DataFrame, listed: DataFrame) -> DataFrame:
-    """d, t, text, lines of the rows that listed (d, t, lines) names, each once."""
+    """d, t, text, lines of the rows that listed (d, t, lines) names; rows alike in d and t come each."""
+    if few_lists(listed, "lines"):
+        return rows.join(F.broadcast(listed), ["d", "t"]).select("d", "t", "text", "lines")
     few = rows.join(broadcast_if_small(listed.select("d", "t")), ["d", "t"], "left_semi")
-    return few.join(listed, ["d", "t"]).dropDuplicates(["d", "t"]).select("d", "t", "text", "lines")
+    return few.join(listed, ["d", "t"]).select("d", "t", "text", "lines")
 
 
 def _key() -> list[Column]:
@@ -511,7 +551,7 @@ def removed_lines(docs: DataFrame, least: int = 1, words_per_edit: int = WORDS_P
     again = lines.select(*PLACE, "full").join(repeated, "full").where(F.struct(*PLACE) > F.col("p")).select(*PLACE)
     short, spent = _near_short(rows, first, words_per_edit)
     long, more = _near_long(rows, every, first, words_per_edit)
-    gone = durable(again.union(short).union(long).distinct().groupBy("d", "t").agg(F.collect_set("line").alias("gone")), "removed-lines")
+    gone = durable(again.union(short).union(long).groupBy("d", "t").agg(F.collect_set("line").alias("gone")), "removed-lines")
     release(every, first, *spent, *more)
     return gone
 
@@ -520,7 +560,8 @@ def _deduped(docs: DataFrame, least: int, words_per_edit: int) -> DataFrame:
     """row (a struct of the columns of docs, text without its repeats), n_lines, n_removed."""
     d, t, went = fresh_names(docs, "d", "t", "gone")
     gone = removed_lines(docs, least, words_per_edit).withColumnsRenamed({"d": d, "t": t, "gone": went})
-    got = join_few(docs.select("*", *[c.alias(x) for c, x in zip(_key(), (d, t), strict=True)]), gone, [d, t])
+    keyed = docs.select("*", *[c.alias(x) for c, x in zip(_key(), (d, t), strict=True)])
+    got = keyed.join(F.broadcast(gone), [d, t], "left") if few_lists(gone, went) else join_few(keyed, gone, [d, t])
     # the lambda binds the lines, so that the text is split once
     kept = lambda x: F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(went))
     stay = F.transform(F.array(F.split("text", "\n")), lambda x: F.array_join(F.transform(kept(x), lambda i: F.get(x, i)), "\n"))
