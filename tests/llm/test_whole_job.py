@@ -110,3 +110,34 @@ def test_lines_of_repeated_words_make_no_pairs(spark, monkeypatch):
     assert {r["doc_id"]: r["text"] for r in got.collect()} == brute.line_dedup(rows)
     assert sum(brute.near_lines(rows).get(60, ())) == 1  # lines 0 and 1 of the last text; line 2 has six edits
     assert sum(n for name, n in counts.items() if name.endswith("-pairs")) < 20
+
+
+def test_near_copies_far_from_the_first_make_few_pairs(spark, monkeypatch):
+    """The first lines of a group are too far from the others, which are near each other: not all of its pairs may be made."""
+    pairs, write = {}, line_dedup.durable
+
+    def durable(df, name):
+        out = write(df, name)
+        if name.endswith("-pairs"):
+            pairs[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "durable", durable)
+    rng = random.Random(3)
+    template = [f"w{i}" for i in range(40)]
+
+    def copy(edits):
+        line = list(template)
+        for i in rng.sample(range(40), edits):
+            line[i] = f"x{rng.randrange(10**6)}"
+        return " ".join(line)
+
+    rows = [(i, copy(4)) for i in range(8)] + [(i, copy(rng.choice([1, 1, 2]))) for i in range(8, 100)]
+    for rows in (rows, [(None, t) for _, t in rows]):
+        pairs.clear()
+        got = line_dedup.dedup_lines(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS))
+        kept = sorted(r["text"] for r in got.collect())
+        keyed = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "xxhash64(text) t").orderBy("doc_id", "t").collect()
+        near = brute.near_lines([(i, r["text"]) for i, r in enumerate(keyed)])
+        assert kept == sorted("" if near.get(i) else r["text"] for i, r in enumerate(keyed))
+        assert sum(map(bool, near.values())) > 85 and pairs["near-other-pairs"] < 20

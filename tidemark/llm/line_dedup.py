@@ -14,9 +14,13 @@ With a larger bound the neighbourhood of all variants is too large, but what del
 destroy at most k * GRAM of a line's runs of GRAM words, so of two lines within the bound one of the first k * GRAM + 1
 runs in a global order stands among those of the other. These keys are packed into blocks by key range, and a block task
 finds the keys that two lines of fitting lengths share at fitting places. Frequent runs come last in the order. Parities
-of the words of two such lines, each word with its number in the line, may differ in two bits for each edit, and only
-pairs that pass are compared: each line of a key with the head of its key, an early line, which all of a group of copies have in common, and
-what stays after that with the earlier ones of these keys.
+of the words of two such lines, each word with its number in the line, may differ in two bits for each edit, one where a
+word is put in or taken out, and only
+pairs that pass are compared, in three steps: each line of a key with the head of its key, an early line, which all of a
+group of copies have in common; what stays after that with the middles of its keys; and what stays then with all earlier
+lines of these keys, each pair at the first key it shares. A middle stands for the lines of a key in one of OCTAVES spans of documents, each twice as long as the
+one before it: of these lines it shares the most keys with others, as the least edited of a group of near copies does. A
+group of any size thus makes few pairs a line in the first two steps, and only lines far from all middles come to the third.
 
 The words of every pair are compared before a line goes.
 """
@@ -26,11 +30,9 @@ from __future__ import annotations
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from .common import broadcast_if_small, durable, few_lists, fresh_names, join_few, release
 from .tokens import batch_of, frugal, lowered, mix, powers, prefix_hash, span_hash, text_slices, words
@@ -55,8 +57,10 @@ _U = np.uint64
 _LOW = np.uint64((1 << 48) - 1)
 #: Of a gram's hash, the bits that a packed key has beside length, place and level of its line.
 _KEY = np.uint64((1 << 40) - 1)
-#: Documents are told apart by so many levels of their ids where heads are chosen.
-LEVELS = 256
+#: Documents are told apart by so many levels of their ids where heads are chosen, and by spans where middles are.
+LEVELS, OCTAVES = 256, 12
+#: The id that stands for none.
+NO_ID = -(1 << 63)
 PLACE = ["d", "t", "line"]
 
 
@@ -400,7 +404,14 @@ def within_edits(a: str, b: str, words_per_edit: int = WORDS_PER_EDIT) -> bool:
     p, q = Counter(x), Counter(y)
     if max((p - q).total(), (q - p).total()) > bound:
         return False
+    # what both begin and end with has no part in the distance
+    least = min(len(x), len(y))
+    begin = next((i for i in range(least) if x[i] != y[i]), least)
+    end = next((i for i in range(least - begin) if x[-1 - i] != y[-1 - i]), least - begin)
+    x, y = x[begin : len(x) - end], y[begin : len(y) - end]
     n, m = len(x), len(y)
+    if max(n, m) <= bound:
+        return True
 
     def along(i: int, d: int) -> int:
         while i < n and i + d < m and x[i] == y[i + d]:
@@ -429,8 +440,11 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
-def near_pairs(one: pa.Array, two: pa.Array, words_per_edit: int) -> np.ndarray:
-    """within_edits for each pair of two text columns: exactly for those whose bags of words differ by no more."""
+def near_pairs(one: pa.Array, two: pa.Array, words_per_edit: int, of: list | None = None, done: set | None = None) -> np.ndarray:
+    """within_edits for each pair of two text columns: exactly for those whose bags of words differ by no more.
+
+    With `of` telling what each pair is of, pairs of what is done are passed over as not near, and a near pair makes its own done.
+    """
     out = np.zeros(len(one), bool)
     for lo in range(0, len(one), 256):
         a, b = one.slice(lo, 256), two.slice(lo, 256)
@@ -447,21 +461,24 @@ def near_pairs(one: pa.Array, two: pa.Array, words_per_edit: int) -> np.ndarray:
         for side in (more, -more):
             maybe &= np.bincount(row, np.maximum(side, 0), len(a)) <= bound
         for i in np.flatnonzero(maybe):
-            out[lo + i] = within_edits(a[int(i)].as_py(), b[int(i)].as_py(), words_per_edit)
+            if of is None or of[lo + i] not in done:
+                out[lo + i] = within_edits(a[int(i)].as_py(), b[int(i)].as_py(), words_per_edit)
+                if of is not None and out[lo + i]:
+                    done.add(of[lo + i])
     return out
 
 
-def _verified(words_per_edit: int):
-    @F.pandas_udf(BooleanType())
-    def verified(one: pd.Series, two: pd.Series) -> pd.Series:
-        return pd.Series(near_pairs(pa.array(one, pa.string()), pa.array(two, pa.string()), words_per_edit))
-
-    return verified
+def _near(batches, words_per_edit: int):
+    """Rows whose first two columns, words of lines, are within the bound, without these columns; of equal ones in the third,
+    the line, one or more."""
+    done: set = set()
+    for batch in frugal(batches):
+        use = pa.array(near_pairs(batch.column(0), batch.column(1), words_per_edit, batch.column(2).to_pylist(), done))
+        yield batch.select(range(2, batch.num_columns)).filter(use)
 
 
 def _near_short(rows: DataFrame, first: DataFrame, words_per_edit: int) -> tuple[DataFrame, list[DataFrame]]:
     """d, t, line of lines with an earlier one within one edit, and the tables to release once they are written."""
-    verified = _verified(words_per_edit)
     short = first.where(F.col("n").between(MIN_WORDS, 2 * words_per_edit))
     runs = short.select("p", F.explode(F.array(*"abce")).alias("run")).where("run is not null")
     shared = runs.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
@@ -477,7 +494,8 @@ def _near_short(rows: DataFrame, first: DataFrame, words_per_edit: int) -> tuple
     added = keyed.join(either, "key").select("p", F.when(F.col("gap") == 0, F.col("cut")).otherwise(F.col("whole")).alias("first")).where("p > first")
     said = some.select(F.struct(*PLACE).alias("p"), "words").dropDuplicates(["p"])
     pairs = swapped.union(added).distinct().join(said, "p").join(said.select(F.col("p").alias("first"), F.col("words").alias("other")), "first")
-    return pairs.where(verified("words", "other")).select("p.*"), [near, some, keyed]
+    told = pairs.select("words", "other", F.xxhash64("p").alias("of"), "p.*").mapInArrow(lambda b: _near(b, words_per_edit), "of long, d long, t long, line int")
+    return told.select(*PLACE), [near, some, keyed]
 
 
 def _near_long(rows: DataFrame, lines: DataFrame, first: DataFrame, words_per_edit: int) -> tuple[DataFrame, list[DataFrame]]:
@@ -487,17 +505,19 @@ def _near_long(rows: DataFrame, lines: DataFrame, first: DataFrame, words_per_ed
     words_in = lines.where((F.col("n") >= 2 * w) & F.col("line").isNotNull()).agg(F.sum("n")).first()[0] or 0
     if not words_in:
         return long.select("p.*").limit(0), []
-    verified = _verified(w)
     seen = lines.where(F.col("line").isNull()).groupBy("full").agg(F.sum("n").alias("seen"))
     top = seen.orderBy(F.desc("seen"), "full").limit(MOST_FREQUENT).select("full").collect()
     frequent = np.sort(np.array([r[0] for r in top], np.int64).view(np.uint64))
-    levels = np.array(long.agg(F.percentile_approx("p.d", [k / LEVELS for k in range(1, LEVELS)], 1000)).first()[0], np.int64)
+    spans = [2.0 ** (k - OCTAVES) for k in range(1, OCTAVES)]
+    ids = long.agg(F.percentile_approx("p.d", spans + [k / LEVELS for k in range(1, LEVELS)], 10_000)).first()[0]
+    spans, levels = ids[: len(spans)], np.array(ids[len(spans) :], np.int64)
     blocks, chunk, away = 1 + int(words_in * GRAM / w / BLOCK), CHUNK, _bounds(w)[1]
     packed = rows.select("d", "text").mapInArrow(lambda b: _blocks(b, w, blocks, frequent, levels, chunk), "block int, keys binary, fulls binary")
     shared = durable(packed.repartition(blocks, "block").sortWithinPartitions("block").mapInArrow(lambda b: _shared(b, w), SHARED), "line-keys")
     bound = F.floor(F.least("n1", "n2") / w)
     unlike = sum((F.bit_count(F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2"))) for c in PARITY), F.lit(0))
-    fits = (F.abs(F.col("n1") - F.col("n2")) <= bound) & (unlike <= 2 * bound)
+    apart = F.abs(F.col("n1") - F.col("n2"))  # so many edits put a word in or take one out
+    fits = (apart <= bound) & (unlike <= 2 * bound - apart)
 
     def sides(df: DataFrame) -> tuple[DataFrame, DataFrame]:
         return tuple(df.select(*[F.col(c).alias(c if c == "key" else c + end) for c in df.columns]) for end in ("1", "2"))
@@ -507,9 +527,10 @@ def _near_long(rows: DataFrame, lines: DataFrame, first: DataFrame, words_per_ed
         pairs = durable(pairs, f"{name}-pairs")
         places = durable(pairs.select("p1.*").union(pairs.select("p2.*")).groupBy("d", "t").agg(F.collect_set("line").alias("lines")), f"{name}-places")
         said = durable(_texts(rows, places).mapInArrow(_said, "full long, words string").dropDuplicates(["full"]), f"{name}-words")
-        told = pairs.join(said.toDF("full1", "words1"), "full1").join(said.toDF("full2", "words2"), "full2").where(verified("words1", "words2"))
-        turned = F.col("p1") < F.col("p2")
-        got = durable(told.select(*[F.when(turned, F.col(f"{c}2")).otherwise(F.col(f"{c}1")).alias(c) for c in ("full", "p")]).distinct(), name)
+        told = pairs.join(said.toDF("full2", "words2"), "full2").join(said.toDF("full1", "words1"), "full1")
+        full, p = [F.when(F.col("p1") < F.col("p2"), F.col(f"{c}2")).otherwise(F.col(f"{c}1")) for c in ("full", "p")]
+        told = told.select("words1", "words2", full.alias("full"), p.alias("p")).select("words1", "words2", "full", "p.*")
+        got = durable(told.mapInArrow(lambda b: _near(b, w), "full long, d long, t long, line int").distinct(), name)
         release(pairs, places, said)
         return got
 
@@ -517,12 +538,31 @@ def _near_long(rows: DataFrame, lines: DataFrame, first: DataFrame, words_per_ed
     pairs = shared.where(F.col("other").isNotNull()).select(F.col("full").alias("full1"), F.col("other").alias("full2")).distinct()
     soon = later(pairs.join(mine, "full1").join(other, "full2").where(fits).select("full1", "full2", "p1", "p2"), "near-heads")
     settled = soon.select("full", F.lit(True).alias("settled"))
-    met = durable(shared.where(F.col("key").isNotNull()).select("key", "full", "place").join(long, "full").join(settled, "full", "left"), "met")
-    mine, other = sides(met.where(F.col("settled").isNull()).drop("settled"))[0], sides(met.drop("settled"))[1]
+    keyed = shared.where(F.col("key").isNotNull()).select("key", "full", "place")
+    keys = keyed.groupBy("full").agg(F.collect_set("key").alias("keys"))
+    known = [F.size("keys").alias("weight"), F.filter("keys", lambda x: x < F.col("key")).alias("before")]
+    met = durable(keyed.join(keys, "full").select("key", "full", "place", *known).join(long, "full").join(settled, "full", "left"), "met")
+
+    def earlier(some: DataFrame, others: DataFrame, once: Column) -> DataFrame:
+        """Pairs of some lines with such earlier ones of their keys as may be within the bound."""
+        pairs = sides(some)[0].join(sides(others)[1], "key").where((F.col("p2") < F.col("p1")) & fits & once)
+        return pairs.select("full1", "full2", "p1", "p2").distinct()
+
+    left, columns = met.where(F.col("settled").isNull()).drop("settled"), ["weight", *[c for c in met.columns if c not in ("key", "settled", "weight")]]
+    middle = F.max(F.struct(*columns)).alias("middle")
+    middles = met.groupBy("key", _octave(spans).alias("octave")).agg(middle).select("key", *[F.col("middle").getField(c).alias(c) for c in columns])
     near = (F.abs(F.col("place1") - F.col("place2")) <= away) | (F.col("place1") == ANYWHERE) | (F.col("place2") == ANYWHERE)
-    near &= fits & (F.col("p2") < F.col("p1"))
-    late = later(mine.join(other, "key").where(near).select("full1", "full2", "p1", "p2").distinct(), "near-other")
-    return soon.union(late).select("p.*"), [shared, met, soon, late]
+    then = later(earlier(left, middles, near), "near-middles")
+    # a pair within the bound has one key at least where places fit, but the first that it shares need not be that one
+    late = later(earlier(left.join(then.select("full"), "full", "left_anti"), met.drop("settled"), ~F.arrays_overlap("before1", "before2")), "near-other")
+    return soon.union(then).union(late).select(*PLACE), [shared, met, soon, then, late]
+
+
+def _octave(spans: list[int]) -> Column:
+    """Of a line's place p, the span of documents between these ids; without an id, one by the hash of the text."""
+    by_id = sum(((F.col("p.d") >= d).cast("int") for d in spans), F.lit(0))
+    by_text = F.greatest(F.floor(F.log2((F.col("p.t") + F.lit(2.0**63)) / 2.0**64)), F.lit(1 - OCTAVES)).cast("int")
+    return F.when(F.col("p.d") == NO_ID, by_text - 1).otherwise(by_id)
 
 
 def _texts(rows: DataFrame, listed: DataFrame) -> DataFrame:
@@ -534,7 +574,7 @@ def _texts(rows: DataFrame, listed: DataFrame) -> DataFrame:
 
 
 def _key() -> list[Column]:
-    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("d"), F.xxhash64("text").alias("t")]
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64("text").alias("t")]
 
 
 def removed_lines(docs: DataFrame, least: int = 1, words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
