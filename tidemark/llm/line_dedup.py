@@ -17,8 +17,8 @@ finds the keys that two lines of fitting lengths share at fitting places. Freque
 of the words of two such lines, each word with its number in the line, may differ in two bits for each edit, one where a
 word is put in or taken out, and only
 pairs that pass are compared, in three steps: each line of a key with the head of its key, an early line, which all of a
-group of copies have in common; what stays after that with the middles of its keys; and what stays then with all earlier
-lines of these keys, each pair at the first key it shares. A middle stands for the lines of a key in one of OCTAVES spans of documents, each twice as long as the
+group of copies have in common; what stays after that with the middles of its keys of more than FEW lines; and what stays
+then with all earlier lines of its keys, each pair of the larger keys at the first of them that it shares. A middle stands for the lines of a key in one of OCTAVES spans of documents, each twice as long as the
 one before it: of these lines it shares the most keys with others, as the least edited of a group of near copies does. A
 group of any size thus makes few pairs a line in the first two steps, and only lines far from all middles come to the third.
 
@@ -59,6 +59,8 @@ _LOW = np.uint64((1 << 48) - 1)
 _KEY = np.uint64((1 << 40) - 1)
 #: Documents are told apart by so many levels of their ids where heads are chosen, and by spans where middles are.
 LEVELS, OCTAVES = 256, 12
+#: Keys of at most so many lines have no middles: a line is held against all earlier ones of them.
+FEW = 32
 #: The id that stands for none.
 NO_ID = -(1 << 63)
 PLACE = ["d", "t", "line"]
@@ -309,7 +311,7 @@ def _bounds(words_per_edit: int) -> tuple[int, int]:
     return int(np.ceil(np.log(1 + 1 / words_per_edit) / np.log(LENGTH_STEP))), 256 // words_per_edit + 2
 
 
-SHARED = "key long, full long, other long, place int"
+SHARED = "key long, full long, other long, place int, lines int"
 
 
 def _shared(batches, words_per_edit: int):
@@ -317,7 +319,7 @@ def _shared(batches, words_per_edit: int):
 
     The head of a key is the line of the lowest level, and of those the one with the least hash. It makes a pair with each
     other line of fitting length and place: rows (null, full, other, null), the lesser hash first. Where a key has more
-    lines than two, all but the head follow as (key, full, null, place). Lines without a partner of fitting length and
+    lines than two, all but the head follow as (key, full, null, place, lines of the key). Lines without a partner of fitting length and
     place are left out.
     """
     far, away = _bounds(words_per_edit)
@@ -347,10 +349,10 @@ def _shared(batches, words_per_edit: int):
         one, two = one[order], two[order]
         once = np.r_[True, (one[1:] != one[:-1]) | (two[1:] != two[:-1])] if len(one) else np.zeros(0, bool)
         none = pa.nulls(int(once.sum()), pa.int64())
-        yield batch_of(key=none, full=pa.array(one[once].view(np.int64)), other=pa.array(two[once].view(np.int64)), place=none.cast(pa.int32()))
+        yield batch_of(key=none, full=pa.array(one[once].view(np.int64)), other=pa.array(two[once].view(np.int64)), place=none.cast(pa.int32()), lines=none.cast(pa.int32()))
         rest = ~lead & (members > 2)
         key, full, place = key[rest].view(np.int64), full[rest].view(np.int64), place[rest].astype(np.int32)
-        yield batch_of(key=pa.array(key), full=pa.array(full), other=pa.nulls(len(key), pa.int64()), place=pa.array(place))
+        yield batch_of(key=pa.array(key), full=pa.array(full), other=pa.nulls(len(key), pa.int64()), place=pa.array(place), lines=pa.array(members[rest].astype(np.int32)))
 
     now, keys, fulls = None, [], []
     for batch in frugal(batches):
@@ -538,24 +540,27 @@ def _near_long(rows: DataFrame, lines: DataFrame, first: DataFrame, words_per_ed
     pairs = shared.where(F.col("other").isNotNull()).select(F.col("full").alias("full1"), F.col("other").alias("full2")).distinct()
     soon = later(pairs.join(mine, "full1").join(other, "full2").where(fits).select("full1", "full2", "p1", "p2"), "near-heads")
     settled = soon.select("full", F.lit(True).alias("settled"))
-    keyed = shared.where(F.col("key").isNotNull()).select("key", "full", "place")
-    keys = keyed.groupBy("full").agg(F.collect_set("key").alias("keys"))
+    met = durable(shared.where(F.col("key").isNotNull()).select("key", "full", "place", "lines").join(long, "full").join(settled, "full", "left"), "met")
+    some, most = [met.where(c).drop("lines") for c in (F.col("lines") <= FEW, F.col("lines") > FEW)]
+    keys = most.groupBy("full").agg(F.collect_set("key").alias("keys"))
     known = [F.size("keys").alias("weight"), F.filter("keys", lambda x: x < F.col("key")).alias("before")]
-    met = durable(keyed.join(keys, "full").select("key", "full", "place", *known).join(long, "full").join(settled, "full", "left"), "met")
+    most = durable(most.join(keys, "full").select(*known, *most.columns), "met-often")
 
-    def earlier(some: DataFrame, others: DataFrame, once: Column) -> DataFrame:
-        """Pairs of some lines with such earlier ones of their keys as may be within the bound."""
-        pairs = sides(some)[0].join(sides(others)[1], "key").where((F.col("p2") < F.col("p1")) & fits & once)
-        return pairs.select("full1", "full2", "p1", "p2").distinct()
+    def earlier(lines: DataFrame, others: DataFrame, once: Column) -> DataFrame:
+        """Pairs of those lines that are not settled with such earlier others of their keys as may be within the bound."""
+        mine, other = sides(lines.where(F.col("settled").isNull()).drop("settled"))[0], sides(others.drop("settled"))[1]
+        return mine.join(other, "key").where((F.col("p2") < F.col("p1")) & once & fits).select("full1", "full2", "p1", "p2")
 
-    left, columns = met.where(F.col("settled").isNull()).drop("settled"), ["weight", *[c for c in met.columns if c not in ("key", "settled", "weight")]]
+    columns = ["weight", *[c for c in most.columns if c not in ("key", "weight", "settled")]]
     middle = F.max(F.struct(*columns)).alias("middle")
-    middles = met.groupBy("key", _octave(spans).alias("octave")).agg(middle).select("key", *[F.col("middle").getField(c).alias(c) for c in columns])
+    middles = most.groupBy("key", _octave(spans).alias("octave")).agg(middle).select("key", *[F.col("middle").getField(c).alias(c) for c in columns])
     near = (F.abs(F.col("place1") - F.col("place2")) <= away) | (F.col("place1") == ANYWHERE) | (F.col("place2") == ANYWHERE)
-    then = later(earlier(left, middles, near), "near-middles")
+    then = later(earlier(most, middles, near).distinct(), "near-middles")
+    some, left = [df.join(then.select("full"), "full", "left_anti") for df in (some, most)]
     # a pair within the bound has one key at least where places fit, but the first that it shares need not be that one
-    late = later(earlier(left.join(then.select("full"), "full", "left_anti"), met.drop("settled"), ~F.arrays_overlap("before1", "before2")), "near-other")
-    return soon.union(then).union(late).select(*PLACE), [shared, met, soon, then, late]
+    rest = earlier(left, most, ~F.arrays_overlap("before1", "before2")).union(earlier(some, met.where(F.col("lines") <= FEW).drop("lines"), near))
+    late = later(rest.distinct(), "near-other")
+    return soon.union(then).union(late).select(*PLACE), [shared, met, most, soon, then, late]
 
 
 def _octave(spans: list[int]) -> Column:
