@@ -61,6 +61,8 @@ _KEY = np.uint64((1 << 40) - 1)
 LEVELS, OCTAVES = 256, 12
 #: Keys of at most so many lines have no middles: a line is held against all earlier ones of them.
 FEW = 32
+#: So many places tell by the low bits of a gram that it is not a frequent one.
+MAYBE = 1 << 20
 #: The id that stands for none.
 NO_ID = -(1 << 63)
 PLACE = ["d", "t", "line"]
@@ -111,7 +113,7 @@ def _keys(batches, least: int, words_per_edit: int, often_at: int, chunk: int):
     of them. Rows without a line
     tell frequent grams: the gram as `full`, and as `n` how many different lines of a chunk of long lines have it.
     """
-    lines, grams, size = [], [], 0  # hashes of long lines; (line from 0, gram), of each line once
+    lines, grams, size = [], [], 0  # hashes of long lines; (line from 0, gram)
 
     def rows(columns, count):
         columns = [columns.get(name, pa.nulls(count, pa.int32() if name in ("line", "n") else pa.int64())) for name in (*PLACE, "full", "n", *"abce", *PARITY)]
@@ -121,8 +123,16 @@ def _keys(batches, least: int, words_per_edit: int, often_at: int, chunk: int):
         told = np.concatenate(lines)
         first = np.zeros(len(told), bool)
         first[np.unique(told, return_index=True)[1]] = True  # a repeated line counts once
-        base = np.cumsum([0, *map(len, lines[:-1])])
-        found, seen = np.unique(np.concatenate([g[first[b + of]] for b, (of, g) in zip(base, grams, strict=True)]), return_counts=True)
+        of = np.concatenate([b + of for b, (of, _) in zip(np.cumsum([0, *map(len, lines[:-1])]), grams, strict=True)])
+        gram = np.concatenate([g for _, g in grams])
+        low = (gram & _U(MAYBE - 1)).astype(np.int64)
+        some = (np.bincount(low, minlength=MAYBE) >= often_at)[low]  # few are, even by their low bits
+        of, gram = of[some], gram[some]
+        of, gram = of[first[of]], gram[first[of]]
+        order = np.lexsort((of, gram))
+        of, gram = of[order], gram[order]
+        new = np.r_[True, (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])][: len(gram)]
+        found, seen = np.unique(gram[new], return_counts=True)
         often = seen >= often_at
         return rows({"full": pa.array(found[often].view(np.int64)), "n": pa.array(seen[often].astype(np.int32))}, int(often.sum()))
 
@@ -148,10 +158,10 @@ def _keys(batches, least: int, words_per_edit: int, often_at: int, chunk: int):
                 whole[~short] = told
                 columns[name] = null(whole, short)
             yield rows(columns, len(n))
-            for of, key, told in _distinct_grams(s, begin[~short], stop[~short]):
-                lines.append(told)
-                grams.append((of, key))
-                size += len(key)
+            for begin, stop, of, _, gram in _grams(s, begin[~short], stop[~short]):
+                lines.append(_full(s, begin, stop))
+                grams.append((of, gram))
+                size += len(gram)
             if size >= chunk:
                 yield frequent()
                 lines, grams, size = [], [], 0
@@ -214,53 +224,52 @@ def _said(batches):
 
 
 def _grams(s: np.ndarray, all_begin: np.ndarray, all_stop: np.ndarray):
-    """(first and last words, line of each gram from 0, its place in the line, line and 47 bits of its hash in one number)
-    of at most 65,536 lines at a time."""
-    i = np.arange(len(s) - GRAM) if len(all_begin) else np.zeros(0, np.int64)
-    hashes = mix(_run(s, i, i + GRAM)) >> _U(17)
+    """(first and last words, line of each gram from 0, its place in the line, 39 bits of its hash) of at most 65,536 lines
+    at a time."""
+    hashes = mix((s[GRAM:] - s[:-GRAM]) * powers(len(s))[1][: max(0, len(s) - GRAM)]) >> _U(25)
     for lo in range(0, len(all_begin), 1 << 16):
         begin, stop = all_begin[lo : lo + (1 << 16)], all_stop[lo : lo + (1 << 16)]
         count = stop - begin - GRAM + 1
         of = np.repeat(np.arange(len(begin)), count)
         at = np.arange(len(of)) - (np.cumsum(count) - count)[of]
-        yield begin, stop, of, at, of.astype(np.uint64) << _U(48) | hashes[begin[of] + at]
+        yield begin, stop, of, at, hashes[begin[of] + at]
 
 
-def _distinct_grams(s: np.ndarray, all_begin: np.ndarray, all_stop: np.ndarray):
-    """(line of each gram from 0, gram, hashes of the lines); each gram of a line once."""
-    for begin, stop, _, _, both in _grams(s, all_begin, all_stop):
-        both = np.sort(both)
-        both = both[np.r_[True, both[1:] != both[:-1]]]
-        yield (both >> _U(48)).astype(np.int64), both & _LOW, _full(s, begin, stop)
-
-
-def _ordered_grams(s: np.ndarray, all_begin: np.ndarray, all_stop: np.ndarray, frequent: np.ndarray):
-    """(line of each gram from 0, 48 bits of its hash, its place, hashes of the lines, words of the lines), sorted and
+def _ordered_grams(s: np.ndarray, all_begin: np.ndarray, all_stop: np.ndarray, frequent: np.ndarray, maybe: np.ndarray):
+    """(line of each gram from 0, 40 bits of its hash, its place, hashes of the lines, words of the lines), sorted and
     distinct.
 
-    The highest of the 48 bits says whether the gram is a frequent one. Places are 256ths of the line, rounded down, and
-    ANYWHERE for grams that a line has twice.
+    The highest of the 40 bits says whether the gram is a frequent one; maybe tells by its low bits whether it can be. Places
+    are 256ths of the line, rounded down, and ANYWHERE for grams that a line has twice.
     """
-    for begin, stop, of, at, both in _grams(s, all_begin, all_stop):
-        if len(frequent):
-            gram = both & _LOW
-            place = np.minimum(np.searchsorted(frequent, gram), len(frequent) - 1)
-            both = both | (frequent[place] == gram).astype(np.uint64) << _U(47)
-        order = np.argsort(both)
-        both = both[order]
+    for begin, stop, of, at, gram in _grams(s, all_begin, all_stop):
+        some = np.flatnonzero(maybe[gram & _U(MAYBE - 1)])
+        if len(some):
+            found = np.minimum(np.searchsorted(frequent, gram[some]), len(frequent) - 1)
+            gram[some[frequent[found] == gram[some]]] |= _U(1) << _U(39)
+        place = np.minimum(at * 256 // (stop - begin)[of], 254)
+        both = np.sort((of.astype(np.uint64) << _U(40) | gram) << _U(8) | place.astype(np.uint64))
+        place, both = (both & _U(255)).astype(np.int64), both >> _U(8)
         new = np.r_[True, both[1:] != both[:-1]]
-        place = np.minimum(at * 256 // (stop - begin)[of], 254)[order][new]
-        place[np.diff(np.r_[np.flatnonzero(new), len(new)]) > 1] = ANYWHERE
-        both = both[new]
-        yield (both >> _U(48)).astype(np.int64), both & _LOW, place, _full(s, begin, stop), stop - begin
+        again = np.flatnonzero(~new)
+        place[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))[again]] = ANYWHERE
+        both, place = both[new], place[new]
+        yield (both >> _U(40)).astype(np.int64), both & _KEY, place, _full(s, begin, stop), stop - begin
+
+
+def _maybe(frequent: np.ndarray) -> np.ndarray:
+    """By the low bits of a gram, whether it can be a frequent one."""
+    out = np.zeros(MAYBE, bool)
+    out[frequent & _U(MAYBE - 1)] = True
+    return out
 
 
-def _long_grams(batch: pa.RecordBatch, words_per_edit: int, frequent: np.ndarray, levels: np.ndarray):
+def _long_grams(batch: pa.RecordBatch, words_per_edit: int, frequent: np.ndarray, maybe: np.ndarray, levels: np.ndarray):
     """What _ordered_grams gives of the long lines of a batch (d, text), and the levels of these lines."""
     level = np.searchsorted(levels, batch.column(0).to_numpy(zero_copy_only=False)).astype(np.uint64)
     for at, row, _, begin, stop, s, _ in _lines(batch.column(1), 2 * words_per_edit):
         lo, own = 0, level[at + row]
-        for of, key, place, full, n in _ordered_grams(s, begin, stop, frequent):
+        for of, key, place, full, n in _ordered_grams(s, begin, stop, frequent, maybe):
             yield of, key, place, full, n, own[lo : lo + len(n)]
             lo += len(n)
 
@@ -271,15 +280,16 @@ def _blocks(batches, words_per_edit: int, blocks: int, frequent: np.ndarray, lev
     def pack(keys, fulls):
         key, full = np.concatenate(keys), np.concatenate(fulls)
         block = _block_of(key, blocks)
-        order = np.argsort(block, kind="stable")
+        # whole numbers of 16 bits are sorted by their bytes
+        order = np.argsort(block.astype(np.uint16 if blocks <= 1 << 16 else np.uint32), kind="stable")
         at = np.flatnonzero(np.r_[True, block[order][1:] != block[order][:-1]])
         ends = np.r_[at, len(order)] * 8
         cells = [pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(x[order])]) for x in (key, full)]
         return pa.RecordBatch.from_arrays([pa.array(block[order][at].astype(np.int32)), *cells], names=["block", "keys", "fulls"])
 
-    keys, fulls, size = [], [], 0
+    keys, fulls, size, maybe = [], [], 0, _maybe(frequent)
     for batch in frugal(batches):
-        for of, key, place, full, n, level in _long_grams(batch, words_per_edit, frequent, levels):
+        for of, key, place, full, n, level in _long_grams(batch, words_per_edit, frequent, maybe, levels):
             rank = np.arange(len(of)) - np.searchsorted(of, np.arange(len(full)))[of]
             use = rank <= (n // words_per_edit * GRAM)[of]
             line = _length_class(n).astype(np.uint64) << _U(16) | level
@@ -326,6 +336,12 @@ def _shared(batches, words_per_edit: int):
 
     def found(keys, fulls):
         key, full = np.frombuffer(b"".join(keys), np.uint64), np.frombuffer(b"".join(fulls), np.uint64)
+        # most keys are of one line: those that even their low bits tell go first
+        slot = (key & _U((1 << 22) - 1)).astype(np.int64)
+        some = np.bincount(slot, minlength=1 << 22)[slot] > 1
+        key, full = key[some], full[some]
+        if not len(key):
+            return
         meta, key = (key >> _U(40)).astype(np.int64), key & _KEY
         # lines by their first 24 bits: one told twice stands beside itself but for rare ties, which do no harm
         order = np.argsort(key << _U(24) | full >> _U(40))
@@ -404,8 +420,11 @@ def within_edits(a: str, b: str, words_per_edit: int = WORDS_PER_EDIT) -> bool:
     if abs(len(x) - len(y)) > bound:
         return False
     p, q = Counter(x), Counter(y)
-    if max((p - q).total(), (q - p).total()) > bound:
-        return False
+    return max((p - q).total(), (q - p).total()) <= bound and _edited(x, y, bound)
+
+
+def _edited(x: list, y: list, bound: int) -> bool:
+    """Whether at most bound edits lead from one sequence to the other."""
     # what both begin and end with has no part in the distance
     least = min(len(x), len(y))
     begin = next((i for i in range(least) if x[i] != y[i]), least)
@@ -464,7 +483,7 @@ def near_pairs(one: pa.Array, two: pa.Array, words_per_edit: int, of: list | Non
             maybe &= np.bincount(row, np.maximum(side, 0), len(a)) <= bound
         for i in np.flatnonzero(maybe):
             if of is None or of[lo + i] not in done:
-                out[lo + i] = within_edits(a[int(i)].as_py(), b[int(i)].as_py(), words_per_edit)
+                out[lo + i] = _edited(*(t[int(i)].as_py().encode().lower().split() for t in (a, b)), int(bound[i]))
                 if of is not None and out[lo + i]:
                     done.add(of[lo + i])
     return out
@@ -614,7 +633,7 @@ def _deduped(docs: DataFrame, least: int, words_per_edit: int) -> DataFrame:
     own = {"text": text}
     if "n_chars" in docs.columns:
         own["n_chars"] = F.when(F.col(went).isNull(), F.col("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
-    lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    lines = F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1)
     row = F.struct(*[own.get(c, F.col(c)).alias(c) for c in docs.columns]).alias("row")
     return got.select(row, lines.alias("n_lines"), F.coalesce(F.size(went), F.lit(0)).alias("n_removed"))
 

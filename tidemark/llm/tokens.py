@@ -17,6 +17,8 @@ _U = np.uint64
 
 SPACE_SEPARATED = np.ones(256, bool)
 SPACE_SEPARATED[[0x20, *range(0x09, 0x0E)]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
 #: Digits, lower-case letters and everything outside ASCII, for text whose capitals were lowered.
 ALPHANUMERIC = np.zeros(256, bool)
 ALPHANUMERIC[0x30:0x3A] = ALPHANUMERIC[0x61:0x7B] = ALPHANUMERIC[0x80:] = True
@@ -24,9 +26,14 @@ ALPHANUMERIC[0x30:0x3A] = ALPHANUMERIC[0x61:0x7B] = ALPHANUMERIC[0x80:] = True
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (xor-shift and multiply)."""
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
+    out = x >> _U(30)
+    out ^= x
+    out *= _U(0xBF58476D1CE4E5B9)
+    for by, factor in ((_U(27), _U(0x94D049BB133111EB)), (_U(31), None)):
+        out ^= out >> by
+        if factor is not None:
+            out *= factor
+    return out
 
 
 @lru_cache(maxsize=1)
@@ -88,9 +95,7 @@ def text_slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, np.n
 
 
 def lowered(data: np.ndarray) -> np.ndarray:
-    out = data.copy()
-    out[(data >= 65) & (data <= 90)] += 32
-    return out
+    return _LOWER[data]
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
@@ -110,17 +115,15 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = SPACE_SEPA
     n = len(data)
     if not n:
         return (np.zeros(0, np.int64),) * 3
-    keep = inside[data]
-    first = keep.copy()
-    first[1:] &= ~keep[:-1]
-    last = keep.copy()
-    last[:-1] &= ~keep[1:]
-    cut = offsets[1:-1]
-    cut = cut[(cut > 0) & (cut < n)]
-    first[cut] |= keep[cut]
-    last[cut - 1] |= keep[cut - 1]
-    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
-    return start, end, np.searchsorted(offsets, start, "right") - 1
+    keep = np.zeros(n + 2, bool)
+    keep[1:-1] = inside[data]
+    turn = np.flatnonzero(keep[1:] != keep[:-1])  # words begin and end by turns
+    cut = np.unique(offsets[1:-1])
+    cut = cut[keep[cut] & keep[cut + 1]]  # inside a word, as one text ends and the next begins
+    if len(cut):
+        turn = np.insert(turn, np.repeat(np.searchsorted(turn, cut), 2), np.repeat(cut, 2))
+    start, end = turn[::2].copy(), turn[1::2].copy()
+    return start, end, np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(start, offsets)))
 
 
 def shingles(hashes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
